@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,4 +51,23 @@ def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of an Arrow batch: whole texts can be long, so the default of 10,000 is too many."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, for clusters whose
+    machines don't have it installed."""
+    context = spark.sparkContext
+    if _SHIPPED.get("app") == context.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="turnloom-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED["app"] = context.applicationId
+
+
+_SHIPPED: dict[str, str] = {}

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact
-from turnloom.llm.common import arrow_rows, table
+from turnloom.llm import bpe, exact, packing, pii, quality, simhash
+from turnloom.llm.common import arrow_rows, staged, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,49 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("digest", "text_sha256")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op10_exact_dedup": op10_exact_dedup}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
+
+
+#: A secret of the deployment; the value here only serves the registered query.
+PII_KEY = "registered-query-key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, PII_KEY)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assessed(docs).select(
+        "doc_id",
+        *[
+            F.col(f"quality.{x}").alias(x)
+            for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        ],
+        F.col("quality.n_words_removed").alias("n_words_removed"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents")
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(staged(made, "pieces"))
+
+
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
+    "op7_quality": op7_quality,
+    "op8_packing": op8_packing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES = {
     "op10_exact_dedup": """
