@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact, packing, pii, quality, simhash
+from turnloom.llm import bpe, exact, packing, pii, quality, simhash, substring
 from turnloom.llm.common import arrow_rows, staged, table
 
 
@@ -78,7 +78,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(staged(made, "pieces"))
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return substring.deduplicated(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_substring": op1_substring,
     "op2_bpe": op2_bpe,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
