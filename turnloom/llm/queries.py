@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact, packing, pii, quality, simhash, substring
+from turnloom.llm import bpe, exact, packing, pii, quality, simhash, substring, toxicity
 from turnloom.llm.common import arrow_rows, staged, table
 
 
@@ -83,6 +83,19 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.scored(docs, model)
+    return rows.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_bpe": op2_bpe,
@@ -90,10 +103,12 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES = {
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
