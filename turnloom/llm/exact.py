@@ -14,7 +14,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from turnloom.llm.common import lower_ascii, shared_dir, staged
 
@@ -26,7 +25,6 @@ STATE = {
     ),
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
-LOG = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("norm", T.StringType())])
 
 
 def sha256(norm: Column) -> Column:
@@ -36,23 +34,27 @@ def sha256(norm: Column) -> Column:
 def land(docs: DataFrame, store: str, segment: str) -> None:
     """Write ``docs`` as a segment of the log. Landing a segment again replaces its files, so a
     retry before the stream has read them adds no rows twice."""
-    text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("norm"))
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/content/segment={segment}")
+    docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{store}/content/segment={segment}")
 
 
+def _log(reader, store: str, schema) -> DataFrame:
+    """Rows of the log with their locators; ``schema`` is that of the documents."""
+    log = reader.schema(schema).option("recursiveFileLookup", "true").parquet(f"{store}/content")
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return log.withColumn("__at", F.struct(F.col("doc_id").cast("long").alias("doc_id"), *place))
 
 
-def _located(df: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    at = F.struct(
-        "doc_id", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+def _digested(log: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    norm = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return log.select(norm.alias("norm"), F.col("__at").alias("at")).select(
+        digest(F.col("norm")).alias("digest"), "at", "norm"
     )
-    return df.select(digest(F.col("norm")).alias("digest"), at.alias("at"), "norm")
 
 
 def advance(
     spark: SparkSession,
     store: str,
+    schema,
     digest: Callable[[Column], Column] = sha256,
     files_per_batch: int = 4096,
 ) -> None:
@@ -61,14 +63,9 @@ def advance(
     The state is a streaming aggregation, so each task adds up its own rows of a digest before
     any are shuffled: a digest that a third of the rows share costs one row from each task.
     """
-    log = (
-        spark.readStream.schema(LOG)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("recursiveFileLookup", "true")
-        .parquet(f"{store}/content")
-    )
+    log = _log(spark.readStream.option("maxFilesPerTrigger", files_per_batch), store, schema)
     state = (
-        _located(log, digest)
+        _digested(log, digest)
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max("at").alias("keep"))
     )
@@ -93,8 +90,8 @@ def advance(
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def resolve(spark: SparkSession, store: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, digest of every row in the log, after the check of bytes."""
+def resolve(spark: SparkSession, store: str, schema, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """at, keep, group_size, digest of every row in the log, after the check of bytes."""
     at = "struct<doc_id: bigint, file: string, row: bigint>"
     changes = (
         spark.read.schema(f"digest string, group_size bigint, keep {at}")
@@ -103,9 +100,7 @@ def resolve(spark: SparkSession, store: str, digest: Callable[[Column], Column]
     )
     # A digest's later changes replace its earlier ones, and its count only grows.
     state = changes.groupBy("digest").agg(F.max("group_size").alias("group_size"), F.max("keep").alias("keep"))
-    log = _located(
-        spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(f"{store}/content"), digest
-    )
+    log = _digested(_log(spark.read, store, schema), digest)
     rows = log.join(state, "digest").select(
         "digest", "at", "group_size", "keep", F.when(F.col("group_size") > 1, F.col("norm")).alias("norm")
     )
@@ -124,13 +119,7 @@ def resolve(spark: SparkSession, store: str, digest: Callable[[Column], Column]
         )
         told = texts.select("digest", "at", "norm").join(groups, ["digest", "norm"])
         out = out.join(differing, "digest", "left_anti").unionByName(told.drop("norm"))
-    return out.select(
-        F.col("at.doc_id").alias("doc_id"),
-        F.col("keep.doc_id").alias("keep_id"),
-        F.col("group_size").cast("long").alias("group_size"),
-        F.col("at").eqNullSafe(F.col("keep")).alias("kept"),
-        "digest",
-    )
+    return out.select("at", "keep", F.col("group_size").cast("long").alias("group_size"), "digest")
 
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -142,7 +131,30 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    store, docs = shared_dir(spark, "exact"), docs.select("doc_id", "text")
+    land(docs, store, "0")
+    advance(spark, store, docs.schema, digest)
+    return resolve(spark, store, docs.schema, digest).select(
+        F.col("at.doc_id").alias("doc_id"),
+        F.col("keep.doc_id").alias("keep_id"),
+        "group_size",
+        F.col("at").eqNullSafe(F.col("keep")).alias("kept"),
+        "digest",
+    )
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, whole, with their own columns; ties as in ``dedup``.
+
+    The rows come back from the content log by their locators, so of repeated rows one stays. A
+    column named __at is not allowed.
+    """
+    spark = docs.sparkSession
     store = shared_dir(spark, "exact")
     land(docs, store, "0")
-    advance(spark, store, digest)
-    return resolve(spark, store, digest)
+    advance(spark, store, docs.schema)
+    found = resolve(spark, store, docs.schema)
+    stay = found.where(F.col("at").eqNullSafe(F.col("keep"))).select("at.file", "at.row")
+    log = _log(spark.read, store, docs.schema)
+    same = (F.col("__at.file") == F.col("file")) & (F.col("__at.row") == F.col("row"))
+    return log.join(stay, same, "left_semi").drop("__at")

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact, packing, pii, quality, simhash, substring, toxicity
-from turnloom.llm.common import arrow_rows, staged, table
+from turnloom.llm import bpe, exact, packing, pii, quality, rollup, simhash, substring, toxicity, warc
+from turnloom.llm.common import arrow_rows, shared_dir, staged, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +96,40 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 500)
+    path = shared_dir(spark, "warc")
+    manifest = warc.write(table(spark, sf_dir, "pages"), path)
+    records = warc.read(manifest, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents enter with an estimate of their tokens, which is then revised to the exact count;
+    the revision is sent twice, as after a lost reply."""
+    arrow_rows(spark)
+    file = "byte_bpe_multi_50k.tiktoken"
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
+    ids = bpe.encode(docs, public_tokenizers.path(file), public_tokenizers.PATTERN)
+    estimate = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).alias("estimate")
+    rows = ids.select("source", "lang", F.lit(file).alias("tokenizer"), estimate, F.size("token_ids").alias("tokens"))
+    rows = staged(rows, "token-counts")
+    totals = rollup.TokenRollup(spark, shared_dir(spark, "rollup"))
+    keys = ("source", "lang", "tokenizer")
+    totals.apply("load", rows.select(F.lit("insert").alias("op"), *keys, F.col("estimate").alias("tokens"), F.lit(0).alias("old_tokens")))
+    revised = rows.select(F.lit("revise").alias("op"), *keys, "tokens", F.col("estimate").alias("old_tokens"))
+    totals.apply("exact", revised)
+    totals.apply("exact", revised)
+    return totals.totals()
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
+    "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
@@ -108,7 +137,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
