@@ -12,7 +12,11 @@ exchanged for them. What no rule proves is packed best-fit, longest first.
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, Window
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CAPACITY = 2048
-#: Texts of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Entries of a worker's cache of encoded parts; it is emptied when full.
+CACHE_WORDS = 600_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies) in the order of the places
 
@@ -147,37 +151,71 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return places
 
 
+#: Texts of these characters only (Latin, Greek, Cyrillic, dashes and quotes), without U+0130,
+#: are split into parts here; the tokenizer's own classes agree on them.
+_PLAIN = re.compile("[^\\x00-\u012f\u0131-\u04ff\u2010-\u2027\u2030-\u205e]")
+
+
+@functools.lru_cache(maxsize=1)
+def _splitter():
+    """The tokenizer file's own pattern, with its white space written out."""
+    import regex
+
+    space = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{space}\p{{L}}\p{{N}}]+")
+
+
 class WordEncoder:
-    """Token ids of texts by a ``tokenizers`` file, with a cache by word.
+    """Token ids of texts by a ``tokenizers`` file, with a cache by part of a text.
 
-    The tokenizer of the file splits at white space and drops it, so the ids of a text are those
-    of its words one after the other; ``whole`` is set for files where that does not hold.
+    The tokenizer of the file composes characters, maps case, splits a text by a pattern, drops
+    the white space and encodes each part by itself. So the ids of a text are those of its parts
+    one after the other. Texts with characters outside the plain ranges, or not composed, are
+    encoded whole. ``whole`` does so with all, for files where none of this holds.
     """
 
     def __init__(self, tokenizer_file: str, whole: bool = False, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        self.parts_only = Tokenizer.from_file(tokenizer_file)  # for parts, which are split and in lower case
+        self.parts_only.normalizer = normalizers.Sequence([])
+        self.parts_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        for x in (self.tokenizer, self.parts_only):
+            x.encode_special_tokens = True
         self.whole, self.most, self.cache = whole, cache_words, {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        import numpy as np
+    def _ids(self, tokenizer, parts: list[str]) -> list[bytes]:
+        made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in made]
 
-        def ids(parts):
-            made = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            return [np.array(x.ids, "<u4").tobytes() for x in made]
+    @staticmethod
+    def parts(text: str) -> list[str] | None:
+        """The parts of a plain text in lower case, each character by itself; None for others."""
+        if _PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
+            return None
+        low = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
+        return _splitter().findall(low)
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if self.whole:
-            return ids(texts)
+            return self._ids(self.tokenizer, texts)
         if len(self.cache) > self.most:
             self.cache.clear()
-        words = [text.encode().split() for text in texts]
-        new = list({w for own in words for w in own if w not in self.cache})
-        self.cache.update(zip(new, ids([w.decode() for w in new]), strict=True))
         cache = self.cache
-        return [b"".join([cache[w] for w in own]) for own in words]
+        parts = [self.parts(text) for text in texts]
+        new = [x for x in set().union(*(own for own in parts if own)) if x not in cache]
+        cache.update(zip(new, self._ids(self.parts_only, new), strict=True))
+        others = self._ids(self.tokenizer, [t for t, own in zip(texts, parts, strict=True) if own is None])
+        rest = iter(others)
+        return [next(rest) if own is None else b"".join([cache[x] for x in own]) for own in parts]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(tokenizer_file: str, whole: bool) -> WordEncoder:
+    """Kept for the life of a Python worker, so its cache serves the tasks that follow."""
+    return WordEncoder(tokenizer_file, whole)
 
 
 def pieces(
@@ -200,7 +238,7 @@ def pieces(
         import numpy as np
         import pyarrow as pa
 
-        encoder = WordEncoder(tokenizer_file, whole)
+        encoder = _encoder(tokenizer_file, whole)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             made = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
