@@ -1,16 +1,16 @@
 """Substring dedup over a log-structured fingerprint index.
 
 The unit is a window of 13 words. The index doesn't hold all windows: of every window it holds
-the least hash of the 5-word windows inside it, about one for every five words. Equal windows
+the least hash of the 7-word windows inside it, about one for every four words. Equal windows
 have equal least hashes, so a window that occurs in two documents always shows up as a shared
 fingerprint. Each batch of documents becomes an immutable run, hash-bucketed and sorted by
 fingerprint. A new run is merge-joined with the runs before it, bucket by bucket and without a
 shuffle; when there are more than FANOUT runs they are compacted into one.
 
-Shared fingerprints only nominate windows. Nominated windows are matched by a hash of all their
-words, runs of matches become claims "these words stand there too", and every distinct claim is
-verified against the words of the earlier document. If a claim is false (two window hashes
-collided), the windows it covers are matched again by the words themselves.
+Shared fingerprints only nominate windows. Nominated windows are matched by hashes of all their
+words, in stretches first, runs of matches become claims "these words stand there too", and every
+distinct claim is verified against the words of the earlier document. If a claim is false (two
+hashes collided), the windows it covers are matched again by the words themselves.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import shared_dir, staged
 
 WINDOW = 13
-GRAM = 5
+GRAM = 7
 #: Runs that an index holds before they are compacted.
 FANOUT = 2
 CACHE_WORDS = 500_000
@@ -135,12 +135,12 @@ class FingerprintIndex:
         name = self._write(made)
         new = self.spark.table(name)
         several = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        hits = [new.join(several.hint("merge"), "fp", "left_semi")]
-        fresh = new.select("fp").distinct()
-        for run in self.runs:
+        rest, hits = new.join(several.hint("merge"), "fp", "left_anti"), [new.join(several.hint("merge"), "fp", "left_semi")]
+        for run in self.runs:  # each row of the batch is nominated once
             old = self.spark.table(run)
-            hits.append(new.join(old.select("fp").hint("merge"), "fp", "left_semi"))
-            hits.append(old.join(fresh.hint("merge"), "fp", "left_semi"))
+            hits.append(rest.join(old.select("fp").hint("merge"), "fp", "left_semi"))
+            hits.append(old.join(new.select("fp").hint("merge"), "fp", "left_semi"))
+            rest = rest.join(old.select("fp").hint("merge"), "fp", "left_anti")
         shared = reduce(DataFrame.unionByName, hits).select("doc_id", "fp")
         shared = staged(shared, "shared", f"{self.path}/shared-{len(self.runs)}-{name}")
         self.runs.append(name)
@@ -185,118 +185,185 @@ def _copies(docs: DataFrame) -> DataFrame:
     return docs.join(numbers, same, "left").select("doc_id", F.coalesce("copy", F.lit(0)).alias("copy"), "text")
 
 
+def _packed(batches):
+    """Texts as compressed words joined by one blank: what is shuffled to meet the hits."""
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [pack.compress(b" ".join((x or "").encode().split())) for x in batch.column("text").to_pylist()]
+        yield _batch([batch.column("doc_id"), batch.column("copy"), pa.array(texts, pa.binary())], ["doc_id", "copy", "z"])
+
+
 def _prepare(batches):
-    """Counts and digest of each text; only a text with nominated windows is carried on."""
+    """Counts and digest of each text; only a text with shared fingerprints is carried on."""
     import hashlib
 
     import pyarrow as pa
+    import zstandard
 
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        texts = [(x or "").encode().split() for x in batch.column("text").to_pylist()]
+        texts = [unpack.decompress(z) for z in batch.column("z").to_pylist()]
         none = batch.column("fps").is_null().to_pylist()
-        digests = [hashlib.sha256(b" ".join(w)).hexdigest() if no else None for w, no in zip(texts, none, strict=True)]
-        kept = [None if no else b" ".join(w).decode() for w, no in zip(texts, none, strict=True)]
+        digests = [hashlib.sha256(x).hexdigest() if no else None for x, no in zip(texts, none, strict=True)]
         yield _batch(
             [
                 batch.column("doc_id"),
                 batch.column("copy"),
-                pa.array([len(w) for w in texts], pa.int64()),
+                pa.array([x.count(b" ") + 1 if x else 0 for x in texts], pa.int64()),
                 pa.array(digests, pa.string()),
-                pa.array(kept, pa.string()),
+                pa.array([None if no else x.decode() for x, no in zip(texts, none, strict=True)], pa.string()),
                 batch.column("fps"),
             ],
             ["doc_id", "copy", "n_words", "sha", "text", "fps"],
         )
 
 
-def _nominated(bits: int):
+def _nominated(bits: int, spans: bool):
+    """Rows (h, doc_id, copy, pos, n) of the nominated windows of each text.
+
+    With ``spans``, one row for each stretch of n windows that have the same least hash; stretches
+    begin and end by their own words, so equal passages have equal stretches. Without, one row
+    for each window, of the stretches that ``at`` lists if there is such a column.
+    """
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
         hasher = Hasher(bits)
         for batch in batches:
-            out: list[list] = [[np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0, "i4")], [np.zeros(0, "i4")]]
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), batch.column("fps"), strict=True)
-            for doc_id, copy, text, fps in rows:
-                hashes = hasher.words(text.encode().split())
-                shared = np.sort(fps.values.to_numpy(zero_copy_only=False).astype("i8").view("u8"))
-                anchors = hasher.anchors(hashes)
-                at = np.searchsorted(shared, anchors)
-                at[at == len(shared)] = 0
-                pos = np.flatnonzero(shared[at] == anchors)
-                out[0].append(hasher.windows(hashes, WINDOW)[pos].view("i8"))
-                out[1].append(np.full(len(pos), doc_id, "i8"))
-                out[2].append(np.full(len(pos), copy, "i4"))
-                out[3].append(pos.astype("i4"))
-            yield _batch([pa.array(np.concatenate(x)) for x in out], ["w", "doc_id", "copy", "pos"])
+            out: list[list] = [[np.zeros(0, k)] for k in ("i8", "i8", "i4", "i4", "i4")]
+            listed = "at" in batch.schema.names
+            marks = batch.column("at" if listed else "fps")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), marks, strict=True)
+            for doc_id, copy, text, mark in rows:
+                hashes = hasher.words(text.encode().split(b" "))
+                windows = hasher.windows(hashes, WINDOW)
+                if listed:
+                    first = mark.values.field("pos").to_numpy(zero_copy_only=False)
+                    size = mark.values.field("n").to_numpy(zero_copy_only=False)
+                    pos = np.unique(np.concatenate([np.arange(p, p + k) for p, k in zip(first, size, strict=True)]))
+                    h, n = windows[pos], np.ones(len(pos), "i4")
+                else:
+                    shared = np.sort(mark.values.to_numpy(zero_copy_only=False).astype("i8").view("u8"))
+                    anchors = hasher.anchors(hashes)
+                    at = np.searchsorted(shared, anchors)
+                    at[at == len(shared)] = 0
+                    hit = shared[at] == anchors
+                    if spans:
+                        edge = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
+                        n = np.diff(np.append(edge, len(anchors))).astype("i4")
+                        pos, n = edge[hit[edge]], n[hit[edge]]
+                        parts = (windows[p : p + k].tobytes() for p, k in zip(pos.tolist(), n.tolist(), strict=True))
+                        h = np.fromiter((xxh3_64_intdigest(x) for x in parts), "u8", len(pos)) >> np.uint64(64 - bits)
+                    else:
+                        pos = np.flatnonzero(hit)
+                        h, n = windows[pos], np.ones(len(pos), "i4")
+                own = (h.view("i8"), np.full(len(pos), doc_id, "i8"), np.full(len(pos), copy, "i4"), pos.astype("i4"), n)
+                for column, values in zip(out, own, strict=True):
+                    column.append(values)
+            yield _batch([pa.array(np.concatenate(x)) for x in out], ["h", "doc_id", "copy", "pos", "n"])
 
     return run
 
 
-CLAIMS = "array<struct<sdoc: long, scopy: int, spos: int, len: int, words: string>>"
+ROWS = "h long, doc_id long, copy int, pos int, n int"
+CLAIM = "sdoc: bigint, scopy: int, spos: int, len: int, words: string"
 
 
 def _finish(batches):
-    """Remove covered words; consecutive matches with one source become claims."""
+    """Remove covered words; consecutive matches with one source become claims.
+
+    ``gone`` has stretches of matched windows and their sources, ``bad`` the spans whose claims
+    proved false, and ``extra`` the matches that replace them.
+    """
     import hashlib
 
     import numpy as np
     import pyarrow as pa
 
     claim = pa.struct(
-        [("sdoc", pa.int64()), ("scopy", pa.int32()), ("spos", pa.int32()), ("len", pa.int32()), ("words", pa.string())]
+        [("sdoc", pa.int64()), ("scopy", pa.int32()), ("spos", pa.int32()), ("len", pa.int32()), ("words", pa.string()), ("pos", pa.int32())]
     )
+
+    def stretched(listed):
+        """pos, sdoc, scopy, spos of every single window."""
+        if not listed.is_valid:
+            return [np.zeros(0, "i8")] * 4
+        pos, n, sdoc, scopy, spos = (
+            listed.values.field(x).to_numpy(zero_copy_only=False).astype("i8") for x in ("pos", "n", "sdoc", "scopy", "spos")
+        )
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return [np.repeat(pos, n) + step, np.repeat(sdoc, n), np.repeat(scopy, n), np.repeat(spos, n) + step]
+
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        rows = zip(*(batch.column(c).to_pylist() for c in ("n_words", "sha", "text")), batch.column("gone"), strict=True)
-        for n, sha, text, gone in rows:
+        lists = (batch.column(c) for c in ("gone", "bad", "extra"))
+        rows = zip(*(batch.column(c).to_pylist() for c in ("n_words", "sha", "text")), *lists, strict=True)
+        for n, sha, text, gone, bad, extra in rows:
             claims: list[dict] = []
             removed = 0
             if text is not None:
                 words = np.array(text.split(" "), dtype=object)
-                keep = np.ones(n, bool)
-                if gone.is_valid:
-                    fields = [gone.values.field(x).to_numpy(zero_copy_only=False) for x in ("pos", "sdoc", "scopy", "spos")]
-                    order = np.argsort(fields[0], kind="stable")
-                    pos, sdoc, scopy, spos = (x[order] for x in fields)
-                    edges = np.zeros(n + 1, "i8")
-                    np.add.at(edges, pos, 1)
-                    np.add.at(edges, pos + WINDOW, -1)
-                    keep = np.cumsum(edges)[:n] == 0
-                    removed = n - int(keep.sum())
-                    same = (np.diff(pos) == 1) & (np.diff(sdoc) == 0) & (np.diff(scopy) == 0) & (np.diff(spos) == 1)
-                    starts = np.flatnonzero(np.concatenate(([True], ~same)))
-                    ends = np.append(starts[1:], len(pos))
-                    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-                        length = e - s - 1 + WINDOW
-                        here = int(pos[s])
-                        claims.append(
-                            {
-                                "sdoc": int(sdoc[s]),
-                                "scopy": int(scopy[s]),
-                                "spos": int(spos[s]),
-                                "len": length,
-                                "words": " ".join(words[here : here + length]),
-                            }
-                        )
+                found = stretched(gone)
+                for span in (bad.as_py() or []) if bad.is_valid else []:
+                    ok = (found[0] < span["pos"]) | (found[0] > span["pos"] + span["len"] - WINDOW)
+                    found = [x[ok] for x in found]
+                found = [np.concatenate(x) for x in zip(found, stretched(extra), strict=True)]
+                _, once = np.unique(found[0], return_index=True)
+                pos, sdoc, scopy, spos = (x[once] for x in found)
+                edges = np.zeros(n + 1, "i8")
+                edges[pos] += 1
+                edges[pos + WINDOW] -= 1
+                keep = np.cumsum(edges)[:n] == 0
+                removed = n - int(keep.sum())
+                same = (np.diff(pos) == 1) & (np.diff(sdoc) == 0) & (np.diff(scopy) == 0) & (np.diff(spos) == 1)
+                starts = np.flatnonzero(np.concatenate(([True], ~same)))[: len(pos)]
+                for s, e in zip(starts.tolist(), np.append(starts[1:], len(pos)).tolist(), strict=False):
+                    length, here = e - s - 1 + WINDOW, int(pos[s])
+                    claims.append(
+                        {
+                            "sdoc": int(sdoc[s]),
+                            "scopy": int(scopy[s]),
+                            "spos": int(spos[s]),
+                            "len": length,
+                            "words": " ".join(words[here : here + length]),
+                            "pos": here,
+                        }
+                    )
                 sha = hashlib.sha256(" ".join(words[keep]).encode()).hexdigest()
             for column, value in zip(out, (n, removed, sha, claims), strict=True):
                 column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(claim))
         yield _batch(
-            [
-                batch.column("doc_id"),
-                pa.array(out[0], pa.int64()),
-                pa.array(out[1], pa.int64()),
-                pa.array(out[2], pa.string()),
-                pa.array(out[3], pa.list_(claim)),
-            ],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "claims"],
+            [batch.column("doc_id"), batch.column("copy"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))],
+            ["doc_id", "copy", "n_words", "n_removed", "kept_sha256", "claims"],
         )
 
 
-def _false_windows(bits: int):
-    """Hashes of the windows of the claims that the words of the source don't bear out."""
+def _false(batches):
+    """The claims that the words of the source don't bear out."""
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    for batch in batches:
+        bad: list[list] = [[], [], [], [], []]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text", "claims")), strict=True)
+        for doc_id, copy, text, claims in rows:
+            words = text.split(" ")
+            for c in claims:
+                if " ".join(words[c["spos"] : c["spos"] + c["len"]]) != c["words"]:
+                    for column, value in zip(bad, (doc_id, copy, c["spos"], c["len"], c["words"]), strict=True):
+                        column.append(value)
+        yield _batch([pa.array(x, k) for x, k in zip(bad, kinds, strict=True)], ["sdoc", "scopy", "spos", "len", "words"])
+
+
+def _hashes_of(bits: int):
+    """The window hashes of the claims."""
 
     def run(batches):
         import numpy as np
@@ -304,13 +371,10 @@ def _false_windows(bits: int):
 
         hasher = Hasher(bits)
         for batch in batches:
-            bad = [np.zeros(0, "u8")]
-            for text, claims in zip(batch.column("text").to_pylist(), batch.column("claims").to_pylist(), strict=True):
-                words = text.split(" ")
-                for c in claims:
-                    if " ".join(words[c["spos"] : c["spos"] + c["len"]]) != c["words"]:
-                        bad.append(hasher.windows(hasher.words(c["words"].encode().split(b" ")), WINDOW))
-            yield _batch([pa.array(np.unique(np.concatenate(bad)).view("i8"))], ["w"])
+            made = [np.zeros(0, "u8")]
+            for words in batch.column("words").to_pylist():
+                made.append(hasher.windows(hasher.words(words.encode().split(b" ")), WINDOW))
+            yield _batch([pa.array(np.unique(np.concatenate(made)).view("i8"))], ["h"])
 
     return run
 
@@ -322,25 +386,32 @@ def _with_words(batches):
     for batch in batches:
         rows = zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist(), strict=True)
         words = [" ".join(text.split(" ")[pos : pos + WINDOW]) for text, pos in rows]
-        yield _batch(
-            [*(batch.column(c) for c in ("w", "doc_id", "copy", "pos")), pa.array(words, pa.string())],
-            ["w", "doc_id", "copy", "pos", "words"],
-        )
+        names = ["h", "doc_id", "copy", "pos", "n"]
+        yield _batch([*(batch.column(c) for c in names), pa.array(words, pa.string())], [*names, "words"])
 
 
-def _matched(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Windows that start in a document of smaller doc_id too, with their first such place."""
+def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` that occur in several documents, each with ``src``, its first occurrence. Tasks add
+    up their own rows before the shuffle, so one that all documents share costs a row from each."""
     place = F.struct("doc_id", "copy", "pos")
-    first = windows.groupBy(*by).agg(F.min(place).alias("src"), F.max("doc_id").alias("last"))
-    first = first.where("src.doc_id < last").drop("last")
-    found = windows.join(first, by).where("doc_id > src.doc_id")
-    return found.select(
-        *KEY,
-        "w",
-        F.struct(
-            "pos", F.col("src.doc_id").alias("sdoc"), F.col("src.copy").alias("scopy"), F.col("src.pos").alias("spos")
-        ).alias("gone"),
-    )
+    first = rows.groupBy(*by).agg(F.min(place).alias("src"), F.max("doc_id").alias("last"))
+    return first.select(*by, "src", "last")
+
+
+def _later(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows that also stand in a document of smaller doc_id: doc_id, copy, gone."""
+    first = _firsts(rows, by).where("src.doc_id < last").drop("last")
+    return rows.join(first, by).where("doc_id > src.doc_id").select(*KEY, _gone())
+
+
+def _gone():
+    src = (F.col("src.doc_id").alias("sdoc"), F.col("src.copy").alias("scopy"), F.col("src.pos").alias("spos"))
+    return F.struct("pos", "n", *src).alias("gone")
+
+
+def _lists(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """One list for each document: a document's own matches, as many as its words at most."""
+    return rows.groupBy(*KEY).agg(F.collect_list(column).alias(name))
 
 
 def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits: int = 64) -> DataFrame:
@@ -364,38 +435,57 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
         shared.append(index.add(part))
     index.close()  # a standing index would stay open for the batches to come
     hits = reduce(DataFrame.unionByName, shared).groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    prepared = docs.join(hits, "doc_id", "left").mapInArrow(
+    packed = docs.mapInArrow(_packed, "doc_id long, copy int, z binary")
+    prepared = packed.join(hits, "doc_id", "left").mapInArrow(
         _prepare, "doc_id long, copy int, n_words long, sha string, text string, fps array<long>"
     )
     name = f"texts_{uuid.uuid4().hex}"
     writer = prepared.write.bucketBy(index.buckets, "doc_id").sortBy("doc_id")
     writer.option("path", f"{base}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-
     nominated = texts.where("fps is not null").select("doc_id", "copy", "text", "fps")
-    windows = nominated.mapInArrow(_nominated(bits), "w long, doc_id long, copy int, pos int")
 
-    def finished(matches: DataFrame, label: str) -> DataFrame:
-        gone = matches.groupBy(*KEY).agg(F.collect_list("gone").alias("gone"))
-        rows = texts.join(gone, list(KEY), "left").select("doc_id", "n_words", "sha", "text", "gone")
-        made = rows.mapInArrow(
-            _finish, f"doc_id long, n_words long, n_removed long, kept_sha256 string, claims {CLAIMS}"
+    # Stretches first: a stretch that an earlier document has too is settled as a whole, and only
+    # those that no earlier document has are looked at window by window.
+    stretches = nominated.mapInArrow(_nominated(bits, True), ROWS)
+    placed = stretches.join(_firsts(stretches, ["h"]), "h")
+    placed = staged(
+        placed.select(*KEY, F.col("src.doc_id").alias("first"), _gone()), "stretches", f"{base}/stretches"
+    )
+    whole = placed.where("doc_id > first").select(*KEY, "gone")
+    left = _lists(placed.where("doc_id = first").select(*KEY, F.struct("gone.pos", "gone.n").alias("at")), "at", "at")
+    single = texts.select("doc_id", "copy", "text").join(left, list(KEY)).mapInArrow(_nominated(bits, False), ROWS)
+    matches = whole.unionByName(_later(single, ["h"]))
+    matches = staged(_lists(matches, "gone", "gone"), "gone", f"{base}/gone")
+
+    def finished(gone: DataFrame, bad: DataFrame | None, extra: DataFrame | None, label: str) -> DataFrame:
+        none = F.lit(None).cast("array<struct<pos: int, n: int, sdoc: bigint, scopy: int, spos: int>>")
+        rows = texts.join(gone, list(KEY), "left")
+        rows = rows.join(bad, list(KEY)) if bad else rows.withColumn("bad", F.lit(None).cast("array<struct<pos: int, len: int>>"))
+        rows = rows.join(extra, list(KEY), "left") if extra else rows.withColumn("extra", none)
+        made = rows.select("doc_id", "copy", "n_words", "sha", "text", "gone", "bad", "extra").mapInArrow(
+            _finish,
+            f"doc_id long, copy int, n_words long, n_removed long, kept_sha256 string, claims array<struct<{CLAIM}, pos: int>>",
         )
         return staged(made, "finished", f"{base}/{label}")
 
-    matches = _matched(windows, ["w"])
-    result = finished(matches, "by-hash")
-    claims = result.select(F.explode("claims").alias("c")).select("c.*").distinct()
-    claims = claims.groupBy(F.col("sdoc").alias("doc_id"), F.col("scopy").alias("copy")).agg(
-        F.collect_list(F.struct("spos", "len", "words")).alias("claims")
-    )
-    checked = texts.select("doc_id", "copy", "text").join(claims, list(KEY)).select("text", "claims")
-    false = staged(checked.mapInArrow(_false_windows(bits), "w long").distinct(), "false", f"{base}/false")
+    result = finished(matches, None, None, "by-hash")
+    fields = ["sdoc", "scopy", "spos", "len", "words"]
+    made = result.select("doc_id", "copy", F.explode("claims").alias("c"))
+    claims = made.select("c.*").select(*fields).distinct().groupBy(F.col("sdoc").alias("doc_id"), F.col("scopy").alias("copy"))
+    claims = claims.agg(F.collect_list(F.struct("spos", "len", "words")).alias("claims"))
+    checked = texts.select("doc_id", "copy", "text").join(claims, list(KEY))
+    false = staged(checked.mapInArrow(_false, CLAIM.replace(":", "")), "false", f"{base}/false")
     if not false.isEmpty():
-        doubtful = windows.join(false, "w", "left_semi")
+        bad = made.select(*KEY, "c.*").join(false, fields)
+        spans = _lists(bad.select(*KEY, F.struct("pos", "len").alias("bad")), "bad", "bad")
+        doubtful = nominated.mapInArrow(_nominated(bits, False), ROWS).join(
+            false.mapInArrow(_hashes_of(bits), "h long").distinct(), "h", "left_semi"
+        )
         worded = doubtful.join(texts.select("doc_id", "copy", "text"), list(KEY)).mapInArrow(
-            _with_words, "w long, doc_id long, copy int, pos int, words string"
+            _with_words, f"{ROWS}, words string"
         )
-        sure = matches.join(false, "w", "left_anti")
-        result = finished(sure.unionByName(_matched(worded, ["w", "words"])), "by-words")
+        extra = _lists(_later(worded, ["h", "words"]).withColumnRenamed("gone", "extra"), "extra", "extra")
+        again = finished(matches, staged(spans, "spans", f"{base}/spans"), extra, "by-words")
+        result = result.join(again.select(*KEY), list(KEY), "left_anti").unionByName(again)
     return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
