@@ -1,0 +1,285 @@
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from turnloom.llm import bpe, packing, pii, quality, rollup, toxicity, warc
+from turnloom.llm.common import shared_dir, staged
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+# --- BPE ---------------------------------------------------------------------------------
+
+
+def test_bpe_round_trip_and_ids(docs, odd, empty):
+    enc = bpe.encoding(RANKS, PATTERN)
+    for df in (docs, odd):
+        rows = bpe.decode(bpe.encode(df, RANKS, PATTERN, piece_chars=50), RANKS, PATTERN).collect()
+        assert len(rows) == df.count()
+        for r in rows:
+            assert r.token_ids == enc.encode_ordinary(r.text or "")
+            assert bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.encode(empty, RANKS, PATTERN).count() == 0
+
+
+def test_bpe_cut_ids_decode_to_raw_bytes(spark):
+    ids = bpe.encoding(RANKS, PATTERN).encode_ordinary("漢")
+    df = spark.createDataFrame([(ids[:1],), (None,)], "token_ids array<int>")
+    raw = [bytes(r.decoded) for r in bpe.decode(df, RANKS, PATTERN).collect()]
+    assert "漢".encode().startswith(raw[0]) or raw[0] == "漢".encode()
+    assert raw[1] == b""
+
+
+# --- quality -----------------------------------------------------------------------------
+
+
+def brute_repeats(words):
+    seen = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = set()
+    for i in range(len(words) - 7):
+        if seen[tuple(words[i : i + 8])] > 1:
+            hit |= set(range(i, i + 8))
+    return len(hit)
+
+
+def test_quality_counts(docs, odd, empty):
+    for df in (docs, odd):
+        for r in quality.assessed(df).collect():
+            text, q = r.text or "", r.quality
+            words = text.encode().split()
+            lines = [x for x in text.split("\n") if x.encode().split()]
+            assert q.n_words == len(words)
+            assert q.word_chars == sum(len(w.decode()) for w in words)
+            assert q.n_symbols == len(re.findall(r"[#*$%&|<>]", text))
+            assert q.n_dup_lines == len(lines) - len(set(lines))
+            assert q.n_repeat_words == brute_repeats(words)
+            assert q.base_failed == (len(words) < 20 or 100 * q.n_repeat_words > 30 * len(words))
+            assert not (q.base_failed and q.kept)
+            assert q.kept == (not q.base_failed and q.n_words_removed <= 0.5 * len(words))
+    assert quality.assessed(empty).count() == 0
+
+
+def test_lines_are_judged_one_by_one():
+    good = "A plain sentence of more than ten words, which nobody would take out here.\n" "Another one follows it, with words enough to be well over the limit of twenty."
+    q = dict(zip(quality.QUALITY.names, quality.assess(good + "\nHome | News | About | Log in\nAll rights reserved."), strict=True))
+    assert q["cleaned"] == good and q["kept"] and q["n_lines_removed"] == 2
+    assert quality.assess(good)[-1] == good
+
+
+def test_quality_keeps_clean_labelled_documents(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    made = quality.assessed(docs, out="q").select("doc_id", "q.kept", "q.n_words")
+    rows = made.join(labels.withColumnRenamed("quality", "good"), "doc_id").collect()
+    clean = [r.kept for r in rows if r.good == 1 and r.n_words >= 20]
+    assert sum(clean) >= 0.9 * len(clean)
+
+
+# --- packing -----------------------------------------------------------------------------
+
+
+def expected_pieces(rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = True
+    out = Counter()
+    for i, text in rows:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            out[(i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()))] += 1
+    return out
+
+
+def test_packing_pieces_and_places(docs, odd, empty):
+    for df in (docs, odd):
+        made = staged(packing.pieces(df, WORDS), "pieces")
+        want = expected_pieces([(r.doc_id, r.text) for r in df.collect()])
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in made.collect()) == want
+        places = {}
+        for r in packing.pack(made).collect():
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        total = 0
+        for own in places.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 2048
+            total += at
+        assert sum(map(len, places.values())) == sum(want.values())
+        assert len(places) <= -(-total // 2048) * 1.05 + 1
+    made = packing.pieces(empty, WORDS)
+    assert packing.pack(made).count() == 0
+
+
+def test_dominance_and_best_fit_are_optimal_on_small_cases():
+    import random
+    from functools import lru_cache
+
+    random.seed(7)
+    for _ in range(150):
+        items = sorted((random.randint(1, 12) for _ in range(random.randint(1, 8))), reverse=True)
+
+        def fewest(sizes):
+            @lru_cache(None)
+            def best(k, rooms):
+                if k == len(sizes):
+                    return len(rooms)
+                tries = [best(k + 1, tuple(sorted((*rooms, 12 - sizes[k]))))]
+                for i, room in enumerate(rooms):
+                    if room >= sizes[k]:
+                        tries.append(best(k + 1, tuple(sorted((*rooms[:i], room - sizes[k], *rooms[i + 1 :])))))
+                return min(tries)
+
+            return best(0, ())
+
+        counts = [0] * 13
+        for x in items:
+            counts[x] += 1
+        fixed = packing.reduce(counts, 12)
+        left = [k for k, n in enumerate(counts) for _ in range(n)]
+        n_fixed = sum(n for _, n in fixed)
+        assert n_fixed + fewest(sorted(left, reverse=True)) == fewest(items)  # what was fixed never costs a sequence
+
+
+# --- PII ---------------------------------------------------------------------------------
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        v = int(d) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def test_pii_formats_links_and_validation(spark):
+    text = "mail jo.smith42@mail9.example.com card 4111111111111111 bad 4111111111111112 ip 10.20.30.40 no 999.1.1.1 tel +1 (042) 555-7845 day 2024-02-29 not 2023-02-30 key 9233A8ECF7C5B09FE5949719B6B82BC439E9329B end"
+    df = spark.createDataFrame([(1, text), (2, text + " 4111-1111-1111-1111"), (3, None), (4, ""), (5, "no data, but 12 and @")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymised(df, "k").collect()}
+    made = rows[1].text
+    assert rows[1].n_pii == 6 and rows[2].n_pii == 7
+    assert rows[2].text.startswith(made)  # equal values stay linked
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
+    for find in (r"mail (\S+)", r"card (\S+)", r"tel (.+) day", r"day (\S+)"):
+        new, old = re.search(find, made)[1], re.search(find, text)[1]
+        assert shape(new) == shape(old) and new != old
+    assert luhn(re.search(r"card (\d+)", made)[1])
+    assert all(int(x) < 256 for x in re.search(r"ip (\S+)", made)[1].split("."))
+    assert "4111111111111112" in made and "999.1.1.1" in made and "2023-02-30" in made
+    assert rows[3].text is None and rows[3].n_pii == 0 and rows[4].text == "" and rows[5].n_pii == 0
+    other = pii.pseudonymised(df, "k2").where("doc_id = 1").first().text
+    assert other != made
+
+
+def test_feistel_is_a_permutation(spark):
+    rows = spark.range(1000).select(pii.permuted_digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("x"))
+    assert len({r.x for r in rows.collect()}) == 1000
+    days = spark.range(0, 146097, 7).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
+    made = [r.x for r in days.select(pii.date("k", F.col("d")).alias("x")).collect()]
+    assert len(set(made)) == len(made)
+
+
+def test_pii_changes_nothing_else(docs, odd, empty):
+    for df in (docs, odd):
+        rows = pii.pseudonymised(df, "k").select("text", "n_pii").collect()
+        assert len(rows) == df.count()
+    for r in pii.pseudonymised(docs, "k").join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").collect():
+        assert len(r.text) == len(r.old) or "." in r.old
+        assert (r.text == r.old) == (r.n_pii == 0)
+    assert pii.pseudonymised(empty, "k").count() == 0
+
+
+# --- toxicity ----------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.scored(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    hit = [(r.score >= 0.3, r.toxic == 1) for r in rows]
+    assert sum(a and b for a, b in hit) >= 0.85 * sum(b for _, b in hit)
+    assert sum(a and b for a, b in hit) >= 0.85 * sum(a for a, _ in hit)
+
+
+def test_toxicity_odd_rows(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 1), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    rows = toxicity.scored(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.scored(empty, toxicity.fit(empty, labels)).count() == 0
+
+
+# --- token rollups -----------------------------------------------------------------------
+
+
+def test_rollup_is_additive_and_idempotent(spark):
+    totals = rollup.TokenRollup(spark, shared_dir(spark, "rollup"))
+    schema = "op string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    assert totals.apply("1", batch(("insert", "a", "en", "t", 5, None), ("insert", "a", "en", "t", 7, None), ("insert", None, None, "t", None, None)))
+    assert totals.apply("2", batch(("revise", "a", "en", "t", 9, 7), ("delete", None, None, "t", 0, None), ("insert", "b", "de", "t", 3, 0)))
+    assert not totals.apply("2", batch(("insert", "a", "en", "t", 100, None)))
+    assert totals.apply("3", batch())
+    got = {tuple(r) for r in totals.totals().collect()}
+    assert got == {("a", "en", "t", 2, 14), ("b", "de", "t", 1, 3)}
+    with pytest.raises(Exception, match="unknown op"):
+        totals.apply("4", batch(("upsert", "a", "en", "t", 1, 0)))
+    assert {tuple(r) for r in totals.totals().collect()} == got
+
+
+def test_registered_rollup_equals_direct_counts(spark, sf):
+    from turnloom.llm.queries import op6_token_counts
+
+    enc = bpe.encoding(RANKS, PATTERN)
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want[(r.source, r.lang)] += len(enc.encode_ordinary(r.text or ""))
+    assert {(r.source, r.lang): r.n_tokens for r in op6_token_counts(spark, sf).collect()} == dict(want)
+
+
+# --- WARC --------------------------------------------------------------------------------
+
+
+def test_warc_round_trip(spark, sf):
+    import base64
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    more = spark.createDataFrame(
+        [(9001, "http://a b/\r\n", "same"), (9002, None, "same"), (9003, None, None), (9004, "u", ""), (None, "u", "same"), (9002, None, "same")],
+        "page_id long, url string, html string",
+    )
+    for df in (pages.unionByName(more), pages.limit(0)):
+        path = shared_dir(spark, "warc")
+        manifest = warc.write(df, path, roll_bytes=20_000)
+        rows = df.collect()
+        keep = {}
+        for r in rows:
+            payload = (r.html or "").encode()
+            keep[payload] = max(keep.get(payload, -1), -1 if r.page_id is None else r.page_id)
+        want = Counter()
+        for r in rows:
+            payload = (r.html or "").encode()
+            again = r.page_id != keep[payload]
+            digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            want[(r.page_id, len(payload), digest, "revisit" if again else "response", keep[payload] if again else None)] += 1
+        found = warc.read(manifest, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        assert Counter(map(tuple, found.collect())) == want
+    assert manifest.count() == 0
+
+
+def test_warc_shards_are_the_same_however_rows_are_split(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    made = []
+    for n in (1, 7):
+        manifest = warc.write(pages.repartition(n), shared_dir(spark, "warc"), roll_bytes=20_000)
+        made.append(sorted((r.file, r.n_records, r.sha256) for r in manifest.collect()))
+    assert made[0] == made[1] and len(made[0]) > 1

@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 CAPACITY = 2048
 #: Entries of a worker's cache of encoded parts; it is emptied when full.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
+ENCODE_AT_ONCE = 2_000
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies) in the order of the places
 
@@ -175,19 +176,36 @@ class WordEncoder:
     """
 
     def __init__(self, tokenizer_file: str, whole: bool = False, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        self.file, self.whole, self.most, self.cache = tokenizer_file, whole, cache_words, {}
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.parts_only = Tokenizer.from_file(tokenizer_file)  # for parts, which are split and in lower case
-        self.parts_only.normalizer = normalizers.Sequence([])
-        self.parts_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for x in (self.tokenizer, self.parts_only):
-            x.encode_special_tokens = True
-        self.whole, self.most, self.cache = whole, cache_words, {}
+    def _load(self):
+        from tokenizers import Tokenizer
 
-    def _ids(self, tokenizer, parts: list[str]) -> list[bytes]:
-        made = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in made]
+        made = Tokenizer.from_file(self.file)
+        made.encode_special_tokens = True
+        return made
+
+    @functools.cached_property
+    def tokenizer(self):
+        return self._load()
+
+    @functools.cached_property
+    def parts_only(self):
+        """For parts, which are split and in lower case already."""
+        from tokenizers import normalizers, pre_tokenizers
+
+        made = self._load()
+        made.normalizer = normalizers.Sequence([])
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return made
+
+    @staticmethod
+    def _ids(tokenizer, parts: list[str]) -> list[bytes]:
+        made: list[bytes] = []
+        for at in range(0, len(parts), ENCODE_AT_ONCE):  # the encodings take far more room than the ids
+            found = tokenizer.encode_batch_fast(parts[at : at + ENCODE_AT_ONCE], add_special_tokens=False)
+            made += [array("I", x.ids).tobytes() for x in found]
+        return made
 
     @staticmethod
     def parts(text: str) -> list[str] | None:
@@ -207,8 +225,8 @@ class WordEncoder:
         parts = [self.parts(text) for text in texts]
         new = [x for x in set().union(*(own for own in parts if own)) if x not in cache]
         cache.update(zip(new, self._ids(self.parts_only, new), strict=True))
-        others = self._ids(self.tokenizer, [t for t, own in zip(texts, parts, strict=True) if own is None])
-        rest = iter(others)
+        others = [t for t, own in zip(texts, parts, strict=True) if own is None]
+        rest = iter([self._ids(self.tokenizer, [t])[0] for t in others])
         return [next(rest) if own is None else b"".join([cache[x] for x in own]) for own in parts]
 
 

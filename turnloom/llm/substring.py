@@ -243,6 +243,8 @@ def _nominated(bits: int, spans: bool):
             for doc_id, copy, text, mark in rows:
                 hashes = hasher.words(text.encode().split(b" "))
                 windows = hasher.windows(hashes, WINDOW)
+                if not len(windows):  # a short text of the same doc_id as one with hits
+                    continue
                 if listed:
                     first = mark.values.field("pos").to_numpy(zero_copy_only=False)
                     size = mark.values.field("n").to_numpy(zero_copy_only=False)
