@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CAPACITY = 2048
-#: Entries of a worker's cache of encoded parts; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Entries of a worker's cache of encoded words; it is emptied when full.
+CACHE_WORDS = 200_000
 ENCODE_AT_ONCE = 2_000
+#: Fixed value: what a token that ends a word ends with.
+END_MARK = "</w>"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies) in the order of the places
 
@@ -196,38 +198,72 @@ class WordEncoder:
 
         made = self._load()
         made.normalizer = normalizers.Sequence([])
-        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), bytes_only])
         return made
 
-    @staticmethod
-    def _ids(tokenizer, parts: list[str]) -> list[bytes]:
+    @functools.cached_property
+    def ends(self):
+        """Whether the token of an id ends a word, by the mark that the file gives such tokens."""
+        import numpy as np
+
+        vocabulary = self.parts_only.get_vocab()
+        made = np.zeros(max(vocabulary.values()) + 1, bool)
+        made[[i for token, i in vocabulary.items() if token.endswith(END_MARK)]] = True
+        return made
+
+    def _whole_ids(self, texts: list[str]) -> list[bytes]:
+        made = []
+        for text in texts:  # one at a time: an encoding takes far more room than its ids
+            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            made.append(array("I", found.ids).tobytes())
+        return made
+
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part: many are encoded as one text and told apart by their last tokens."""
+        import numpy as np
+
         made: list[bytes] = []
-        for at in range(0, len(parts), ENCODE_AT_ONCE):  # the encodings take far more room than the ids
-            found = tokenizer.encode_batch_fast(parts[at : at + ENCODE_AT_ONCE], add_special_tokens=False)
-            made += [array("I", x.ids).tobytes() for x in found]
+        for at in range(0, len(parts), ENCODE_AT_ONCE):
+            own = parts[at : at + ENCODE_AT_ONCE]
+            (found,) = self.parts_only.encode_batch_fast(["\n".join(own)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(own):
+                raw = ids.tobytes()
+                made += [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+            else:  # a part whose tokens bear no mark
+                made += self._whole_ids(own)
         return made
 
     @staticmethod
-    def parts(text: str) -> list[str] | None:
-        """The parts of a plain text in lower case, each character by itself; None for others."""
-        if _PLAIN.search(text) or not unicodedata.is_normalized("NFC", text):
-            return None
-        low = "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
-        return _splitter().findall(low)
+    def plain(text: str) -> bool:
+        return not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian unsigned 32-bit ids of each text.
+
+        A plain text is cut at ASCII white space, which no part crosses, and the ids of such a
+        word, which are those of its parts, are kept. Others are encoded whole.
+        """
         if self.whole:
-            return self._ids(self.tokenizer, texts)
+            return self._whole_ids(texts)
         if len(self.cache) > self.most:
             self.cache.clear()
         cache = self.cache
-        parts = [self.parts(text) for text in texts]
-        new = [x for x in set().union(*(own for own in parts if own)) if x not in cache]
-        cache.update(zip(new, self._ids(self.parts_only, new), strict=True))
-        others = [t for t, own in zip(texts, parts, strict=True) if own is None]
-        rest = iter([self._ids(self.tokenizer, [t])[0] for t in others])
-        return [next(rest) if own is None else b"".join([cache[x] for x in own]) for own in parts]
+        words = [_lower(text).encode().split() if self.plain(text) else None for text in texts]
+        new = [x for x in set().union(*(own for own in words if own)) if x not in cache]
+        split = [_splitter().findall(x.decode()) for x in new]
+        parts = list(set().union(*split))
+        ids = dict(zip(parts, self._part_ids(parts), strict=True))
+        cache.update((x, b"".join([ids[p] for p in own])) for x, own in zip(new, split, strict=True))
+        rest = iter(self._whole_ids([t for t, own in zip(texts, words, strict=True) if own is None]))
+        return [next(rest) if own is None else b"".join([cache[x] for x in own]) for own in words]
+
+
+def _lower(text: str) -> str:
+    """Each character in lower case by itself, as the tokenizer does it: no final sigma."""
+    return "".join(map(str.lower, text)) if "\u03a3" in text else text.lower()
 
 
 @functools.lru_cache(maxsize=2)
