@@ -27,29 +27,32 @@ WINDOW = 13
 GRAM = 7
 #: Runs that an index holds before they are compacted.
 FANOUT = 2
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 KEY = ("doc_id", "copy")
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh3_64_intdigest
+
+        made = self[word] = xxh3_64_intdigest(word)
+        return made
+
+
 class Hasher:
     """Hashes of words and of windows of words; ``bits`` below 64 weakens them, for tests."""
 
     def __init__(self, bits: int = 64):
-        self.cache: dict[bytes, int] = {}
+        self.cache = _WordHashes()
         self.bits = bits
 
     def words(self, words: list[bytes]):
         import numpy as np
-        from xxhash import xxh3_64_intdigest
 
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        cache = self.cache
-        for word in set(words):
-            if word not in cache:
-                cache[word] = xxh3_64_intdigest(word)
-        return np.fromiter((cache[w] for w in words), "u8", len(words))
+        return np.fromiter(map(self.cache.__getitem__, words), "u8", len(words))
 
     def windows(self, hashes, size: int):
         """One hash for each window of ``size`` words."""
@@ -246,8 +249,11 @@ def _nominated(bits: int, spans: bool):
                 if not len(windows):  # a short text of the same doc_id as one with hits
                     continue
                 if listed:
-                    first = mark.values.field("pos").to_numpy(zero_copy_only=False)
-                    size = mark.values.field("n").to_numpy(zero_copy_only=False)
+                    mine = mark.values.field("copy").to_numpy(zero_copy_only=False) == copy
+                    if not mine.any():
+                        continue
+                    first = mark.values.field("pos").to_numpy(zero_copy_only=False)[mine]
+                    size = mark.values.field("n").to_numpy(zero_copy_only=False)[mine]
                     pos = np.unique(np.concatenate([np.arange(p, p + k) for p, k in zip(first, size, strict=True)]))
                     h, n = windows[pos], np.ones(len(pos), "i4")
                 else:
@@ -292,12 +298,13 @@ def _finish(batches):
         [("sdoc", pa.int64()), ("scopy", pa.int32()), ("spos", pa.int32()), ("len", pa.int32()), ("words", pa.string()), ("pos", pa.int32())]
     )
 
-    def stretched(listed):
-        """pos, sdoc, scopy, spos of every single window."""
+    def stretched(listed, copy):
+        """pos, sdoc, scopy, spos of every single window of this copy."""
         if not listed.is_valid:
             return [np.zeros(0, "i8")] * 4
+        mine = listed.values.field("copy").to_numpy(zero_copy_only=False) == copy
         pos, n, sdoc, scopy, spos = (
-            listed.values.field(x).to_numpy(zero_copy_only=False).astype("i8") for x in ("pos", "n", "sdoc", "scopy", "spos")
+            listed.values.field(x).to_numpy(zero_copy_only=False).astype("i8")[mine] for x in ("pos", "n", "sdoc", "scopy", "spos")
         )
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return [np.repeat(pos, n) + step, np.repeat(sdoc, n), np.repeat(scopy, n), np.repeat(spos, n) + step]
@@ -305,17 +312,19 @@ def _finish(batches):
     for batch in batches:
         out: list[list] = [[], [], [], []]
         lists = (batch.column(c) for c in ("gone", "bad", "extra"))
-        rows = zip(*(batch.column(c).to_pylist() for c in ("n_words", "sha", "text")), *lists, strict=True)
-        for n, sha, text, gone, bad, extra in rows:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("copy", "n_words", "sha", "text")), *lists, strict=True)
+        for copy, n, sha, text, gone, bad, extra in rows:
             claims: list[dict] = []
             removed = 0
             if text is not None:
                 words = np.array(text.split(" "), dtype=object)
-                found = stretched(gone)
+                found = stretched(gone, copy)
                 for span in (bad.as_py() or []) if bad.is_valid else []:
+                    if span["copy"] != copy:
+                        continue
                     ok = (found[0] < span["pos"]) | (found[0] > span["pos"] + span["len"] - WINDOW)
                     found = [x[ok] for x in found]
-                found = [np.concatenate(x) for x in zip(found, stretched(extra), strict=True)]
+                found = [np.concatenate(x) for x in zip(found, stretched(extra, copy), strict=True)]
                 _, once = np.unique(found[0], return_index=True)
                 pos, sdoc, scopy, spos = (x[once] for x in found)
                 edges = np.zeros(n + 1, "i8")
@@ -358,7 +367,7 @@ def _false(batches):
         for doc_id, copy, text, claims in rows:
             words = text.split(" ")
             for c in claims:
-                if " ".join(words[c["spos"] : c["spos"] + c["len"]]) != c["words"]:
+                if c["scopy"] == copy and " ".join(words[c["spos"] : c["spos"] + c["len"]]) != c["words"]:
                     for column, value in zip(bad, (doc_id, copy, c["spos"], c["len"], c["words"]), strict=True):
                         column.append(value)
         yield _batch([pa.array(x, k) for x, k in zip(bad, kinds, strict=True)], ["sdoc", "scopy", "spos", "len", "words"])
@@ -403,17 +412,18 @@ def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
 def _later(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows that also stand in a document of smaller doc_id: doc_id, copy, gone."""
     first = _firsts(rows, by).where("src.doc_id < last").drop("last")
-    return rows.join(first, by).where("doc_id > src.doc_id").select(*KEY, _gone())
+    return rows.join(first, by).where("doc_id > src.doc_id").select("doc_id", _gone())
 
 
 def _gone():
     src = (F.col("src.doc_id").alias("sdoc"), F.col("src.copy").alias("scopy"), F.col("src.pos").alias("spos"))
-    return F.struct("pos", "n", *src).alias("gone")
+    return F.struct("copy", "pos", "n", *src).alias("gone")
 
 
 def _lists(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """One list for each document: a document's own matches, as many as its words at most."""
-    return rows.groupBy(*KEY).agg(F.collect_list(column).alias(name))
+    """One list for each doc_id: a document's own matches, as many as its words at most. The texts
+    are bucketed by doc_id alone, so this is what they are joined by, and a list names its copies."""
+    return rows.groupBy("doc_id").agg(F.collect_list(column).alias(name))
 
 
 def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits: int = 64) -> DataFrame:
@@ -445,26 +455,31 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
     writer = prepared.write.bucketBy(index.buckets, "doc_id").sortBy("doc_id")
     writer.option("path", f"{base}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
+    remove(spark, f"{base}/index")
     nominated = texts.where("fps is not null").select("doc_id", "copy", "text", "fps")
 
     # Stretches first: a stretch that an earlier document has too is settled as a whole, and only
     # those that no earlier document has are looked at window by window.
-    stretches = nominated.mapInArrow(_nominated(bits, True), ROWS)
+    stretches = staged(nominated.mapInArrow(_nominated(bits, True), ROWS), "stretches", f"{base}/stretches")
     placed = stretches.join(_firsts(stretches, ["h"]), "h")
     placed = staged(
-        placed.select(*KEY, F.col("src.doc_id").alias("first"), _gone()), "stretches", f"{base}/stretches"
+        placed.select("doc_id", F.col("src.doc_id").alias("first"), _gone()), "placed", f"{base}/placed"
     )
-    whole = placed.where("doc_id > first").select(*KEY, "gone")
-    left = _lists(placed.where("doc_id = first").select(*KEY, F.struct("gone.pos", "gone.n").alias("at")), "at", "at")
-    single = texts.select("doc_id", "copy", "text").join(left, list(KEY)).mapInArrow(_nominated(bits, False), ROWS)
+    whole = placed.where("doc_id > first").select("doc_id", "gone")
+    at = F.struct("gone.copy", "gone.pos", "gone.n").alias("at")
+    left = _lists(placed.where("doc_id = first").select("doc_id", at), "at", "at")
+    single = texts.select("doc_id", "copy", "text").join(left, "doc_id").mapInArrow(_nominated(bits, False), ROWS)
+    single = staged(single, "single", f"{base}/single")
     matches = whole.unionByName(_later(single, ["h"]))
     matches = staged(_lists(matches, "gone", "gone"), "gone", f"{base}/gone")
+    for label in ("stretches", "placed", "single"):
+        remove(spark, f"{base}/{label}")
 
     def finished(gone: DataFrame, bad: DataFrame | None, extra: DataFrame | None, label: str) -> DataFrame:
-        none = F.lit(None).cast("array<struct<pos: int, n: int, sdoc: bigint, scopy: int, spos: int>>")
-        rows = texts.join(gone, list(KEY), "left")
-        rows = rows.join(bad, list(KEY)) if bad else rows.withColumn("bad", F.lit(None).cast("array<struct<pos: int, len: int>>"))
-        rows = rows.join(extra, list(KEY), "left") if extra else rows.withColumn("extra", none)
+        none = F.lit(None).cast("array<struct<copy: int, pos: int, n: int, sdoc: bigint, scopy: int, spos: int>>")
+        rows = texts.join(gone, "doc_id", "left")
+        rows = rows.join(bad, "doc_id") if bad else rows.withColumn("bad", F.lit(None).cast("array<struct<copy: int, pos: int, len: int>>"))
+        rows = rows.join(extra, "doc_id", "left") if extra else rows.withColumn("extra", none)
         made = rows.select("doc_id", "copy", "n_words", "sha", "text", "gone", "bad", "extra").mapInArrow(
             _finish,
             f"doc_id long, copy int, n_words long, n_removed long, kept_sha256 string, claims array<struct<{CLAIM}, pos: int>>",
@@ -474,13 +489,13 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
     result = finished(matches, None, None, "by-hash")
     fields = ["sdoc", "scopy", "spos", "len", "words"]
     made = result.select("doc_id", "copy", F.explode("claims").alias("c"))
-    claims = made.select("c.*").select(*fields).distinct().groupBy(F.col("sdoc").alias("doc_id"), F.col("scopy").alias("copy"))
-    claims = claims.agg(F.collect_list(F.struct("spos", "len", "words")).alias("claims"))
-    checked = texts.select("doc_id", "copy", "text").join(claims, list(KEY))
+    claims = made.select("c.*").select(*fields).distinct().groupBy(F.col("sdoc").alias("doc_id"))
+    claims = claims.agg(F.collect_list(F.struct("scopy", "spos", "len", "words")).alias("claims"))
+    checked = texts.where("text is not null").select("doc_id", "copy", "text").join(claims, "doc_id")
     false = staged(checked.mapInArrow(_false, CLAIM.replace(":", "")), "false", f"{base}/false")
     if not false.isEmpty():
         bad = made.select(*KEY, "c.*").join(false, fields)
-        spans = _lists(bad.select(*KEY, F.struct("pos", "len").alias("bad")), "bad", "bad")
+        spans = _lists(bad.select("doc_id", F.struct("copy", "pos", "len").alias("bad")), "bad", "bad")
         doubtful = nominated.mapInArrow(_nominated(bits, False), ROWS).join(
             false.mapInArrow(_hashes_of(bits), "h long").distinct(), "h", "left_semi"
         )
@@ -489,5 +504,5 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
         )
         extra = _lists(_later(worded, ["h", "words"]).withColumnRenamed("gone", "extra"), "extra", "extra")
         again = finished(matches, staged(spans, "spans", f"{base}/spans"), extra, "by-words")
-        result = result.join(again.select(*KEY), list(KEY), "left_anti").unionByName(again)
+        result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)
     return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
