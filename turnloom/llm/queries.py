@@ -136,7 +136,48 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+_SUBSTRING = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13),
+keyed AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM win),
+firsts AS (SELECT k, min(doc_id) AS m FROM keyed GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(13)) AS j FROM keyed JOIN firsts USING (k) WHERE m < doc_id)),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM w ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_PHRASES = "[" + ", ".join(f"'{x}'" for x in quality.BOILERPLATE) + "]"
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+lines AS (SELECT doc_id, line, i, {_WORDS.replace("coalesce(text, '')", "line")} AS own
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+judged AS (SELECT doc_id, len(own) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
+    len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(list_filter(own, lambda x: x = '|')) AS bars,
+    len(regexp_extract_all(line, '[!?]{{2,}}')) AS runs, regexp_matches(line, '[.!?:;,…。！？]') AS breaks,
+    len(list_filter({_PHRASES}, lambda x: contains(lower(line), x))) > 0 AS phrase
+  FROM lines WHERE len(own) > 0),
+verdicts AS (SELECT doc_id, n, again, again OR (symbols * 2 > n AND symbols >= 3) OR (bars * 5 >= n AND n >= 3) OR (n >= 3 AND runs * 3 > n)
+    OR (n >= 60 AND NOT breaks) OR (n <= {quality.BOILERPLATE_WORDS} AND phrase) AS fails FROM judged),
+by_line AS (SELECT doc_id, count(*) FILTER (again) AS dups, coalesce(sum(n) FILTER (fails), 0) AS lost FROM verdicts GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+reps AS (SELECT doc_id, count(DISTINCT p) AS reps FROM (SELECT doc_id, i + unnest(range(8)) AS p FROM twice) GROUP BY doc_id),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dups, 0)::BIGINT AS n_dup_lines,
+    coalesce(reps, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_words_removed
+  FROM d LEFT JOIN by_line USING (doc_id) LEFT JOIN reps USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words_removed <= 0.5 * n_words AS kept
+FROM f
+"""
+
 ORACLES = {
+    "op1_substring": _SUBSTRING,
+    "op7_quality": _QUALITY,
     "op10_exact_dedup": """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
