@@ -40,7 +40,7 @@ def _matches(text: Column, pattern: str) -> Column:
 def query_tokens(text: Column) -> Column:
     """Distinct lower-case tokens of three or more characters that aren't stop words, in order."""
     raw = F.transform(_matches(F.lower(text), "[a-z0-9][a-z0-9'-]*"), lambda t: F.regexp_replace(t, "^['-]+|['-]+$", ""))
-    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 3) & ~F.array_contains(_words(QUERY_STOP), t)))
+    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 3) & ~t.isin(*QUERY_STOP)))
 
 
 def stem(token: Column) -> Column:
@@ -58,7 +58,7 @@ def lexical_tokens(text: Column) -> Column:
     """Letter runs of two or more that aren't stop words, without a plural s."""
     raw = F.filter(
         _matches(F.lower(text), r"[\p{L}\p{Nl}\p{No}]+"),
-        lambda t: (F.length(t) >= 2) & ~F.array_contains(_words(LEXICAL_STOP), t),
+        lambda t: (F.length(t) >= 2) & ~t.isin(*LEXICAL_STOP),
     )
     plural = lambda t: (F.length(t) > 4) & t.endswith("s") & ~t.endswith("ss")
     return F.transform(raw, lambda t: F.when(plural(t), F.left(t, F.length(t) - 1)).otherwise(t))
@@ -67,7 +67,7 @@ def lexical_tokens(text: Column) -> Column:
 def fts_terms(text: Column) -> Column:
     """At most 16 distinct words for the OR search."""
     raw = F.transform(_matches(text, "[A-Za-z0-9][A-Za-z0-9'_-]*"), lambda t: F.lower(F.regexp_replace(t, "^['_-]+|['_-]+$", "")))
-    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~F.array_contains(_words(FTS_STOP), t))
+    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.isin(*FTS_STOP))
     return F.slice(F.array_distinct(kept), 1, 16)
 
 

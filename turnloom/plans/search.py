@@ -83,8 +83,7 @@ JOIN (SELECT user_id, arrival, {s_fts('body')} AS terms FROM turns) d ON d.user_
 
 def _unbounded_fts(column):
     raw = F.transform(F.regexp_extract_all(column, F.lit("[A-Za-z0-9][A-Za-z0-9'_-]*"), F.lit(0)), lambda t: F.lower(F.regexp_replace(t, "^['_-]+|['_-]+$", "")))
-    stop = F.array(*[F.lit(x) for x in fn.FTS_STOP])
-    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)))
+    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.isin(*fn.FTS_STOP)))
 
 
 @query("fts_and_search", v.sql(_AND, "turns", "queries"))
