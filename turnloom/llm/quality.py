@@ -1,7 +1,7 @@
 """Line-first quality rules.
 
 Each line of a text is judged on its own: broken punctuation, navigation, symbol noise,
-boilerplate phrases, and lines already seen in the document. Failing lines are taken out, and a
+stuttering, boilerplate phrases, and lines already seen in the document. Failing lines are taken out, and a
 document that loses more than ``max_loss`` of its words this way is rejected, as is one that
 fails the two base rules (too short, or mostly repeated passages).
 """
@@ -94,6 +94,8 @@ def line_fails(line: str, words: list[bytes]) -> bool:
         return True
     if n >= 3 and len(_RUNS.findall(line)) * 3 > n:  # shouting
         return True
+    if n >= 6 and 2 * sum(a == b for a, b in zip(words, words[1:], strict=False)) > n:  # stuttering
+        return True
     if n >= 60 and not _BREAKS.search(line):  # a long run without any punctuation
         return True
     if n <= BOILERPLATE_WORDS:

@@ -158,10 +158,11 @@ lines AS (SELECT doc_id, line, i, {_WORDS.replace("coalesce(text, '')", "line")}
 judged AS (SELECT doc_id, len(own) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again,
     len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(list_filter(own, lambda x: x = '|')) AS bars,
     len(regexp_extract_all(line, '[!?]{{2,}}')) AS runs, regexp_matches(line, '[.!?:;,…。！？]') AS breaks,
+    len(list_filter(range(1, len(own)), lambda k: own[k] = own[k + 1])) AS stutters,
     len(list_filter({_PHRASES}, lambda x: contains(lower(line), x))) > 0 AS phrase
   FROM lines WHERE len(own) > 0),
 verdicts AS (SELECT doc_id, n, again, again OR (symbols * 2 > n AND symbols >= 3) OR (bars * 5 >= n AND n >= 3) OR (n >= 3 AND runs * 3 > n)
-    OR (n >= 60 AND NOT breaks) OR (n <= {quality.BOILERPLATE_WORDS} AND phrase) AS fails FROM judged),
+    OR (n >= 6 AND 2 * stutters > n) OR (n >= 60 AND NOT breaks) OR (n <= {quality.BOILERPLATE_WORDS} AND phrase) AS fails FROM judged),
 by_line AS (SELECT doc_id, count(*) FILTER (again) AS dups, coalesce(sum(n) FILTER (fails), 0) AS lost FROM verdicts GROUP BY doc_id),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
