@@ -23,6 +23,8 @@ PATTERNS = {
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\w\-])",
     "secret": r"(?<!\w)(?=[A-Fa-f]*\d)(?:[0-9a-f]{32}(?:[0-9a-f]{8}|[0-9a-f]{32})?|[0-9A-F]{32}(?:[0-9A-F]{8}|[0-9A-F]{32})?)(?!\w)",
+    "access_key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
+    "assigned": r"(?<!\w)(?i:password|passwd|pwd|secret|api_?key)\s*[=:]\s*[^\s\",;]{6,}",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -189,8 +191,9 @@ def secret(key: str, value: Column) -> Column:
     return F.when(upper, made).otherwise(F.lower(made))
 
 
-def email(key: str, value: Column) -> Column:
-    """Letters and digits before the @ move within their class; the rest of the address stays."""
+def permuted_text(key: str, kind: str, value: Column) -> Column:
+    """Letters and digits of ASCII move within their class, all else stays: the halves of the
+    text are moved in turn by a keyed hash of the other half."""
 
     def move(key_hash: Column, half: Column) -> Column:
         def at(c: Column, i: Column) -> Column:
@@ -209,23 +212,37 @@ def email(key: str, value: Column) -> Column:
     def turn(pair: Column, i: Column) -> Column:
         even = i % 2 == 0
         other = F.when(even, pair["b"]).otherwise(pair["a"])
-        key_hash = F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), i.cast("string"), other), 256)
+        key_hash = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), i.cast("string"), other), 256)
         moved = _one(key_hash, lambda h: move(h, F.when(even, pair["a"]).otherwise(pair["b"])))
         return F.struct(
             F.when(even, moved).otherwise(pair["a"]).alias("a"),
             F.when(even, pair["b"]).otherwise(moved).alias("b"),
         )
 
-    local = F.substring_index(value, "@", 1)
-    cut = F.ceil(F.length(local) / 2).cast("int")
-    halves = F.struct(F.substr(local, F.lit(1), cut).alias("a"), F.substr(local, cut + 1, F.length(local)).alias("b"))
-    made = F.aggregate(
-        F.array(*[F.lit(i) for i in range(ROUNDS)]), halves, turn, lambda p: F.concat(p["a"], p["b"])
-    )
-    return F.concat(made, F.lit("@"), F.substring_index(value, "@", -1))
+    cut = F.ceil(F.length(value) / 2).cast("int")
+    halves = F.struct(F.substr(value, F.lit(1), cut).alias("a"), F.substr(value, cut + 1, F.length(value)).alias("b"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), halves, turn, lambda p: F.concat(p["a"], p["b"]))
+
+
+def email(key: str, value: Column) -> Column:
+    """What stands before the @ is permuted; the rest of the address stays."""
+    local = permuted_text(key, "email", F.substring_index(value, "@", 1))
+    return F.concat(local, F.lit("@"), F.substring_index(value, "@", -1))
+
+
+def access_key(key: str, value: Column) -> Column:
+    """A cloud access key: the four letters at its front stay."""
+    return F.concat(F.left(value, F.lit(4)), permuted_text(key, "access", F.substr(value, F.lit(5))))
+
+
+def assigned(key: str, value: Column) -> Column:
+    """ "password=..." and the like: the name and the sign stay."""
+    name = F.regexp_extract(value, r"^\w+\s*[=:]\s*", 0)
+    return F.concat(name, permuted_text(key, "assigned", F.substr(value, F.length(name) + 1)))
 
 
-MAKERS = {"email": email, "phone": phone, "ip": ip, "date": date, "ssn": ssn, "card": card, "secret": secret}
+MAKERS = {"email": email, "phone": phone, "ip": ip, "date": date, "ssn": ssn, "card": card}
+MAKERS |= {"secret": secret, "access_key": access_key, "assigned": assigned}
 
 
 def pseudonym(key: str, value: Column) -> Column:
@@ -249,7 +266,7 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", count_col: st
     if key_columns & set(df.columns):
         raise ValueError("columns __found and __made are used here")
     text = F.col(text_col)
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     with_found = df.drop(count_col).withColumn("__found", found)
     some = F.size("__found") > 0
     made = F.when(some, F.transform("__found", lambda v: pseudonym(key, v)))

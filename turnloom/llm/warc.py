@@ -260,7 +260,8 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_fro
             yield pa.RecordBatch.from_arrays([at, *batch.columns], names=["shard", *batch.schema.names])
 
     dealt = made.select("page_id", "member").mapInArrow(shard, "shard long, page_id long, member binary")
-    dealt = dealt.repartition(len(firsts) + 1, "shard").sortWithinPartitions("shard", "page_id", "member")
+    dealt = dealt.repartitionById(len(firsts) + 1, F.col("shard").cast("int"))  # a task for each shard
+    dealt = dealt.sortWithinPartitions("shard", "page_id", "member")
     return staged(dealt.mapInArrow(_writer(path), MANIFEST), "manifest", f"{path}/_manifest")
 
 
