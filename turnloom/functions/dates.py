@@ -17,6 +17,7 @@ MONTH = "|".join(sorted(MONTH_OF, key=len, reverse=True))
 COUNT = "[0-9]+|" + "|".join(sorted(NUMBERS, key=len, reverse=True))
 PLAIN_COUNT = "[0-9]+|" + "|".join(sorted((x for x in NUMBERS if x not in ("couple of", "few", "several")), key=len, reverse=True))
 
+#: Fixed patterns of absolute dates, in the order in which they are tried.
 ISO = r"(?<![0-9])([0-9]{4})[-/]([0-9]{1,2})[-/]([0-9]{1,2})(?:[T\s]+(?:\([A-Za-z]{3}\)\s*)?([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?"
 MDY = rf"(?i)\b({MONTH})\.?[-\s]+([0-9]{{1,2}})(?:st|nd|rd|th)?,?[-\s]+([0-9]{{4}})\b"
 DMY = rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({MONTH})\.?,?\s+([0-9]{{4}})\b"
@@ -77,6 +78,7 @@ def weekday(epoch: Column) -> Column:
     return F.weekday(moment(epoch))
 
 
+#: Fixed patterns of relative dates, in the order in which they are tried.
 AGO = rf"(?i)\b({COUNT})\s+(day|week|month|year)s?\s+ago\b"
 SINCE = (
     r"(?i)\b(?:been|being)\b[^.?!]{0,80}?\bfor\s+(?:about |around |almost |nearly |over |roughly )?"
@@ -142,6 +144,7 @@ def parse_relative(text: Column, anchor: Column) -> Column:
     return F.coalesce(month_day(text, anchor), *found)
 
 
+#: Fixed patterns of a label and of a turn number.
 LABEL = r"(?i)(?:(?<![\w.])@|\bdate[=:])\s*([^\s\]]+(?:\s+\([A-Za-z]{3}\)\s*[0-9]{1,2}:[0-9]{2})?)"
 TURN = r"(?i)\bturn[=:]([^\s]+)"
 
@@ -168,6 +171,7 @@ def extract_time(text: Column, anchor: Column) -> Column:
     )
 
 
+#: Fixed pattern of the phrases that are resolved in place.
 PHRASE = (
     rf"(?i)(?<![\w-])(?:((?:{PLAIN_COUNT})\s+(?:day|week|month|year)s?\s+ago)|(yesterday|tomorrow|last\s+night)"
     rf"|(last\s+(?:{'|'.join(DAYS)}))|(last\s+weekend)|((?:last|this|next)\s+(?:week|month|year)))(?![\w-])"
@@ -234,6 +238,7 @@ def day_phrases(text: Column, said: Column) -> Column:
     return F.filter(made, lambda x: x["epoch"].isNotNull())
 
 
+#: Fixed patterns of dates with or without a year.
 ISO_DAY = r"(?<![0-9])([0-9]{4})-([0-9]{2})-([0-9]{2})(?![0-9])"
 MONTH_FIRST = rf"(?i)\b({MONTH})\.?\s+([0-9]{{1,2}})(?:st|nd|rd|th)?(?:,?\s+([0-9]{{4}}))?\b"
 DAY_FIRST = rf"(?i)\b([0-9]{{1,2}})(?:st|nd|rd|th)?\s+({MONTH})\.?(?:,?\s+([0-9]{{4}}))?\b"
