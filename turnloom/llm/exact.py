@@ -100,6 +100,8 @@ def resolve(spark: SparkSession, store: str, schema, digest: Callable[[Column],
     )
     # A digest's later changes replace its earlier ones, and its count only grows.
     state = changes.groupBy("digest").agg(F.max("group_size").alias("group_size"), F.max("keep").alias("keep"))
+    # Written first: a join of two plain shuffles can be split where one digest has many rows.
+    state = staged(state, "exact-state", f"{store}/state")
     log = _digested(_log(spark.read, store, schema), digest)
     rows = log.join(state, "digest").select(
         "digest", "at", "group_size", "keep", F.when(F.col("group_size") > 1, F.col("norm")).alias("norm")

@@ -277,10 +277,13 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         turn += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # The minima are written first: a join of two plain shuffles can be split where a node has
+        # many links, a join with an aggregation beside it can't.
+        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", f"{base}/{turn}-large")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = staged(large, "large", f"{base}/{turn}-edges")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least", f"{base}/{turn}-small")
         small = large.join(least, "a")
         rest = small.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         now = staged(least.withColumnRenamed("m", "b").unionByName(rest).distinct(), "edges", f"{base}/{turn}")
@@ -305,8 +308,8 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     named = staged(named, "rooted")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    lone = named.join(least, "root").select("fp", "component_id")
+    least = staged(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    lone = staged(named.join(least, "root").select("fp", "component_id"), "by-fingerprint")
     return fps.join(lone, "fp").select("doc_id", "fp", "component_id")
 
 
