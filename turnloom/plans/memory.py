@@ -10,6 +10,7 @@ from turnloom.operators import evals, recall, store
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.text import s_query_tokens, s_sentences, s_tokens
+from turnloom.sources import transcripts
 
 
 @query("get_node", v.sql("SELECT id, content FROM nodes WHERE id % 100 = 1", "nodes"))
@@ -77,6 +78,23 @@ def session_corpus(spark, sf_dir):
     return recall.joined(v.turns(spark, sf_dir), ["session_id"], ["position"], "turn_text")
 
 
+@query(
+    "source_sessions",
+    v.sql("SELECT session_id::VARCHAR AS sample_id, 1 AS session_index, position, role, role || ': ' || body AS content, (1704067200 + session_id * 60) * 1000 AS timestamp_ms FROM turns", "turns"),
+)
+def source_sessions(spark, sf_dir):
+    """Conversations as nested transcripts, read back as messages."""
+    none = F.lit(None).cast("string")
+    message = F.struct("position", F.struct(F.col("role").alias("speaker"), F.col("body").alias("text"), F.lit(None).cast("array<string>").alias("images"), none.alias("blip_caption"), none.alias("query")).alias("m"))
+    own = F.transform(F.array_sort(F.collect_list(message)), lambda x: x["m"])
+    talks = v.turns(spark, sf_dir).groupBy("session_id").agg(own.alias("messages"))
+    said = F.lower(F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("session_id") * 60), "h:mm a"))
+    day = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("session_id") * 60), "d MMMM, yyyy")
+    session = F.struct(F.lit(1).alias("session_index"), F.concat(said, F.lit(" on "), day).alias("date_time"), "messages")
+    rows = talks.select(F.col("session_id").cast("string").alias("sample_id"), F.lit("user").alias("speaker_a"), F.lit("assistant").alias("speaker_b"), F.array(session).alias("sessions"))
+    return transcripts.messages(rows)
+
+
 @query("session_positions", v.sql("SELECT arrival, session_id % 5 + row_number() OVER (PARTITION BY session_id ORDER BY arrival) - 1 AS position FROM turns", "turns"))
 def session_positions(spark, sf_dir):
     """New messages go on from where their session stood before."""

@@ -29,8 +29,7 @@ def messages(talks: DataFrame) -> DataFrame:
         some("caption", F.col("m.blip_caption")),
         some("query", F.col("m.query")),
     )
-    stamp = F.try_to_timestamp(F.upper("date_time"), F.lit("h:mm a 'ON' d MMMM, yyyy"))
-    stamp = F.coalesce(stamp, F.try_to_timestamp(F.initcap(F.regexp_replace("date_time", "(?i) on ", " ")), F.lit("h:mm a d MMMM, yyyy")), F.try_to_timestamp("date_time", F.lit("h:mm a 'on' d MMMM, yyyy")))
+    stamp = F.try_to_timestamp("date_time", F.lit("h:mm a 'on' d MMMM, yyyy"))
     return m.select("sample_id", "session_index", F.col("position").cast("long").alias("position"), role.alias("role"), content.alias("content"), (F.unix_timestamp(stamp) * 1000).alias("timestamp_ms"))
 
 
