@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +55,20 @@ class Hasher:
             self.cache.clear()
         return np.fromiter(map(self.cache.__getitem__, words), "u8", len(words))
 
+    def texts(self, texts: list[bytes]):
+        """Word hashes of all texts in a row, the start of each text, and, for each place at which
+        a window could begin, its text and whether the window ends in that text too."""
+        import numpy as np
+
+        words = [x.split() for x in texts]
+        sizes = np.fromiter(map(len, words), "i8", len(words))
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        hashes = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(words)), "u8", int(sizes.sum()))
+        owner = np.repeat(np.arange(len(words)), sizes)
+        n = max(len(hashes) - WINDOW + 1, 0)
+        return hashes, np.cumsum(sizes) - sizes, owner[:n], owner[:n] == owner[WINDOW - 1 :]
+
     def windows(self, hashes, size: int):
         """One hash for each window of ``size`` words."""
         import numpy as np
@@ -92,16 +107,18 @@ def _fingerprints(bits: int):
 
         hasher = Hasher(bits)
         for batch in batches:
-            found, ids = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = text.encode().split() if text and doc_id is not None else []
-                if len(words) >= WINDOW:
-                    own = np.unique(hasher.anchors(hasher.words(words)))
-                    found.append(own)
-                    ids.append(np.full(len(own), doc_id, "i8"))
-            yield _batch(
-                [pa.array(np.concatenate(found).view("i8")), pa.array(np.concatenate(ids))], ["fp", "doc_id"]
-            )
+            doc_ids = batch.column("doc_id")
+            texts = [
+                text.encode() if text and doc_id is not None else b""
+                for doc_id, text in zip(doc_ids.to_pylist(), batch.column("text").to_pylist(), strict=True)
+            ]
+            hashes, _, owner, inside = hasher.texts(texts)
+            found, owner = hasher.anchors(hashes)[inside], owner[inside]
+            order = np.lexsort((found, owner))
+            found, owner = found[order], owner[order]
+            new = np.concatenate(([True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])))[: len(found)]
+            ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)[owner[new]]
+            yield _batch([pa.array(found[new].view("i8")), pa.array(ids)], ["fp", "doc_id"])
 
     return run
 
@@ -238,43 +255,43 @@ def _nominated(bits: int, spans: bool):
         from xxhash import xxh3_64_intdigest
 
         hasher = Hasher(bits)
+        odd = np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            out: list[list] = [[np.zeros(0, k)] for k in ("i8", "i8", "i4", "i4", "i4")]
+            hashes, starts, owner, inside = hasher.texts([x.encode() for x in batch.column("text").to_pylist()])
+            windows = hasher.windows(hashes, WINDOW)
+            doc_ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "copy"))
             listed = "at" in batch.schema.names
             marks = batch.column("at" if listed else "fps")
-            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), marks, strict=True)
-            for doc_id, copy, text, mark in rows:
-                hashes = hasher.words(text.encode().split(b" "))
-                windows = hasher.windows(hashes, WINDOW)
-                if not len(windows):  # a short text of the same doc_id as one with hits
-                    continue
-                if listed:
-                    mine = mark.values.field("copy").to_numpy(zero_copy_only=False) == copy
-                    if not mine.any():
-                        continue
-                    first = mark.values.field("pos").to_numpy(zero_copy_only=False)[mine]
-                    size = mark.values.field("n").to_numpy(zero_copy_only=False)[mine]
-                    pos = np.unique(np.concatenate([np.arange(p, p + k) for p, k in zip(first, size, strict=True)]))
-                    h, n = windows[pos], np.ones(len(pos), "i4")
+            at = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
+            if listed:
+                copy, pos, n = (marks.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("copy", "pos", "n"))
+                mine = copy == copies[at]
+                first, n = (starts[at] + pos)[mine], n[mine].astype("i8")
+                place = np.unique(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                h, n = windows[place], np.ones(len(place), "i4")
+            else:
+                # Membership in the document's own list, by (document, fingerprint); a chance hit
+                # only nominates a window more.
+                shared = np.sort(marks.flatten().to_numpy(zero_copy_only=False).view("u8") + at.astype("u8") * odd)
+                anchors = hasher.anchors(hashes)
+                keys = anchors + owner.astype("u8") * odd
+                where = np.searchsorted(shared, keys)
+                where[where == len(shared)] = 0
+                hit = (shared[where] == keys) & inside if len(shared) else np.zeros(len(keys), bool)
+                place = np.flatnonzero(hit)
+                if spans:
+                    joins = (np.diff(place) == 1) & (np.diff(owner[place]) == 0) & (anchors[place][1:] == anchors[place][:-1])
+                    edge = np.flatnonzero(np.concatenate(([True], ~joins)))[: len(place)]
+                    n = np.diff(np.append(edge, len(place))).astype("i4")
+                    place = place[edge]
+                    raw = memoryview(windows.tobytes())
+                    parts = (raw[8 * p : 8 * (p + k)] for p, k in zip(place.tolist(), n.tolist(), strict=True))
+                    h = np.fromiter((xxh3_64_intdigest(x) for x in parts), "u8", len(place)) >> np.uint64(64 - bits)
                 else:
-                    shared = np.sort(mark.values.to_numpy(zero_copy_only=False).astype("i8").view("u8"))
-                    anchors = hasher.anchors(hashes)
-                    at = np.searchsorted(shared, anchors)
-                    at[at == len(shared)] = 0
-                    hit = shared[at] == anchors
-                    if spans:
-                        edge = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
-                        n = np.diff(np.append(edge, len(anchors))).astype("i4")
-                        pos, n = edge[hit[edge]], n[hit[edge]]
-                        parts = (windows[p : p + k].tobytes() for p, k in zip(pos.tolist(), n.tolist(), strict=True))
-                        h = np.fromiter((xxh3_64_intdigest(x) for x in parts), "u8", len(pos)) >> np.uint64(64 - bits)
-                    else:
-                        pos = np.flatnonzero(hit)
-                        h, n = windows[pos], np.ones(len(pos), "i4")
-                own = (h.view("i8"), np.full(len(pos), doc_id, "i8"), np.full(len(pos), copy, "i4"), pos.astype("i4"), n)
-                for column, values in zip(out, own, strict=True):
-                    column.append(values)
-            yield _batch([pa.array(np.concatenate(x)) for x in out], ["h", "doc_id", "copy", "pos", "n"])
+                    h, n = windows[place], np.ones(len(place), "i4")
+            own = owner[place]
+            columns = (h.view("i8"), doc_ids[own], copies[own], (place - starts[own]).astype("i4"), n)
+            yield _batch([pa.array(x) for x in columns], ["h", "doc_id", "copy", "pos", "n"])
 
     return run
 
@@ -316,7 +333,9 @@ def _finish(batches):
         for copy, n, sha, text, gone, bad, extra in rows:
             claims: list[dict] = []
             removed = 0
-            if text is not None:
+            if text is not None and not (gone.is_valid or bad.is_valid or extra.is_valid):
+                sha = hashlib.sha256(text.encode()).hexdigest()
+            elif text is not None:
                 words = np.array(text.split(" "), dtype=object)
                 found = stretched(gone, copy)
                 for span in (bad.as_py() or []) if bad.is_valid else []:
@@ -410,8 +429,12 @@ def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows that also stand in a document of smaller doc_id: doc_id, copy, gone."""
-    first = _firsts(rows, by).where("src.doc_id < last").drop("last")
+    """Rows that also stand in a document of smaller doc_id: doc_id, gone.
+
+    The first places are written before the join: a join of two plain shuffles can be split where
+    a row is very common, a join with an aggregation beside it can't.
+    """
+    first = staged(_firsts(rows, by).where("src.doc_id < last").drop("last"), "firsts")
     return rows.join(first, by).where("doc_id > src.doc_id").select("doc_id", _gone())
 
 
@@ -461,7 +484,7 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
     # Stretches first: a stretch that an earlier document has too is settled as a whole, and only
     # those that no earlier document has are looked at window by window.
     stretches = staged(nominated.mapInArrow(_nominated(bits, True), ROWS), "stretches", f"{base}/stretches")
-    placed = stretches.join(_firsts(stretches, ["h"]), "h")
+    placed = stretches.join(staged(_firsts(stretches, ["h"]), "firsts"), "h")
     placed = staged(
         placed.select("doc_id", F.col("src.doc_id").alias("first"), _gone()), "placed", f"{base}/placed"
     )
@@ -504,5 +527,7 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
         )
         extra = _lists(_later(worded, ["h", "words"]).withColumnRenamed("gone", "extra"), "extra", "extra")
         again = finished(matches, staged(spans, "spans", f"{base}/spans"), extra, "by-words")
-        result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)
+        result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)  # both are written
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, f"{base}/{name}")
     return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
