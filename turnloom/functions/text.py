@@ -118,9 +118,9 @@ def densest_hits(text: Column, tokens: Column, window: int = 320) -> Column:
 
 
 def sides(query: Column) -> Column:
-    """One or two token lists: the named events of a comparison."""
-    between = r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:\?|$)"
-    since = r"(?i)\bsince\s+(.+?)\s+when\s+(.+?)(?:\?|$)"
+    """One or two token lists: the named events of a comparison. A side ends at a newline (d)."""
+    between = r"(?id)\bbetween\s+(.+?)\s+and\s+(.+?)(?:\?|$)"
+    since = r"(?id)\bsince\s+(.+?)\s+when\s+(.+?)(?:\?|$)"
     pair = lambda p: F.array(*[query_tokens(F.regexp_extract(query, p, k)) for k in (1, 2)])
     parts = F.split(query, r"(?i)\bor\b")
     head = query_tokens(F.element_at(F.split(parts[0], "[,:;]"), -1))

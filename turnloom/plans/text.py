@@ -189,11 +189,22 @@ FROM (SELECT arrival, {s_query_tokens("regexp_extract(q, '(?i)\\bbetween\\s+(.+?
   FROM (SELECT arrival, {_SIDED} AS q FROM turns WHERE NOT regexp_matches(body, '(?i)\\b(since|or)\\b') AND NOT contains(body, chr(10))))""", "turns"),
 )
 def split_sides(spark, sf_dir):
+    """The turns whose branch its SQL can spell; ``split_sides_whole`` has them all."""
+    return turn_sides(_turns(spark, sf_dir).where(~F.col("body").rlike(r"(?i)\b(since|or)\b") & ~F.contains("body", F.lit("\n"))))
+
+
+def turn_sides(turns):
+    """arrival, sides of every row of ``turns`` (arrival, body)."""
     parts = F.split("body", " ")
     q = F.concat(F.lit("between "), F.array_join(F.slice(parts, 1, 4), " "), F.lit(" and "), F.array_join(F.slice(parts, 5, 4), " "), F.lit("?"))
-    rows = _turns(spark, sf_dir).where(~F.col("body").rlike(r"(?i)\b(since|or)\b") & ~F.contains("body", F.lit("\n"))).select("arrival", q.alias("q"))
-    sides = F.transform(fn.sides(F.col("q")), flat)
-    return rows.select("arrival", F.array_join(sides, " / ").alias("sides"))
+    sides = F.transform(fn.sides(q), flat)
+    return turns.select("arrival", F.array_join(sides, " / ").alias("sides"))
+
+
+@query("split_sides_whole")
+def split_sides_whole(spark, sf_dir):
+    """Every turn: 'between A and B', else 'since A when B', else 'A or B', else one side."""
+    return turn_sides(_turns(spark, sf_dir))
 
 
 @query("session_hash", v.sql("SELECT DISTINCT session_id, sha256(session_id::VARCHAR) AS hash FROM turns", "turns"))
