@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import estimate_tokens
+from turnloom.functions.text import estimate_tokens, sides, stem_hits
 
 #: Tokens of a recall, characters of a block, turns of the focus.
 BUDGET, BLOCK_CHARS, FOCUS_TURNS = 100_000, 6_000, 12
@@ -130,6 +130,21 @@ def spread(ranked: DataFrame, by: str, k: int) -> DataFrame:
     return rows.where(F.col("pick") <= k).drop("lo", "hi", "n", "bin", "winner", "pick")
 
 
+def transcript_hits(turns: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, arrival, position, hits, rank: every turn of a query's user that has a token's stem,
+    the best of each position, by hits and then by position. A query without tokens takes all turns.
+
+    ``turns`` has user_id, arrival, position and content, ``queries`` query_id, user_id and query.
+    """
+    toks = queries.select("query_id", "user_id", F.flatten(sides(F.col("query"))).alias("toks"))
+    rows = toks.join(turns.where("position is not null"), "user_id").withColumn("hits", stem_hits(F.col("toks"), F.col("content")))
+    rows = rows.where((F.col("hits") > 0) | (F.size("toks") == 0)).select("query_id", "arrival", "position", "hits")
+    best = F.row_number().over(Window.partitionBy("query_id", "position").orderBy(F.desc("hits"), "arrival"))
+    rows = rows.withColumn("best", best).where("best = 1").drop("best")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "position"))
+    return rows.withColumn("rank", rank.cast("long"))
+
+
 def prefix_within(rows: DataFrame, by: str, order: list[str], cost: str, budget: int, sep: int = 0) -> DataFrame:
     """The first rows of each ``by`` whose costs, with ``sep`` between, stay within ``budget``."""
     w = Window.partitionBy(by).orderBy(*order)

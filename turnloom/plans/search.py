@@ -184,6 +184,20 @@ def transcript_search(spark, sf_dir):
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival")).cast("long"))
 
 
+@query("spread_by_position_whole")
+def spread_by_position_whole(spark, sf_dir):
+    """Eight turns that cover a user's whole history, of all that have a token of the query."""
+    t = v.turns(spark, sf_dir).select("user_id", "arrival", F.col("arrival").alias("position"), F.col("turn_text").alias("content"))
+    return recall.spread(recall.transcript_hits(t, v.queries(spark, sf_dir)), "query_id", 8).select("query_id", "arrival")
+
+
+@query("transcript_search_whole")
+def transcript_search_whole(spark, sf_dir):
+    """The same picks in mention order."""
+    rows = spread_by_position_whole(spark, sf_dir)
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival")).cast("long"))
+
+
 _WIN = "SELECT DISTINCT r.query_id, t.session_id, t.position FROM ranked r JOIN turns t ON t.session_id = r.session_id AND t.position BETWEEN r.position - 1 AND r.position + 1 WHERE r.rank <= 5"
 
 
