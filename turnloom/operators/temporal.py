@@ -28,7 +28,8 @@ def best_events(events: DataFrame, sides: DataFrame) -> DataFrame:
     """query_id, side, node_id, event, epoch, kind: the event that fits each side of a query best.
 
     ``sides`` has query_id, side, tokens and rivals. An event must match its side more than the
-    other; then more hits, a named event before a session date, and the shorter text win.
+    other; then more hits, a named event before a session date, and the shorter text win. The
+    node of side 0 is left out when side 1 is looked for. A query's events are few.
     """
     rows = events.join(sides, "query_id")
     hits = text.stem_hits(F.col("tokens"), F.col("event"))
@@ -36,7 +37,9 @@ def best_events(events: DataFrame, sides: DataFrame) -> DataFrame:
     rows = rows.withColumns({"hits": hits, "rival": rival}).where("hits >= 1 AND hits > rival")
     order = (F.desc(F.col("hits") - F.col("rival")), F.desc("hits"), F.desc(F.col("kind") == "event"), F.length("event"), "node_id", "event")
     rank = F.row_number().over(Window.partitionBy("query_id", "side").orderBy(*order))
-    return rows.withColumn("rank", rank).where("rank = 1").drop("rank", "tokens", "rivals", "rival")
+    first = F.max(F.when((F.col("side") == 0) & (F.col("rank") == 1), F.col("node_id"))).over(Window.partitionBy("query_id"))
+    rows = rows.withColumn("rank", rank).withColumn("first", first).where((F.col("side") == 0) | F.col("first").isNull() | (F.col("node_id") != F.col("first")))
+    return rows.withColumn("rank", rank).where("rank = 1").drop("rank", "first", "tokens", "rivals", "rival")
 
 
 def compared(best: DataFrame) -> DataFrame:
