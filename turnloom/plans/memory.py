@@ -259,6 +259,27 @@ def search_conflicts(spark, sf_dir):
     return rows.select("query_id", "id")
 
 
+def matching_conflicts(queries, conflicts, nodes):
+    """query_id, id, a_id, b_id, topic, a_content, b_content: conflicts of a query's user whose topic has one of its
+    tokens, or of whose bodies one has the query or one of its words of over three letters. All that match are kept.
+    """
+    side = lambda p: nodes.select(F.col("id").alias(f"{p}_id"), F.col("content").alias(f"{p}_content"))
+    known = conflicts.join(side("a"), "a_id").join(side("b"), "b_id")
+    text = F.regexp_replace(F.lower("query"), r"(?U)^\s+|\s+$", "")
+    q = queries.select("query_id", "user_id", fn.query_tokens(F.col("query")).alias("t"), text.alias("q"))
+    q = q.withColumn("words", F.filter(F.split("q", r"(?U)\s+"), lambda w: F.length(w) > 3))
+    topic, both = F.lower(F.coalesce("topic", F.lit(""))), F.lower(F.concat_ws(" ", "a_content", "b_content"))
+    has = F.exists("t", lambda t: F.contains(topic, t)) | F.contains(topic, F.col("q"))
+    has |= F.contains(both, F.col("q")) | F.exists("words", lambda w: F.contains(both, w))
+    return q.join(known, "user_id").where(has).select("query_id", "id", "a_id", "b_id", "topic", "a_content", "b_content")
+
+
+@query("search_conflicts_whole")
+def search_conflicts_whole(spark, sf_dir):
+    """Conflicts of a query's user by topic or by either body, with both nodes."""
+    return matching_conflicts(v.queries(spark, sf_dir), v.conflicts(spark, sf_dir), v.nodes(spark, sf_dir))
+
+
 _FINDP = f"""SELECT query_id, scope_key, len(list_filter(t, lambda x: contains(lower(content), x))) AS hits
 FROM (SELECT q.query_id, p.scope_key, p.content, {s_query_tokens('q.query')} AS t FROM queries q JOIN ({_PROFILE}) p ON p.scope_key = q.user_id)
 WHERE len(list_filter(t, lambda x: contains(lower(content), x))) > 0"""
