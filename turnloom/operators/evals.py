@@ -29,7 +29,7 @@ def paired(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(hit(1, 1).alias("both"), hit(1, 0).alias("only_a"), hit(0, 1).alias("only_b"), hit(0, 0).alias("neither"))
 
 
-def cluster_bootstrap(outcomes: DataFrame, draws: int = 2000, seed: int = 20261002, low: float = 0.00625, high: float = 0.99375) -> DataFrame:
+def cluster_bootstrap(outcomes: DataFrame, draws: int = 100_000, seed: int = 20261002, low: float = 0.00625, high: float = 0.99375) -> DataFrame:
     """diff, low, high: the difference of a and b, and its interval over draws of whole clusters.
 
     Clusters are reduced to sums first; a draw takes as many clusters as there are, with
