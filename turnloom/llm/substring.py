@@ -9,7 +9,7 @@ shuffle; when there are more than FANOUT runs they are compacted into one.
 
 Shared fingerprints only nominate windows. Nominated windows are matched by hashes of all their
 words, in stretches first, runs of matches become claims "these words stand there too", and every
-distinct claim is verified against the words of the earlier document. If a claim is false (two
+claim is verified, in pieces, against the words of the earlier document. If a claim is false (two
 hashes collided), the windows it covers are matched again by the words themselves.
 """
 
@@ -29,6 +29,8 @@ GRAM = 7
 #: Runs that an index holds before they are compacted.
 FANOUT = 2
 CACHE_WORDS = 300_000
+#: Words of a source's text that a piece of a claim is verified against.
+BLOCK = 64
 
 KEY = ("doc_id", "copy")
 
@@ -297,6 +299,8 @@ def _nominated(bits: int, spans: bool):
 
 
 ROWS = "h long, doc_id long, copy int, pos int, n int"
+PIECE = ("sdoc", "scopy", "block", "at", "n", "words")
+PIECE_ROWS = "sdoc long, scopy int, block int, at int, n int, words string"
 CLAIM = "sdoc: bigint, scopy: int, spos: int, len: int, words: string"
 
 
@@ -375,21 +379,58 @@ def _finish(batches):
         )
 
 
-def _false(batches):
-    """The claims that the words of the source don't bear out."""
+def _pieces(batches):
+    """Claims cut where blocks of BLOCK words of the source begin: rows (sdoc, scopy, block, at, n,
+    words), and the claim's own columns in ``keys``, if it has them."""
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
     for batch in batches:
-        bad: list[list] = [[], [], [], [], []]
-        rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text", "claims")), strict=True)
-        for doc_id, copy, text, claims in rows:
+        keys = [c for c in ("doc_id", "copy", "pos") if c in batch.schema.names]
+        out: list[list] = [[], [], [], [], [], []]
+        owner = []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("sdoc", "scopy", "spos", "len", "words")), strict=True)
+        for k, (sdoc, scopy, spos, length, text) in enumerate(rows):
             words = text.split(" ")
-            for c in claims:
-                if c["scopy"] == copy and " ".join(words[c["spos"] : c["spos"] + c["len"]]) != c["words"]:
-                    for column, value in zip(bad, (doc_id, copy, c["spos"], c["len"], c["words"]), strict=True):
-                        column.append(value)
-        yield _batch([pa.array(x, k) for x, k in zip(bad, kinds, strict=True)], ["sdoc", "scopy", "spos", "len", "words"])
+            for block in range(spos // BLOCK, (spos + length - 1) // BLOCK + 1):
+                lo, hi = max(spos, block * BLOCK), min(spos + length, (block + 1) * BLOCK)
+                piece = " ".join(words[lo - spos : hi - spos])
+                for column, value in zip(out, (sdoc, scopy, block, lo - block * BLOCK, hi - lo, piece), strict=True):
+                    column.append(value)
+                owner.append(k)
+        own = [batch.column(c).take(pa.array(owner, pa.int64())) for c in keys]
+        yield _batch([*(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *own], [*PIECE, *keys])
+
+
+def _blocks(batches):
+    """The words of each block of BLOCK words of a text."""
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for doc_id, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
+            words = text.split(" ")
+            for at in range(0, len(words), BLOCK):
+                for column, value in zip(out, (doc_id, copy, at // BLOCK, " ".join(words[at : at + BLOCK])), strict=True):
+                    column.append(value)
+        yield _batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["sdoc", "scopy", "block", "source"])
+
+
+def false_pieces(claims: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pieces of claims (sdoc, scopy, spos, len, words) that the words of the source don't bear out.
+
+    Claims on one source can be as many as its later copies, so they are never put together by
+    source: a row is a piece of BLOCK words at most, and meets only its block of the source.
+    Pieces of true claims are few for a block, however many claims there are.
+    """
+    sources = claims.select(F.col("sdoc").alias("doc_id"), F.col("scopy").alias("copy")).distinct()
+    known = texts.where("text is not null").select("doc_id", "copy", "text").join(sources, list(KEY), "left_semi")
+    known = known.mapInArrow(_blocks, "sdoc long, scopy int, block int, source string")
+    pieces = claims.select("sdoc", "scopy", "spos", "len", "words").mapInArrow(_pieces, PIECE_ROWS).distinct()
+    there = F.array_join(F.slice(F.split("source", " "), F.col("at") + 1, F.col("n")), " ")
+    same = F.coalesce((F.col("source") == F.col("words")) | (there == F.col("words")), F.lit(False))
+    return pieces.join(known, ["sdoc", "scopy", "block"], "left").where(~same).select(*PIECE)
 
 
 def _hashes_of(bits: int):
@@ -510,17 +551,15 @@ def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits:
         return staged(made, "finished", f"{base}/{label}")
 
     result = finished(matches, None, None, "by-hash")
-    fields = ["sdoc", "scopy", "spos", "len", "words"]
-    made = result.select("doc_id", "copy", F.explode("claims").alias("c"))
-    claims = made.select("c.*").select(*fields).distinct().groupBy(F.col("sdoc").alias("doc_id"))
-    claims = claims.agg(F.collect_list(F.struct("scopy", "spos", "len", "words")).alias("claims"))
-    checked = texts.where("text is not null").select("doc_id", "copy", "text").join(claims, "doc_id")
-    false = staged(checked.mapInArrow(_false, CLAIM.replace(":", "")), "false", f"{base}/false")
+    made = result.select("doc_id", "copy", F.explode("claims").alias("c")).select(*KEY, "c.*")
+    false = staged(false_pieces(made, texts), "false", f"{base}/false")
     if not false.isEmpty():
-        bad = made.select(*KEY, "c.*").join(false, fields)
+        cut = made.mapInArrow(_pieces, f"{PIECE_ROWS}, doc_id long, copy int, pos int")
+        bad = made.join(cut.join(false, list(PIECE), "left_semi").select(*KEY, "pos").distinct(), [*KEY, "pos"])
+        bad = staged(bad, "bad", f"{base}/bad")
         spans = _lists(bad.select("doc_id", F.struct("copy", "pos", "len").alias("bad")), "bad", "bad")
         doubtful = nominated.mapInArrow(_nominated(bits, False), ROWS).join(
-            false.mapInArrow(_hashes_of(bits), "h long").distinct(), "h", "left_semi"
+            bad.select("words").distinct().mapInArrow(_hashes_of(bits), "h long").distinct(), "h", "left_semi"
         )
         worded = doubtful.join(texts.select("doc_id", "copy", "text"), list(KEY)).mapInArrow(
             _with_words, f"{ROWS}, words string"
