@@ -88,7 +88,6 @@ def expected_pieces(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     out = Counter()
     for i, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -98,6 +97,22 @@ def expected_pieces(rows):
     return out
 
 
+def test_word_encoder_gives_the_ids_of_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    random.seed(3)
+    alphabet = "aabcdeeilmnorsttuvwz'0129.,!?-|#\n\t  éüßñжя\xa0\u2003…“”½²" + "漢İΣσ\u0301\x00"
+    texts = ["".join(random.choices(alphabet, k=random.randint(0, 120))) for _ in range(400)]
+    texts += ["".join(random.choices(alphabet[:54], k=random.randint(0, 120))) for _ in range(400)]
+    texts += ["", "it's they've i'll 'd ''s don't'sfoo ...'s a'lls 12'm3", "x" * 500, "<|endoftext|> a", " ".join("ab" * k for k in range(60))]
+    t = Tokenizer.from_file(WORDS)
+    ids, ends = packing.WordEncoder(WORDS).encode(texts, 0)
+    for text, lo, hi in zip(texts, ends[:-1], ends[1:], strict=True):
+        assert ids[lo:hi].tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], text
+
+
 def test_packing_pieces_and_places(docs, odd, empty):
     for df in (docs, odd):
         made = staged(packing.pieces(df, WORDS), "pieces")

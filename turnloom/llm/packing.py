@@ -16,19 +16,15 @@ import functools
 import re
 import unicodedata
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnloom.llm.common import staged
+
 CAPACITY = 2048
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 200_000
-ENCODE_AT_ONCE = 2_000
-#: Fixed value: what a token that ends a word ends with.
-END_MARK = "</w>"
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies) in the order of the places
 
@@ -157,108 +153,134 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 #: Texts of these characters only (Latin, Greek, Cyrillic, dashes and quotes), without U+0130,
 #: are split into parts here; the tokenizer's own classes agree on them.
 _PLAIN = re.compile("[^\\x00-\u012f\u0131-\u04ff\u2010-\u2027\u2030-\u205e]")
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+#: What the tokenizer file splits off after an apostrophe, and white space.
+_ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @functools.lru_cache(maxsize=1)
-def _splitter():
-    """The tokenizer file's own pattern, with its white space written out."""
+def _classes():
+    """The class of each code point of plain texts."""
+    import numpy as np
     import regex
 
-    space = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{space}\p{{L}}\p{{N}}]+")
+    made = np.full(0x2060, _OTHER, "u1")
+    for kind, pattern in ((_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}"), (_SPACE, f"[{_BLANK}]")):
+        made[[i for i in range(len(made)) if regex.fullmatch(pattern, chr(i))]] = kind
+    return made
 
 
 class WordEncoder:
-    """Token ids of texts by a ``tokenizers`` file, with a cache by part of a text.
+    """Token ids of texts by a ``tokenizers`` file, many texts at a time.
 
     The tokenizer of the file composes characters, maps case, splits a text by a pattern, drops
     the white space and encodes each part by itself. So the ids of a text are those of its parts
-    one after the other. Texts with characters outside the plain ranges, or not composed, are
-    encoded whole. ``whole`` does so with all, for files where none of this holds.
+    one after the other, and each distinct part of a batch is encoded once. Texts with characters
+    outside the plain ranges, not composed, or with the content of an added token are encoded
+    whole by the library. ``whole`` does so with all, for files where none of this holds.
     """
 
-    def __init__(self, tokenizer_file: str, whole: bool = False, cache_words: int = CACHE_WORDS):
-        self.file, self.whole, self.most, self.cache = tokenizer_file, whole, cache_words, {}
+    def __init__(self, tokenizer_file: str, whole: bool = False):
+        self.file, self.whole = tokenizer_file, whole
 
-    def _load(self):
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(self.file)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(self.file)
 
     @functools.cached_property
-    def tokenizer(self):
-        return self._load()
+    def added(self) -> list[str]:
+        return [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     @functools.cached_property
-    def parts_only(self):
-        """For parts, which are split and in lower case already."""
-        from tokenizers import normalizers, pre_tokenizers
+    def merger(self):
+        from turnloom.llm.wordbpe import WordMerger
 
-        made = self._load()
-        made.normalizer = normalizers.Sequence([])
-        bytes_only = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), bytes_only])
-        return made
+        return WordMerger(self.file)
 
-    @functools.cached_property
-    def ends(self):
-        """Whether the token of an id ends a word, by the mark that the file gives such tokens."""
+    def _library_ids(self, text: str):
         import numpy as np
 
-        vocabulary = self.parts_only.get_vocab()
-        made = np.zeros(max(vocabulary.values()) + 1, bool)
-        made[[i for token, i in vocabulary.items() if token.endswith(END_MARK)]] = True
-        return made
+        # one at a time: an encoding takes far more room than its ids
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "u4")
 
-    def _whole_ids(self, texts: list[str]) -> list[bytes]:
-        made = []
-        for text in texts:  # one at a time: an encoding takes far more room than its ids
-            (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-            made.append(array("I", found.ids).tobytes())
-        return made
+    def plain(self, text: str) -> bool:
+        return not (
+            self.whole or _PLAIN.search(text) or any(x in text for x in self.added) or not unicodedata.is_normalized("NFC", text)
+        )
 
-    def _part_ids(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part: many are encoded as one text and told apart by their last tokens."""
+    def parts(self, texts: list[str]):
+        """The parts of plain lower-case texts as a dictionary array, and the place of each text's first."""
+        import numpy as np
+        import pyarrow as pa
+
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le"), "<u4")
+        kind = _classes()[points]
+        begins = np.ones(len(points), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        for at in np.flatnonzero(begins & (points == ord("'"))).tolist():
+            after = points[at + 1 : at + 3].tobytes().decode("utf-32-le")
+            ending = next((x for x in _ENDINGS if after.startswith(x)), "")
+            if ending:  # the ending belongs to the apostrophe, and a new part begins behind it
+                begins[at + 1] = False
+                if at + 1 + len(ending) < len(points):
+                    begins[at + 1 + len(ending)] = True
+        start = np.flatnonzero(begins)
+        width = 1 + (points > 0x7F).astype("i8") + (points > 0x7FF)
+        place = np.concatenate(([0], np.cumsum(width)))
+        offsets = np.append(place[start], place[-1])
+        raw = pa.py_buffer("\n".join(texts).encode())
+        made = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), raw)
+        words = kind[start] != _SPACE
+        lengths = np.fromiter(map(len, texts), "i8", len(texts)) + 1
+        first = np.searchsorted(start[words], np.cumsum(lengths) - lengths)
+        return made.filter(pa.array(words)).dictionary_encode(), first
+
+    def _distinct_ids(self, words):
+        """Flat ids of distinct parts and where those of each begin and end."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        from turnloom.llm.wordbpe import LONGEST
+
+        long = pc.greater(pc.binary_length(words), LONGEST).to_numpy(zero_copy_only=False)
+        if not long.any():
+            return self.merger(words)
+        ids, ends = self.merger(words.filter(pc.invert(long)))
+        made = [self._library_ids(x) for x in words.filter(long).to_pylist()]
+        size = np.empty(len(words), "i8")
+        size[~long], size[long] = np.diff(ends), [len(x) for x in made]
+        flat = np.empty(size.sum(), "u4")
+        from_long = np.repeat(long, size)
+        flat[~from_long], flat[from_long] = ids, np.concatenate(made)
+        return flat, np.concatenate(([0], np.cumsum(size)))
+
+    def encode(self, texts: list[str], end_id: int):
+        """Flat ids of all texts, each followed by ``end_id``, and where those of each begin and end."""
         import numpy as np
 
-        made: list[bytes] = []
-        for at in range(0, len(parts), ENCODE_AT_ONCE):
-            own = parts[at : at + ENCODE_AT_ONCE]
-            (found,) = self.parts_only.encode_batch_fast(["\n".join(own)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(own):
-                raw = ids.tobytes()
-                made += [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
-            else:  # a part whose tokens bear no mark
-                made += self._whole_ids(own)
-        return made
-
-    @staticmethod
-    def plain(text: str) -> bool:
-        return not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text.
-
-        A plain text is cut at ASCII white space, which no part crosses, and the ids of such a
-        word, which are those of its parts, are kept. Others are encoded whole.
-        """
-        if self.whole:
-            return self._whole_ids(texts)
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        cache = self.cache
-        words = [_lower(text).encode().split() if self.plain(text) else None for text in texts]
-        new = [x for x in set().union(*(own for own in words if own)) if x not in cache]
-        split = [_splitter().findall(x.decode()) for x in new]
-        parts = list(set().union(*split))
-        ids = dict(zip(parts, self._part_ids(parts), strict=True))
-        cache.update((x, b"".join([ids[p] for p in own])) for x, own in zip(new, split, strict=True))
-        rest = iter(self._whole_ids([t for t, own in zip(texts, words, strict=True) if own is None]))
-        return [next(rest) if own is None else b"".join([cache[x] for x in own]) for own in words]
+        plain = [self.plain(x) for x in texts]
+        words, first = self.parts([_lower(x) if ok else "" for x, ok in zip(texts, plain, strict=True)])
+        flat, ends = self._distinct_ids(words.dictionary) if len(words) else (np.zeros(0, "u4"), np.zeros(1, "i8"))
+        # one more part: the end; and one for each text that the library encodes
+        rest = [self._library_ids(x) for x, ok in zip(texts, plain, strict=True) if not ok]
+        flat = np.concatenate((flat, [end_id], *rest)).astype("u4")
+        sizes = np.concatenate((np.diff(ends), [1], [len(x) for x in rest])).astype("i8")
+        begin = np.cumsum(sizes) - sizes
+        n = len(words.dictionary)
+        last = np.append(first[1:], len(words))
+        odd = np.flatnonzero(~np.array(plain, bool))
+        order = np.argsort(np.concatenate((odd, np.arange(len(last)))), kind="stable")  # a text's ids, then its end
+        at = np.concatenate((last[odd], last))[order]
+        part = np.insert(words.indices.to_numpy(), at, np.concatenate((n + 1 + np.arange(len(odd)), np.full(len(last), n)))[order])
+        per = np.diff(np.append(first, len(words))) + 1
+        per[odd] += 1
+        size = sizes[part]
+        ids = flat[np.repeat(begin[part] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        return ids, np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(per)))]
 
 
 def _lower(text: str) -> str:
@@ -268,7 +290,7 @@ def _lower(text: str) -> str:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(tokenizer_file: str, whole: bool) -> WordEncoder:
-    """Kept for the life of a Python worker, so its cache serves the tasks that follow."""
+    """Kept for the life of a Python worker."""
     return WordEncoder(tokenizer_file, whole)
 
 
@@ -293,23 +315,21 @@ def pieces(
         import pyarrow as pa
 
         encoder = _encoder(tokenizer_file, whole)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            made = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), made, strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    values = (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own)
-                    for column, value in zip(rows, values, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = [pa.array(x, k) for x, k in zip(rows, kinds, strict=False)]
+            if not len(batch):
+                continue
+            ids, ends = encoder.encode([x or "" for x in batch.column("text").to_pylist()], end_id)
+            n_pieces = -(-np.diff(ends) // capacity)
+            owner = np.repeat(np.arange(len(batch)), n_pieces)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            start = piece * capacity
+            length = np.minimum(np.diff(ends)[owner] - start, capacity)
+            raw, at = memoryview(ids.astype("<u4").tobytes()), ends[owner] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
             if with_ids:
-                flat = np.frombuffer(b"".join(rows[5]), "<i4")
-                offsets = np.concatenate(([0], np.cumsum(rows[3], dtype="int64"))).astype("int32")
-                columns.append(pa.ListArray.from_arrays(offsets, flat))
+                offsets = np.append(at, len(ids)).astype("int32")
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids.view("i4"))))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
@@ -329,10 +349,9 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = made.drop("sequence_id", "offset")
     rows = made.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
-    counts = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")).cache()
+    counts = staged(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     if not histogram:
-        counts.unpersist()
         return made.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     counts = counts.select("length", "part", before.alias("before"))
