@@ -362,7 +362,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))
     ranked = (
         rows.withColumn("within", within)
-        .join(counts, ["length", "part"])
+        .join(counts.hint("merge"), ["length", "part"])
         .withColumn("rank", F.col("before") + F.col("within") - 1)
     )
     here = places.withColumnRenamed("length", "place_length")
