@@ -2,7 +2,7 @@ from collections import Counter
 
 from turnloom.llm import substring
 
-CLAIMS = "sdoc long, scopy int, spos int, len int, words string"
+CLAIMS = "sdoc long, scopy long, spos int, len int, words string"
 
 
 def test_claims_on_one_source_are_not_put_together(spark):
@@ -12,7 +12,8 @@ def test_claims_on_one_source_are_not_put_together(spark):
     rows = [(1, 0, s, n, " ".join(words[s : s + n])) for s, n in spans]
     wrong = [(1, 0, 100, 200, " ".join([*words[100:299], "other"])), (1, 0, 1480, 30, " ".join([*words[1480:], *["more"] * 10])), (2, 0, 0, 13, "x " * 12 + "x")]
     claims = spark.createDataFrame(rows + wrong, CLAIMS)
-    texts = spark.createDataFrame([(1, 0, " ".join(words)), (2, 1, "x " * 12 + "x"), (3, 0, None)], "doc_id long, copy int, text string")
+    texts = [(1, 0, " ".join(words)), (2, 1, "x " * 12 + "x"), (3, 0, None)]
+    texts = spark.createDataFrame(texts, "doc_id long, copy long, text string").mapInArrow(substring._packed, "doc_id long, copy long, z binary")
     found = substring.false_pieces(claims, texts)
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.sdoc, r.block * substring.BLOCK + r["at"], r.n, r.words.split(" ")[-1]) for r in found.collect()}

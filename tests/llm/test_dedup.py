@@ -52,13 +52,34 @@ def test_substring_odd_rows(odd, empty):
     assert substring.deduplicated(empty).count() == 0
 
 
-def test_index_compacts_to_one_sorted_run(spark, docs):
-    index = substring.FingerprintIndex(spark, fanout=1)
-    index.add(docs.where("doc_id < 100"))
-    index.add(docs.where("doc_id >= 100"))
-    assert len(index.runs) == 1
-    rows = spark.table(index.runs[0])
-    assert rows.count() == rows.distinct().count() > 0
+def test_standing_index_takes_later_batches(spark, docs):
+    """Four batches over a reopened index equal brute force over all; runs are compacted on the way."""
+    parts = [docs.where(F.floor(F.col("doc_id") / 60) == k) for k in range(3)] + [docs.where("doc_id >= 180")]
+    index = substring.SubstringIndex(spark)
+
+    made = [index.add(x) for x in parts[:2]]
+    index = substring.SubstringIndex.open(spark, index.path)
+    assert len(index.runs) == 2 and index.seq == 2
+    made += [index.add(x) for x in parts[2:]]
+    assert len(index.runs) == 2 and index.seq == 4
+    old = spark.table(index.runs[0][0])
+    assert len(old.inputFiles()) <= index.buckets and len(spark.table(index.runs[0][1]).inputFiles()) <= index.buckets
+    with substring._settings(spark):
+        plan = old.join(spark.table(index.runs[1][0]).hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort [" not in plan  # the runs are merged as they are
+    got = Counter(tuple(r)[:1] + tuple(r)[2:] for x in made for r in x.collect())
+    assert got == brute_substring(plain(docs))
+    index.close()
+
+
+def test_index_orders_by_batch_then_id(spark):
+    """A later batch gives way to an earlier one, whatever the ids; a document sent again isn't its own source."""
+    same = " ".join(f"w{k}" for k in range(20))
+    index = substring.SubstringIndex(spark)
+    one = index.add(spark.createDataFrame([(10, same), (11, same)], "doc_id long, text string"))
+    two = index.add(spark.createDataFrame([(3, same + " end"), (10, same), (None, same), (12, "x " + same)], "doc_id long, text string"))
+    assert {(r.doc_id, r.n_removed) for r in one.collect()} == {(10, 0), (11, 20)}
+    assert {(r.doc_id, r.n_removed) for r in two.collect()} == {(3, 20), (10, 0), (None, 0), (12, 20)}
     index.close()
 
 

@@ -4,8 +4,9 @@ The unit is a window of 13 words. The index doesn't hold all windows: of every w
 the least hash of the 7-word windows inside it, about one for every four words. Equal windows
 have equal least hashes, so a window that occurs in two documents always shows up as a shared
 fingerprint. Each batch of documents becomes an immutable run, hash-bucketed and sorted by
-fingerprint. A new run is merge-joined with the runs before it, bucket by bucket and without a
-shuffle; when there are more than FANOUT runs they are compacted into one.
+fingerprint, beside its texts. It is merge-joined with the runs before it, bucket by bucket,
+without a shuffle or a sort, and its repeats are removed; when there are FANOUT runs they are
+compacted into one before the next comes, again bucket by bucket.
 
 Shared fingerprints only nominate windows. Nominated windows are matched by hashes of all their
 words, in stretches first, runs of matches become claims "these words stand there too", and every
@@ -15,85 +16,128 @@ hashes collided), the windows it covers are matched again by the words themselve
 
 from __future__ import annotations
 
+import functools
 import uuid
+from contextlib import contextmanager
 from functools import reduce
-from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import shared_dir, staged
+from turnloom.llm.common import ASCII_SPACE, shared_dir, staged
 
 WINDOW = 13
 GRAM = 7
 #: Runs that an index holds before they are compacted.
 FANOUT = 2
-CACHE_WORDS = 300_000
 #: Words of a source's text that a piece of a claim is verified against.
 BLOCK = 64
+#: Bytes of text hashed at once, or one text that is longer.
+SLICE = 2_000_000
 
 KEY = ("doc_id", "copy")
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+def _seq():
+    """The batch that a text came with: the upper half of its ``copy``."""
+    return F.shiftright("copy", 32)
 
-        made = self[word] = xxh3_64_intdigest(word)
-        return made
+
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers_to(base: int, bits: int):
+    import numpy as np
+
+    made = np.full(1 << bits, base, "u8")
+    made[0] = 1
+    return np.cumprod(made)
+
+
+def _powers(base: int, n: int):
+    """base ** 0, 1, ... n - 1 modulo 2 ** 64."""
+    return _powers_to(base, max(n.bit_length(), 16))[:n]
+
+
+def _mixed(total):
+    import numpy as np
+
+    for _ in range(2):
+        total ^= total >> np.uint64(32)
+        total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(32)
+    return total
 
 
 class Hasher:
     """Hashes of words and of windows of words; ``bits`` below 64 weakens them, for tests."""
 
     def __init__(self, bits: int = 64):
-        self.cache = _WordHashes()
         self.bits = bits
 
-    def words(self, words: list[bytes]):
-        import numpy as np
-
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        return np.fromiter(map(self.cache.__getitem__, words), "u8", len(words))
-
     def texts(self, texts: list[bytes]):
         """Word hashes of all texts in a row, the start of each text, and, for each place at which
         a window could begin, its text and whether the window ends in that text too."""
         import numpy as np
 
-        words = [x.split() for x in texts]
-        sizes = np.fromiter(map(len, words), "i8", len(words))
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        hashes = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(words)), "u8", int(sizes.sum()))
-        owner = np.repeat(np.arange(len(words)), sizes)
+        blanks = np.zeros(256, bool)
+        blanks[list(ASCII_SPACE.encode())] = True
+        raw = np.frombuffer(b" ".join([*texts, b""]), "u1")
+        blank = blanks[raw]
+        begins = ~blank
+        begins[1:] &= blank[:-1]
+        start = np.flatnonzero(begins)
+        if len(start):
+            place = np.arange(start[0], len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+            value = _powers(_MULTIPLIER, int(place.max()) + 1)[place] * (raw[start[0] :] + np.uint64(1))
+            value[blank[start[0] :]] = 0
+            hashes = _mixed(np.add.reduceat(value, start - start[0]))
+        else:
+            hashes = np.zeros(0, "u8")
+        sizes = np.fromiter(map(len, texts), "i8", len(texts)) + 1
+        starts = np.searchsorted(start, np.cumsum(sizes) - sizes)
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(start))))
         n = max(len(hashes) - WINDOW + 1, 0)
-        return hashes, np.cumsum(sizes) - sizes, owner[:n], owner[:n] == owner[WINDOW - 1 :]
+        return hashes, starts, owner[:n], owner[:n] == owner[WINDOW - 1 :]
+
+    def spans(self, hashes, first, n):
+        """One hash for each span of ``n`` hashes from ``first``, whatever stands around it."""
+        import numpy as np
+
+        total = np.zeros(len(hashes) + 1, "u8")
+        np.cumsum(hashes * _powers(_MULTIPLIER, len(hashes)), out=total[1:])
+        made = (total[first + n] - total[first]) * _powers(_INVERSE, len(hashes) + 1)[first]
+        return _mixed(made) >> np.uint64(64 - self.bits)
 
     def windows(self, hashes, size: int):
         """One hash for each window of ``size`` words."""
         import numpy as np
 
-        n = max(len(hashes) - size + 1, 0)
-        total = np.full(n, size, "u8")
-        for i in range(size):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-        for _ in range(2):
-            total ^= total >> np.uint64(32)
-            total *= np.uint64(0xD6E8FEB86659FD93)
-        total ^= total >> np.uint64(32)
-        return total >> np.uint64(64 - self.bits)
+        return self.spans(hashes, np.arange(max(len(hashes) - size + 1, 0)), size)
 
-    def anchors(self, hashes):
-        """For each window of WINDOW words, the least hash of the GRAM-word windows inside it."""
+    def stretches(self, texts: list[bytes]):
+        """Stretches of windows with one least hash of the GRAM-word windows inside them: that hash,
+        text, first place among all words and number of windows; then the window hashes and the
+        start of each text."""
         import numpy as np
 
-        grams = self.windows(hashes, GRAM)
-        span = WINDOW - GRAM + 1
-        if len(grams) < span:
-            return grams[:0]
-        return np.lib.stride_tricks.sliding_window_view(grams, span).min(axis=1)
+        hashes, starts, owner, inside = self.texts(texts)
+        least = self.windows(hashes, GRAM)
+        reach, span = 1, WINDOW - GRAM + 1
+        while reach < span:
+            step = min(reach, span - reach)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            reach += step
+        least = least[: len(owner)]
+        place = np.flatnonzero(inside)
+        least, own = least[place], owner[place]
+        edge = np.ones(len(place), bool)
+        edge[1:] = (np.diff(place) != 1) | (own[1:] != own[:-1]) | (least[1:] != least[:-1])
+        edge = np.flatnonzero(edge)
+        n = np.diff(np.append(edge, len(place)))
+        return least[edge], own[edge], place[edge], n, hashes, starts
 
 
 def _batch(columns, names):
@@ -102,91 +146,46 @@ def _batch(columns, names):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def _slices(batches):
+    """Parts of the batches whose texts together are not over SLICE bytes, and these texts."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        begin, size, texts = 0, 0, []
+        for k, z in enumerate(batch.column("z").to_pylist()):
+            text = unpack.decompress(z)
+            if texts and size + len(text) > SLICE:
+                yield batch.slice(begin, len(texts)), texts
+                begin, size, texts = k, 0, []
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield batch.slice(begin, len(texts)), texts
+
+
+def _numbers(column):
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _fingerprints(bits: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         hasher = Hasher(bits)
-        for batch in batches:
-            doc_ids = batch.column("doc_id")
-            texts = [
-                text.encode() if text and doc_id is not None else b""
-                for doc_id, text in zip(doc_ids.to_pylist(), batch.column("text").to_pylist(), strict=True)
-            ]
-            hashes, _, owner, inside = hasher.texts(texts)
-            found, owner = hasher.anchors(hashes)[inside], owner[inside]
+        for batch, texts in _slices(batches):
+            found, owner, *_ = hasher.stretches(texts)
             order = np.lexsort((found, owner))
             found, owner = found[order], owner[order]
-            new = np.concatenate(([True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])))[: len(found)]
-            ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)[owner[new]]
-            yield _batch([pa.array(found[new].view("i8")), pa.array(ids)], ["fp", "doc_id"])
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
+            ids = _numbers(batch.column("doc_id"))[owner[new]]
+            yield _batch([pa.array(found[new].view("i8")), pa.array(ids, pa.int64())], ["fp", "doc_id"])
 
     return run
 
 
-class FingerprintIndex:
-    """Runs of (fp, doc_id), bucketed and sorted by fp, in the shared folder.
-
-    ``add`` appends a batch and returns the rows, old and new, whose fingerprint the batch shares
-    with a document before it or within it. Runs never change; compaction writes a new one and
-    then drops those it replaces.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, bits: int = 64):
-        self.spark, self.fanout, self.bits = spark, fanout, bits
-        self.path = path or shared_dir(spark, "fingerprints")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, "fp")
-            .sortWithinPartitions("fp", "doc_id")
-            .write.bucketBy(self.buckets, "fp")
-            .sortBy("fp")
-            .option("path", f"{self.path}/{name}")
-            .option("compression", "zstd")
-            .saveAsTable(name)
-        )
-        return name
-
-    def add(self, docs: DataFrame) -> DataFrame:
-        made = docs.select("doc_id", "text").mapInArrow(_fingerprints(self.bits), "fp long, doc_id long")
-        name = self._write(made)
-        new = self.spark.table(name)
-        several = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        rest, hits = new.join(several.hint("merge"), "fp", "left_anti"), [new.join(several.hint("merge"), "fp", "left_semi")]
-        for run in self.runs:  # each row of the batch is nominated once
-            old = self.spark.table(run)
-            hits.append(rest.join(old.select("fp").hint("merge"), "fp", "left_semi"))
-            hits.append(old.join(new.select("fp").hint("merge"), "fp", "left_semi"))
-            rest = rest.join(old.select("fp").hint("merge"), "fp", "left_anti")
-        shared = reduce(DataFrame.unionByName, hits).select("doc_id", "fp")
-        shared = staged(shared, "shared", f"{self.path}/shared-{len(self.runs)}-{name}")
-        self.runs.append(name)
-        if len(self.runs) > self.fanout:
-            self.compact()
-        return shared
-
-    def compact(self) -> None:
-        """Merge the runs into one, then drop them."""
-        before = list(self.runs)
-        merged = self._write(reduce(DataFrame.unionByName, [self.spark.table(x) for x in before]).distinct())
-        self.runs = [merged]
-        for name in before:
-            self._drop(name)
-
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        remove(self.spark, f"{self.path}/{name}")
-
-    def close(self) -> None:
-        while self.runs:
-            self._drop(self.runs.pop())
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this run wrote to the shared folder."""
     jvm = spark.sparkContext._jvm
@@ -194,114 +193,101 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def _copies(docs: DataFrame) -> DataFrame:
+def _copies(docs: DataFrame, seq: int) -> DataFrame:
     """doc_id, copy, text: rows of one doc_id with different texts get different copies."""
+    base = F.lit(seq << 32).cast("long")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return docs.select("doc_id", F.lit(0).alias("copy"), "text")
+        return docs.select("doc_id", base.alias("copy"), "text")
     twice = docs.join(again.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("h"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
-    numbers = twice.distinct().withColumn("copy", number).withColumnsRenamed({"doc_id": "d", "h": "hh"})
+    numbers = twice.distinct().withColumn("number", number).withColumnsRenamed({"doc_id": "d", "h": "hh"})
     same = F.col("d").eqNullSafe(F.col("doc_id")) & F.col("hh").eqNullSafe(F.sha2("text", 256))
-    return docs.join(numbers, same, "left").select("doc_id", F.coalesce("copy", F.lit(0)).alias("copy"), "text")
+    return docs.join(numbers, same, "left").select("doc_id", (base + F.coalesce("number", F.lit(0))).alias("copy"), "text")
 
 
 def _packed(batches):
-    """Texts as compressed words joined by one blank: what is shuffled to meet the hits."""
+    """Texts compressed: what is shuffled, kept and read again."""
     import pyarrow as pa
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
-        texts = [pack.compress(b" ".join((x or "").encode().split())) for x in batch.column("text").to_pylist()]
+        texts = [pack.compress((x or "").encode()) for x in batch.column("text").to_pylist()]
         yield _batch([batch.column("doc_id"), batch.column("copy"), pa.array(texts, pa.binary())], ["doc_id", "copy", "z"])
 
 
-def _prepare(batches):
-    """Counts and digest of each text; only a text with shared fingerprints is carried on."""
-    import hashlib
+def _marked(hasher: Hasher, batch, texts):
+    """The stretches of each text whose least hash is in the text's own list ``fps``."""
+    import numpy as np
 
-    import pyarrow as pa
-    import zstandard
+    odd = np.uint64(_MULTIPLIER)
+    least, owner, place, n, hashes, starts = hasher.stretches(texts)
+    marks = batch.column("fps")
+    at = np.repeat(np.arange(len(marks), dtype="u8"), np.diff(_numbers(marks.offsets)))
+    # Membership by (document, fingerprint); a chance hit only nominates a window more.
+    shared = np.sort(_numbers(marks.flatten()).view("u8") + at * odd)
+    keys = least + owner.astype("u8") * odd
+    where = np.searchsorted(shared, keys)
+    where[where == len(shared)] = 0
+    hit = shared[where] == keys if len(shared) else np.zeros(len(keys), bool)
+    return least[hit], owner[hit], place[hit], n[hit], hasher.windows(hashes, WINDOW), starts
 
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        texts = [unpack.decompress(z) for z in batch.column("z").to_pylist()]
-        none = batch.column("fps").is_null().to_pylist()
-        digests = [hashlib.sha256(x).hexdigest() if no else None for x, no in zip(texts, none, strict=True)]
-        yield _batch(
-            [
-                batch.column("doc_id"),
-                batch.column("copy"),
-                pa.array([x.count(b" ") + 1 if x else 0 for x in texts], pa.int64()),
-                pa.array(digests, pa.string()),
-                pa.array([None if no else x.decode() for x, no in zip(texts, none, strict=True)], pa.string()),
-                batch.column("fps"),
-            ],
-            ["doc_id", "copy", "n_words", "sha", "text", "fps"],
-        )
 
+def _stretched(bits: int):
+    """Rows (h, fp, doc_id, copy, pos, n): a stretch of n nominated windows with one least hash fp.
+    Stretches begin and end by their own words, so equal passages have equal stretches."""
 
-def _nominated(bits: int, spans: bool):
-    """Rows (h, doc_id, copy, pos, n) of the nominated windows of each text.
+    def run(batches):
+        import pyarrow as pa
 
-    With ``spans``, one row for each stretch of n windows that have the same least hash; stretches
-    begin and end by their own words, so equal passages have equal stretches. Without, one row
-    for each window, of the stretches that ``at`` lists if there is such a column.
-    """
+        hasher = Hasher(bits)
+        for batch, texts in _slices(batches):
+            least, owner, place, n, windows, starts = _marked(hasher, batch, texts)
+            h = hasher.spans(windows, place, n)
+            doc_ids, copies = _numbers(batch.column("doc_id"))[owner], _numbers(batch.column("copy"))[owner]
+            columns = (h.view("i8"), least.view("i8"), doc_ids, copies, (place - starts[owner]).astype("i4"), n.astype("i4"))
+            yield _batch([pa.array(x) for x in columns], ["h", "fp", "doc_id", "copy", "pos", "n"])
+
+    return run
+
+
+def _windowed(bits: int):
+    """Rows (h, doc_id, copy, pos, n = 1): every window of the stretches that ``at`` lists, or of all
+    nominated stretches if there is no such column."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest
 
         hasher = Hasher(bits)
-        odd = np.uint64(0x9E3779B97F4A7C15)
-        for batch in batches:
-            hashes, starts, owner, inside = hasher.texts([x.encode() for x in batch.column("text").to_pylist()])
-            windows = hasher.windows(hashes, WINDOW)
-            doc_ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "copy"))
-            listed = "at" in batch.schema.names
-            marks = batch.column("at" if listed else "fps")
-            at = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
-            if listed:
-                copy, pos, n = (marks.flatten().field(x).to_numpy(zero_copy_only=False) for x in ("copy", "pos", "n"))
-                mine = copy == copies[at]
-                first, n = (starts[at] + pos)[mine], n[mine].astype("i8")
-                place = np.unique(np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                h, n = windows[place], np.ones(len(place), "i4")
+        for batch, texts in _slices(batches):
+            doc_ids, copies = _numbers(batch.column("doc_id")), _numbers(batch.column("copy"))
+            if "at" in batch.schema.names:
+                marks = batch.column("at")
+                owner = np.repeat(np.arange(len(marks)), np.diff(_numbers(marks.offsets)))
+                copy, pos, n = (_numbers(marks.flatten().field(x)) for x in ("copy", "pos", "n"))
+                mine = copy == copies[owner]
+                hashes, starts, all_owners, _ = hasher.texts(texts)
+                windows = hasher.windows(hashes, WINDOW)
+                owner, n = owner[mine], n[mine].astype("i8")
+                first = starts[owner] + pos[mine]
             else:
-                # Membership in the document's own list, by (document, fingerprint); a chance hit
-                # only nominates a window more.
-                shared = np.sort(marks.flatten().to_numpy(zero_copy_only=False).view("u8") + at.astype("u8") * odd)
-                anchors = hasher.anchors(hashes)
-                keys = anchors + owner.astype("u8") * odd
-                where = np.searchsorted(shared, keys)
-                where[where == len(shared)] = 0
-                hit = (shared[where] == keys) & inside if len(shared) else np.zeros(len(keys), bool)
-                place = np.flatnonzero(hit)
-                if spans:
-                    joins = (np.diff(place) == 1) & (np.diff(owner[place]) == 0) & (anchors[place][1:] == anchors[place][:-1])
-                    edge = np.flatnonzero(np.concatenate(([True], ~joins)))[: len(place)]
-                    n = np.diff(np.append(edge, len(place))).astype("i4")
-                    place = place[edge]
-                    raw = memoryview(windows.tobytes())
-                    parts = (raw[8 * p : 8 * (p + k)] for p, k in zip(place.tolist(), n.tolist(), strict=True))
-                    h = np.fromiter((xxh3_64_intdigest(x) for x in parts), "u8", len(place)) >> np.uint64(64 - bits)
-                else:
-                    h, n = windows[place], np.ones(len(place), "i4")
-            own = owner[place]
-            columns = (h.view("i8"), doc_ids[own], copies[own], (place - starts[own]).astype("i4"), n)
+                _, owner, first, n, windows, starts = _marked(hasher, batch, texts)
+            place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            owner = np.repeat(owner, n)
+            columns = (windows[place].view("i8"), doc_ids[owner], copies[owner], (place - starts[owner]).astype("i4"), np.ones(len(place), "i4"))
             yield _batch([pa.array(x) for x in columns], ["h", "doc_id", "copy", "pos", "n"])
 
     return run
 
 
-ROWS = "h long, doc_id long, copy int, pos int, n int"
+ROWS = "h long, doc_id long, copy long, pos int, n int"
 PIECE = ("sdoc", "scopy", "block", "at", "n", "words")
-PIECE_ROWS = "sdoc long, scopy int, block int, at int, n int, words string"
-CLAIM = "sdoc: bigint, scopy: int, spos: int, len: int, words: string"
+PIECE_ROWS = "sdoc long, scopy long, block int, at int, n int, words string"
+CLAIM = "sdoc: bigint, scopy: bigint, spos: int, len: int, words: string"
+GONE = "array<struct<copy: bigint, pos: int, n: int, sdoc: bigint, scopy: bigint, spos: int>>"
 
 
 def _finish(batches):
@@ -316,31 +302,27 @@ def _finish(batches):
     import pyarrow as pa
 
     claim = pa.struct(
-        [("sdoc", pa.int64()), ("scopy", pa.int32()), ("spos", pa.int32()), ("len", pa.int32()), ("words", pa.string()), ("pos", pa.int32())]
+        [("sdoc", pa.int64()), ("scopy", pa.int64()), ("spos", pa.int32()), ("len", pa.int32()), ("words", pa.string()), ("pos", pa.int32())]
     )
 
     def stretched(listed, copy):
         """pos, sdoc, scopy, spos of every single window of this copy."""
         if not listed.is_valid:
             return [np.zeros(0, "i8")] * 4
-        mine = listed.values.field("copy").to_numpy(zero_copy_only=False) == copy
-        pos, n, sdoc, scopy, spos = (
-            listed.values.field(x).to_numpy(zero_copy_only=False).astype("i8")[mine] for x in ("pos", "n", "sdoc", "scopy", "spos")
-        )
+        mine = _numbers(listed.values.field("copy")) == copy
+        pos, n, sdoc, scopy, spos = (_numbers(listed.values.field(x)).astype("i8")[mine] for x in ("pos", "n", "sdoc", "scopy", "spos"))
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return [np.repeat(pos, n) + step, np.repeat(sdoc, n), np.repeat(scopy, n), np.repeat(spos, n) + step]
 
-    for batch in batches:
+    for batch, texts in _slices(batches):
         out: list[list] = [[], [], [], []]
         lists = (batch.column(c) for c in ("gone", "bad", "extra"))
-        rows = zip(*(batch.column(c).to_pylist() for c in ("copy", "n_words", "sha", "text")), *lists, strict=True)
-        for copy, n, sha, text, gone, bad, extra in rows:
+        for copy, text, gone, bad, extra in zip(batch.column("copy").to_pylist(), texts, *lists, strict=True):
             claims: list[dict] = []
-            removed = 0
-            if text is not None and not (gone.is_valid or bad.is_valid or extra.is_valid):
-                sha = hashlib.sha256(text.encode()).hexdigest()
-            elif text is not None:
-                words = np.array(text.split(" "), dtype=object)
+            words, removed = text.split(), 0
+            n = len(words)
+            kept = words
+            if gone.is_valid or bad.is_valid or extra.is_valid:
                 found = stretched(gone, copy)
                 for span in (bad.as_py() or []) if bad.is_valid else []:
                     if span["copy"] != copy:
@@ -355,6 +337,7 @@ def _finish(batches):
                 edges[pos + WINDOW] -= 1
                 keep = np.cumsum(edges)[:n] == 0
                 removed = n - int(keep.sum())
+                kept = [words[k] for k in np.flatnonzero(keep).tolist()]
                 same = (np.diff(pos) == 1) & (np.diff(sdoc) == 0) & (np.diff(scopy) == 0) & (np.diff(spos) == 1)
                 starts = np.flatnonzero(np.concatenate(([True], ~same)))[: len(pos)]
                 for s, e in zip(starts.tolist(), np.append(starts[1:], len(pos)).tolist(), strict=False):
@@ -365,12 +348,11 @@ def _finish(batches):
                             "scopy": int(scopy[s]),
                             "spos": int(spos[s]),
                             "len": length,
-                            "words": " ".join(words[here : here + length]),
+                            "words": b" ".join(words[here : here + length]).decode(),
                             "pos": here,
                         }
                     )
-                sha = hashlib.sha256(" ".join(words[keep]).encode()).hexdigest()
-            for column, value in zip(out, (n, removed, sha, claims), strict=True):
+            for column, value in zip(out, (n, removed, hashlib.sha256(b" ".join(kept)).hexdigest(), claims), strict=True):
                 column.append(value)
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(claim))
         yield _batch(
@@ -384,7 +366,7 @@ def _pieces(batches):
     words), and the claim's own columns in ``keys``, if it has them."""
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
     for batch in batches:
         keys = [c for c in ("doc_id", "copy", "pos") if c in batch.schema.names]
         out: list[list] = [[], [], [], [], [], []]
@@ -406,30 +388,37 @@ def _blocks(batches):
     """The words of each block of BLOCK words of a text."""
     import pyarrow as pa
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string())
-    for batch in batches:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+    for batch, texts in _slices(batches):
         out: list[list] = [[], [], [], []]
-        for doc_id, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
-            words = text.split(" ")
+        for doc_id, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy")), texts, strict=True):
+            words = text.split()
             for at in range(0, len(words), BLOCK):
-                for column, value in zip(out, (doc_id, copy, at // BLOCK, " ".join(words[at : at + BLOCK])), strict=True):
+                piece = b" ".join(words[at : at + BLOCK]).decode()
+                for column, value in zip(out, (doc_id, copy, at // BLOCK, piece), strict=True):
                     column.append(value)
         yield _batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["sdoc", "scopy", "block", "source"])
 
 
-def false_pieces(claims: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pieces of claims (sdoc, scopy, spos, len, words) that the words of the source don't bear out.
+def false_pieces(claims: DataFrame, *texts: DataFrame) -> DataFrame:
+    """The pieces of claims (sdoc, scopy, spos, len, words) that the words of the source, one of
+    ``texts`` (doc_id, copy, z), don't bear out.
 
     Claims on one source can be as many as its later copies, so they are never put together by
     source: a row is a piece of BLOCK words at most, and meets only its block of the source.
     Pieces of true claims are few for a block, however many claims there are.
     """
-    sources = claims.select(F.col("sdoc").alias("doc_id"), F.col("scopy").alias("copy")).distinct()
-    known = texts.where("text is not null").select("doc_id", "copy", "text").join(sources, list(KEY), "left_semi")
-    known = known.mapInArrow(_blocks, "sdoc long, scopy int, block int, source string")
+    sources = claims.select(F.col("sdoc").alias("doc_id")).distinct()
+    known = [
+        x.select("doc_id", F.col("copy").cast("long").alias("copy"), "z")
+        .join(sources.hint("merge"), "doc_id", "left_semi")
+        .mapInArrow(_blocks, "sdoc long, scopy long, block int, source string")
+        for x in texts
+    ]
     pieces = claims.select("sdoc", "scopy", "spos", "len", "words").mapInArrow(_pieces, PIECE_ROWS).distinct()
     there = F.array_join(F.slice(F.split("source", " "), F.col("at") + 1, F.col("n")), " ")
     same = F.coalesce((F.col("source") == F.col("words")) | (there == F.col("words")), F.lit(False))
+    known = reduce(DataFrame.unionByName, known)
     return pieces.join(known, ["sdoc", "scopy", "block"], "left").where(~same).select(*PIECE)
 
 
@@ -444,7 +433,7 @@ def _hashes_of(bits: int):
         for batch in batches:
             made = [np.zeros(0, "u8")]
             for words in batch.column("words").to_pylist():
-                made.append(hasher.windows(hasher.words(words.encode().split(b" ")), WINDOW))
+                made.append(hasher.windows(hasher.texts([words.encode()])[0], WINDOW))
             yield _batch([pa.array(np.unique(np.concatenate(made)).view("i8"))], ["h"])
 
     return run
@@ -454,29 +443,34 @@ def _with_words(batches):
     """The words of single windows, for matching without a hash."""
     import pyarrow as pa
 
-    for batch in batches:
-        rows = zip(batch.column("text").to_pylist(), batch.column("pos").to_pylist(), strict=True)
-        words = [" ".join(text.split(" ")[pos : pos + WINDOW]) for text, pos in rows]
-        names = ["h", "doc_id", "copy", "pos", "n"]
+    names = ["h", "doc_id", "copy", "pos", "n"]
+    for batch, texts in _slices(batches):
+        words = [b" ".join(text.split()[pos : pos + WINDOW]).decode() for text, pos in zip(texts, batch.column("pos").to_pylist(), strict=True)]
         yield _batch([*(batch.column(c) for c in names), pa.array(words, pa.string())], [*names, "words"])
 
 
 def _firsts(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` that occur in several documents, each with ``src``, its first occurrence. Tasks add
+    """The first place, ``src``, of each ``by``: earlier batches first, then the least doc_id. Tasks add
     up their own rows before the shuffle, so one that all documents share costs a row from each."""
-    place = F.struct("doc_id", "copy", "pos")
-    first = rows.groupBy(*by).agg(F.min(place).alias("src"), F.max("doc_id").alias("last"))
-    return first.select(*by, "src", "last")
+    place = F.struct(_seq().alias("seq"), "doc_id", "copy", "pos")
+    return rows.groupBy(*by).agg(F.min(place).alias("src"), F.max(place).alias("last"))
+
 
+def _repeats(seq: int):
+    """Whether a row of batch ``seq`` stands in an earlier document too."""
+    before = (F.col("src.seq") < seq) | (F.col("src.doc_id") < F.col("doc_id"))
+    return (_seq() == seq) & before & (F.col("src.doc_id") != F.col("doc_id"))
 
-def _later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows that also stand in a document of smaller doc_id: doc_id, gone.
+
+def _later(rows: DataFrame, by: list[str], seq: int) -> DataFrame:
+    """Rows of batch ``seq`` that also stand in an earlier document: doc_id, gone.
 
     The first places are written before the join: a join of two plain shuffles can be split where
     a row is very common, a join with an aggregation beside it can't.
     """
-    first = staged(_firsts(rows, by).where("src.doc_id < last").drop("last"), "firsts")
-    return rows.join(first, by).where("doc_id > src.doc_id").select("doc_id", _gone())
+    several = F.col("last.seq") == seq, F.col("src.doc_id") != F.col("last.doc_id")
+    first = staged(_firsts(rows, by).where(several[0] & several[1]).drop("last"), "firsts")
+    return rows.where(_seq() == seq).join(first, by).where(_repeats(seq)).select("doc_id", _gone())
 
 
 def _gone():
@@ -490,83 +484,205 @@ def _lists(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(column).alias(name))
 
 
-def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = FANOUT, bits: int = 64) -> DataFrame:
+@contextmanager
+def _settings(spark: SparkSession, **values: str):
+    """Session settings while a batch is added: sorted bucket files are merge-joined as they are."""
+    names = {k: f"spark.sql.{v}" for k, v in _SETTINGS.items()}
+    values = {"sorted_buckets": "true", "sorted_aggregates": "true"} | values
+    before = {names[k]: spark.conf.get(names[k]) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(names[k], v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+_SETTINGS = {
+    "sorted_buckets": "legacy.bucketedTableScan.outputOrdering",
+    "sorted_aggregates": "execution.replaceHashWithSortAgg",
+    "drop_buckets": "sources.bucketing.autoBucketedScan.enabled",
+}
+
+
+class SubstringIndex:
+    """A standing index in the shared folder: runs of (fp, doc_id) bucketed and sorted by fp, each
+    beside the texts (doc_id, copy, z) that it was made of, bucketed and sorted by doc_id.
+
+    ``add`` appends a batch and returns its rows with what is left of them. Runs never change;
+    compaction writes new ones, then drops those they replace. A manifest, written last, names the
+    runs, so that ``open`` finds the index as it was after the last batch that was added whole.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, bits: int = 64):
+        self.spark, self.fanout, self.bits = spark, fanout, bits
+        self.path = path or shared_dir(spark, "substring")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[str, str]] = []  # fingerprints, texts
+        self.seq = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SubstringIndex:
+        """The index at ``path`` as its last manifest has it, in this session or another."""
+        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*/_SUCCESS")
+        found = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(fs_path)
+        last = max(x.getPath().getParent().toString() for x in found)
+        index = cls(spark, path)
+        for r in sorted(spark.read.parquet(last).collect(), key=lambda r: r.place):
+            index.fanout, index.bits, index.buckets, index.seq = r.fanout, r.bits, r.buckets, r.seq
+            if r.prints:
+                index.runs.append((r.prints, r.texts))
+                for name, columns, by in ((r.prints, "fp BIGINT, doc_id BIGINT", "fp"), (r.texts, "doc_id BIGINT, copy BIGINT, z BINARY", "doc_id")):
+                    spark.sql(
+                        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                        f"INTO {r.buckets} BUCKETS LOCATION '{path}/{name}'"
+                    )
+        return index
+
+    def _commit(self) -> None:
+        runs = self.runs or [(None, None)]
+        rows = [(k, *run, self.buckets, self.fanout, self.bits, self.seq) for k, run in enumerate(runs)]
+        schema = "place int, prints string, texts string, buckets int, fanout int, bits int, seq long"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.path}/manifest-{self.seq:010d}-{len(self.runs)}")
+
+    def _write(self, rows: DataFrame, kind: str, by: str, *more: str) -> str:
+        name = f"{kind}_{uuid.uuid4().hex}"
+        writer = rows.sortWithinPartitions(by, *more).write.bucketBy(self.buckets, by).sortBy(by)
+        writer.option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        return name
+
+    def compact(self) -> None:
+        """Merge the runs into one, bucket by bucket, then drop them."""
+        before, self.runs = self.runs, []
+        with _settings(self.spark, drop_buckets="false"):
+            merged = [reduce(DataFrame.unionByName, [self.spark.table(x) for x in names]) for names in zip(*before, strict=True)]
+            self.runs = [(self._write(merged[0], "prints", "fp", "doc_id"), self._write(merged[1], "texts", "doc_id"))]
+        self._commit()
+        for names in before:
+            self._drop(names)
+
+    def _drop(self, names: tuple[str, ...]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Drop the index."""
+        while self.runs:
+            self._drop(self.runs.pop())
+        remove(self.spark, self.path)
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """doc_id, copy, n_words, n_removed, kept_sha256 of the rows of ``docs``.
+
+        A word goes if a window of 13 words that covers it also starts in a document of an earlier
+        batch, or in one of this batch with a smaller doc_id. Rows of one doc_id are no sources for
+        each other. A row with a null doc_id keeps all its words and is not indexed. A null or
+        empty text has no words. Columns beside doc_id and text are not read.
+        """
+        with _settings(self.spark):
+            return self._add(docs)
+
+    def _add(self, docs: DataFrame) -> DataFrame:
+        spark, bits, seq = self.spark, self.bits, self.seq
+        if len(self.runs) >= self.fanout:
+            self.compact()
+        work = f"{self.path}/work-{seq}"
+        packed = _copies(docs, seq).mapInArrow(_packed, "doc_id long, copy long, z binary")
+        texts_name = self._write(packed.where("doc_id is not null").repartition(self.buckets, "doc_id"), "texts", "doc_id")
+        texts = spark.table(texts_name)
+        name = self._write(texts.mapInArrow(_fingerprints(bits), "fp long, doc_id long").repartition(self.buckets, "fp"), "prints", "fp", "doc_id")
+        new, merge = spark.table(name), lambda df: df.select("fp").hint("merge")
+        several = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        rest, hits, old_hits = new.join(merge(several), "fp", "left_anti"), [new.join(merge(several), "fp", "left_semi")], []
+        for run, _ in self.runs:  # each row of the batch is nominated once
+            old = spark.table(run)
+            hits.append(rest.join(merge(old), "fp", "left_semi"))
+            old_hits.append(old.join(merge(new), "fp", "left_semi"))
+            rest = rest.join(merge(old), "fp", "left_anti")
+
+        def nominated(texts: list[DataFrame], hits: list[DataFrame], label: str) -> list[DataFrame]:
+            rows = staged(reduce(DataFrame.unionByName, hits).select("doc_id", "fp"), label, f"{work}/{label}")
+            lists = rows.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+            return [x.join(lists.hint("merge"), "doc_id") for x in texts]
+
+        before = [spark.table(x) for _, x in self.runs]
+        marked = nominated([texts], hits, "hits") + (nominated(before, old_hits, "old-hits") if before else [])
+        rows = [x.mapInArrow(_stretched(bits), f"h long, fp long, {ROWS.partition(', ')[2]}") for x in marked]
+        stretches = staged(reduce(DataFrame.unionByName, rows), "stretches", f"{work}/stretches")
+
+        # Stretches first: one that an earlier document has too is settled as a whole. The others are
+        # looked at window by window, if another stretch has the same fingerprint.
+        firsts = staged(_firsts(stretches, ["h", "fp"]).drop("last"), "firsts", f"{work}/firsts")
+        placed = stretches.join(firsts.drop("fp"), "h").select(
+            "fp", "doc_id", "copy", _repeats(seq).alias("repeats"), ((_seq() == seq) | (F.col("src.copy") == F.col("copy"))).alias("stays"), _gone()
+        )
+        placed = staged(placed, "placed", f"{work}/placed")
+        whole = placed.where("repeats").select("doc_id", "gone")
+        mixed = firsts.groupBy("fp").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
+        mixed = staged(mixed.select("fp"), "mixed", f"{work}/mixed")
+        at = F.struct("gone.copy", "gone.pos", "gone.n").alias("at")
+        left = placed.where("stays and not repeats").select("fp", "doc_id", at).join(mixed.hint("merge"), "fp", "left_semi")
+        left = _lists(left, "at", "at")
+        rows = [x.join(left.hint("merge"), "doc_id").mapInArrow(_windowed(bits), ROWS) for x in (texts, *before)]
+        single = staged(reduce(DataFrame.unionByName, rows), "single", f"{work}/single")
+        matches = whole.unionByName(_later(single, ["h"], seq))
+        matches = staged(_lists(matches, "gone", "gone"), "gone", f"{work}/gone")
+
+        def finished(gone: DataFrame, bad: DataFrame | None, extra: DataFrame | None, label: str) -> DataFrame:
+            rows = texts.join(gone.hint("merge"), "doc_id", "left")
+            rows = rows.join(bad, "doc_id") if bad else rows.withColumn("bad", F.lit(None).cast("array<struct<copy: bigint, pos: int, len: int>>"))
+            rows = rows.join(extra, "doc_id", "left") if extra else rows.withColumn("extra", F.lit(None).cast(GONE))
+            return staged(_finished(rows), label, f"{work}/{label}")
+
+        result = finished(matches, None, None, "by-hash")
+        made = result.select("doc_id", "copy", F.explode("claims").alias("c")).select(*KEY, "c.*")
+        false = staged(false_pieces(made, texts, *before), "false", f"{work}/false")
+        if not false.isEmpty():
+            cut = made.mapInArrow(_pieces, f"{PIECE_ROWS}, doc_id long, copy long, pos int")
+            bad = made.join(cut.join(false, list(PIECE), "left_semi").select(*KEY, "pos").distinct(), [*KEY, "pos"])
+            bad = staged(bad, "bad", f"{work}/bad")
+            spans = _lists(bad.select("doc_id", F.struct("copy", "pos", "len").alias("bad")), "bad", "bad")
+            hashes = bad.select("words").distinct().mapInArrow(_hashes_of(bits), "h long").distinct()
+            doubtful = reduce(DataFrame.unionByName, [x.mapInArrow(_windowed(bits), ROWS) for x in marked]).join(hashes, "h", "left_semi")
+            known = reduce(DataFrame.unionByName, [texts, *before])
+            worded = doubtful.join(known, list(KEY)).mapInArrow(_with_words, f"{ROWS}, words string")
+            extra = _lists(_later(worded, ["h", "words"], seq).withColumnRenamed("gone", "extra"), "extra", "extra")
+            again = finished(matches, staged(spans, "spans", f"{work}/spans"), extra, "by-words")
+            result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)  # both are written
+        unnamed = packed.where("doc_id is null").withColumns({"gone": F.lit(None).cast(GONE), "extra": F.lit(None).cast(GONE)})
+        unnamed = _finished(unnamed.withColumn("bad", F.lit(None).cast("array<struct<copy: bigint, pos: int, len: int>>")))
+        result = staged(result.unionByName(unnamed).drop("claims"), "result")
+        self.runs.append((name, texts_name))
+        self.seq += 1
+        self._commit()
+        remove(spark, work)
+        return result
+
+
+def _finished(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "copy", "z", "gone", "bad", "extra").mapInArrow(
+        _finish, f"doc_id long, copy long, n_words long, n_removed long, kept_sha256 string, claims array<struct<{CLAIM}, pos: int>>"
+    )
+
+
+def deduplicated(docs: DataFrame, batches: int = 3, fanout: int = FANOUT, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row for each row of ``docs``.
 
     A word goes if a window of 13 words that covers it also starts in a document of smaller
-    doc_id, judged on the input. Documents join the index in ``batches`` ranges of doc_id. A null
-    or empty text, or one of fewer than 13 words, keeps all it has. A row with a null doc_id
-    keeps all its words and is no source. Rows that repeat a doc_id are no sources for each
-    other. Columns beside doc_id and text are not read.
+    doc_id, judged on the input. Documents join an index, which is dropped in the end, in ``batches``
+    ranges of doc_id; for nulls, empty texts and repeated rows see ``SubstringIndex.add``.
     """
     spark = docs.sparkSession
-    docs = _copies(docs)
-    base = shared_dir(spark, "substring")
-    index = FingerprintIndex(spark, f"{base}/index", fanout, bits)
+    index = SubstringIndex(spark, fanout=fanout, bits=bits)
     edges = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     edges = sorted(set(edges))
-    d, shared = F.col("doc_id"), []
-    for lo, hi in zip([None, *edges], [*edges, None], strict=True):
-        part = docs.where((F.lit(True) if lo is None else d > lo) & (F.lit(True) if hi is None else d <= hi))
-        shared.append(index.add(part))
-    index.close()  # a standing index would stay open for the batches to come
-    hits = reduce(DataFrame.unionByName, shared).groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    packed = docs.mapInArrow(_packed, "doc_id long, copy int, z binary")
-    prepared = packed.join(hits, "doc_id", "left").mapInArrow(
-        _prepare, "doc_id long, copy int, n_words long, sha string, text string, fps array<long>"
-    )
-    name = f"texts_{uuid.uuid4().hex}"
-    writer = prepared.write.bucketBy(index.buckets, "doc_id").sortBy("doc_id")
-    writer.option("path", f"{base}/{name}").option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
-    remove(spark, f"{base}/index")
-    nominated = texts.where("fps is not null").select("doc_id", "copy", "text", "fps")
-
-    # Stretches first: a stretch that an earlier document has too is settled as a whole, and only
-    # those that no earlier document has are looked at window by window.
-    stretches = staged(nominated.mapInArrow(_nominated(bits, True), ROWS), "stretches", f"{base}/stretches")
-    placed = stretches.join(staged(_firsts(stretches, ["h"]), "firsts"), "h")
-    placed = staged(
-        placed.select("doc_id", F.col("src.doc_id").alias("first"), _gone()), "placed", f"{base}/placed"
-    )
-    whole = placed.where("doc_id > first").select("doc_id", "gone")
-    at = F.struct("gone.copy", "gone.pos", "gone.n").alias("at")
-    left = _lists(placed.where("doc_id = first").select("doc_id", at), "at", "at")
-    single = texts.select("doc_id", "copy", "text").join(left, "doc_id").mapInArrow(_nominated(bits, False), ROWS)
-    single = staged(single, "single", f"{base}/single")
-    matches = whole.unionByName(_later(single, ["h"]))
-    matches = staged(_lists(matches, "gone", "gone"), "gone", f"{base}/gone")
-    for label in ("stretches", "placed", "single"):
-        remove(spark, f"{base}/{label}")
-
-    def finished(gone: DataFrame, bad: DataFrame | None, extra: DataFrame | None, label: str) -> DataFrame:
-        none = F.lit(None).cast("array<struct<copy: int, pos: int, n: int, sdoc: bigint, scopy: int, spos: int>>")
-        rows = texts.join(gone, "doc_id", "left")
-        rows = rows.join(bad, "doc_id") if bad else rows.withColumn("bad", F.lit(None).cast("array<struct<copy: int, pos: int, len: int>>"))
-        rows = rows.join(extra, "doc_id", "left") if extra else rows.withColumn("extra", none)
-        made = rows.select("doc_id", "copy", "n_words", "sha", "text", "gone", "bad", "extra").mapInArrow(
-            _finish,
-            f"doc_id long, copy int, n_words long, n_removed long, kept_sha256 string, claims array<struct<{CLAIM}, pos: int>>",
-        )
-        return staged(made, "finished", f"{base}/{label}")
-
-    result = finished(matches, None, None, "by-hash")
-    made = result.select("doc_id", "copy", F.explode("claims").alias("c")).select(*KEY, "c.*")
-    false = staged(false_pieces(made, texts), "false", f"{base}/false")
-    if not false.isEmpty():
-        cut = made.mapInArrow(_pieces, f"{PIECE_ROWS}, doc_id long, copy int, pos int")
-        bad = made.join(cut.join(false, list(PIECE), "left_semi").select(*KEY, "pos").distinct(), [*KEY, "pos"])
-        bad = staged(bad, "bad", f"{base}/bad")
-        spans = _lists(bad.select("doc_id", F.struct("copy", "pos", "len").alias("bad")), "bad", "bad")
-        doubtful = nominated.mapInArrow(_nominated(bits, False), ROWS).join(
-            bad.select("words").distinct().mapInArrow(_hashes_of(bits), "h long").distinct(), "h", "left_semi"
-        )
-        worded = doubtful.join(texts.select("doc_id", "copy", "text"), list(KEY)).mapInArrow(
-            _with_words, f"{ROWS}, words string"
-        )
-        extra = _lists(_later(worded, ["h", "words"]).withColumnRenamed("gone", "extra"), "extra", "extra")
-        again = finished(matches, staged(spans, "spans", f"{base}/spans"), extra, "by-words")
-        result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)  # both are written
-    spark.sql(f"DROP TABLE {name}")
-    remove(spark, f"{base}/{name}")
-    return result.select("doc_id", "n_words", "n_removed", "kept_sha256")
+    d, made = F.col("doc_id"), []
+    try:
+        for lo, hi in zip([None, *edges], [*edges, None], strict=True):
+            own = (F.lit(True) if lo is None else d > lo) & (F.lit(True) if hi is None else d <= hi)
+            made.append(index.add(docs.where(own if lo is not None else own | d.isNull())))
+    finally:
+        index.close()
+    return reduce(DataFrame.unionByName, made).select("doc_id", "n_words", "n_removed", "kept_sha256")
