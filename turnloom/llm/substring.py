@@ -5,8 +5,8 @@ the least hash of the 7-word windows inside it, about one for every four words.
 have equal least hashes, so a window that occurs in two documents always shows up as a shared
 fingerprint. Each batch of documents becomes an immutable run, hash-bucketed and sorted by
 fingerprint, beside its texts. It is merge-joined with the runs before it, bucket by bucket,
-without a shuffle or a sort, and its repeats are removed; when there are FANOUT runs they are
-compacted into one before the next comes, again bucket by bucket.
+without a shuffle or a sort, and its repeats are removed; when there are over FANOUT runs they are
+compacted into one, again bucket by bucket.
 
 Shared fingerprints only nominate windows. Nominated windows are matched by hashes of all their
 words, in stretches first, runs of matches become claims "these words stand there too", and every
@@ -29,11 +29,11 @@ from turnloom.llm.common import ASCII_SPACE, shared_dir, staged
 WINDOW = 13
 GRAM = 7
 #: Runs that an index holds before they are compacted.
-FANOUT = 2
+FANOUT = 4
 #: Words of a source's text that a piece of a claim is verified against.
 BLOCK = 64
 #: Bytes of text hashed at once, or one text that is longer.
-SLICE = 2_000_000
+SLICE = 400_000
 
 KEY = ("doc_id", "copy")
 
@@ -168,24 +168,6 @@ def _numbers(column):
     return column.to_numpy(zero_copy_only=False)
 
 
-def _fingerprints(bits: int):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        hasher = Hasher(bits)
-        for batch, texts in _slices(batches):
-            found, owner, *_ = hasher.stretches(texts)
-            order = np.lexsort((found, owner))
-            found, owner = found[order], owner[order]
-            new = np.ones(len(found), bool)
-            new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
-            ids = _numbers(batch.column("doc_id"))[owner[new]]
-            yield _batch([pa.array(found[new].view("i8")), pa.array(ids, pa.int64())], ["fp", "doc_id"])
-
-    return run
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this run wrote to the shared folder."""
     jvm = spark.sparkContext._jvm
@@ -218,44 +200,27 @@ def _packed(batches):
         yield _batch([batch.column("doc_id"), batch.column("copy"), pa.array(texts, pa.binary())], ["doc_id", "copy", "z"])
 
 
-def _marked(hasher: Hasher, batch, texts):
-    """The stretches of each text whose least hash is in the text's own list ``fps``."""
-    import numpy as np
-
-    odd = np.uint64(_MULTIPLIER)
-    least, owner, place, n, hashes, starts = hasher.stretches(texts)
-    marks = batch.column("fps")
-    at = np.repeat(np.arange(len(marks), dtype="u8"), np.diff(_numbers(marks.offsets)))
-    # Membership by (document, fingerprint); a chance hit only nominates a window more.
-    shared = np.sort(_numbers(marks.flatten()).view("u8") + at * odd)
-    keys = least + owner.astype("u8") * odd
-    where = np.searchsorted(shared, keys)
-    where[where == len(shared)] = 0
-    hit = shared[where] == keys if len(shared) else np.zeros(len(keys), bool)
-    return least[hit], owner[hit], place[hit], n[hit], hasher.windows(hashes, WINDOW), starts
-
-
 def _stretched(bits: int):
-    """Rows (h, fp, doc_id, copy, pos, n): a stretch of n nominated windows with one least hash fp.
-    Stretches begin and end by their own words, so equal passages have equal stretches."""
+    """Rows (fp, h, doc_id, copy, pos, n): n windows from word pos on that have the least hash fp, and
+    a hash of all their words. Stretches begin and end by their own words, so equal passages have
+    equal stretches but at their ends."""
 
     def run(batches):
         import pyarrow as pa
 
         hasher = Hasher(bits)
         for batch, texts in _slices(batches):
-            least, owner, place, n, windows, starts = _marked(hasher, batch, texts)
-            h = hasher.spans(windows, place, n)
+            least, owner, place, n, hashes, starts = hasher.stretches(texts)
+            h = hasher.spans(hasher.windows(hashes, WINDOW), place, n)
             doc_ids, copies = _numbers(batch.column("doc_id"))[owner], _numbers(batch.column("copy"))[owner]
-            columns = (h.view("i8"), least.view("i8"), doc_ids, copies, (place - starts[owner]).astype("i4"), n.astype("i4"))
-            yield _batch([pa.array(x) for x in columns], ["h", "fp", "doc_id", "copy", "pos", "n"])
+            columns = (least.view("i8"), h.view("i8"), doc_ids, copies, (place - starts[owner]).astype("i4"), n.astype("i4"))
+            yield _batch([pa.array(x) for x in columns], PRINT)
 
     return run
 
 
 def _windowed(bits: int):
-    """Rows (h, doc_id, copy, pos, n = 1): every window of the stretches that ``at`` lists, or of all
-    nominated stretches if there is no such column."""
+    """Rows (h, doc_id, copy, pos, n = 1): every window of the stretches that ``at`` lists."""
 
     def run(batches):
         import numpy as np
@@ -264,25 +229,23 @@ def _windowed(bits: int):
         hasher = Hasher(bits)
         for batch, texts in _slices(batches):
             doc_ids, copies = _numbers(batch.column("doc_id")), _numbers(batch.column("copy"))
-            if "at" in batch.schema.names:
-                marks = batch.column("at")
-                owner = np.repeat(np.arange(len(marks)), np.diff(_numbers(marks.offsets)))
-                copy, pos, n = (_numbers(marks.flatten().field(x)) for x in ("copy", "pos", "n"))
-                mine = copy == copies[owner]
-                hashes, starts, all_owners, _ = hasher.texts(texts)
-                windows = hasher.windows(hashes, WINDOW)
-                owner, n = owner[mine], n[mine].astype("i8")
-                first = starts[owner] + pos[mine]
-            else:
-                _, owner, first, n, windows, starts = _marked(hasher, batch, texts)
+            marks = batch.column("at")
+            owner = np.repeat(np.arange(len(marks)), np.diff(_numbers(marks.offsets)))
+            copy, pos, n = (_numbers(marks.flatten().field(x)) for x in ("copy", "pos", "n"))
+            mine = copy == copies[owner]
+            hashes, starts, *_ = hasher.texts(texts)
+            owner, n = owner[mine], n[mine].astype("i8")
+            first = starts[owner] + pos[mine]
             place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-            owner = np.repeat(owner, n)
-            columns = (windows[place].view("i8"), doc_ids[owner], copies[owner], (place - starts[owner]).astype("i4"), np.ones(len(place), "i4"))
+            owner, h = np.repeat(owner, n), hasher.spans(hashes, place, WINDOW)
+            columns = (h.view("i8"), doc_ids[owner], copies[owner], (place - starts[owner]).astype("i4"), np.ones(len(place), "i4"))
             yield _batch([pa.array(x) for x in columns], ["h", "doc_id", "copy", "pos", "n"])
 
     return run
 
 
+PRINT = ["fp", "h", "doc_id", "copy", "pos", "n"]
+PRINT_ROWS = "fp long, h long, doc_id long, copy long, pos int, n int"
 ROWS = "h long, doc_id long, copy long, pos int, n int"
 PIECE = ("sdoc", "scopy", "block", "at", "n", "words")
 PIECE_ROWS = "sdoc long, scopy long, block int, at int, n int, words string"
@@ -318,10 +281,8 @@ def _finish(batches):
         out: list[list] = [[], [], [], []]
         lists = (batch.column(c) for c in ("gone", "bad", "extra"))
         for copy, text, gone, bad, extra in zip(batch.column("copy").to_pylist(), texts, *lists, strict=True):
-            claims: list[dict] = []
-            words, removed = text.split(), 0
-            n = len(words)
-            kept = words
+            words = text.split()
+            n, removed, kept, claims = len(words), 0, b" ".join(words), []
             if gone.is_valid or bad.is_valid or extra.is_valid:
                 found = stretched(gone, copy)
                 for span in (bad.as_py() or []) if bad.is_valid else []:
@@ -332,31 +293,30 @@ def _finish(batches):
                 found = [np.concatenate(x) for x in zip(found, stretched(extra, copy), strict=True)]
                 _, once = np.unique(found[0], return_index=True)
                 pos, sdoc, scopy, spos = (x[once] for x in found)
-                edges = np.zeros(n + 1, "i8")
-                edges[pos] += 1
-                edges[pos + WINDOW] -= 1
-                keep = np.cumsum(edges)[:n] == 0
-                removed = n - int(keep.sum())
-                kept = [words[k] for k in np.flatnonzero(keep).tolist()]
+                ends = np.cumsum(np.fromiter(map(len, words), "i8", n) + 1)  # of each word and its blank
+                begins = np.append(0, ends)
                 same = (np.diff(pos) == 1) & (np.diff(sdoc) == 0) & (np.diff(scopy) == 0) & (np.diff(spos) == 1)
-                starts = np.flatnonzero(np.concatenate(([True], ~same)))[: len(pos)]
-                for s, e in zip(starts.tolist(), np.append(starts[1:], len(pos)).tolist(), strict=False):
-                    length, here = e - s - 1 + WINDOW, int(pos[s])
-                    claims.append(
-                        {
-                            "sdoc": int(sdoc[s]),
-                            "scopy": int(scopy[s]),
-                            "spos": int(spos[s]),
-                            "len": length,
-                            "words": b" ".join(words[here : here + length]).decode(),
-                            "pos": here,
-                        }
-                    )
-            for column, value in zip(out, (n, removed, hashlib.sha256(b" ".join(kept)).hexdigest(), claims), strict=True):
+                first = np.flatnonzero(np.concatenate(([True], ~same)))[: len(pos)]
+                length = np.diff(np.append(first, len(pos))) - 1 + WINDOW
+                here = pos[first]
+                for s, m, c, *src in zip(here.tolist(), length.tolist(), *(x[first].tolist() for x in (sdoc, scopy, spos)), strict=True):
+                    claims.append((c, *src, m, kept[begins[s] : begins[s + m] - 1].decode(), s))
+                edges = np.zeros(n + 1, "i8")
+                np.add.at(edges, here, 1)
+                np.add.at(edges, here + length, -1)
+                gaps = np.diff(np.concatenate(([1], np.cumsum(edges)[:n] > 0, [1])).astype("i1"))  # of words that stay
+                spans = list(zip(np.flatnonzero(gaps < 0).tolist(), np.flatnonzero(gaps > 0).tolist(), strict=True))
+                removed = n - sum(e - s for s, e in spans)
+                kept = b" ".join([kept[begins[s] : begins[e] - 1] for s, e in spans])
+            for column, value in zip(out, (n, removed, hashlib.sha256(kept).hexdigest(), claims), strict=True):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(claim))
+        own = list(zip(*(x for claims in out[3] for x in claims), strict=True)) or [[]] * len(claim)
+        listed = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(own, claim, strict=True)], fields=list(claim))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out[3]]))).astype("i4")
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        made = [pa.array(x, k) for x, k in zip(out, kinds, strict=False)]
         yield _batch(
-            [batch.column("doc_id"), batch.column("copy"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))],
+            [batch.column("doc_id"), batch.column("copy"), *made, pa.ListArray.from_arrays(offsets, listed)],
             ["doc_id", "copy", "n_words", "n_removed", "kept_sha256", "claims"],
         )
 
@@ -488,7 +448,7 @@ def _lists(rows: DataFrame, column: str, name: str) -> DataFrame:
 def _settings(spark: SparkSession, **values: str):
     """Session settings while a batch is added: sorted bucket files are merge-joined as they are."""
     names = {k: f"spark.sql.{v}" for k, v in _SETTINGS.items()}
-    values = {"sorted_buckets": "true", "sorted_aggregates": "true"} | values
+    values = {"sorted_buckets": "true", "sorted_aggregates": "true", "union_partitions": "false"} | values
     before = {names[k]: spark.conf.get(names[k]) for k in values}
     try:
         for k, v in values.items():
@@ -502,13 +462,19 @@ def _settings(spark: SparkSession, **values: str):
 _SETTINGS = {
     "sorted_buckets": "legacy.bucketedTableScan.outputOrdering",
     "sorted_aggregates": "execution.replaceHashWithSortAgg",
-    "drop_buckets": "sources.bucketing.autoBucketedScan.enabled",
+    "all_keys": "requireAllClusterKeysForCoPartition",
+    # A union of bucketed scans says that it is bucketed too, but its partitions are those of the scans
+    # one after the other: an aggregation above it would be wrong.
+    "union_partitions": "unionOutputPartitioning",
 }
+#: Columns that a run is bucketed by (the first) and sorted by, and the others.
+KINDS = {"prints": (("fp", "doc_id", "copy", "pos"), ("h", "n")), "texts": (("doc_id", "copy"), ("z",))}
 
 
 class SubstringIndex:
-    """A standing index in the shared folder: runs of (fp, doc_id) bucketed and sorted by fp, each
-    beside the texts (doc_id, copy, z) that it was made of, bucketed and sorted by doc_id.
+    """A standing index in the shared folder: runs of stretches (fp, h, doc_id, copy, pos, n) bucketed
+    and sorted by fp, each beside the texts (doc_id, copy, z) that it was made of, bucketed and
+    sorted by doc_id.
 
     ``add`` appends a batch and returns its rows with what is left of them. Runs never change;
     compaction writes new ones, then drops those they replace. A manifest, written last, names the
@@ -533,9 +499,10 @@ class SubstringIndex:
             index.fanout, index.bits, index.buckets, index.seq = r.fanout, r.bits, r.buckets, r.seq
             if r.prints:
                 index.runs.append((r.prints, r.texts))
-                for name, columns, by in ((r.prints, "fp BIGINT, doc_id BIGINT", "fp"), (r.texts, "doc_id BIGINT, copy BIGINT, z BINARY", "doc_id")):
+                for name, columns, by in ((r.prints, PRINT_ROWS, "fp"), (r.texts, "doc_id long, copy long, z binary", "doc_id")):
+                    keys = ", ".join(KINDS[name.partition("_")[0]][0])
                     spark.sql(
-                        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) "
+                        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({keys}) "
                         f"INTO {r.buckets} BUCKETS LOCATION '{path}/{name}'"
                     )
         return index
@@ -546,21 +513,28 @@ class SubstringIndex:
         schema = "place int, prints string, texts string, buckets int, fanout int, bits int, seq long"
         self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.path}/manifest-{self.seq:010d}-{len(self.runs)}")
 
-    def _write(self, rows: DataFrame, kind: str, by: str, *more: str) -> str:
-        name = f"{kind}_{uuid.uuid4().hex}"
-        writer = rows.sortWithinPartitions(by, *more).write.bucketBy(self.buckets, by).sortBy(by)
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        name, (keys, _) = f"{kind}_{uuid.uuid4().hex}", KINDS[kind]
+        writer = rows.sortWithinPartitions(*keys).write.bucketBy(self.buckets, keys[0]).sortBy(*keys)
         writer.option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
         return name
 
     def compact(self) -> None:
-        """Merge the runs into one, bucket by bucket, then drop them."""
-        before, self.runs = self.runs, []
-        with _settings(self.spark, drop_buckets="false"):
-            merged = [reduce(DataFrame.unionByName, [self.spark.table(x) for x in names]) for names in zip(*before, strict=True)]
-            self.runs = [(self._write(merged[0], "prints", "fp", "doc_id"), self._write(merged[1], "texts", "doc_id"))]
-        self._commit()
-        for names in before:
-            self._drop(names)
+        """Merge the runs into one, two at a time and bucket by bucket, dropping what each merge replaces."""
+        while len(self.runs) > 1:
+            before, made = self.runs[-2:], []
+            with _settings(self.spark, all_keys="false"):
+                for (kind, (keys, values)), names in zip(KINDS.items(), zip(*before, strict=True), strict=True):
+                    # No key is in two runs, so a full outer merge join is the runs' rows in one order.
+                    old, new = map(self.spark.table, names)
+                    new = new.withColumnsRenamed({x: f"new_{x}" for x in values}).hint("merge")
+                    rows = old.join(new, list(keys), "full_outer")
+                    rows = rows.select(*keys, *[F.coalesce(x, f"new_{x}").alias(x) for x in values])
+                    made.append(self._write(rows, kind))
+            self.runs[-2:] = [tuple(made)]
+            self._commit()
+            for names in before:
+                self._drop(names)
 
     def _drop(self, names: tuple[str, ...]) -> None:
         for name in names:
@@ -586,31 +560,21 @@ class SubstringIndex:
 
     def _add(self, docs: DataFrame) -> DataFrame:
         spark, bits, seq = self.spark, self.bits, self.seq
-        if len(self.runs) >= self.fanout:
-            self.compact()
         work = f"{self.path}/work-{seq}"
         packed = _copies(docs, seq).mapInArrow(_packed, "doc_id long, copy long, z binary")
-        texts_name = self._write(packed.where("doc_id is not null").repartition(self.buckets, "doc_id"), "texts", "doc_id")
+        texts_name = self._write(packed.where("doc_id is not null").repartition(self.buckets, "doc_id"), "texts")
         texts = spark.table(texts_name)
-        name = self._write(texts.mapInArrow(_fingerprints(bits), "fp long, doc_id long").repartition(self.buckets, "fp"), "prints", "fp", "doc_id")
-        new, merge = spark.table(name), lambda df: df.select("fp").hint("merge")
-        several = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        rest, hits, old_hits = new.join(merge(several), "fp", "left_anti"), [new.join(merge(several), "fp", "left_semi")], []
-        for run, _ in self.runs:  # each row of the batch is nominated once
-            old = spark.table(run)
-            hits.append(rest.join(merge(old), "fp", "left_semi"))
-            old_hits.append(old.join(merge(new), "fp", "left_semi"))
-            rest = rest.join(merge(old), "fp", "left_anti")
-
-        def nominated(texts: list[DataFrame], hits: list[DataFrame], label: str) -> list[DataFrame]:
-            rows = staged(reduce(DataFrame.unionByName, hits).select("doc_id", "fp"), label, f"{work}/{label}")
-            lists = rows.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-            return [x.join(lists.hint("merge"), "doc_id") for x in texts]
-
-        before = [spark.table(x) for _, x in self.runs]
-        marked = nominated([texts], hits, "hits") + (nominated(before, old_hits, "old-hits") if before else [])
-        rows = [x.mapInArrow(_stretched(bits), f"h long, fp long, {ROWS.partition(', ')[2]}") for x in marked]
-        stretches = staged(reduce(DataFrame.unionByName, rows), "stretches", f"{work}/stretches")
+        made = texts.mapInArrow(_stretched(bits), PRINT_ROWS)
+        name = self._write(made.repartition(self.buckets, "fp"), "prints")
+        new, before = spark.table(name), [spark.table(x) for _, x in self.runs]
+        olds = [spark.table(x) for x, _ in self.runs]
+        shared, known = new.groupBy("fp").agg((F.min("doc_id") < F.max("doc_id")).alias("shared")), F.col("shared")
+        for k, old in enumerate(olds):
+            shared = shared.join(old.select("fp").distinct().withColumn(f"old{k}", F.lit(True)).hint("merge"), "fp", "left")
+            known = known | F.col(f"old{k}").isNotNull()
+        hits = [new.join(shared.where(known).select("fp").hint("merge"), "fp", "left_semi")]
+        hits += [old.join(new.select("fp").hint("merge"), "fp", "left_semi") for old in olds]
+        stretches = staged(reduce(DataFrame.unionByName, hits), "stretches", f"{work}/stretches")
 
         # Stretches first: one that an earlier document has too is settled as a whole. The others are
         # looked at window by window, if another stretch has the same fingerprint.
@@ -645,9 +609,10 @@ class SubstringIndex:
             bad = staged(bad, "bad", f"{work}/bad")
             spans = _lists(bad.select("doc_id", F.struct("copy", "pos", "len").alias("bad")), "bad", "bad")
             hashes = bad.select("words").distinct().mapInArrow(_hashes_of(bits), "h long").distinct()
-            doubtful = reduce(DataFrame.unionByName, [x.mapInArrow(_windowed(bits), ROWS) for x in marked]).join(hashes, "h", "left_semi")
-            known = reduce(DataFrame.unionByName, [texts, *before])
-            worded = doubtful.join(known, list(KEY)).mapInArrow(_with_words, f"{ROWS}, words string")
+            every = _lists(stretches.select("doc_id", F.struct("copy", "pos", "n").alias("at")), "at", "at")
+            all_texts = reduce(DataFrame.unionByName, [texts, *before])
+            doubtful = all_texts.join(every, "doc_id").mapInArrow(_windowed(bits), ROWS).join(hashes, "h", "left_semi")
+            worded = doubtful.join(all_texts, list(KEY)).mapInArrow(_with_words, f"{ROWS}, words string")
             extra = _lists(_later(worded, ["h", "words"], seq).withColumnRenamed("gone", "extra"), "extra", "extra")
             again = finished(matches, staged(spans, "spans", f"{work}/spans"), extra, "by-words")
             result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)  # both are written
@@ -658,6 +623,8 @@ class SubstringIndex:
         self.seq += 1
         self._commit()
         remove(spark, work)
+        if len(self.runs) > self.fanout:
+            self.compact()
         return result
 
 
@@ -667,12 +634,12 @@ def _finished(rows: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, batches: int = 3, fanout: int = FANOUT, bits: int = 64) -> DataFrame:
+def deduplicated(docs: DataFrame, batches: int = 2, fanout: int = 1, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row for each row of ``docs``.
 
     A word goes if a window of 13 words that covers it also starts in a document of smaller
     doc_id, judged on the input. Documents join an index, which is dropped in the end, in ``batches``
-    ranges of doc_id; for nulls, empty texts and repeated rows see ``SubstringIndex.add``.
+    ranges of doc_id; it is compacted on the way. For nulls, empty texts and repeated rows see ``SubstringIndex.add``.
     """
     spark = docs.sparkSession
     index = SubstringIndex(spark, fanout=fanout, bits=bits)
