@@ -468,6 +468,7 @@ _SETTINGS = {
     "union_partitions": "unionOutputPartitioning",
 }
 #: Columns that a run is bucketed by (the first) and sorted by, and the others.
+COLUMNS = {"prints": PRINT_ROWS, "texts": "doc_id long, copy long, z binary"}
 KINDS = {"prints": (("fp", "doc_id", "copy", "pos"), ("h", "n")), "texts": (("doc_id", "copy"), ("z",))}
 
 
@@ -485,8 +486,8 @@ class SubstringIndex:
         self.spark, self.fanout, self.bits = spark, fanout, bits
         self.path = path or shared_dir(spark, "substring")
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[tuple[str, str]] = []  # fingerprints, texts
-        self.seq = 0
+        self.runs: dict[str, list[str]] = {kind: [] for kind in KINDS}
+        self.seq = self.version = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SubstringIndex:
@@ -495,23 +496,24 @@ class SubstringIndex:
         found = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(fs_path)
         last = max(x.getPath().getParent().toString() for x in found)
         index = cls(spark, path)
+        index.version = int(last.rpartition("-")[2])
         for r in sorted(spark.read.parquet(last).collect(), key=lambda r: r.place):
             index.fanout, index.bits, index.buckets, index.seq = r.fanout, r.bits, r.buckets, r.seq
-            if r.prints:
-                index.runs.append((r.prints, r.texts))
-                for name, columns, by in ((r.prints, PRINT_ROWS, "fp"), (r.texts, "doc_id long, copy long, z binary", "doc_id")):
-                    keys = ", ".join(KINDS[name.partition("_")[0]][0])
-                    spark.sql(
-                        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({keys}) "
-                        f"INTO {r.buckets} BUCKETS LOCATION '{path}/{name}'"
-                    )
+            if r.kind:
+                index.runs[r.kind].append(r.name)
+                keys = KINDS[r.kind][0]
+                spark.sql(
+                    f"CREATE TABLE IF NOT EXISTS {r.name} ({COLUMNS[r.kind]}) USING parquet CLUSTERED BY ({keys[0]}) "
+                    f"SORTED BY ({', '.join(keys)}) INTO {r.buckets} BUCKETS LOCATION '{path}/{r.name}'"
+                )
         return index
 
     def _commit(self) -> None:
-        runs = self.runs or [(None, None)]
-        rows = [(k, *run, self.buckets, self.fanout, self.bits, self.seq) for k, run in enumerate(runs)]
-        schema = "place int, prints string, texts string, buckets int, fanout int, bits int, seq long"
-        self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.path}/manifest-{self.seq:010d}-{len(self.runs)}")
+        runs = [(k, kind, name) for kind, names in self.runs.items() for k, name in enumerate(names)] or [(0, None, None)]
+        rows = [(*run, self.buckets, self.fanout, self.bits, self.seq) for run in runs]
+        schema = "place int, kind string, name string, buckets int, fanout int, bits int, seq long"
+        self.version += 1
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.path}/manifest-{self.version:010d}")
 
     def _write(self, rows: DataFrame, kind: str) -> str:
         name, (keys, _) = f"{kind}_{uuid.uuid4().hex}", KINDS[kind]
@@ -521,30 +523,28 @@ class SubstringIndex:
 
     def compact(self) -> None:
         """Merge the runs into one, two at a time and bucket by bucket, dropping what each merge replaces."""
-        while len(self.runs) > 1:
-            before, made = self.runs[-2:], []
-            with _settings(self.spark, all_keys="false"):
-                for (kind, (keys, values)), names in zip(KINDS.items(), zip(*before, strict=True), strict=True):
+        for kind, (keys, values) in KINDS.items():
+            while len(self.runs[kind]) > 1:
+                *rest, older, newer = self.runs[kind]
+                with _settings(self.spark, all_keys="false"):
                     # No key is in two runs, so a full outer merge join is the runs' rows in one order.
-                    old, new = map(self.spark.table, names)
-                    new = new.withColumnsRenamed({x: f"new_{x}" for x in values}).hint("merge")
-                    rows = old.join(new, list(keys), "full_outer")
-                    rows = rows.select(*keys, *[F.coalesce(x, f"new_{x}").alias(x) for x in values])
-                    made.append(self._write(rows, kind))
-            self.runs[-2:] = [tuple(made)]
-            self._commit()
-            for names in before:
-                self._drop(names)
-
-    def _drop(self, names: tuple[str, ...]) -> None:
+                    new = self.spark.table(newer).withColumnsRenamed({x: f"new_{x}" for x in values}).hint("merge")
+                    rows = self.spark.table(older).join(new, list(keys), "full_outer")
+                    made = self._write(rows.select(*keys, *[F.coalesce(x, f"new_{x}").alias(x) for x in values]), kind)
+                self.runs[kind] = [*rest, made]
+                self._commit()
+                self._drop(older, newer)
+
+    def _drop(self, *names: str) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             remove(self.spark, f"{self.path}/{name}")
 
     def close(self) -> None:
         """Drop the index."""
-        while self.runs:
-            self._drop(self.runs.pop())
+        for names in self.runs.values():
+            self._drop(*names)
+            names.clear()
         remove(self.spark, self.path)
 
     def add(self, docs: DataFrame) -> DataFrame:
@@ -566,8 +566,8 @@ class SubstringIndex:
         texts = spark.table(texts_name)
         made = texts.mapInArrow(_stretched(bits), PRINT_ROWS)
         name = self._write(made.repartition(self.buckets, "fp"), "prints")
-        new, before = spark.table(name), [spark.table(x) for _, x in self.runs]
-        olds = [spark.table(x) for x, _ in self.runs]
+        new, before = spark.table(name), [spark.table(x) for x in self.runs["texts"]]
+        olds = [spark.table(x) for x in self.runs["prints"]]
         shared, known = new.groupBy("fp").agg((F.min("doc_id") < F.max("doc_id")).alias("shared")), F.col("shared")
         for k, old in enumerate(olds):
             shared = shared.join(old.select("fp").distinct().withColumn(f"old{k}", F.lit(True)).hint("merge"), "fp", "left")
@@ -583,6 +583,7 @@ class SubstringIndex:
             "fp", "doc_id", "copy", _repeats(seq).alias("repeats"), ((_seq() == seq) | (F.col("src.copy") == F.col("copy"))).alias("stays"), _gone()
         )
         placed = staged(placed, "placed", f"{work}/placed")
+        remove(spark, f"{work}/stretches")
         whole = placed.where("repeats").select("doc_id", "gone")
         mixed = firsts.groupBy("fp").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi")
         mixed = staged(mixed.select("fp"), "mixed", f"{work}/mixed")
@@ -593,6 +594,7 @@ class SubstringIndex:
         single = staged(reduce(DataFrame.unionByName, rows), "single", f"{work}/single")
         matches = whole.unionByName(_later(single, ["h"], seq))
         matches = staged(_lists(matches, "gone", "gone"), "gone", f"{work}/gone")
+        remove(spark, f"{work}/single")
 
         def finished(gone: DataFrame, bad: DataFrame | None, extra: DataFrame | None, label: str) -> DataFrame:
             rows = texts.join(gone.hint("merge"), "doc_id", "left")
@@ -609,7 +611,7 @@ class SubstringIndex:
             bad = staged(bad, "bad", f"{work}/bad")
             spans = _lists(bad.select("doc_id", F.struct("copy", "pos", "len").alias("bad")), "bad", "bad")
             hashes = bad.select("words").distinct().mapInArrow(_hashes_of(bits), "h long").distinct()
-            every = _lists(stretches.select("doc_id", F.struct("copy", "pos", "n").alias("at")), "at", "at")
+            every = _lists(placed.select("doc_id", at), "at", "at")
             all_texts = reduce(DataFrame.unionByName, [texts, *before])
             doubtful = all_texts.join(every, "doc_id").mapInArrow(_windowed(bits), ROWS).join(hashes, "h", "left_semi")
             worded = doubtful.join(all_texts, list(KEY)).mapInArrow(_with_words, f"{ROWS}, words string")
@@ -619,11 +621,12 @@ class SubstringIndex:
         unnamed = packed.where("doc_id is null").withColumns({"gone": F.lit(None).cast(GONE), "extra": F.lit(None).cast(GONE)})
         unnamed = _finished(unnamed.withColumn("bad", F.lit(None).cast("array<struct<copy: bigint, pos: int, len: int>>")))
         result = staged(result.unionByName(unnamed).drop("claims"), "result")
-        self.runs.append((name, texts_name))
+        self.runs["prints"].append(name)
+        self.runs["texts"].append(texts_name)
         self.seq += 1
         self._commit()
         remove(spark, work)
-        if len(self.runs) > self.fanout:
+        if len(self.runs["prints"]) > self.fanout:
             self.compact()
         return result
 
