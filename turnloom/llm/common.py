@@ -17,6 +17,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of an Arrow batch, or one row that is longer.
+ARROW_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,11 +34,13 @@ def lower_ascii(column: Column) -> Column:
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests in
-    local mode) is a folder of this process taken and set.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset in local mode, as
+    in tests, is a folder of this process taken and set; on a cluster that raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="turnloom-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -49,9 +55,19 @@ def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with a number behind it if ``df`` has such a column."""
+    taken, made = {x.lower() for x in df.columns}, []
+    for name in names:
+        made.append(next(x for x in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if x.lower() not in taken))
+    return made
+
+
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of an Arrow batch: whole texts can be long, so the default of 10,000 is too many."""
+    """Rows of an Arrow batch: whole texts can be long, so the default of 10,000 is too many, and
+    a batch is bounded in bytes as well."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -12,24 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.llm.common import fresh
+
 ROUNDS = 10
 
-#: Fixed patterns of the values, in the order in which they are tried at a place.
+#: Fixed patterns of the values, in the order in which they are tried at a place. Runs are possessive
+#: and begin where no such run is entered, so that a long run without "@" is read once.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "email": r"(?:(?<![\p{L}\p{N}._%+\-])|\G)[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.\-])\d{3}[ .\-]\d{4}(?!\w)",
+    "abroad": r"(?<![\w.])\+(?=(?:[ .\-]?\d){8})\d{1,3}(?:[ .\-]\d{2,5}){2,4}(?![\w])(?!\.\d)",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d|[\p{L}_])",
     "date": r"(?<![\w\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w\-/])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\w\-])",
     "secret": r"(?<!\w)(?=[A-Fa-f]*\d)(?:[0-9a-f]{32}(?:[0-9a-f]{8}|[0-9a-f]{32})?|[0-9A-F]{32}(?:[0-9A-F]{8}|[0-9A-F]{32})?)(?!\w)",
     "access_key": r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)",
+    "token": r"(?<!\w)gh[pousr]_[A-Za-z0-9]{36}(?!\w)",
     "assigned": r"(?<!\w)(?i:password|passwd|pwd|secret|api_?key)\s*[=:]\s*[^\s\",;]{6,}",
 }
 ANY = "|".join(PATTERNS.values())
 
 #: Days from 1800-01-01 to 2199-12-31: the 400 years of the calendar's cycle, 27 * 5411.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 27, 5411
+#: Of these, days after the twelfth of their month: 9 * 9833 in 4,800 months.
+LATE_A, LATE_B, LATE_A_MONTH = 9, 9833, 9 * 9833 / 4800
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -134,6 +141,18 @@ def phone(key: str, value: Column) -> Column:
     return _one(_bare(value), lambda d: _refill(value, made(d)))
 
 
+def abroad(key: str, value: Column) -> Column:
+    """A number with a country code, which stays, in groups of digits, which are permuted."""
+    code = F.regexp_extract(value, r"^\+\d+[ .\-]", 0)
+    rest = F.substr(value, F.length(code) + 1)
+    return F.concat(code, _one(_bare(rest), lambda d: _refill(rest, permuted_digits(key, "abroad", d))))
+
+
+def token(key: str, value: Column) -> Column:
+    """A token of a code host: the four characters at its front stay."""
+    return F.concat(F.left(value, F.lit(4)), permuted_text(key, "token", F.substr(value, F.lit(5))))
+
+
 def ssn(key: str, value: Column) -> Column:
     return _one(_bare(value), lambda d: _refill(value, permuted_digits(key, "ssn", d)))
 
@@ -151,27 +170,43 @@ def ip(key: str, value: Column) -> Column:
 
 
 def date(key: str, value: Column) -> Column:
-    """A day of the 400-year cycle is permuted within it and written as it was written."""
+    """A day of the 400-year cycle is permuted within the days that its spelling can hold.
+
+    With slashes the month comes first if that gives a day. Spellings that only hold with the
+    day first have a day after the twelfth, and such days are permuted among themselves, so no
+    pseudonym is read in the other order.
+    """
+    start = F.lit(FIRST_DAY).cast("date")
     iso = value.rlike("^[0-9]{4}-")
-    day = F.coalesce(
-        F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))),
-        F.when(~iso, F.try_to_timestamp(value, F.lit("MM/dd/yyyy"))),
-        F.when(~iso, F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))),
-    )
-    n = F.datediff(day.cast("date"), F.lit(FIRST_DAY).cast("date"))
-
-    def made(i: Column) -> Column:
-        pair = feistel(key, F.lit("date"), F.floor(i / DAYS_B), i % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B))
-        day = _one(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DAYS_B + p["b"]).cast("int")))
-        month_first = F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).isNotNull()
-        return _one(
-            day,
-            lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd"))
-            .when(month_first, F.date_format(d, "MM/dd/yyyy"))
-            .otherwise(F.date_format(d, "dd/MM/yyyy")),
+    day = lambda form: F.datediff(F.try_to_timestamp(value, F.lit(form)).cast("date"), start)
+
+    def made(n: Column, form: str) -> Column:
+        pair = feistel(key, F.lit("date"), F.floor(n / DAYS_B), n % DAYS_B, F.lit(DAYS_A), F.lit(DAYS_B))
+        new = _one(pair, lambda p: F.date_format(F.date_add(start, (p["a"] * DAYS_B + p["b"]).cast("int")), form))
+        return F.when((n >= 0) & (n < DAYS_A * DAYS_B), new).otherwise(value)
+
+    def late(n: Column) -> Column:
+        on = F.date_add(start, n)
+        rank = n - 12 * ((F.year(on) - int(FIRST_DAY[:4])) * 12 + F.month(on))
+        pair = feistel(key, F.lit("late date"), F.floor(rank / LATE_B), rank % LATE_B, F.lit(LATE_A), F.lit(LATE_B))
+        new = _one(_one(pair, lambda p: p["a"] * LATE_B + p["b"]), lambda r: F.date_format(_late_day(start, r), "dd/MM/yyyy"))
+        return F.when((n >= 0) & (n < DAYS_A * DAYS_B), new).otherwise(value)
+
+    forms = (day("yyyy-MM-dd"), day("MM/dd/yyyy"), day("dd/MM/yyyy"))
+    return F.when(iso, _one(forms[0], lambda n: F.coalesce(made(n, "yyyy-MM-dd"), value))).otherwise(
+        _one(
+            F.struct(forms[1].alias("us"), forms[2].alias("eu")),
+            lambda n: F.when(n["us"].isNotNull(), made(n["us"], "MM/dd/yyyy")).when(n["eu"].isNotNull(), late(n["eu"])).otherwise(value),
         )
+    )
+
 
-    return _one(n, lambda i: F.when((i >= 0) & (i < DAYS_A * DAYS_B), made(i)).otherwise(value))
+def _late_day(start: Column, rank: Column) -> Column:
+    """The day of that rank among the days after the twelfth of their month."""
+    guess = F.floor(rank / LATE_A_MONTH)
+    before = lambda m: F.datediff(F.add_months(start, m.cast("int")), start) - 12 * m
+    months = F.filter(F.sequence(F.greatest(guess - 1, F.lit(0)), guess + 1), lambda m: before(m) <= rank)
+    return _one(F.array_max(months), lambda m: F.date_add(F.add_months(start, m.cast("int")), (12 + rank - before(m)).cast("int")))
 
 
 def secret(key: str, value: Column) -> Column:
@@ -242,7 +277,7 @@ def assigned(key: str, value: Column) -> Column:
 
 
 MAKERS = {"email": email, "phone": phone, "ip": ip, "date": date, "ssn": ssn, "card": card}
-MAKERS |= {"secret": secret, "access_key": access_key, "assigned": assigned}
+MAKERS |= {"abroad": abroad, "token": token, "secret": secret, "access_key": access_key, "assigned": assigned}
 
 
 def pseudonym(key: str, value: Column) -> Column:
@@ -262,23 +297,22 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text", count_col: st
     are left alone and not counted. Other columns and repeated rows pass through; a column named
     ``count_col`` is replaced.
     """
-    key_columns = {"__found", "__made"}
-    if key_columns & set(df.columns):
-        raise ValueError("columns __found and __made are used here")
+    df = df.drop(count_col)
+    found_col, made_col = fresh(df, "found", "made")
     text = F.col(text_col)
     found = F.when(text.rlike("[0-9@=:]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    with_found = df.drop(count_col).withColumn("__found", found)
-    some = F.size("__found") > 0
-    made = F.when(some, F.transform("__found", lambda v: pseudonym(key, v)))
-    with_made = with_found.withColumn("__made", made)
+    with_found = df.withColumn(found_col, found)
+    some = F.size(found_col) > 0
+    made = F.when(some, F.transform(found_col, lambda v: pseudonym(key, v)))
+    with_made = with_found.withColumn(made_col, made)
     joined = F.array_join(
-        F.zip_with(F.split(text, ANY, -1), "__made", lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), ""
+        F.zip_with(F.split(text, ANY, -1), made_col, lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), ""
     )
-    changed = F.size(F.filter(F.zip_with("__found", "__made", lambda a, b: a != b), lambda x: x))
+    changed = F.size(F.filter(F.zip_with(found_col, made_col, lambda a, b: a != b), lambda x: x))
     return with_made.withColumns(
         {
             count_col: F.when(some, changed).otherwise(0).cast("long"),
             text_col: F.when(some, joined).otherwise(text),
         }
-    ).drop("__found", "__made")
+    ).drop(found_col, made_col)
 
