@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 PIECE_CHARS = 16_384
 
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+#: White space as the pattern of the encoding has it, in runs that are cut out.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,8 +50,16 @@ def safe_pieces(text: str, piece_chars: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode_text(enc, text: str | None, piece_chars: int = PIECE_CHARS) -> list[int]:
+    """The ids of ``text``; a null text has none."""
     ids: list[int] = []
-    for piece in safe_pieces(text or "", piece_chars):
+    text, start = text or "", 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        for piece in safe_pieces(text[start : run.start()], piece_chars):
+            ids += enc.encode_ordinary(piece)
+        ids += enc._encode_single_piece(text[run.start() : end])
+        start = end
+    for piece in safe_pieces(text[start:], piece_chars):
         ids += enc.encode_ordinary(piece)
     return ids
 
