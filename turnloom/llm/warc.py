@@ -1,8 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are ordered by page_id. Each is one gzip member, so the places where files roll follow
-from the running sum of member sizes alone: shard k holds the members whose sum before them lies
-in the k-th stretch of ``roll_bytes``. Names, record ids, headers and digests are made from the
+Records are ordered by page_id, then by a hash of the record. Each is one gzip member, so the
+places where files roll follow from the running sum of member sizes alone: shard k holds the
+members whose sum before them lies in the k-th stretch of ``roll_bytes``. Names, record ids, headers and digests are made from the
 row, so equal input gives equal files however Spark splits the work. A task writes a shard under
 a temporary name and renames it when it is whole; the manifest that is written at the end names
 the shards that count, and the reader opens those only.
@@ -139,7 +139,8 @@ def members(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     keyed = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("sha")
     )
-    groups = keyed.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("kept"))
+    # Written first: a join of two plain shuffles can be split where a payload is very common.
+    groups = staged(keyed.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("kept")), "payloads")
     made = keyed.mapInArrow(
         _responses, "page_id long, url string, sha string, size long, digest string, member binary"
     )
@@ -156,20 +157,36 @@ def members(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
     return joined.mapInArrow(_settled, "page_id long, bytes long, member binary")
 
 
-def _shards(sizes: DataFrame, roll_bytes: int) -> list[int]:
-    """The first page_id of every shard but the first: eight bytes for each ``roll_bytes`` written."""
+#: What stands for a null page_id in the order: no id is smaller.
+_NULL = -(1 << 63)
+
+
+def _shards(sizes: DataFrame, roll_bytes: int):
+    """Where shards begin, and the records that are repeated over the end of one.
+
+    The first (page_id, tie) of every shard but the first, and (page_id, tie, shard, copies) for
+    equal records of more than ``roll_bytes`` together: some bytes for each ``roll_bytes`` written.
+    """
     spark = sizes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pages = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
-    ranged = staged(
-        pages.repartitionByRange(parts, "page_id").withColumn("part", F.spark_partition_id()), "ranges"
-    )
+    records = sizes.groupBy("page_id", "tie").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    ranged = staged(records.repartitionByRange(parts, "page_id", "tie").withColumn("part", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("part").agg(F.sum("bytes").alias("sum"))  # a row for each partition
     offsets = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("offset"))
-    before = F.sum("bytes").over(Window.partitionBy("part").orderBy("page_id")) - F.col("bytes") + F.col("offset")
-    shards = ranged.join(F.broadcast(offsets), "part").select("page_id", F.floor(before / roll_bytes).alias("shard"))
-    firsts = shards.groupBy("shard").agg(F.min("page_id").alias("first")).where("shard > 0")
-    return sorted(row["first"] for row in firsts.select("first").collect())
+    before = F.sum("bytes").over(Window.partitionBy("part").orderBy("page_id", "tie")) - F.col("bytes") + F.col("offset")
+    placed = ranged.join(F.broadcast(offsets), "part").select("page_id", "tie", "bytes", "n", before.alias("before"))
+    shards = placed.select(F.struct("page_id", "tie").alias("at"), F.floor(F.col("before") / roll_bytes).alias("shard"))
+    firsts = shards.groupBy("shard").agg(F.min("at").alias("first")).where("shard > 0")
+    edges = sorted((r["shard"], r["first"]["page_id"], r["first"]["tie"]) for r in firsts.collect())
+    spread = []
+    for r in placed.where((F.col("bytes") > roll_bytes) & (F.col("n") > 1)).collect():
+        size, at, left = r["bytes"] // r["n"], r["before"], r["n"]
+        while left:  # as many copies as begin in the shard
+            shard = at // roll_bytes
+            copies = min(left, -(-((shard + 1) * roll_bytes - at) // size))
+            spread.append((r["page_id"], r["tie"], shard, copies))
+            at, left = at + copies * size, left - copies
+    return edges, spread
 
 
 def _filesystem(path: str):
@@ -212,8 +229,8 @@ def _writer(path: str):
             state["bytes"] += len(data)
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "member")), strict=True)
-            for shard, page_id, member in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "member", "copies")), strict=True)
+            for shard, page_id, member, copies in rows:
                 if state.get("shard") != shard:
                     commit()
                     name = f"part-{shard:08d}.warc.gz"
@@ -222,8 +239,9 @@ def _writer(path: str):
                     state.update(shard=shard, file=name, temporary=temporary, out=out, n=0, bytes=0, first=page_id)
                     state["sha"] = hashlib.sha256()
                     put(info)
-                put(member)
-                state["n"] += 1
+                for _ in range(copies):
+                    put(member)
+                state["n"] += copies
                 state["last"] = page_id
         commit()
         columns = list(zip(*done, strict=True)) or [[]] * 7
@@ -241,27 +259,43 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_fro
     page_id is a response and the others are revisits of it; smaller payloads are all responses.
     A null html is an empty payload, a null url gets a urn. A null page_id sorts first, is
     smaller than any other, and never names the response unless all of its group are null. Rows
-    that repeat a page_id are records of their own. Other columns are not read. An empty table
+    that repeat a page_id are records of their own, and responses if it is the largest of their
+    payload. A file may be longer than ``roll_bytes`` by its last record. Other columns are not read. An empty table
     gives an empty manifest.
     """
-    made = staged(members(pages, revisit_from), "members", f"{path}/_members")
-    firsts = _shards(made.select("page_id", "bytes"), roll_bytes)
+    made = members(pages, revisit_from).select(
+        F.coalesce("page_id", F.lit(_NULL)).alias("page_id"), F.xxhash64("member").alias("tie"), "bytes", "member"
+    )
+    made = staged(made, "members", f"{path}/_members")
+    edges, spread = _shards(made.select("page_id", "tie", "bytes"), roll_bytes)
     files, base = _filesystem(path)
     files.create_dir(base, recursive=True)
+    last = max([0, *(x[0] for x in edges), *(x[2] for x in spread)])
 
     def shard(batches):
-        import numpy as np
+        import bisect
+
         import pyarrow as pa
 
-        edges = np.array(firsts, "i8")
+        keys, numbers = [x[1:] for x in edges], [0, *(x[0] for x in edges)]
         for batch in batches:
-            ids = batch.column("page_id").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            at = pa.array(np.searchsorted(edges, ids, side="right").astype("i8"))
+            places = zip(batch.column("page_id").to_pylist(), batch.column("tie").to_pylist(), strict=True)
+            at = pa.array([numbers[bisect.bisect_right(keys, x)] for x in places], pa.int64())
             yield pa.RecordBatch.from_arrays([at, *batch.columns], names=["shard", *batch.schema.names])
 
-    dealt = made.select("page_id", "member").mapInArrow(shard, "shard long, page_id long, member binary")
-    dealt = dealt.repartitionById(len(firsts) + 1, F.col("shard").cast("int"))  # a task for each shard
-    dealt = dealt.sortWithinPartitions("shard", "page_id", "member")
+    rows = made.select("page_id", "tie", "member")
+    form = "page_id long, tie long, shard long, copies long"
+    if spread:  # equal records are brought together once, with their number
+        several = F.broadcast(made.sparkSession.createDataFrame(spread, form))
+        keys = several.select("page_id", "tie").distinct()
+        one = rows.join(keys, ["page_id", "tie"], "left_semi").groupBy("page_id", "tie").agg(F.first("member").alias("member"))
+        one = one.join(several, ["page_id", "tie"]).select("shard", "page_id", "tie", "member", "copies")
+        rows = rows.join(keys, ["page_id", "tie"], "left_anti")
+    dealt = rows.mapInArrow(shard, "shard long, page_id long, tie long, member binary").withColumn("copies", F.lit(1).cast("long"))
+    dealt = dealt.unionByName(one) if spread else dealt
+    dealt = dealt.repartitionById(last + 1, F.col("shard").cast("int"))  # a task for each shard
+    dealt = dealt.sortWithinPartitions("shard", "page_id", "tie", "member")
+    dealt = dealt.select("shard", F.when(F.col("page_id") != _NULL, F.col("page_id")).alias("page_id"), "member", "copies")
     return staged(dealt.mapInArrow(_writer(path), MANIFEST), "manifest", f"{path}/_manifest")
 
 
