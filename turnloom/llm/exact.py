@@ -15,7 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import lower_ascii, shared_dir, staged
+from turnloom.llm.common import fresh, lower_ascii, shared_dir, staged
+
+#: Segments in which a table is landed: later ones meet the state that earlier ones left.
+SEGMENTS = 2
 
 #: State on disk. A run has few batches, so a task closes its store once committed: an open one
 #: holds 4 MB of preallocated files beside its rows.
@@ -41,12 +44,12 @@ def _log(reader, store: str, schema) -> DataFrame:
     """Rows of the log with their locators; ``schema`` is that of the documents."""
     log = reader.schema(schema).option("recursiveFileLookup", "true").parquet(f"{store}/content")
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return log.withColumn("__at", F.struct(F.col("doc_id").cast("long").alias("doc_id"), *place))
+    return log.withColumn(fresh(log, "at")[0], F.struct(F.col("doc_id").cast("long").alias("doc_id"), *place))
 
 
 def _digested(log: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
     norm = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return log.select(norm.alias("norm"), F.col("__at").alias("at")).select(
+    return log.select(norm.alias("norm"), F.col(log.columns[-1]).alias("at")).select(
         digest(F.col("norm")).alias("digest"), "at", "norm"
     )
 
@@ -124,6 +127,13 @@ def resolve(spark: SparkSession, store: str, schema, digest: Callable[[Column],
     return out.select("at", "keep", F.col("group_size").cast("long").alias("group_size"), "digest")
 
 
+def _taken(docs: DataFrame, store: str, digest: Callable[[Column], Column]) -> None:
+    """Land ``docs`` in segments by doc_id and take each into the state before the next lands."""
+    for k in range(SEGMENTS):
+        land(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SEGMENTS)) == k), store, str(k))
+        advance(docs.sparkSession, store, docs.schema, digest)
+
+
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, digest.
 
@@ -134,8 +144,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
     """
     spark = docs.sparkSession
     store, docs = shared_dir(spark, "exact"), docs.select("doc_id", "text")
-    land(docs, store, "0")
-    advance(spark, store, docs.schema, digest)
+    _taken(docs, store, digest)
     return resolve(spark, store, docs.schema, digest).select(
         F.col("at.doc_id").alias("doc_id"),
         F.col("keep.doc_id").alias("keep_id"),
@@ -148,15 +157,15 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataF
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, whole, with their own columns; ties as in ``dedup``.
 
-    The rows come back from the content log by their locators, so of repeated rows one stays. A
-    column named __at is not allowed.
+    The rows come back from the content log by their locators, so of repeated rows one stays.
     """
     spark = docs.sparkSession
     store = shared_dir(spark, "exact")
-    land(docs, store, "0")
-    advance(spark, store, docs.schema)
+    _taken(docs, store, sha256)
     found = resolve(spark, store, docs.schema)
     stay = found.where(F.col("at").eqNullSafe(F.col("keep"))).select("at.file", "at.row")
     log = _log(spark.read, store, docs.schema)
-    same = (F.col("__at.file") == F.col("file")) & (F.col("__at.row") == F.col("row"))
-    return log.join(stay, same, "left_semi").drop("__at")
+    at = log.columns[-1]
+    stay = stay.select(F.struct("file", "row").alias(at + "_kept"))
+    same = (F.col(at)["file"] == F.col(at + "_kept")["file"]) & (F.col(at)["row"] == F.col(at + "_kept")["row"])
+    return log.join(stay, same, "left_semi").drop(at)
