@@ -90,7 +90,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.scored(docs, model)
     return rows.select(
         "doc_id",
-        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),  # a null id has no remainder
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
@@ -105,8 +105,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents enter with an estimate of their tokens, which is then revised to the exact count;
-    the revision is sent twice, as after a lost reply."""
+    """Documents enter with an estimate of their tokens and no language; when that is known they are
+    deleted and inserted anew, then revised to the exact count, which is sent twice, as after a
+    lost reply."""
     arrow_rows(spark)
     file = "byte_bpe_multi_50k.tiktoken"
     docs = table(spark, sf_dir, "documents").select("source", "lang", "text")
@@ -116,7 +117,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(rows, "token-counts")
     totals = rollup.TokenRollup(spark, shared_dir(spark, "rollup"))
     keys = ("source", "lang", "tokenizer")
-    totals.apply("load", rows.select(F.lit("insert").alias("op"), *keys, F.col("estimate").alias("tokens"), F.lit(0).alias("old_tokens")))
+    entered = rows.select("source", F.lit(None).cast("string").alias("lang"), "tokenizer", F.col("estimate").alias("tokens"), F.lit(0).alias("old_tokens"))
+    known = rows.select(*keys, F.col("estimate").alias("tokens"), F.lit(0).alias("old_tokens"))
+    as_op = lambda op, df: df.select(F.lit(op).alias("op"), "*")
+    totals.apply("load", as_op("insert", entered))
+    totals.apply("languages", as_op("delete", entered).unionByName(as_op("insert", known)))
     revised = rows.select(F.lit("revise").alias("op"), *keys, "tokens", F.col("estimate").alias("old_tokens"))
     totals.apply("exact", revised)
     totals.apply("exact", revised)

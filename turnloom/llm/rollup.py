@@ -61,7 +61,11 @@ class TokenRollup:
         return True
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens; groups that deletes have emptied are gone."""
+        """source, lang, tokenizer, n_docs, n_tokens; groups that deletes have emptied are gone.
+        Before the first batch there is none."""
+        fs, pattern = self._at("batch=*")
+        if not fs.globStatus(pattern):
+            return self.spark.createDataFrame([], DELTA)
         deltas = self.spark.read.schema(DELTA).option("basePath", self.path).parquet(f"{self.path}/batch=*")
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")

@@ -69,8 +69,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long), one row for each row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the columns ``carry``, one row for each row."""
 
     def run(batches):
         import pyarrow as pa
@@ -78,12 +78,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
         for batch in batches:
             made = [signed(fingerprint(x, shingle, seed)) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(made, pa.int64())], names=["doc_id", "fp"]
+                [batch.column("doc_id"), pa.array(made, pa.int64()), *map(batch.column, carry)], names=["doc_id", "fp", *carry]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    kept = docs.select(*carry)
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return docs.mapInArrow(run, f"doc_id long, fp long{kinds}")
 
 
 # --- under one node -------------------------------------------------------------------------
@@ -293,15 +294,15 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("a", F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """doc_id, fp, component_id of every row of ``docs``.
+def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp, component_id and the columns ``carry`` of every row of ``docs``.
 
     Documents without words, null texts among them, have fingerprint zero, which links like any
     other. A null doc_id gets a row, but never names a component unless all its members are null.
     Repeated rows give repeated rows. Columns beside doc_id and text are not read.
     """
     spark = docs.sparkSession
-    fps = staged(fingerprints(docs), "fingerprints")
+    fps = staged(fingerprints(docs, carry=carry), "fingerprints")
     first = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(first.select("fp"), node_rows))
     named = first.join(roots, first["fp"] == roots["a"], "left").select(
@@ -310,7 +311,7 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
     named = staged(named, "rooted")
     least = staged(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     lone = staged(named.join(least, "root").select("fp", "component_id"), "by-fingerprint")
-    return fps.join(lone, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(lone, "fp").select("doc_id", "fp", "component_id", *carry)
 
 
 def hex16(column: str):
