@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnloom.llm import exact, packing, pii, quality, simhash
-from turnloom.llm.common import arrow_rows, staged
+from turnloom.llm.common import arrow_rows, fresh, staged
 from turnloom.llm.queries import PII_KEY
 
 
@@ -25,8 +25,9 @@ def _as_documents(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from the texts, and documents that the rules reject go. A null text goes."""
     arrow_rows(spark)
-    rows = quality.assessed(docs, out="__quality").where("__quality.kept")
-    return _as_documents(rows.withColumn("text", F.col("__quality.cleaned")), docs)
+    (out,) = fresh(docs, "quality")
+    rows = quality.assessed(docs, out=out).where(F.col(out)["kept"])
+    return _as_documents(rows.withColumn("text", F.col(out)["cleaned"]), docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,20 +36,35 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id stays."""
+    """Of each SimHash component the document with the smallest doc_id stays.
+
+    Null and empty texts are one component, very long ones are read whole. Rows of one doc_id with
+    different texts are judged one by one, and equal rows stay or go together. Rows without a
+    doc_id stay if their component has no row with one.
+    """
     arrow_rows(spark)
-    near = simhash.near_duplicates(docs)
-    stay = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    tag, own_id, own_tag = fresh(docs, "tag", "own_id", "own_tag")
+    docs_tagged = docs.withColumn(tag, F.xxhash64("text"))
+    near = simhash.near_duplicates(docs_tagged, carry=(tag,))
+    stay = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id), F.col(tag).alias(own_tag))
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(tag) == F.col(own_tag))
+    return docs_tagged.join(stay, same, "left_semi").drop(tag)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts gives way to pseudonyms of the same format."""
-    return _as_documents(pii.pseudonymised(docs, PII_KEY, count_col="__n_pii"), docs)
+    """Personal data in the texts gives way to pseudonyms of the same format.
+
+    Every row stays; a null text stays null, and equal rows get equal texts.
+    """
+    return _as_documents(pii.pseudonymised(docs, PII_KEY, count_col=fresh(docs, "n_pii")[0]), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as token pieces with their places in sequences of 2,048 tokens."""
+    """The texts as token pieces with their places in sequences of 2,048 tokens.
+
+    A null or empty text is one piece, its end; a long text gives as many as it needs; equal rows
+    get places of their own.
+    """
     arrow_rows(spark)
     pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return packing.pack(staged(pieces, "pieces"))
