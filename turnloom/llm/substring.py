@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import ASCII_SPACE, shared_dir, staged
+from turnloom.llm.common import ASCII_SPACE, release, shared_dir, staged
 
 WINDOW = 13
 GRAM = 7
@@ -575,6 +575,7 @@ class SubstringIndex:
         hits = [new.join(shared.where(known).select("fp").hint("merge"), "fp", "left_semi")]
         hits += [old.join(new.select("fp").hint("merge"), "fp", "left_semi") for old in olds]
         stretches = staged(reduce(DataFrame.unionByName, hits), "stretches", f"{work}/stretches")
+        release(spark)
 
         # Stretches first: one that an earlier document has too is settled as a whole. The others are
         # looked at window by window, if another stretch has the same fingerprint.
@@ -595,6 +596,7 @@ class SubstringIndex:
         matches = whole.unionByName(_later(single, ["h"], seq))
         matches = staged(_lists(matches, "gone", "gone"), "gone", f"{work}/gone")
         remove(spark, f"{work}/single")
+        release(spark)
 
         def finished(gone: DataFrame, bad: DataFrame | None, extra: DataFrame | None, label: str) -> DataFrame:
             rows = texts.join(gone.hint("merge"), "doc_id", "left")
@@ -626,6 +628,7 @@ class SubstringIndex:
         self.seq += 1
         self._commit()
         remove(spark, work)
+        release(spark)
         if len(self.runs["prints"]) > self.fanout:
             self.compact()
         return result

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import staged
+from turnloom.llm.common import release, staged
 
 ROLL_BYTES = 16 << 20
 #: Payloads of at least this many bytes are stored once; others are repeated.
@@ -267,6 +267,7 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_fro
         F.coalesce("page_id", F.lit(_NULL)).alias("page_id"), F.xxhash64("member").alias("tie"), "bytes", "member"
     )
     made = staged(made, "members", f"{path}/_members")
+    release(made.sparkSession)
     edges, spread = _shards(made.select("page_id", "tie", "bytes"), roll_bytes)
     files, base = _filesystem(path)
     files.create_dir(base, recursive=True)
