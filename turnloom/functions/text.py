@@ -87,6 +87,17 @@ def clauses(text: Column) -> Column:
     return F.filter(parts, lambda c: F.trim(c) != "")
 
 
+def normal_claim(text: Column) -> Column:
+    """A claim as it is compared: lower case, white space collapsed."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+
+def with_options(query: Column, options: Column) -> Column:
+    """``query`` with the ``options`` to choose from on lines of their own; without any, as it is."""
+    some = F.coalesce(F.size(options), F.lit(0)) > 0
+    return F.when(some, F.concat_ws("\n", query, F.lit("Options:"), F.array_join(options, "\n"))).otherwise(query)
+
+
 def clipped(text: Column, limit: int) -> Column:
     """White space collapsed; cut to ``limit`` characters, the last an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -17,6 +17,34 @@ def coverage(predictions: DataFrame, expected: DataFrame) -> DataFrame:
     )
 
 
+def correct_count(rows: DataFrame, expected: DataFrame) -> int:
+    """How many of the scored ``rows`` (qa_id, score, success) are right; a run that is not complete,
+    not unique or not successful, or that lacks a score, raises."""
+    if not coverage(rows, expected).isEmpty():
+        raise ValueError("the run doesn't have each question once")
+    bad = F.count_if(~F.coalesce("success", F.lit(False)) | F.col("score").isNull())
+    got = rows.agg(bad.alias("bad"), F.count_if(F.col("score") >= 0.5).alias("correct")).first()
+    if got["bad"]:
+        raise ValueError(f"{got['bad']} rows failed or have no score")
+    return got["correct"]
+
+
+def gate(correct, original, least, n):
+    """Whether a rerun's ``correct`` of ``n`` is at least ``least`` and within one point of ``original``,
+    unrounded. Columns or numbers."""
+    return (correct >= least) & (100 * abs(correct - original) <= n) if isinstance(correct, int) else (correct >= least) & (F.abs(correct - original) * 100 <= n)
+
+
+def pending(expected: DataFrame, done: DataFrame) -> DataFrame:
+    """qa_id of what is ``expected`` and not yet ``done``."""
+    return expected.select("qa_id").distinct().join(done, "qa_id", "left_anti")
+
+
+def resumed(done: DataFrame, made: DataFrame) -> DataFrame:
+    """``done`` and those rows of ``made`` that it has no answer to: a completed answer stays."""
+    return done.unionByName(made.join(done, "qa_id", "left_anti"))
+
+
 def accuracy(outcomes: DataFrame, *keys: str) -> DataFrame:
     """keys, n, correct, accuracy of the 0/1 column ``a``."""
     agg = (F.count("a").alias("n"), F.sum("a").alias("correct"), F.round(F.avg("a"), 6).alias("accuracy"))

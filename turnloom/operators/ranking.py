@@ -53,21 +53,42 @@ def top(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def ranked_turns(turns: DataFrame, queries: DataFrame, terms, k: int = 20) -> DataFrame:
+def ranked_turns(turns: DataFrame, queries: DataFrame, terms, k: int = 20, column: str = "text", least_length: int = 0) -> DataFrame:
     """The ``k`` turns of each query's user that fit best; turns without a shared term rank last.
 
-    Ties go to the earlier turn in the history's order: ``turns`` has user_id, arrival, text and
-    ``place``; ``queries`` has query_id, user_id and query.
+    Ties go to the earlier turn in the history's order: ``turns`` has user_id, arrival, ``column``
+    and ``place``; ``queries`` has query_id, user_id and query. Only turns that share a term are
+    scored; a query that has fewer than ``k`` of them is filled from its user's first 2 * k turns,
+    so a history isn't joined with its queries as a whole.
     """
-    docs = turns.select("user_id", "arrival", terms(F.col("text")).alias("terms"))
+    docs = turns.select("user_id", "arrival", terms(F.col(column)).alias("terms"))
     asked = queries.select("query_id", "user_id", terms(F.col("query")).alias("terms"))
-    scores = bm25(docs, asked, "user_id", "arrival", "query_id")
-    pairs = queries.select("query_id", "user_id").join(turns.select("user_id", "arrival", "place"), "user_id")
-    rows = pairs.join(scores, ["query_id", "arrival"], "left")
-    rows = rows.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    scores = bm25(docs, asked, "user_id", "arrival", "query_id", least_length=least_length)
+    scored = scores.join(turns.select("user_id", "arrival", "place"), "arrival").withColumn("score", F.round("score", 9))
+    scored = top(scored, "query_id", k, F.desc("score"), "place", "arrival").drop("rank")
+    first = top(turns.select("user_id", "arrival", "place"), "user_id", 2 * k, "place", "arrival").drop("rank")
+    spare = queries.select("query_id", "user_id").join(first, "user_id").withColumn("score", F.lit(0.0))
+    rows = scored.unionByName(spare).groupBy("query_id", "user_id", "arrival").agg(F.max("score").alias("score"), F.max("place").alias("place"))
     return top(rows, "query_id", k, F.desc("score"), "place", "arrival")
 
 
+def best_or_first(docs: DataFrame, asked: DataFrame, scope: str, doc: str, query: str, k: int, share: float = 0.5) -> DataFrame:
+    """query, doc, score, place, rank: what is at least ``share`` of the best fit, ``k`` at most; the
+    first ``k`` of its scope for a query that fits none.
+
+    ``docs`` has scope, doc, terms and place (from 1), ``asked`` query, scope and terms; both may
+    name the same column as scope and query.
+    """
+    docs, asked = docs.withColumn("within", F.col(scope)), asked.withColumn("within", F.col(scope))
+    scores = bm25(docs.select("within", doc, "terms"), asked.select(query, "within", "terms"), "within", doc, query, least_length=1)
+    placed, who = docs.select("within", doc, "place"), asked.select(query, "within")
+    rows = scores.join(who, query).join(placed, ["within", doc]).withColumn("score", F.round("score", 9))
+    spare = who.join(placed.where(F.col("place") <= k), "within").withColumn("score", F.lit(0.0))
+    rows = rows.unionByName(spare).withColumn("best", F.max("score").over(Window.partitionBy(query)))
+    rows = rows.where((F.col("best") <= 0) | ((F.col("score") > 0) & (F.col("score") >= share * F.col("best"))))
+    return top(rows, query, k, F.desc("score"), "place", doc).drop("best", "within")
+
+
 def select_best(ranked: DataFrame, by: str, share: float = 0.5, k: int = 8) -> DataFrame:
     """Rows of at least ``share`` of their query's best score, ``k`` at most; if the best is no
     more than 0, the first ``k`` in input order. Has ``score``, ``place`` and ``arrival``."""
@@ -94,12 +115,24 @@ def cosine(a, b):
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(-1.0))
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+#: Query vectors that meet all vectors in one pass: at 1,024 floats some 40 MB to send to a task.
+QUERY_BLOCK = 10_000
+
+
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, vec_id, rank, score: the ``k`` nearest of all other ``vectors`` for each query vector.
 
-    Every stated query meets every vector once; tasks keep only the best of their own rows, so
+    Every stated query meets every vector once, in blocks: a pass over the vectors for each
+    ``block`` queries, which is what is broadcast. Tasks keep only the best of their own rows, so
     what is shuffled is ``k`` rows for each query and task.
     """
-    rows = vectors.join(queries, F.col("query_id") != F.col("vec_id"))
-    rows = rows.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top(rows, "query_id", k, F.desc("score"), "vec_id")
+    passes, parts = -(-queries.count() // block) or 1, []
+    for n in range(passes):
+        own = F.broadcast(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == n)) if passes > 1 else F.broadcast(queries)
+        rows = vectors.join(own, F.col("query_id") != F.col("vec_id"))
+        rows = rows.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+        parts.append(top(rows, "query_id", k, F.desc("score"), "vec_id"))
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    return made

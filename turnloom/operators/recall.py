@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.functions.text import estimate_tokens, sides, stem_hits
+from turnloom.functions.text import PIECE, estimate_tokens, sides, stem_hits
 
 #: Tokens of a recall, characters of a block, turns of the focus.
 BUDGET, BLOCK_CHARS, FOCUS_TURNS = 100_000, 6_000, 12
@@ -116,27 +116,29 @@ def over_budget(turns: DataFrame, queries: DataFrame, hits: DataFrame, terms, bu
     return knapsack(rows, "query_id", budget).select("query_id", "user_id", "session_id", "block", "cost", "chosen")
 
 
-def spread(ranked: DataFrame, by: str, k: int) -> DataFrame:
-    """At most ``k`` rows of each ``by`` that cover its positions: the best of each of ``k`` equal
+def spread(ranked: DataFrame, by: str, k) -> DataFrame:
+    """At most ``k`` rows, a number or a column, of each ``by`` that cover its positions: the best of each of ``k`` equal
     stretches, then the next best. ``ranked`` has position and rank; null positions go."""
     rows = ranked.where("position is not null")
     w = Window.partitionBy(by)
     rows = rows.withColumns({"lo": F.min("position").over(w), "hi": F.max("position").over(w), "n": F.count(F.lit(1)).over(w)})
+    k = F.lit(k)
     width = (F.col("hi") - F.col("lo") + 1) / k
-    rows = rows.withColumn("bin", F.least(F.lit(k - 1), F.floor((F.col("position") - F.col("lo")) / width)))
+    rows = rows.withColumn("bin", F.least(k - 1, F.floor((F.col("position") - F.col("lo")) / width)))
     first = F.row_number().over(Window.partitionBy(by, "bin").orderBy("rank")) == 1
     rows = rows.withColumn("winner", first & (F.col("n") > k))
     rows = rows.withColumn("pick", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("winner"), "rank")))
     return rows.where(F.col("pick") <= k).drop("lo", "hi", "n", "bin", "winner", "pick")
 
 
-def transcript_hits(turns: DataFrame, queries: DataFrame) -> DataFrame:
+def transcript_hits(turns: DataFrame, queries: DataFrame, leave_out: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """query_id, arrival, position, hits, rank: every turn of a query's user that has a token's stem,
-    the best of each position, by hits and then by position. A query without tokens takes all turns.
+    the best of each position, by hits and then by position. A query without tokens takes all turns. Tokens in ``leave_out`` don't count.
 
     ``turns`` has user_id, arrival, position and content, ``queries`` query_id, user_id and query.
     """
-    toks = queries.select("query_id", "user_id", F.flatten(sides(F.col("query"))).alias("toks"))
+    toks = F.filter(F.flatten(sides(F.col("query"))), lambda t: ~t.isin(*leave_out)) if leave_out else F.flatten(sides(F.col("query")))
+    toks = queries.select("query_id", "user_id", toks.alias("toks"))
     rows = toks.join(turns.where("position is not null"), "user_id").withColumn("hits", stem_hits(F.col("toks"), F.col("content")))
     rows = rows.where((F.col("hits") > 0) | (F.size("toks") == 0)).select("query_id", "arrival", "position", "hits")
     best = F.row_number().over(Window.partitionBy("query_id", "position").orderBy(F.desc("hits"), "arrival"))
@@ -152,6 +154,14 @@ def prefix_within(rows: DataFrame, by: str, order: list[str], cost: str, budget:
     return rows.withColumn("used", used).where(F.col("used") <= budget)
 
 
+def capped(text, budget: int):
+    """The longest prefix of ``text`` within ``budget`` estimated tokens; it ends before the next piece."""
+    most = next(n for n in range(budget, -1, -1) if -(-105 * n // 100) <= budget)  # pieces, five per cent added
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    length = F.length(F.array_join(F.slice(pieces, 1, most), "")) + F.length(F.array_join(F.slice(F.split(text, PIECE, -1), 1, most + 1), ""))
+    return F.when(estimate_tokens(text) <= budget, text).otherwise(F.left(text, length))
+
+
 def expand_windows(hits: DataFrame, turns: DataFrame, window: int) -> DataFrame:
     """query_id, session_id, position of every turn within ``window`` of a hit, once each."""
     wide = hits.select("query_id", "session_id", F.explode(F.sequence(F.col("position") - window, F.col("position") + window)).alias("position"))

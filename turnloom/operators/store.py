@@ -36,6 +36,21 @@ def new_nodes(rows: DataFrame) -> DataFrame:
     )
 
 
+def migrated(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` under ``schema``: columns that were added since are null, others are cast, unknown ones go."""
+    kept = {c.lower() for c in rows.columns}
+    fields = rows.sparkSession.createDataFrame([], schema).schema.fields
+    return rows.select(*[(F.col(f.name) if f.name.lower() in kept else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def with_embeddings(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``nodes`` with ``embedding`` from ``vectors`` (id, embedding); where they have none, the node's
+    own stays. A node given twice takes one of the two."""
+    new = vectors.groupBy("id").agg(F.first("embedding").alias("new_embedding"))
+    own = F.col("embedding") if "embedding" in nodes.columns else F.lit(None)
+    return nodes.join(new, "id", "left").withColumn("embedding", F.coalesce("new_embedding", own)).drop("new_embedding")
+
+
 def checked_kind(kind):
     return F.when(kind.isin(*EDGE_KINDS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown edge kind "), kind)))
 

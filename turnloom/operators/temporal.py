@@ -60,34 +60,67 @@ def compared(best: DataFrame) -> DataFrame:
     )
 
 
+def question_sides(questions: DataFrame) -> DataFrame:
+    """query_id, side, tokens, rivals of the ``questions`` (query_id, query) that name two events."""
+    s = questions.select("query_id", text.sides(F.col("query")).alias("s")).where(F.size("s") == 2)
+    rows = s.select("query_id", "s", F.posexplode("s").alias("side", "tokens"))
+    return rows.select("query_id", F.col("side").cast("long").alias("side"), "tokens", F.element_at("s", F.when(F.col("side") == 0, 2).otherwise(1)).alias("rivals"))
+
+
 def contracts(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     """query_id, ability, reason of each query; a null reason means the contract holds.
 
-    ``queries`` has query_id and query, ``evidence`` query_id, node_id, content, said_at, current
-    and conflicting (whether it conflicts with other evidence of the query).
+    ``queries`` has query_id and query, ``evidence`` query_id, node_id, rank, content, said_at,
+    current, rival (the first later node that it conflicts with), source_position and source_role.
+    A contradiction needs two conflicting nodes, or a superseded and a current one, both dated. An
+    order of mentions needs as many of the user's own turns as asked for, two named events need
+    comparable dates on both sides, and other questions of time two dated events.
     """
-    q = queries.select("query_id", text.ability(F.col("query")).alias("ability"), text.query_tokens(F.col("query")).alias("toks"))
-    dated = F.col("said_at").isNotNull()
-    e = evidence.join(q, "query_id")
+    q = F.col("query")
+    facts = queries.select(
+        "query_id",
+        text.ability(q).alias("ability"),
+        text.query_tokens(q).alias("toks"),
+        q.rlike(text.MENTIONS).alias("mention"),
+        F.coalesce(text.requested_length(q), F.lit(2)).alias("wanted"),
+        (F.size(text.sides(q)) == 2).alias("sided"),
+    )
+    e = evidence.join(facts, "query_id")
     toks = F.slice("toks", 1, 6)
     need = F.greatest(F.lit(1), F.ceil(F.size(toks) * 0.6))
+    first = lambda value, keep: F.min_by(value, F.when(keep, F.col("rank")))
+    rivals = F.col("rival").isNotNull()
+    claim = F.when(
+        (F.lower("source_role") == "user") & F.col("source_position").isNotNull(),
+        F.struct("source_position", F.trim(F.regexp_replace(F.lower("content"), r"\s+", " "))),
+    )
     held = e.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(dated).alias("n_dated"),
-        F.bool_or("conflicting").alias("conflict"),
-        (F.bool_or("current") & F.bool_or(~F.col("current"))).alias("superseded"),
-        F.count_if(F.col("conflicting") & dated).alias("n_conflict_dated"),
+        F.collect_set(F.when(F.col("said_at").isNotNull(), F.col("node_id"))).alias("dated"),  # of one query's evidence
+        first("node_id", rivals).alias("a"),
+        first("rival", rivals).alias("b"),
+        first("node_id", ~F.col("current")).alias("old"),
+        first("node_id", F.col("current")).alias("new"),
+        F.countDistinct(claim).alias("claims"),
         F.bool_or(text.densest_hits(F.left("content", F.lit(2000)), toks) >= need).alias("found"),
         F.bool_or(text.densest_hits(F.col("content"), toks) >= need).alias("found_beyond"),
     )
-    rows = q.join(held, "query_id", "left")
-    a = F.col("ability")
+    events = dated_events(evidence)
+    n_events = events.groupBy("query_id").agg(F.count(F.lit(1)).alias("events"))
+    both = compared(best_events(events, question_sides(queries))).select("query_id", "comparable")
+    rows = facts.join(held, "query_id", "left").join(n_events, "query_id", "left").join(both, "query_id", "left")
+    of = lambda *names: F.col("ability").isin(*names)
+    clash, replaced = F.col("a").isNotNull(), F.col("old").isNotNull() & F.col("new").isNotNull()
+    dated = lambda x, y: F.array_contains("dated", F.col(x)) & F.array_contains("dated", F.col(y))
+    order = of("event_ordering", "temporal")
     reason = (
         F.when(F.coalesce("n", F.lit(0)) == 0, "empty_pack")
-        .when((a == "contradiction") & ~(F.col("conflict") | F.col("superseded")), "cr_missing_second_claim")
-        .when((a == "contradiction") & (F.col("n_conflict_dated") < 2), "cr_claims_undated")
-        .when(a.isin("event_ordering", "temporal") & (F.col("n_dated") < 2), "eo_fewer_than_two_dated_events")
-        .when((a == "extraction") & (F.size("toks") > 0) & ~F.col("found"), F.when(F.col("found_beyond"), "ie_span_beyond_evidence_cap").otherwise("ie_span_missing"))
+        .when(of("contradiction") & ~clash & ~replaced, "cr_missing_second_claim")
+        .when(of("contradiction") & ~F.when(clash, dated("a", "b")).otherwise(dated("old", "new")), "cr_claims_undated")
+        .when(order & F.col("mention"), F.when(F.col("claims") < F.col("wanted"), "eo_not_enough_ordered_events"))
+        .when(order & F.col("sided"), F.when(~F.coalesce("comparable", F.lit(False)), "eo_named_events_not_both_dated"))
+        .when(order & (F.coalesce("events", F.lit(0)) < 2), "eo_fewer_than_two_dated_events")
+        .when(of("extraction") & (F.size("toks") > 0) & ~F.col("found"), F.when(F.col("found_beyond"), "ie_span_beyond_evidence_cap").otherwise("ie_span_missing"))
     )
     return rows.select("query_id", "ability", reason.alias("reason"))
 

@@ -30,4 +30,4 @@ def flat(column):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from turnloom.plans import dates, lattice, memory, search, text  # noqa: F401
+    from turnloom.plans import dates, lattice, memory, search, text, upkeep  # noqa: F401

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnloom.functions import text
-from turnloom.operators import ranking, temporal
+from turnloom.operators import ranking, retrieval, temporal
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.dates import mentions
-from turnloom.plans.search import _turn_ranks, fusion_candidates
+from turnloom.plans.search import _fused, _turn_ranks, fusion_candidates
+
+
+def memory(spark, sf_dir):
+    """The relations of the store that the retrieval runs on."""
+    return retrieval.Memory(*(relation(spark, sf_dir) for relation in (v.nodes, v.timeline, v.conflicts, v.edges)))
 
 
 def _evidence(spark, sf_dir, k=16):
     """A query's best turns as evidence rows."""
-    t = v.turns(spark, sf_dir).select("arrival", "said_at", "session_id", F.col("turn_text").alias("content"))
-    n = v.nodes(spark, sf_dir).select(F.col("id").alias("arrival"), F.col("valid_to").isNull().alias("current"))
-    rows = _turn_ranks(spark, sf_dir, k).select("query_id", "arrival", "rank").join(t, "arrival").join(n, "arrival")
-    known = v.conflicts(spark, sf_dir)
-    ids = known.select(F.col("a_id").alias("arrival"), F.col("b_id").alias("other")).unionByName(known.select(F.col("b_id").alias("arrival"), F.col("a_id").alias("other")))
-    met = rows.select("query_id", "arrival").join(ids, "arrival").join(rows.select("query_id", F.col("arrival").alias("other")), ["query_id", "other"], "left_semi")
-    both = met.select("query_id", "arrival").distinct().withColumn("conflicting", F.lit(True))
-    return rows.join(both, ["query_id", "arrival"], "left").select(
-        "query_id", F.col("arrival").alias("node_id"), "rank", "content", "said_at", "current", F.coalesce("conflicting", F.lit(False)).alias("conflicting")
-    )
+    ranked = _turn_ranks(spark, sf_dir, k).select("query_id", F.col("arrival").alias("id"), F.col("rank").alias("o"))
+    return retrieval.evidence(ranked, memory(spark, sf_dir))
 
 
 def _sided(spark, sf_dir):
@@ -33,12 +30,6 @@ def _sided(spark, sf_dir):
     return v.queries(spark, sf_dir).select("query_id", "user_id", q.alias("query"))
 
 
-def _sides(questions):
-    s = questions.select("query_id", text.sides(F.col("query")).alias("s")).where(F.size("s") == 2)
-    rows = s.select("query_id", "s", F.posexplode("s").alias("side", "tokens"))
-    return rows.select("query_id", F.col("side").cast("long").alias("side"), "tokens", F.element_at("s", F.when(F.col("side") == 0, 2).otherwise(1)).alias("rivals"))
-
-
 @query("dated_events")
 def dated_events(spark, sf_dir):
     return temporal.dated_events(_evidence(spark, sf_dir))
@@ -47,13 +38,13 @@ def dated_events(spark, sf_dir):
 @query("temporal_pair")
 def temporal_pair(spark, sf_dir):
     events = temporal.dated_events(_evidence(spark, sf_dir))
-    return temporal.best_events(events, _sides(_sided(spark, sf_dir))).select("query_id", "side", "node_id", "epoch", "kind", "hits")
+    return temporal.best_events(events, temporal.question_sides(_sided(spark, sf_dir))).select("query_id", "side", "node_id", "epoch", "kind", "hits")
 
 
 @query("compute_temporal")
 def compute_temporal(spark, sf_dir):
     events = temporal.dated_events(_evidence(spark, sf_dir))
-    return temporal.compared(temporal.best_events(events, _sides(_sided(spark, sf_dir))))
+    return temporal.compared(temporal.best_events(events, temporal.question_sides(_sided(spark, sf_dir))))
 
 
 def _asked(spark, sf_dir):
@@ -83,16 +74,57 @@ def char_chunks(spark, sf_dir):
     return temporal.char_chunks(v.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 1000)
 
 
+def _questions(spark, sf_dir):
+    """Queries of all abilities over whole histories: the first words of a turn in turn as each form."""
+    w = F.split("query", " ")
+    words = lambda at, n: F.array_join(F.slice(w, at, n), " ")
+    form = F.expr("query_id div 100 % 8")
+    made = (
+        F.when(form == 0, F.concat(F.lit("When was "), "query"))
+        .when(form == 1, F.concat(F.lit("What is "), "query"))
+        .when(form == 2, F.concat(F.lit("You said "), "query"))
+        .when(form == 3, F.concat(F.lit("List the order of two things I mentioned about "), "query"))
+        .when(form == 4, F.concat(F.lit("How many days between "), words(1, 3), F.lit(" and "), words(4, 3), F.lit("?")))
+        .when(form == 5, F.concat(F.lit("Do I prefer "), words(1, 3), F.lit(" or "), words(4, 3)))
+        .when(form == 6, F.concat(F.lit("Say more on '"), words(1, 2), F.lit("' from "), F.initcap(words(3, 2))))
+        .otherwise(F.col("query"))
+    )
+    return v.queries(spark, sf_dir).select("query_id", "user_id", made.alias("query"))
+
+
+@query("fusion_shortlist_whole")
+def fusion_shortlist_whole(spark, sf_dir):
+    """The shortlist of all word, recency, name, phrase and alternative branches for every question."""
+    rows = retrieval.fused(_questions(spark, sf_dir), v.nodes(spark, sf_dir))
+    return rows.select("query_id", F.col("id").alias("node_id"), F.col("o").alias("rank"))
+
+
+@query("timeline_sides")
+def timeline_sides(spark, sf_dir):
+    """Dated nodes for each named event of every question, in order of time."""
+    rows = retrieval.timeline_sides(_questions(spark, sf_dir), memory(spark, sf_dir), 12)
+    return rows.select("query_id", F.col("id").alias("node_id"), F.col("o").alias("rank"), "side")
+
+
+@query("retrieve_routed")
+def retrieve_routed(spark, sf_dir):
+    """The routed retrieval whole: gathered by ability, checked, widened once."""
+    rows = retrieval.retrieve(_questions(spark, sf_dir), memory(spark, sf_dir))
+    return rows.select("query_id", "ability", "widened", "reason", F.col("id").alias("node_id"), "rank")
+
+
 @query("lattice_retrieve")
 def lattice_retrieve(spark, sf_dir):
     """Route, gather, check; the queries whose contract fails get a second, wider pass."""
     q = _asked(spark, sf_dir)
-    verdict = temporal.contracts(q, _evidence(spark, sf_dir, 8))
+    turns = retrieval.cut(_turn_ranks(spark, sf_dir, 24).select("query_id", "arrival", "rank", "score"))
+    best = turns.where("rank <= 8").select("query_id", F.col("arrival").alias("id"), F.col("rank").alias("o"))
+    verdict = temporal.contracts(q, retrieval.evidence(best, memory(spark, sf_dir)))
     k = text.ability_k(F.col("ability"), 8)
     wide = verdict.select("query_id", "ability", (F.col("reason").isNotNull()).alias("widened"), k.alias("k"))
     kept = F.when(F.col("widened"), F.least(F.col("k") + 6, F.lit(24))).otherwise(F.col("k"))
-    ranked = _turn_ranks(spark, sf_dir, 24).select("query_id", "arrival", (F.col("rank") + 1000).alias("o"))
-    both = fusion_candidates(spark, sf_dir).select("query_id", "arrival", F.col("rank").alias("o")).unionByName(ranked)
+    both = _fused(spark, sf_dir, turns).select("query_id", "arrival", F.col("rank").alias("o"))
+    both = both.unionByName(turns.select("query_id", "arrival", (F.col("rank") + 1000).alias("o")))
     rows = both.groupBy("query_id", "arrival").agg(F.min("o").alias("o")).join(wide, "query_id")
     rows = ranking.top(rows, "query_id", 24, "o", "arrival").where(F.col("rank") <= kept)
     return rows.select("query_id", "ability", "widened", "arrival", "rank")

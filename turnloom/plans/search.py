@@ -52,20 +52,13 @@ def bm25_turn_search(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Every turn of a query's user with its candidate-set score."""
-    rows, q = _placed(spark, sf_dir), v.queries(spark, sf_dir)
-    docs = rows.select("user_id", "arrival", fn.lexical_tokens(F.col("body")).alias("terms"))
-    asked = q.select("query_id", "user_id", fn.lexical_tokens(F.col("query")).alias("terms"))
-    scores = ranking.bm25(docs, asked, "user_id", "arrival", "query_id", least_length=1)
-    pairs = q.select("query_id", "user_id").join(rows.select("user_id", "arrival", "place"), "user_id")
-    joined = pairs.join(scores, ["query_id", "arrival"], "left")
-    return joined.withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
+    """The 48 best turns of a query's user by the candidate-set score."""
+    return ranking.ranked_turns(_placed(spark, sf_dir), v.queries(spark, sf_dir), fn.lexical_tokens, 48, "body", 1)
 
 
 @query("bm25_rank", v.sql(_B + "SELECT query_id, arrival, rank, round(score, 6) AS score FROM ranked WHERE rank <= 48", "turns", "queries"))
 def bm25_rank(spark, sf_dir):
-    rows = ranking.top(_candidates(spark, sf_dir), "query_id", 48, F.desc("score"), "place", "arrival")
-    return rows.select("query_id", "arrival", "rank", F.round("score", 6).alias("score"))
+    return _candidates(spark, sf_dir).select("query_id", "arrival", "rank", F.round("score", 6).alias("score"))
 
 
 _SEL = """SELECT query_id, arrival, k AS rank FROM (SELECT query_id, arrival, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN best > 0 THEN score ELSE 0 END DESC, place, arrival) AS k
@@ -133,8 +126,12 @@ SELECT query_id, arrival, rank FROM (SELECT query_id, arrival, row_number() OVER
 @query("fusion_candidates", v.sql(_FUSE, "turns", "queries"))
 def fusion_candidates(spark, sf_dir):
     """Exact word matches first, then ranked ones, each turn once; 16 for every query."""
+    return _fused(spark, sf_dir, _turn_ranks(spark, sf_dir, 16))
+
+
+def _fused(spark, sf_dir, ranks):
     both = ranking.top(fts_and_search(spark, sf_dir), "query_id", 8, "arrival").select("query_id", "arrival", F.col("rank").alias("o"))
-    ranked = _turn_ranks(spark, sf_dir, 16).where("score > 0").select("query_id", "arrival", (F.col("rank") + 1000).alias("o"))
+    ranked = ranks.where("score > 0 AND rank <= 16").select("query_id", "arrival", (F.col("rank") + 1000).alias("o"))
     fused = both.unionByName(ranked).groupBy("query_id", "arrival").agg(F.min("o").alias("o"))
     return ranking.top(fused, "query_id", 16, "o").select("query_id", "arrival", "rank")
 

@@ -10,9 +10,9 @@ from turnloom.sources.files import _fs
 
 
 class VersionedTables:
-    """Named tables under ``path``. A version is a folder of Parquet tables; the empty file
-    ``current-<n>`` with the largest n names the version that counts, so publishing is the
-    creation of one file, which fails if another writer published first."""
+    """Named tables under ``path``. A version is a folder of Parquet tables; the file ``current-<n>``
+    with the largest n holds the name of the version that counts. Its name is the same for all
+    writers, so publishing is the creation of one file, which fails if another published first."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -21,9 +21,26 @@ class VersionedTables:
         fs, root = _fs(self.spark, self.path)
         if not fs.exists(root):
             return []
-        names = [x.getPath().getName() for x in fs.listStatus(root)]
-        marks = [x.split("-", 2) for x in names if x.startswith("current-")]
-        return sorted((int(n), version) for _, n, version in marks)
+        names = [x.getPath().getName() for x in fs.listStatus(root) if x.getLen()]  # an empty one is being written
+        numbers = sorted(int(x.partition("-")[2]) for x in names if x.startswith("current-"))
+        return [(n, self._named(n)) for n in numbers]
+
+    def _named(self, n: int) -> str:
+        fs, target = _fs(self.spark, f"{self.path}/current-{n:08d}")
+        stream = fs.open(target)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _point(self, n: int, version: str) -> None:
+        fs, target = _fs(self.spark, f"{self.path}/current-{n:08d}")
+        try:
+            stream = fs.create(target, False)
+        except Exception as error:
+            raise RuntimeError("another version was published meanwhile") from error
+        stream.write(bytearray(version.encode()))
+        stream.close()
 
     def version(self) -> str | None:
         found = self._pointers()
@@ -41,8 +58,7 @@ class VersionedTables:
         if now != before or (expected is not None and self.version() != expected):
             raise RuntimeError("another version was published meanwhile")
         n = now[-1][0] + 1 if now else 0
-        fs, target = _fs(self.spark, f"{self.path}/current-{n:08d}-{made}")
-        fs.create(target, False).close()
+        self._point(n, made)
         return made
 
     def restore(self, version: str) -> None:
@@ -50,8 +66,7 @@ class VersionedTables:
         found = self._pointers()
         if version not in {v for _, v in found}:
             raise ValueError(f"no such version: {version}")
-        fs, target = _fs(self.spark, f"{self.path}/current-{found[-1][0] + 1:08d}-{version}")
-        fs.create(target, False).close()
+        self._point(found[-1][0] + 1, version)
 
     def clear(self, schemas: dict[str, DataFrame]) -> str:
         """Publish empty tables of the same schemas."""
