@@ -1,6 +1,6 @@
 """Idempotent, append-only ingestion of messages, in batches or as a stream.
 
-What must be remembered for ever, receipts and session positions, lives in the tables, not in the
+What must be remembered for ever, receipts and the next position of each session, lives in the tables, not in the
 state of a stream, so a restart or a repeated batch can't add a request twice.
 """
 
@@ -13,6 +13,7 @@ from turnloom.operators import store
 
 REQUEST = "user_id string, request_id string, session_id string, ord long, role string, content string, timestamp_ms long"
 RECEIPT = "user_id string, request_id string, digest string"
+SESSION = "user_id string, session_id string, next_position long"
 TURN = "user_id string, session_id string, position long, role string, content string, said_at double, request_id string"
 
 
@@ -41,11 +42,15 @@ def add(spark: SparkSession, path: str, messages: DataFrame, epoch: int | str) -
     valid = messages.where(F.col("role").isin("user", "assistant") & (F.col("content") != ""))
     own = F.col("epoch") == F.lit(str(epoch))  # a batch that is run again must not meet itself
     receipts = _read(spark, f"{path}/receipts", f"{RECEIPT}, epoch string").where(~own)
-    turns = _read(spark, f"{path}/turns", f"{TURN}, epoch string").where(~own)
     known = receipts.dropDuplicates(["user_id", "request_id"])
     outcome = store.add_outcome(digests(valid), known)
     new = outcome.where("outcome = 'new'")
-    last = turns.groupBy("user_id", "session_id").agg((F.max("position") + 1).alias("next_position"))
+    # A row for each batch that a session was in; only a store from before there were such rows reads its turns.
+    last = _read(spark, f"{path}/sessions", f"{SESSION}, epoch string").where(~own).drop("epoch")
+    if last.isEmpty():
+        turns = _read(spark, f"{path}/turns", f"{TURN}, epoch string").where(~own)
+        last = turns.select("user_id", "session_id", (F.col("position") + 1).alias("next_position"))
+    last = last.groupBy("user_id", "session_id").agg(F.max("next_position").alias("next_position"))
     fresh = valid.join(new.select("user_id", "request_id"), ["user_id", "request_id"], "left_semi")
     order = F.row_number().over(Window.partitionBy("user_id", "session_id").orderBy("request_id", "ord"))
     placed = store.positions(fresh.withColumn("ord", order), last)
@@ -53,6 +58,9 @@ def add(spark: SparkSession, path: str, messages: DataFrame, epoch: int | str) -
     result = f"{path}/outcomes/{epoch}"
     outcome.write.mode("overwrite").parquet(result)
     rows.write.mode("overwrite").parquet(f"{path}/turns/epoch={epoch}")  # the reads above leave this folder out
+    added = spark.read.schema(TURN).parquet(f"{path}/turns/epoch={epoch}")
+    ends = added.groupBy("user_id", "session_id").agg((F.max("position") + 1).alias("next_position"))
+    ends.write.mode("overwrite").parquet(f"{path}/sessions/epoch={epoch}")
     spark.read.parquet(result).where("outcome = 'new'").select("user_id", "request_id", "digest").write.mode("overwrite").parquet(f"{path}/receipts/epoch={epoch}")
     return spark.read.parquet(result)
 
