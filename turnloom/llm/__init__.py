@@ -1 +1 @@
-"""Training-data operators: dedup, tokens, archives, PII, quality, packing, toxicity."""
+"""Training-data operators: dedup, tokens, alignment, archives, PII, quality, packing, toxicity, clusters, licenses."""

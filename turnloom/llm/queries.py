@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import bpe, exact, packing, pii, quality, rollup, simhash, substring, toxicity, warc
+from turnloom.llm import alignment, bpe, centroids, exact, licenses, packing, pii, quality, rollup, simhash, substring, toxicity, warc
 from turnloom.llm.common import arrow_rows, shared_dir, staged, table
 
 
@@ -128,6 +128,22 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.totals()
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    files = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.alignment_measures(table(spark, sf_dir, "documents"), *files)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark, 10_000)
+    return centroids.described(centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_bpe": op2_bpe,
@@ -139,6 +155,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_centroids": op12_centroids,
+    "op13_licenses": op13_licenses,
 }
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -181,9 +200,34 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
 FROM f
 """
 
+
+
+def _rounds(n: int) -> str:
+    """The assignments and centroids of ``n`` rounds and the last assignment, as further CTEs."""
+    near = """a{i} AS MATERIALIZED (SELECT i, v, arg_min(c, (far, c)) AS cluster, min(far) AS distance FROM
+  (SELECT i, v, c, list_sum(list_transform(list_zip(v, mid), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS far FROM k, c{i}) GROUP BY i, v)"""
+    mean = """m{i} AS (SELECT cluster, p, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS p FROM a{i}) GROUP BY cluster, p),
+c{j} AS MATERIALIZED (SELECT c, coalesce(new, mid) AS mid FROM c{i} LEFT JOIN
+  (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS new FROM m{i} GROUP BY cluster) ON c = cluster)"""
+    parts = [x for i in range(n) for x in (near.format(i=i), mean.format(i=i, j=i + 1))]
+    return ",\n".join([*parts, near.format(i=n)])
+
+
+_CENTROIDS = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS mid FROM
+  (SELECT sha256('{centroids.SEED}:' || vec_id) AS h, v FROM k ORDER BY h NULLS LAST, v LIMIT {centroids.CLUSTERS})),
+{_rounds(centroids.ROUNDS)}
+SELECT vec_id, cluster::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(mid, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN k USING (i) JOIN c{centroids.ROUNDS} ON c = cluster
+"""
+
 ORACLES = {
     "op1_substring": _SUBSTRING,
     "op7_quality": _QUALITY,
+    "op12_centroids": _CENTROIDS,
     "op10_exact_dedup": """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
