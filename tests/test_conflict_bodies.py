@@ -22,5 +22,5 @@ def test_registered_conflicts_equal_brute_force(spark, sf):
             both = f"{text[c.a_id]} {text[c.b_id]}"
             if c.user_id == q.user_id and (low in c.topic or low in both or any(t in c.topic for t in tokens[q.query_id]) or any(len(w) > 3 and w in both for w in low.split())):
                 want.add((q.query_id, c.id))
-    rows = memory.search_conflicts_whole(spark, sf).collect()
+    rows = memory.search_conflicts(spark, sf).collect()
     assert len(rows) == len(want) and {(r.query_id, r.id) for r in rows} == want

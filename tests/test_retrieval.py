@@ -42,7 +42,7 @@ def test_routed_retrieval_equals_plain_python(spark, sf):
 def test_shortlist_and_timeline_equal_plain_python(spark, sf):
     memory, made = stores(spark, sf)
     questions = lattice._questions(spark, sf).collect()
-    got = {(r.query_id, r["rank"]): r.node_id for r in lattice.fusion_shortlist_whole(spark, sf).collect()}
+    got = {(r.query_id, r["rank"]): r.node_id for r in lattice.fusion_candidates(spark, sf).collect()}
     assert got == {(q.query_id, n): i for q in questions for n, i in enumerate(made[q.user_id].fused(q.query, 48), 1)}
     got = {(r.query_id, r["rank"]): r.node_id for r in lattice.timeline_sides(spark, sf).collect()}
     assert got == {(q.query_id, n): i for q in questions for n, i in enumerate(made[q.user_id].timeline_sides(q.query, 12), 1)}
@@ -101,7 +101,7 @@ def test_second_writer_cannot_publish(spark, tmp_path):
 
     one, two = (snapshots.VersionedTables(spark, f"file://{tmp_path}/v") for _ in range(2))
     first = one.publish({"t": spark.range(1)})
-    two._pointers = lambda seen=two._pointers(): seen  # looks before the first writer's file is there
+    two.pointers.taken = lambda seen=two.pointers.taken(): seen  # looks before the first writer's file is there
     one.publish({"t": spark.range(2)}, expected=first)
     try:
         two.publish({"t": spark.range(3)})

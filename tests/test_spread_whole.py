@@ -22,5 +22,5 @@ def test_best_turn_of_a_position(spark):
 
 
 def test_registered_search_covers_more(spark, sf):
-    rows = search.transcript_search_whole(spark, sf).collect()
+    rows = search.transcript_search(spark, sf).collect()
     assert rows and max(r.ord for r in rows) <= 8

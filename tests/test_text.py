@@ -100,3 +100,9 @@ def test_gaps(spark):
     assert gap(dates.span, 0, 14 * day) == "14 days (2 weeks)"
     assert gap(dates.span, 0, 400 * day) == "400 days (about 57 weeks, 13 months, 1 year)"
     assert gap(dates.span, 0, day) == "1 day"
+
+
+def test_preference_words(spark):
+    rows = [("I PREFER tea", True), ("from now on, coffee", True), ("it was nice", False), ("", False), (None, None), ("I Like it", True), ("nevertheless", True)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select("want", text.is_preference(F.col("t")).alias("got")).collect()
+    assert all(r.got == r.want for r in got)

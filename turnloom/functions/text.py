@@ -25,6 +25,7 @@ may might must also into over under again""".split()
 #: What makes a sentence a candidate claim, or a preference.
 CLAIM_TRIGGERS = ("i ", "my ", "prefer", "always", "never", "on ", "was ", "were ", "have ", "use ", "using ")
 CLAIM_CHARS = 20
+PREFERENCE = ("prefer", "always", "never", "from now on", "i like")
 #: Tokens are estimated as letter runs, digits and symbols, plus five per cent.
 PIECE = r"[A-Za-z]+|[0-9]|[^\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}A-Za-z0-9]"
 
@@ -33,6 +34,11 @@ def _words(words: list[str]) -> Column:
     return F.array(*[F.lit(x) for x in words])
 
 
+def _stops(words: list[str], t: Column) -> Column:
+    """Whether ``t`` is one of ``words``; the list is one literal, as it stands in many plans."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), t)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -40,7 +46,7 @@ def _matches(text: Column, pattern: str) -> Column:
 def query_tokens(text: Column) -> Column:
     """Distinct lower-case tokens of three or more characters that aren't stop words, in order."""
     raw = F.transform(_matches(F.lower(text), "[a-z0-9][a-z0-9'-]*"), lambda t: F.regexp_replace(t, "^['-]+|['-]+$", ""))
-    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 3) & ~t.isin(*QUERY_STOP)))
+    return F.array_distinct(F.filter(raw, lambda t: (F.length(t) >= 3) & ~_stops(QUERY_STOP, t)))
 
 
 def stem(token: Column) -> Column:
@@ -67,7 +73,7 @@ def lexical_tokens(text: Column) -> Column:
 def fts_terms(text: Column) -> Column:
     """At most 16 distinct words for the OR search."""
     raw = F.transform(_matches(text, "[A-Za-z0-9][A-Za-z0-9'_-]*"), lambda t: F.lower(F.regexp_replace(t, "^['_-]+|['_-]+$", "")))
-    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.isin(*FTS_STOP))
+    kept = F.filter(raw, lambda t: (F.length(t) >= 2) & ~_stops(FTS_STOP, t))
     return F.slice(F.array_distinct(kept), 1, 16)
 
 
@@ -114,6 +120,11 @@ def is_claim(sentence: Column) -> Column:
     return (F.length(sentence) >= CLAIM_CHARS) & F.exists(_words(list(CLAIM_TRIGGERS)), lambda w: F.contains(low, w))
 
 
+def is_preference(text: Column) -> Column:
+    low = F.lower(text)
+    return F.exists(_words(list(PREFERENCE)), lambda w: F.contains(low, w))
+
+
 def stem_hits(tokens: Column, text: Column) -> Column:
     """How many of ``tokens`` have their stem in ``text``."""
     low = F.lower(text)
@@ -132,18 +143,14 @@ def sides(query: Column) -> Column:
     """One or two token lists: the named events of a comparison. A side ends at a newline (d)."""
     between = r"(?id)\bbetween\s+(.+?)\s+and\s+(.+?)(?:\?|$)"
     since = r"(?id)\bsince\s+(.+?)\s+when\s+(.+?)(?:\?|$)"
-    pair = lambda p: F.array(*[query_tokens(F.regexp_extract(query, p, k)) for k in (1, 2)])
+    pair = lambda p: F.array(*[F.regexp_extract(query, p, k) for k in (1, 2)])
     parts = F.split(query, r"(?i)\bor\b")
-    head = query_tokens(F.element_at(F.split(parts[0], "[,:;]"), -1))
-    left = F.when(F.size(head) > 0, head).otherwise(query_tokens(parts[0]))
-    either = F.array(left, query_tokens(F.try_element_at(parts, F.lit(2))))
-    full = lambda p: F.forall(p, lambda x: F.size(x) > 0)
-    return (
-        F.when(full(pair(between)), pair(between))
-        .when(full(pair(since)), pair(since))
-        .when((F.size(parts) == 2) & full(either), either)
-        .otherwise(F.array(query_tokens(query)))
-    )
+    left, right = parts[0], F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)))
+    either = [F.array(x, right) for x in (F.element_at(F.split(left, "[,:;]"), -1), left)]
+    # the first way to part the question that gives every side a token
+    ways = F.transform(F.array(pair(between), pair(since), *either, F.array(query)), lambda way: F.transform(way, query_tokens))
+    found = F.filter(ways, lambda way: F.coalesce(F.forall(way, lambda x: F.size(x) > 0), F.lit(False)))
+    return F.when(query.isNotNull(), F.coalesce(F.try_element_at(found, F.lit(1)), F.array(F.array().cast("array<string>"))))
 
 
 #: The patterns that route a question, in the order in which they are tried.

@@ -35,16 +35,25 @@ def bm25(
     length = F.greatest(F.size("terms"), F.lit(least_length)).alias("dl")
     sizes = docs.select(scope, doc, length)
     totals = sizes.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-    totals = totals.withColumn("mean", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")))
     found = postings(docs.select(scope, doc, "terms", length), [scope, doc, "dl"], "terms")
     frequency = found.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     asked = postings(queries, [query, scope], "terms").withColumnRenamed("tf", "qtf")
+    weighted = weights(asked.join(frequency, [scope, "term"]), totals, scope, idf_floor)
+    return found.join(weighted, [scope, "term"]).groupBy(query, doc).agg(F.sum(part(k1, b)).alias("score"))
+
+
+def weights(terms: DataFrame, totals: DataFrame, scope: str, idf_floor: float | None = None) -> DataFrame:
+    """``terms`` (with scope and df) with idf and mean from ``totals`` (scope, n, mean)."""
+    totals = totals.withColumn("mean", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if idf_floor is not None:
         idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(idf_floor))
-    weighted = asked.join(frequency, [scope, "term"]).join(totals, scope).withColumn("idf", idf).drop("df", "n")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
-    return found.join(weighted, [scope, "term"]).groupBy(query, doc).agg(F.sum(part).alias("score"))
+    return terms.join(totals, scope).withColumn("idf", idf).drop("df", "n")
+
+
+def part(k1: float, b: float):
+    """What one term of a query adds to a document's score."""
+    return F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean")))
 
 
 def top(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
@@ -61,9 +70,14 @@ def ranked_turns(turns: DataFrame, queries: DataFrame, terms, k: int = 20, colum
     scored; a query that has fewer than ``k`` of them is filled from its user's first 2 * k turns,
     so a history isn't joined with its queries as a whole.
     """
-    docs = turns.select("user_id", "arrival", terms(F.col(column)).alias("terms"))
+    docs = turns.join(queries.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "arrival", terms(F.col(column)).alias("terms"))
     asked = queries.select("query_id", "user_id", terms(F.col("query")).alias("terms"))
-    scores = bm25(docs, asked, "user_id", "arrival", "query_id", least_length=least_length)
+    return filled(bm25(docs, asked, "user_id", "arrival", "query_id", least_length=least_length), turns, queries, k)
+
+
+def filled(scores: DataFrame, turns: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``scores`` (query_id, arrival, score), with its user's first turns where
+    a query has fewer."""
     scored = scores.join(turns.select("user_id", "arrival", "place"), "arrival").withColumn("score", F.round("score", 9))
     scored = top(scored, "query_id", k, F.desc("score"), "place", "arrival").drop("rank")
     first = top(turns.select("user_id", "arrival", "place"), "user_id", 2 * k, "place", "arrival").drop("rank")

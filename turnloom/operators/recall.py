@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import PIECE, estimate_tokens, sides, stem_hits
+from turnloom.sources.shared import Scratch, shared_dir, written
 
 #: Tokens of a recall, characters of a block, turns of the focus.
 BUDGET, BLOCK_CHARS, FOCUS_TURNS = 100_000, 6_000, 12
@@ -62,58 +63,183 @@ def full_recall(turns: DataFrame, top_k: int = 20, budget: int = BUDGET) -> Data
 def blocks(turns: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """user_id, session_id, position, block: sessions cut greedily into runs of about ``block_chars``.
 
-    The cut depends on where the last one fell, so a session is folded as one sorted array.
+    The cut depends on where the last one fell, so a session's sizes are folded in order; what is
+    kept are the places of the cuts, one for each ``block_chars`` characters.
     """
-    own = F.array_sort(F.collect_list(F.struct("position", (F.length("turn_text") + 1).alias("size"))))
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("size"), F.array().cast("array<struct<position: bigint, block: int>>").alias("out"))
+    own = F.array_sort(F.collect_list(F.struct("position", (F.length("turn_text") + 1).cast("long").alias("size"))))
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.array().cast("array<bigint>").alias("cuts"))
 
     def step(acc, x):
         cut = (acc["size"] > 0) & (acc["size"] + x["size"] > block_chars)
-        block = acc["block"] + cut.cast("int")
-        size = F.when(cut, x["size"]).otherwise(acc["size"] + x["size"])
-        row = F.struct(x["position"].cast("long").alias("position"), block.alias("block"))
-        return F.struct(block.alias("block"), size.cast("int").alias("size"), F.concat(acc["out"], F.array(row)).alias("out"))
+        cuts = F.when(cut, F.concat(acc["cuts"], F.array(x["position"].cast("long")))).otherwise(acc["cuts"])
+        return F.struct(F.when(cut, x["size"]).otherwise(acc["size"] + x["size"]).alias("size"), cuts.alias("cuts"))
 
-    rows = turns.groupBy("user_id", "session_id").agg(F.aggregate(own, start, step, lambda a: a["out"]).alias("out"))
-    return rows.select("user_id", "session_id", F.inline("out")).withColumn("block", F.col("block").cast("long"))
+    cuts = turns.groupBy("user_id", "session_id").agg(F.aggregate(own, start, step, lambda a: a["cuts"]).alias("cuts"))
+    cuts = cuts.select("user_id", "session_id", F.explode("cuts").alias("position"), F.lit(1).alias("cut"))
+    rows = turns.select("user_id", "session_id", "position").join(cuts, ["user_id", "session_id", "position"], "left")
+    upto = Window.partitionBy("user_id", "session_id").orderBy("position")
+    return rows.select("user_id", "session_id", "position", F.sum(F.coalesce("cut", F.lit(0))).over(upto).cast("long").alias("block"))
 
 
-def knapsack(units: DataFrame, by: str, budget: int) -> DataFrame:
-    """``units`` (by, ord, cost) with chosen: taken in order, skipping what no longer fits."""
-    own = F.array_sort(F.collect_list(F.struct("ord", "cost")))
+def knapsack(units: DataFrame, by: str, budget) -> DataFrame:
+    """``units`` (by, ord, cost) with chosen: taken in order, skipping what no longer fits.
+
+    ``budget`` is a number or the name of a column that is the same for all units of a ``by``. What
+    is left only shrinks, so of the units of one cost the chosen ones are the first, and no more
+    than budget / cost: only so many are folded, some budget * ln(budget) at most however many
+    units there are. Units that cost nothing are always taken.
+    """
+    most = F.col(budget) if isinstance(budget, str) else F.lit(budget)
+    n = F.row_number().over(Window.partitionBy(by, "cost").orderBy("ord"))
+    some = units.where("cost > 0").select(by, "ord", "cost", most.cast("long").alias("most"), n.alias("n")).where(F.col("n") * F.col("cost") <= F.col("most"))
+    own = F.array_sort(F.collect_list(F.struct("ord", "cost", "most")))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ok"))
 
     def step(acc, x):
-        fits = acc["used"] + x["cost"] <= budget
-        taken = F.concat(acc["ok"], F.array(x["ord"].cast("long")))
-        return F.struct((acc["used"] + F.when(fits, x["cost"]).otherwise(0)).cast("long").alias("used"), F.when(fits, taken).otherwise(acc["ok"]).alias("ok"))
+        fits = acc["used"] + x["cost"] <= x["most"]
+        used = acc["used"] + F.when(fits, x["cost"]).otherwise(0)
+        return F.struct(used.cast("long").alias("used"), F.when(fits, F.concat(acc["ok"], F.array(x["ord"].cast("long")))).otherwise(acc["ok"]).alias("ok"))
 
-    chosen = units.groupBy(by).agg(F.aggregate(own, start, step, lambda a: a["ok"]).alias("ok"))
+    chosen = some.groupBy(by).agg(F.aggregate(own, start, step, lambda a: a["ok"]).alias("ok"))
     rows = units.join(chosen.select(by, F.explode("ok").alias("ord"), F.lit(True).alias("chosen")), [by, "ord"], "left")
-    return rows.withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    return rows.withColumn("chosen", F.coalesce("chosen", (F.col("cost") <= 0) & (most >= 0), F.lit(False)))
+
+
+#: What a repeated passage and a dated session begin with.
+FOCUS_HEAD = "Most relevant passages (repeated from above):\n"
+DATE_HEAD = "(conversation on "
+
+
+def _stamp(seconds):
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def _pieces(text):
+    return F.regexp_count(text, F.lit(PIECE))
+
+
+def _tokens(pieces):
+    return F.ceil(F.lit(1.05) * pieces).cast("long")
+
+
+def focus(turns: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
+    """query_id, id, content, cost: a query's first FOCUS_TURNS hits again, whole, as many as fit."""
+    first = hits.groupBy("query_id", "arrival").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "arrival"))
+    first = first.withColumn("place", place).where(F.col("place") <= FOCUS_TURNS)
+    rows = first.join(turns.select("arrival", "turn_text", _pieces(F.col("turn_text")).cast("long").alias("n")), "arrival")
+    own = F.array_sort(F.collect_list(F.struct("place", "arrival", "n", "turn_text")))
+    kind = "array<struct<arrival: bigint, turn_text: string>>"
+    start = F.struct(_pieces(F.lit(FOCUS_HEAD)).cast("long").alias("n"), F.array().cast(kind).alias("kept"))
+
+    def step(acc, x):
+        fits = _tokens(acc["n"] + x["n"]) <= budget
+        more = F.concat(acc["kept"], F.array(F.struct(x["arrival"].alias("arrival"), x["turn_text"].alias("turn_text"))))
+        return F.struct((acc["n"] + F.when(fits, x["n"]).otherwise(0)).alias("n"), F.when(fits, more).otherwise(acc["kept"]).alias("kept"))
 
+    made = rows.groupBy("query_id").agg(F.aggregate(own, start, step).alias("f")).where(F.size("f.kept") > 0)
+    text = F.concat(F.lit(FOCUS_HEAD), F.array_join(F.transform("f.kept", lambda x: x["turn_text"]), "\n"))
+    return made.select("query_id", F.element_at("f.kept", 1)["arrival"].alias("id"), text.alias("content"), _tokens(F.col("f.n")).alias("cost"))
 
-def over_budget(turns: DataFrame, queries: DataFrame, hits: DataFrame, terms, budget: int, top_k: int = 20) -> DataFrame:
-    """query_id, user_id, session_id, block, chosen: which blocks a query's recall keeps.
 
-    Blocks that hold a hit (query_id, arrival, rank) come first, by their best hit, then the rest
-    by relevance; blocks are taken while they fit.
+def _units(turns: DataFrame, block_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The turns with their blocks, and the blocks whole: user_id, session_id, session_rank, block,
+    unit, id and said (of the block's first turn), content, cost."""
+    cut = turns.join(blocks(turns, block_chars), ["user_id", "session_id", "position"])
+    cut = cut.withColumn("unit", F.concat_ws("/", "session_id", "block"))
+    order = session_order(turns).select("user_id", "session_id", "session_rank")
+    units = joined(cut, ["user_id", "session_id", "block", "unit"], ["position"], "turn_text").join(order, ["user_id", "session_id"])
+    head = cut.groupBy("user_id", "unit").agg(F.min_by(F.struct(F.col("arrival").alias("id"), F.col("said_at").alias("said")), "position").alias("head"))
+    units = units.join(head.select("user_id", "unit", "head.*"), ["user_id", "unit"])
+    return cut, units.withColumn("cost", estimate_tokens(F.col("content")))
+
+
+def over_budget(turns: DataFrame, queries: DataFrame, hits: DataFrame, terms, budget: int, top_k: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """query_id, user_id, session_id, block, cost, chosen: which blocks a query's recall keeps.
+
+    What its focus costs is taken off the budget, and the focus takes one of the ``top_k`` items.
+    Blocks that hold a hit (query_id, arrival, rank) come first, by their best hit, then the rest by
+    relevance; blocks are taken while they fit. Where a user has more sessions than items, a block
+    with a date also pays for the line that will name it.
     """
+    with Scratch(turns.sparkSession) as scratch:
+        rows, _, _ = _chosen(turns, queries, hits, terms, budget, top_k, block_chars, scratch)
+        return written(rows.select("query_id", "user_id", "session_id", "block", "cost", "chosen"), shared_dir(turns.sparkSession, "blocks"))
+
+
+def _chosen(turns, queries, hits, terms, budget, top_k, block_chars, scratch):
     from turnloom.operators.ranking import bm25
 
-    cut = turns.join(blocks(turns), ["user_id", "session_id", "position"])
-    order = session_order(turns).select("user_id", "session_id", "session_rank")
-    units = joined(cut, ["user_id", "session_id", "block"], ["position"], "turn_text").join(order, ["user_id", "session_id"])
-    units = units.withColumns({"unit": F.concat_ws("/", "session_id", "block"), "cost": estimate_tokens(F.col("content"))})
-    docs = units.select("user_id", "unit", terms(F.col("content")).alias("terms"))
+    cut, units = map(scratch.cut, _units(turns, block_chars))
     asked = queries.select("query_id", "user_id", terms(F.col("query")).alias("terms"))
-    scores = bm25(docs, asked, "user_id", "unit", "query_id")
-    best = hits.join(cut.select("arrival", F.concat_ws("/", "session_id", "block").alias("unit")), "arrival").groupBy("query_id", "unit").agg(F.min("rank").alias("best"))
+    scores = bm25(units.select("user_id", "unit", terms(F.col("content")).alias("terms")), asked, "user_id", "unit", "query_id")
+    best = hits.join(cut.select("arrival", "unit"), "arrival").groupBy("query_id", "unit").agg(F.min("rank").alias("best"))
+    front = scratch.cut(focus(turns, hits, budget)) if top_k > 1 else None
     rows = queries.select("query_id", "user_id").join(units.drop("content"), "user_id")
     rows = rows.join(scores, ["query_id", "unit"], "left").join(best, ["query_id", "unit"], "left")
+    spent = F.lit(None) if front is None else F.col("spent")
+    if front is not None:
+        rows = rows.join(front.select("query_id", F.col("cost").alias("spent")), "query_id", "left")
+    n = turns.groupBy("user_id").agg(F.count_distinct("session_id").alias("sessions"))
+    rows = rows.join(n, "user_id").withColumns({"left": F.lit(budget) - F.coalesce(spent, F.lit(0)), "items": F.lit(top_k) - spent.isNotNull().cast("int")})
+    line = F.concat(F.lit(DATE_HEAD), F.left(_stamp("said"), F.lit(10)), F.lit(")\n"))
+    pays = F.when((F.col("sessions") > F.col("items")) & F.col("said").isNotNull(), estimate_tokens(line)).otherwise(0)
     w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("best"), F.desc(F.round(F.coalesce("score", F.lit(0.0)), 9)), "session_rank", "block")
-    rows = rows.withColumn("ord", F.row_number().over(w).cast("long"))
-    return knapsack(rows, "query_id", budget).select("query_id", "user_id", "session_id", "block", "cost", "chosen")
+    rows = rows.withColumn("cost", F.col("cost") + pays).withColumn("ord", F.row_number().over(w).cast("long"))
+    rows = scratch.cut(rows.select("query_id", "user_id", "session_id", "unit", "block", "cost", "left", "items", "ord"))
+    return scratch.cut(knapsack(rows, "query_id", "left")), units, front
+
+
+def _items(kept: DataFrame, limit) -> DataFrame:
+    """query_id, item, id, content, created_at: sessions (query_id, session_rank, id, said, content) as
+    items, neighbours merged, each under its date, where they are more than ``limit``."""
+    every = Window.partitionBy("query_id")
+    rows = kept.withColumns({"n": F.count(F.lit(1)).over(every), "at": F.row_number().over(every.orderBy("session_rank")) - 1, "limit": limit})
+    rows = rows.withColumn("item", F.floor(F.col("at") / F.ceil(F.col("n") / F.col("limit"))))
+    dated = (F.col("n") > F.col("limit")) & F.col("said").isNotNull()
+    head = F.when(dated, F.concat(F.lit(DATE_HEAD), F.left(_stamp("said"), F.lit(10)), F.lit(")\n"))).otherwise("")
+    rows = rows.withColumn("part", F.concat(head, "content"))
+    text = joined(rows, ["query_id", "item"], ["at"], "part")
+    first = rows.groupBy("query_id", "item").agg(F.min_by(F.struct("id", "said"), "at").alias("f")).select("query_id", "item", "f.*")
+    return text.join(first, ["query_id", "item"]).select("query_id", "item", "id", "content", _stamp("said").alias("created_at"))
+
+
+def recalled(turns: DataFrame, queries: DataFrame, hits: DataFrame, terms, budget: int = BUDGET, top_k: int = 20, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """query_id, item, id, content, created_at, kind: what a query's recall returns.
+
+    The whole history of its user, session by session in order of time, if that fits ``budget``
+    estimated tokens; else the blocks that ``over_budget`` keeps, those of one session joined again,
+    and last the focus. Never more than ``top_k`` items (1 or more), nor than the budget. id and created_at are
+    those of an item's first turn; a user without turns gives no items.
+    """
+    with Scratch(turns.sparkSession) as scratch:
+        rows = _recalled(*map(scratch.cut, (turns, queries, hits)), terms, budget, top_k, block_chars, scratch)
+        return written(rows, shared_dir(turns.sparkSession, "recalled"))
+
+
+def _recalled(turns, queries, hits, terms, budget, top_k, block_chars, scratch):
+    head = turns.groupBy("user_id", "session_id").agg(F.min_by(F.struct(F.col("arrival").alias("id"), F.col("said_at").alias("said")), "position").alias("head"))
+    whole = sessions(turns).join(head.select("user_id", "session_id", "head.*"), ["user_id", "session_id"])
+    each = _items(whole.withColumnRenamed("user_id", "query_id").select("query_id", "session_rank", "id", "said", "content"), F.lit(top_k))
+    each = each.withColumnRenamed("query_id", "user_id").withColumn("tokens", F.sum(estimate_tokens(F.col("content"))).over(Window.partitionBy("user_id")))
+    each = scratch.cut(each)
+    fit = queries.select("query_id", "user_id").join(each.where(F.col("tokens") <= budget), "user_id").withColumn("kind", F.lit("history"))
+    columns = ["query_id", "item", "id", "content", "created_at", "kind"]
+    large = scratch.cut(each.where(F.col("tokens") > budget).select("user_id").distinct())
+    asked, some = queries.join(large, "user_id", "left_semi"), turns.join(large, "user_id", "left_semi")
+    own = hits.join(asked.select("query_id"), "query_id", "left_semi")
+    rows, units, front = _chosen(some, asked, own, terms, budget, top_k, block_chars, scratch)
+    kept = scratch.cut(rows.where("chosen").select("query_id", "user_id", "unit", "items").join(units, ["user_id", "unit"]))
+    text = joined(kept, ["query_id", "session_rank", "items"], ["block"], "content")
+    first = kept.groupBy("query_id", "session_rank").agg(F.min_by(F.struct("id", "said"), "block").alias("f"))
+    made = text.join(first.select("query_id", "session_rank", "f.*"), ["query_id", "session_rank"])
+    over = _items(made, F.col("items")).withColumn("kind", F.lit("history"))
+    parts = fit.select(*columns).unionByName(over.select(*columns))
+    if front is not None:
+        end = front.select("query_id", F.lit(2_000_000_000).cast("long").alias("item"), "id", "content", F.lit(None).cast("string").alias("created_at"), F.lit("focus").alias("kind"))
+        parts = parts.unionByName(end)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("item")).cast("long")
+    return parts.withColumn("item", place)
 
 
 def spread(ranked: DataFrame, by: str, k) -> DataFrame:
@@ -194,6 +320,59 @@ def hit_spans(hits: DataFrame, window: int) -> DataFrame:
     return rows.select("query_id", F.posexplode("spans").alias("span", "s")).select("query_id", F.col("span").cast("long").alias("span"), "s.*")
 
 
+def search_items(hits: DataFrame, turns: DataFrame, sources: DataFrame | None = None, window: int = 0, whole_session: bool = False, k: int | None = None) -> DataFrame:
+    """query_id, rank, id, content, created_at: what a search returns for its ranked ``hits``
+    (query_id, rank, id).
+
+    A hit on a claim counts for its source turn (``sources``: id, source), a turn at its best rank.
+    With a ``window`` each hit brings that many turns of its session from either side, or else its
+    ``whole_session``; in order of rank a hit joins the first span that it touches. Repeated
+    contents and contents within another item go, blank ones too, then the first ``k`` stay. id and created_at are
+    those of an item's best hit. A hit that is no turn is left out.
+    """
+    rows = hits
+    if sources is not None:
+        rows = rows.join(sources.groupBy("id").agg(F.min("source").alias("source")), "id", "left").withColumn("id", F.coalesce("source", "id"))
+    rows = rows.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    own = turns.select(F.col("arrival").alias("id"), "user_id", "session_id", "position", "said_at", F.trim("turn_text").alias("content"))
+    rows = rows.join(own, "id").where("content <> ''")
+    if window or whole_session:
+        if whole_session:
+            ends = turns.groupBy("user_id", "session_id").agg(F.min("position").alias("low"), F.max("position").alias("high"))
+            rows = rows.join(ends, ["user_id", "session_id"])
+        else:
+            rows = rows.withColumns({"low": F.col("position") - window, "high": F.col("position") + window})
+        spans = _spans(rows)
+        within = (F.col("t.user_id") == F.col("s.user_id")) & (F.col("t.session_id") == F.col("s.session_id")) & F.col("t.position").between(F.col("s.low"), F.col("s.high"))
+        # of turns at one position the first to arrive counts
+        place = F.row_number().over(Window.partitionBy("user_id", "session_id", "position").orderBy("arrival"))
+        first = turns.withColumn("place", place).where("place = 1")
+        met = spans.alias("s").join(first.alias("t"), within).select("query_id", "rank", "id", F.col("s.said_at").alias("said_at"), "t.position", F.trim("t.turn_text").alias("text"))
+        rows = joined(met, ["query_id", "rank", "id", "said_at"], ["position"], "text")
+    items = distinct_items(rows.select("query_id", "rank", "content")).join(rows, ["query_id", "rank", "content"])
+    items = items.select("query_id", "rank", "id", "content", _stamp("said_at").alias("created_at"))
+    if k is None:
+        return items
+    return items.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("place") <= k).drop("place")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """query_id, rank, id, user_id, session_id, said_at, low, high of the spans that hits with low and high
+    make when taken by rank; a query's hits are as many as a search returns."""
+    keep = ["rank", "id", "user_id", "session_id", "said_at", "low", "high"]
+    own = F.array_sort(F.collect_list(F.struct(*keep)))
+
+    def step(spans, x):
+        touches = lambda s: (s["user_id"] == x["user_id"]) & (s["session_id"] == x["session_id"]) & (x["low"] <= s["high"] + 1) & (x["high"] >= s["low"] - 1)
+        at = F.array_position(F.transform(spans, touches), F.lit(True))
+        wide = lambda s: F.struct(*(s[c].alias(c) for c in keep[:-2]), F.least(s["low"], x["low"]).alias("low"), F.greatest(s["high"], x["high"]).alias("high"))
+        return F.when(at > 0, F.transform(spans, lambda s, i: F.when(i == at - 1, wide(s)).otherwise(s))).otherwise(F.concat(spans, F.array(x)))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    empty = F.array().cast("array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in keep) + ">>")
+    return rows.groupBy("query_id").agg(F.aggregate(own, empty, step).alias("spans")).select("query_id", F.inline("spans"))
+
+
 def distinct_items(items: DataFrame) -> DataFrame:
     """``items`` (query_id, rank, content) without repeated contents and without any that stands
     inside another. The containment test meets only items of one query, ``top_k`` at most."""

@@ -6,7 +6,6 @@ the final sort, of the question's own candidates. Orders are numbers: a smaller
 
 from __future__ import annotations
 
-import tempfile
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 from turnloom.functions import text
 from turnloom.operators import ranking, recall, temporal
+from turnloom.sources.postings import Field, PostingIndex
+from turnloom.sources.shared import Scratch, shared_dir, written
 
 #: Candidates of a first pass, of a recency list and of the timeline, and hits that a
 #: name, a phrase or one side of an alternative may add.
@@ -35,15 +36,13 @@ class Memory(NamedTuple):
     edges: DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder, so that what uses it twice makes it once."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="turnloom-"))
-    return df.checkpoint()
+class Prepared(NamedTuple):
+    """What the searches of one call share: the ``index`` of the nodes' words, each user's newest
+    nodes with their tokens, and the folder of intermediate results."""
+
+    index: PostingIndex
+    recent: DataFrame
+    scratch: Scratch
 
 
 def _numbered(rows: DataFrame, by: str, most=None) -> DataFrame:
@@ -54,7 +53,7 @@ def _numbered(rows: DataFrame, by: str, most=None) -> DataFrame:
 
 
 def _after(rows: DataFrame, group: int) -> DataFrame:
-    """``rows`` behind those of every lower group."""
+    """``rows`` behind those of every lower group; a group has less than a million."""
     return rows.withColumn("o", F.col("o") + group * 1_000_000)
 
 
@@ -67,21 +66,47 @@ def _ranked_words(column: Column) -> Column:
     return F.filter(raw, lambda t: F.length(t) >= 2)
 
 
-def word_search(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+#: The fields that a store's index has for the word searches.
+FIELDS = {"words": Field(_indexed), "ranked": Field(_ranked_words)}
+
+
+def prepared(nodes: DataFrame, scratch: Scratch, index: PostingIndex | None = None) -> Prepared:
+    """``index`` has the FIELDS of ``nodes``; without one the nodes are indexed for this call."""
+    if index is None:
+        index = PostingIndex(nodes.sparkSession, f"{scratch.path}/index", FIELDS, buckets=1)  # all users are asked
+        index.apply("nodes", nodes.select("user_id", "id", "content"))
+    nodes = nodes if "lexical" in nodes.columns else _tokenised(nodes)
+    return Prepared(index, scratch.cut(newest(nodes, RECENT).select("user_id", "id", "place", F.col("lexical").alias("terms"))), scratch)
+
+
+def _tokenised(nodes: DataFrame) -> DataFrame:
+    return nodes.withColumn("lexical", text.lexical_tokens(F.col("content")))
+
+
+def _own(asked: DataFrame, memory: Memory, scratch: Scratch) -> Memory:
+    """What ``memory`` holds of the asked users, read once; its nodes with their tokens."""
+    users = scratch.cut(asked.select("user_id").distinct())
+    memory = memory._replace(nodes=_tokenised(memory.nodes))
+    return Memory(*(scratch.cut(x.join(users, "user_id", "left_semi")) for x in memory))
+
+
+def word_search(asked: DataFrame, index: PostingIndex) -> DataFrame:
     """ask, id, o: nodes with all of the first 12 words, then those with any distinctive word by BM25.
 
     ``asked`` has ask, user_id, words and most. Fewer than two distinctive words: the former only.
     """
     first = F.array_join(F.slice(F.filter(F.split(F.translate("words", '"', " "), r"\s+"), lambda t: t != ""), 1, 12), " ")
     whole = asked.select("ask", "user_id", F.array_distinct(_indexed(first)).alias("terms"))
-    exact = ranking.all_terms(nodes.select("user_id", "id", _indexed(F.col("content")).alias("terms")), whole, "user_id", "id", "ask")
+    exact = index.with_all("words", whole, "ask")
     exact = exact.withColumn("o", F.row_number().over(Window.partitionBy("ask").orderBy("id")).cast("long"))
     some = asked.select("ask", "user_id", text.fts_terms(F.col("words")).alias("terms")).where(F.size("terms") >= 2)
-    docs = nodes.select("user_id", "id", _ranked_words(F.col("content")).alias("terms"))
-    scores = ranking.bm25(docs, some, "user_id", "id", "ask", k1=1.2, idf_floor=1e-6)
+    scores = index.scores("ranked", some, "ask", k1=1.2, idf_floor=1e-6)
     rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc(F.round("score", 9)), "id"))
-    both = exact.unionByName(_after(scores.select("ask", "id", rank.cast("long").alias("o")), 1))
-    return _numbered(both, "ask").join(asked.select("ask", "most"), "ask").where(F.col("o") <= F.col("most")).drop("most")
+    most = asked.select("ask", "most")
+    some = scores.select("ask", "id", rank.cast("long").alias("o"))
+    within = [x.join(most, "ask").where(F.col("o") <= F.col("most")) for x in (exact, some)]
+    both = within[0].unionByName(_after(within[1], 1)).select("ask", "id", "o")
+    return _numbered(both, "ask").join(most, "ask").where(F.col("o") <= F.col("most")).drop("most")
 
 
 def newest(nodes: DataFrame, most: int) -> DataFrame:
@@ -109,24 +134,23 @@ def _parts(asked: DataFrame, most: int) -> DataFrame:
     return asked.select("query_id", "user_id", F.posexplode(parts).alias("part", "p")).select("query_id", "user_id", "part", "p.*").where(F.trim("words") != "")
 
 
-def fused(asked: DataFrame, nodes: DataFrame, most: int = CANDIDATES, neighbours: DataFrame | None = None) -> DataFrame:
+def fused(asked: DataFrame, made: Prepared, most: int = CANDIDATES, neighbours: DataFrame | None = None) -> DataFrame:
     """query_id, id, o: the shortlist of each question of ``asked`` (query_id, user_id, query).
 
     In order: the word search of the whole question, that of its long words, BM25 over the newest
     nodes, embedding ``neighbours`` (query_id, id, o) if there are any, then names, quoted phrases
     and the sides of an alternative. A question without any takes the newest nodes.
     """
-    parts = _parts(asked, most).withColumn("ask", F.struct("query_id", "part"))
-    found = word_search(parts.select("ask", "user_id", "words", "most"), nodes).join(parts.select("ask", "branch"), "ask")
+    parts = made.scratch.cut(_parts(asked, most).withColumn("ask", F.struct("query_id", "part")))
+    found = word_search(parts.select("ask", "user_id", "words", "most"), made.index).join(parts.select("ask", "branch"), "ask")
     found = found.select(F.col("ask.query_id").alias("query_id"), "id", (F.col("o") + F.col("branch") * 1_000_000 + F.col("ask.part") * 1000).alias("o"))
-    recent = newest(nodes, min(RECENT, 2 * most))
-    docs = recent.select("user_id", "id", "place", text.lexical_tokens(F.col("content")).alias("terms"))
+    docs = made.recent.where(F.col("place") <= min(RECENT, 2 * most))
     terms = asked.select("query_id", "user_id", text.lexical_tokens(F.col("query")).alias("terms"))
     ranked = ranking.best_or_first(docs, terms, "user_id", "id", "query_id", k=min(24, most)).select("query_id", "id", F.col("rank").alias("o"))
     rows = found.unionByName(_after(ranked, 2))
     if neighbours is not None:
         rows = rows.unionByName(_after(neighbours.select("query_id", "id", "o"), 3))
-    spare = asked.join(recent.select("user_id", "id", F.col("place").alias("o")), "user_id").select("query_id", "id", "o")
+    spare = asked.join(docs.select("user_id", "id", F.col("place").alias("o")), "user_id").select("query_id", "id", "o")
     rows = rows.unionByName(_after(spare.where(F.col("o") <= most), 9))
     rows = rows.withColumn("least", F.min("o").over(Window.partitionBy("query_id")))
     return _numbered(rows.where("o < 9000000 OR least >= 9000000"), "query_id", most)
@@ -188,7 +212,7 @@ def pair_sources(asked: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.join(both, "query_id", "left_semi").select("query_id", F.col("node_id").alias("id"), (F.col("side") + 1).alias("o"))
 
 
-def gather(asked: DataFrame, memory: Memory, most: int = CANDIDATES, widen: bool = False) -> DataFrame:
+def gather(asked: DataFrame, memory: Memory, made: Prepared, most: int = CANDIDATES, widen: bool = False) -> DataFrame:
     """query_id, id, o: the evidence of each question of ``asked`` (query_id, user_id, query, ability, k).
 
     A question is routed by its ability, and the fused shortlist always joins in; a widened pass
@@ -196,11 +220,12 @@ def gather(asked: DataFrame, memory: Memory, most: int = CANDIDATES, widen: bool
     longer current. Candidates are sorted by BM25 among themselves. Then come, while there is
     room, the neighbours one link away.
     """
+    cut = made.scratch.cut
     asked = asked.withColumn("mention", (F.col("ability") == "event_ordering") & F.col("query").rlike(text.MENTIONS))
     is_a = lambda *names: F.col("ability").isin(*names)
     past = F.lit(widen) | is_a(*text.HISTORICAL)
     facts = asked.select("query_id", "query", "ability", "k", "mention", past.alias("past"))
-    shortlist = cut(fused(asked, memory.nodes, most))
+    shortlist = cut(fused(asked, made, most))
     node = memory.nodes.select("id", "content", "tier", "valid_to", "source_position", "source_role")
     claims = shortlist.join(asked.where(is_a("extraction", "preference")).select("query_id"), "query_id")
     claims = claims.join(node.where("tier IN ('claim', 'fact')").select("id"), "id").select("query_id", "id", "o")
@@ -216,7 +241,7 @@ def gather(asked: DataFrame, memory: Memory, most: int = CANDIDATES, widen: bool
         w = text.query_tokens(F.col("query"))
         subs = F.concat(F.transform(text.sides(F.col("query")), lambda s: F.array_join(s, " ")), F.array(F.array_join(F.slice(w, 1, 6), " ")))
         more = asked.select("query_id", "user_id", F.posexplode(F.filter(F.array_distinct(subs), lambda s: F.trim(s) != "")).alias("sub", "query"))
-        extra = fused(more.select(F.struct("query_id", "sub").alias("query_id"), "user_id", "query"), memory.nodes, most)
+        extra = fused(more.select(F.struct("query_id", "sub").alias("query_id"), "user_id", "query"), made, most)
         routes.append(_after(extra.select(F.col("query_id.query_id").alias("query_id"), "id", (F.col("query_id.sub") * 1000 + F.col("o")).alias("o")), 2))
     rows = routes[0]
     for more in routes[1:]:
@@ -231,9 +256,9 @@ def gather(asked: DataFrame, memory: Memory, most: int = CANDIDATES, widen: bool
     )
     pairs = cut(pairs)
     candidates = _numbered(pairs.unionByName(_after(rows.drop("content"), 1)), "query_id", most)
-    candidates = cut(candidates.join(node.select("id", "content", "source_position"), "id"))
+    candidates = cut(candidates.join(memory.nodes.select("id", "lexical", "source_position"), "id"))
     terms = facts.select("query_id", text.lexical_tokens(F.col("query")).alias("terms"))
-    docs = candidates.select("query_id", "id", F.col("o").alias("place"), text.lexical_tokens(F.col("content")).alias("terms"))
+    docs = candidates.select("query_id", "id", F.col("o").alias("place"), F.col("lexical").alias("terms"))
     best = ranking.best_or_first(docs, terms, "query_id", "id", "query_id", k=most).select("query_id", "id", "rank").join(facts, "query_id")
     spread = best.where("mention").join(candidates.select("query_id", "id", F.col("source_position").alias("position")), ["query_id", "id"])
     spread = recall.spread(spread, "query_id", F.col("k")).select("query_id", "id", F.col("rank").alias("o"))
@@ -244,8 +269,7 @@ def gather(asked: DataFrame, memory: Memory, most: int = CANDIDATES, widen: bool
     near = kept.join(links, "id").join(node.select(F.col("id").alias("dst"), "valid_to"), "dst").join(facts, "query_id")
     near = near.where(F.col("past") | F.col("valid_to").isNull() | (F.col("kind") == "supersedes"))
     near = _numbered(near.select("query_id", F.col("dst").alias("id"), (F.col("o") * 10 + F.col("link")).alias("o")).join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti"), "query_id", min(12, most))
-    near = near.join(node.select("id", "content"), "id")
-    near = near.select("query_id", "id", F.col("o").alias("place"), text.lexical_tokens(F.col("content")).alias("terms"))
+    near = near.join(memory.nodes.select("id", "lexical"), "id").select("query_id", "id", F.col("o").alias("place"), F.col("lexical").alias("terms"))
     near = ranking.best_or_first(near, terms, "query_id", "id", "query_id", k=most).select("query_id", "id", F.col("rank").alias("o"))
     rows = _numbered(kept.unionByName(_after(near, 1)), "query_id").join(facts, "query_id").where("o <= k").join(node, "id").where(~F.col("mention") | (F.col("source_position").isNotNull() & by_user))
     order = F.when(F.col("mention"), F.col("source_position")).otherwise(F.col("o"))
@@ -270,20 +294,41 @@ def evidence(rows: DataFrame, memory: Memory) -> DataFrame:
 CHECKED = ("contradiction", "event_ordering", "temporal", "extraction")
 
 
-def retrieve(asked: DataFrame, memory: Memory, k: int = 8) -> DataFrame:
+def retrieve(asked: DataFrame, memory: Memory, k: int = 8, index: PostingIndex | None = None) -> DataFrame:
     """query_id, ability, widened, reason, id, rank: the evidence of each question of ``asked``
     (query_id, user_id, query), and why it doesn't hold if it doesn't.
 
     A question whose evidence fails its contract gets one wider pass, whose evidence counts if it
-    holds. A blank question and a user without nodes get no row.
+    holds. A blank question and a user without nodes get no row. With a maintained ``index`` (of
+    FIELDS) of the nodes no text of theirs is tokenised but the newest and the candidates.
     """
+    with Scratch(asked.sparkSession) as scratch:
+        memory = _own(asked, memory, scratch)
+        rows, _ = _retrieved(asked, memory, k, prepared(memory.nodes, scratch, index))
+        return written(rows, shared_dir(asked.sparkSession, "retrieved"))
+
+
+def traced(asked: DataFrame, memory: Memory, k: int = 8, index: PostingIndex | None = None) -> DataFrame:
+    """query_id, stage, rank, id: what a question had after the first pass (``gathered``), after the
+    wider one if it got one (``widened``), and in the end (``kept``)."""
+    with Scratch(asked.sparkSession) as scratch:
+        memory = _own(asked, memory, scratch)
+        rows, stages = _retrieved(asked, memory, k, prepared(memory.nodes, scratch, index))
+        made = rows.select("query_id", F.lit("kept").alias("stage"), "rank", "id")
+        for name, part in stages.items():
+            made = made.unionByName(part.select("query_id", F.lit(name).alias("stage"), F.col("o").alias("rank"), "id"))
+        return written(made, shared_dir(asked.sparkSession, "traced"))
+
+
+def _retrieved(asked: DataFrame, memory: Memory, k: int, made: Prepared) -> tuple[DataFrame, dict[str, DataFrame]]:
+    cut = made.scratch.cut
     asked = cut(asked.where(F.trim("query") != "").withColumn("ability", text.ability(F.col("query"))).withColumn("k", text.ability_k(F.col("ability"), k)))
-    first = cut(gather(asked, memory))
+    first = cut(gather(asked, memory, made))
     verdict = cut(temporal.contracts(asked.select("query_id", "query"), evidence(first, memory)))
     short = verdict.where(F.col("reason").isNotNull() & F.col("ability").isin(*CHECKED)).select("query_id")
     again = asked.join(short, "query_id", "left_semi").withColumn("k", F.least(F.col("k") + 6, F.lit(24)))
     again = cut(again)
-    wide = gather(again, memory, 2 * CANDIDATES, True)
+    wide = gather(again, memory, made, 2 * CANDIDATES, True)
     both = _numbered(first.join(short, "query_id", "left_semi").unionByName(_after(wide, 1)), "query_id")
     both = cut(both.join(again.select("query_id", "k"), "query_id").where("o <= k").drop("k"))
     retried = temporal.contracts(again.select("query_id", "query"), evidence(both, memory)).select("query_id", F.col("reason").alias("again"), F.lit(True).alias("widened"))
@@ -293,4 +338,5 @@ def retrieve(asked: DataFrame, memory: Memory, k: int = 8) -> DataFrame:
     state = cut(state)
     held = state.where("widened AND reason IS NULL").select("query_id")
     rows = first.join(held, "query_id", "left_anti").unionByName(both.join(held, "query_id", "left_semi"))
-    return rows.join(state, "query_id").select("query_id", "ability", "widened", "reason", "id", F.col("o").alias("rank"))
+    rows = rows.join(state, "query_id").select("query_id", "ability", "widened", "reason", "id", F.col("o").alias("rank"))
+    return rows, {"gathered": first, "widened": both}

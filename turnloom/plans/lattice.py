@@ -9,7 +9,8 @@ from turnloom.operators import ranking, retrieval, temporal
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.dates import mentions
-from turnloom.plans.search import _fused, _turn_ranks, fusion_candidates
+from turnloom.plans.search import _turn_ranks
+from turnloom.sources.shared import Scratch, shared_dir, written
 
 
 def memory(spark, sf_dir):
@@ -93,10 +94,12 @@ def _questions(spark, sf_dir):
 
 
 @query("fusion_shortlist_whole")
-def fusion_shortlist_whole(spark, sf_dir):
+@query("fusion_candidates")
+def fusion_candidates(spark, sf_dir):
     """The shortlist of all word, recency, name, phrase and alternative branches for every question."""
-    rows = retrieval.fused(_questions(spark, sf_dir), v.nodes(spark, sf_dir))
-    return rows.select("query_id", F.col("id").alias("node_id"), F.col("o").alias("rank"))
+    with Scratch(spark) as scratch:
+        rows = retrieval.fused(_questions(spark, sf_dir), retrieval.prepared(scratch.cut(v.nodes(spark, sf_dir)), scratch))
+        return written(rows.select("query_id", F.col("id").alias("node_id"), F.col("o").alias("rank")), shared_dir(spark, "shortlist"))
 
 
 @query("timeline_sides")
@@ -113,27 +116,9 @@ def retrieve_routed(spark, sf_dir):
     return rows.select("query_id", "ability", "widened", "reason", F.col("id").alias("node_id"), "rank")
 
 
-@query("lattice_retrieve")
-def lattice_retrieve(spark, sf_dir):
-    """Route, gather, check; the queries whose contract fails get a second, wider pass."""
-    q = _asked(spark, sf_dir)
-    turns = retrieval.cut(_turn_ranks(spark, sf_dir, 24).select("query_id", "arrival", "rank", "score"))
-    best = turns.where("rank <= 8").select("query_id", F.col("arrival").alias("id"), F.col("rank").alias("o"))
-    verdict = temporal.contracts(q, retrieval.evidence(best, memory(spark, sf_dir)))
-    k = text.ability_k(F.col("ability"), 8)
-    wide = verdict.select("query_id", "ability", (F.col("reason").isNotNull()).alias("widened"), k.alias("k"))
-    kept = F.when(F.col("widened"), F.least(F.col("k") + 6, F.lit(24))).otherwise(F.col("k"))
-    both = _fused(spark, sf_dir, turns).select("query_id", "arrival", F.col("rank").alias("o"))
-    both = both.unionByName(turns.select("query_id", "arrival", (F.col("rank") + 1000).alias("o")))
-    rows = both.groupBy("query_id", "arrival").agg(F.min("o").alias("o")).join(wide, "query_id")
-    rows = ranking.top(rows, "query_id", 24, "o", "arrival").where(F.col("rank") <= kept)
-    return rows.select("query_id", "ability", "widened", "arrival", "rank")
-
-
 @query("stage_trace")
 def stage_trace(spark, sf_dir):
-    """What each stage of the retrieval kept, in long form."""
-    gathered = fusion_candidates(spark, sf_dir).select("query_id", F.lit("gathered").alias("stage"), "arrival", "rank")
-    kept = lattice_retrieve(spark, sf_dir).select("query_id", F.lit("kept").alias("stage"), "arrival", "rank")
-    size = v.turns(spark, sf_dir).select("arrival", F.length("turn_text").cast("long").alias("chars"))
-    return gathered.unionByName(kept).join(size, "arrival").select("query_id", "stage", "rank", "arrival", "chars")
+    """What each stage of the routed retrieval had for every question, in long form."""
+    rows = retrieval.traced(_questions(spark, sf_dir), memory(spark, sf_dir))
+    size = v.nodes(spark, sf_dir).select("id", F.length("content").cast("long").alias("chars"))
+    return rows.join(size, "id").select("query_id", "stage", "rank", F.col("id").alias("node_id"), "chars")

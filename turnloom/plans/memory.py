@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as fn
-from turnloom.operators import evals, recall, store
+from turnloom.operators import evals, recall, similar, store
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.text import s_query_tokens, s_sentences, s_tokens
@@ -247,18 +247,6 @@ def are_conflicting(spark, sf_dir):
     return store.conflicting(pairs, v.conflicts(spark, sf_dir))
 
 
-_SRCH = """SELECT q.query_id, c.id FROM queries q JOIN conflicts c ON c.user_id = q.user_id AND len(list_filter(TOKS, lambda t: contains(c.topic, t))) > 0""".replace("TOKS", s_query_tokens("q.query"))
-
-
-@query("search_conflicts", v.sql(_SRCH, "queries", "conflicts"))
-def search_conflicts(spark, sf_dir):
-    """Conflicts of a query's user whose topic has one of its tokens."""
-    q = v.queries(spark, sf_dir).select("query_id", "user_id", fn.query_tokens(F.col("query")).alias("t"))
-    topic = F.col("topic")
-    rows = q.join(v.conflicts(spark, sf_dir), "user_id").where(F.exists("t", lambda t: F.contains(topic, t)))
-    return rows.select("query_id", "id")
-
-
 def matching_conflicts(queries, conflicts, nodes):
     """query_id, id, a_id, b_id, topic, a_content, b_content: conflicts of a query's user whose topic has one of its
     tokens, or of whose bodies one has the query or one of its words of over three letters. All that match are kept.
@@ -274,8 +262,17 @@ def matching_conflicts(queries, conflicts, nodes):
     return q.join(known, "user_id").where(has).select("query_id", "id", "a_id", "b_id", "topic", "a_content", "b_content")
 
 
-@query("search_conflicts_whole")
-def search_conflicts_whole(spark, sf_dir):
+_SRCH = f"""SELECT query_id, id, a_id, b_id, topic, a_content, b_content FROM (
+  SELECT q.query_id, c.id, c.a_id, c.b_id, c.topic, a.content AS a_content, b.content AS b_content, {s_query_tokens('q.query')} AS t,
+    regexp_replace(lower(q.query), '^\\s+|\\s+$', '', 'g') AS q, lower(a.content || ' ' || b.content) AS inter
+  FROM queries q JOIN conflicts c USING (user_id) JOIN nodes a ON a.id = c.a_id JOIN nodes b ON b.id = c.b_id)
+WHERE len(list_filter(t, lambda x: contains(topic, x))) > 0 OR contains(topic, q) OR contains(inter, q)
+  OR len(list_filter(regexp_split_to_array(q, '\\s+'), lambda w: length(w) > 3 AND contains(inter, w))) > 0"""
+
+
+@query("search_conflicts_whole", v.sql(_SRCH, "queries", "conflicts", "nodes"))
+@query("search_conflicts", v.sql(_SRCH, "queries", "conflicts", "nodes"))
+def search_conflicts(spark, sf_dir):
     """Conflicts of a query's user by topic or by either body, with both nodes."""
     return matching_conflicts(v.queries(spark, sf_dir), v.conflicts(spark, sf_dir), v.nodes(spark, sf_dir))
 
@@ -299,38 +296,44 @@ def source_turn(spark, sf_dir):
     return v.nodes(spark, sf_dir).select("id").join(link, "id", "left").select("id", F.coalesce("dst", "id").alias("source"))
 
 
-_WORDS = "list_distinct(list_filter(string_split(lower(body), ' '), lambda w: length(w) > 2))"
-_JAC = f"""SELECT x, y, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS overlap
-FROM (SELECT p.arrival AS x, q.arrival AS y, p.w AS a, q.w AS b FROM (SELECT *, {_WORDS} AS w FROM turns) p
-  JOIN (SELECT *, {_WORDS} AS w FROM turns) q ON p.session_id = q.session_id AND p.arrival < q.arrival)
-WHERE len(list_intersect(a, b)) >= 0.25 * len(list_distinct(list_concat(a, b))) AND len(list_intersect(a, b)) > 0"""
+_SETS = """sets AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+'), lambda w: length(w) > 2))) AS w FROM documents WHERE text IS NOT NULL),
+stands AS (SELECT min(doc_id) AS id, w, len(w) AS n FROM sets WHERE len(w) > 0 GROUP BY w),
+toks AS (SELECT id, n, unnest(w) AS t FROM stands),
+met AS (SELECT x.id AS x, y.id AS y, any_value(x.n) + any_value(y.n) - count(*) AS either, count(*) AS inter FROM toks x JOIN toks y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+"""
+_JAC = f"WITH {_SETS} SELECT x, y, round(inter / either::DOUBLE, 6) AS overlap FROM met WHERE inter * 4 >= either"
 
 
-def _overlaps(spark, sf_dir):
-    """Pairs of a session's turns by Jaccard overlap; sessions are short, so their pairs are few."""
-    w = F.array_distinct(F.filter(F.split(F.lower("body"), " "), lambda x: F.length(x) > 2))
-    t = v.turns(spark, sf_dir).select("session_id", "arrival", w.alias("w"))
-    other = t.select("session_id", F.col("arrival").alias("y"), F.col("w").alias("b"))
-    pairs = t.join(other, "session_id").where("arrival < y")
-    both, either = F.size(F.array_intersect("w", "b")), F.size(F.array_union("w", "b"))
-    return pairs.where((both > 0) & (both >= 0.25 * either)).select(F.col("arrival").alias("x"), "y", F.round(both / either, 6).alias("overlap"))
+def _overlaps(spark, sf_dir, threshold):
+    """Pairs of documents by the overlap of their tokens, each a stored text; equal ones count once."""
+    d = v.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = d.select(F.lit(0).alias("scope"), F.col("doc_id").alias("id"), similar.token_set(F.col("text")).alias("tokens"))
+    return similar.similar(rows, threshold).drop("scope")
 
 
-@query("token_overlap_pairs", v.sql(_JAC, "turns"))
+@query("token_overlap_pairs", _JAC)
 def token_overlap_pairs(spark, sf_dir):
-    return _overlaps(spark, sf_dir)
+    return _overlaps(spark, sf_dir, 0.25)
+
+
+@query("token_overlap_classes", f"WITH {_SETS} SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS class_id FROM sets WHERE len(w) > 0")
+def token_overlap_classes(spark, sf_dir):
+    """The document that stands for each one's equal token sets in the pairs."""
+    d = v.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    rows = d.select(F.lit(0).alias("scope"), F.col("doc_id").alias("id"), similar.token_set(F.col("text")).alias("tokens"))
+    return similar.classes(rows).select(F.col("id").alias("doc_id"), "class_id")
 
 
-@query("conflict_candidates", v.sql(f"SELECT x, y, CASE WHEN overlap >= 0.4 THEN 'conflict' ELSE 'candidate' END AS kind FROM ({_JAC})", "turns"))
+@query("conflict_candidates", f"SELECT x, y, CASE WHEN overlap >= 0.4 THEN 'conflict' ELSE 'candidate' END AS kind FROM ({_JAC})")
 def conflict_candidates(spark, sf_dir):
-    return _overlaps(spark, sf_dir).select("x", "y", F.when(F.col("overlap") >= 0.4, "conflict").otherwise("candidate").alias("kind"))
+    return _overlaps(spark, sf_dir, 0.25).select("x", "y", F.when(F.col("overlap") >= 0.4, "conflict").otherwise("candidate").alias("kind"))
 
 
-@query("write_relations", v.sql(f"SELECT x, y, CASE WHEN overlap >= 0.7 THEN 'supersedes' WHEN overlap >= 0.6 THEN 'semantic' END AS kind FROM ({_JAC}) WHERE overlap >= 0.6", "turns"))
+@query("write_relations", f"SELECT x, y, CASE WHEN overlap >= 0.7 THEN 'supersedes' WHEN overlap >= 0.6 THEN 'semantic' END AS kind FROM ({_JAC}) WHERE overlap >= 0.6")
 def write_relations(spark, sf_dir):
     """The links a write makes at given relation scores; the overlap stands in for the scorer."""
     kind = F.when(F.col("overlap") >= 0.7, "supersedes").otherwise("semantic")
-    return _overlaps(spark, sf_dir).where("overlap >= 0.6").select("x", "y", kind.alias("kind"))
+    return _overlaps(spark, sf_dir, 0.6).where("overlap >= 0.6").select("x", "y", kind.alias("kind"))
 
 
 @query("claim_timeline", v.sql(f"SELECT arrival, k AS claim, coalesce(said_at, position)::DOUBLE AS t_sort, CASE WHEN said_at IS NULL THEN 'ordinal' ELSE 'absolute' END AS t_kind FROM (SELECT arrival, said_at, position, unnest(range(1, 1 + least(6, len(list_filter({s_sentences('body')}, lambda s: length(s) >= 20 AND len(list_filter(TRIG, lambda w: contains(lower(s), w))) > 0))))) AS k FROM turns)".replace("TRIG", "[" + ", ".join(f"'{w}'" for w in fn.CLAIM_TRIGGERS) + "]"), "turns"))

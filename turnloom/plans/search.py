@@ -10,7 +10,10 @@ from turnloom.operators import ranking, recall
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.memory import _ORDER
-from turnloom.plans.text import s_fts, s_lexical, s_query_tokens, s_stem, s_tokens, s_words
+from turnloom.plans.text import s_fts, s_lexical, s_query_tokens, s_sides, s_stem, s_tokens, s_words
+from turnloom.sources.postings import Field, PostingIndex
+from turnloom.sources.shared import Scratch, shared_dir, written
+from turnloom.streaming import derived
 
 
 def _placed(spark, sf_dir):
@@ -51,6 +54,35 @@ def bm25_turn_search(spark, sf_dir):
     return _turn_ranks(spark, sf_dir).select("query_id", "arrival", "rank", F.round("score", 6).alias("score"))
 
 
+def turn_index(spark, path, turns):
+    """An index of the turns' stemmed words at ``path``, brought up in three batches: half of the
+    turns, some with a wrong text; the others; the wrong ones deleted and brought again."""
+    index = PostingIndex(spark, path, {"stems": Field(fn.stemmed_words)}, doc="arrival")
+    rows = turns.select("user_id", "arrival", F.col("turn_text").alias("content"))
+    first = F.col("arrival") % 2 == 0
+    wrong = first & (F.col("arrival") % 3 == 0)
+    index.apply("first", rows.where(first).withColumn("content", F.when(wrong, F.reverse("content")).otherwise(F.col("content"))))
+    index.apply("second", rows.where(~first))
+    index.apply("mended", rows.where(wrong), rows.where(wrong))
+    return index
+
+
+def indexed_ranks(index, turns, queries, k=20):
+    """``ranking.ranked_turns`` by a maintained index: only the asked users' turns are placed."""
+    asked = queries.select("query_id", "user_id", fn.stemmed_words(F.col("query")).alias("terms"))
+    placed = recall.placed(index.own(queries, turns))
+    return ranking.filled(index.scores("stems", asked, "query_id"), placed, queries, k)
+
+
+@query("bm25_turn_search_indexed", v.sql(_A + "SELECT query_id, arrival, rank, round(score, 6) AS score FROM ranked WHERE rank <= 20", "turns", "queries"))
+def bm25_turn_search_indexed(spark, sf_dir):
+    """The same 20 turns from a maintained index, after inserts, deletes and replacements."""
+    with Scratch(spark) as scratch:
+        turns = scratch.cut(v.turns(spark, sf_dir))
+        rows = indexed_ranks(turn_index(spark, f"{scratch.path}/index", turns), turns, v.queries(spark, sf_dir))
+        return written(rows.select("query_id", "arrival", "rank", F.round("score", 6).alias("score")), shared_dir(spark, "ranks"))
+
+
 def _candidates(spark, sf_dir):
     """The 48 best turns of a query's user by the candidate-set score."""
     return ranking.ranked_turns(_placed(spark, sf_dir), v.queries(spark, sf_dir), fn.lexical_tokens, 48, "body", 1)
@@ -118,24 +150,6 @@ def cosine_topk(spark, sf_dir):
     return ranking.cosine_topk(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
 
 
-_FUSE = _A + f""", ands AS (SELECT query_id, arrival, row_number() OVER (PARTITION BY query_id ORDER BY arrival) AS rank FROM ({_AND})),
-fused AS (SELECT query_id, arrival, min(o) AS o FROM (SELECT query_id, arrival, rank AS o FROM ands WHERE rank <= 8 UNION ALL SELECT query_id, arrival, 1000 + rank FROM ranked WHERE rank <= 16 AND score > 0) GROUP BY ALL)
-SELECT query_id, arrival, rank FROM (SELECT query_id, arrival, row_number() OVER (PARTITION BY query_id ORDER BY o) AS rank FROM fused) WHERE rank <= 16"""
-
-
-@query("fusion_candidates", v.sql(_FUSE, "turns", "queries"))
-def fusion_candidates(spark, sf_dir):
-    """Exact word matches first, then ranked ones, each turn once; 16 for every query."""
-    return _fused(spark, sf_dir, _turn_ranks(spark, sf_dir, 16))
-
-
-def _fused(spark, sf_dir, ranks):
-    both = ranking.top(fts_and_search(spark, sf_dir), "query_id", 8, "arrival").select("query_id", "arrival", F.col("rank").alias("o"))
-    ranked = ranks.where("score > 0 AND rank <= 16").select("query_id", "arrival", (F.col("rank") + 1000).alias("o"))
-    fused = both.unionByName(ranked).groupBy("query_id", "arrival").agg(F.min("o").alias("o"))
-    return ranking.top(fused, "query_id", 16, "o").select("query_id", "arrival", "rank")
-
-
 _TL = f"""SELECT query_id, node_id, rank FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, t_sort, node_id) AS rank
 FROM (SELECT q.query_id, t.node_id, t.t_sort, len(list_filter(q.toks, lambda x: contains(lower(n.content), {s_stem('x')}))) AS hits
   FROM (SELECT query_id, user_id, {s_query_tokens('query')} AS toks FROM queries) q JOIN timeline t ON t.user_id = q.user_id JOIN nodes n ON n.id = t.node_id) WHERE hits > 0) WHERE rank <= 12"""
@@ -161,37 +175,32 @@ def timeline_candidates(spark, sf_dir):
     return ranking.top(rows, "query_id", 400, "t_sort", "node_id").select("query_id", "node_id")
 
 
+_HITS = f"""asked AS (SELECT query_id, user_id, flatten({s_sides('query')}) AS toks FROM queries),
+touched AS (SELECT * FROM (SELECT query_id, arrival, toks, len(list_filter(toks, lambda t: contains(lower(turn_text), {s_stem('t')}))) AS hits FROM asked JOIN turns USING (user_id)) WHERE hits > 0 OR len(toks) = 0),
+ranked AS (SELECT query_id, arrival, arrival AS place, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, arrival) AS rank FROM touched)
+"""
 _SPREAD = """SELECT query_id, arrival FROM (SELECT query_id, arrival, row_number() OVER (PARTITION BY query_id ORDER BY winner DESC, rank) AS pick
 FROM (SELECT *, n > 8 AND row_number() OVER (PARTITION BY query_id, bin ORDER BY rank) = 1 AS winner
-  FROM (SELECT *, least(7, floor((place2 - lo) / ((hi - lo + 1) / 8.0::DOUBLE))) AS bin
-    FROM (SELECT query_id, arrival, rank, place2, min(place2) OVER w AS lo, max(place2) OVER w AS hi, count(*) OVER w AS n FROM (SELECT *, arrival AS place2 FROM ranked WHERE rank <= 20) WINDOW w AS (PARTITION BY query_id))))) WHERE pick <= 8"""
+  FROM (SELECT *, least(7, floor((place - lo) / ((hi - lo + 1) / 8.0::DOUBLE))) AS bin
+    FROM (SELECT *, min(place) OVER w AS lo, max(place) OVER w AS hi, count(*) OVER w AS n FROM ranked WINDOW w AS (PARTITION BY query_id))))) WHERE pick <= 8"""
 
 
-@query("spread_by_position", v.sql(_A + _SPREAD, "turns", "queries"))
+@query("spread_by_position_whole", v.sql(_HITS + _SPREAD, "turns", "queries"))
+@query("spread_by_position", v.sql(_HITS + _SPREAD, "turns", "queries"))
 def spread_by_position(spark, sf_dir):
-    """Eight of a query's 20 best turns that cover its user's history."""
-    rows = _turn_ranks(spark, sf_dir).withColumn("position", F.col("arrival"))
-    return recall.spread(rows, "query_id", 8).select("query_id", "arrival")
-
-
-@query("transcript_search", v.sql(_A + _SPREAD.replace("SELECT query_id, arrival FROM (SELECT query_id, arrival, row_number()", "SELECT query_id, arrival, row_number() OVER (PARTITION BY query_id ORDER BY arrival) AS ord FROM (SELECT query_id, arrival, row_number()", 1), "turns", "queries"))
-def transcript_search(spark, sf_dir):
-    """The same picks in mention order."""
-    rows = spread_by_position(spark, sf_dir)
-    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival")).cast("long"))
-
-
-@query("spread_by_position_whole")
-def spread_by_position_whole(spark, sf_dir):
     """Eight turns that cover a user's whole history, of all that have a token of the query."""
     t = v.turns(spark, sf_dir).select("user_id", "arrival", F.col("arrival").alias("position"), F.col("turn_text").alias("content"))
     return recall.spread(recall.transcript_hits(t, v.queries(spark, sf_dir)), "query_id", 8).select("query_id", "arrival")
 
 
-@query("transcript_search_whole")
-def transcript_search_whole(spark, sf_dir):
+_ORD = v.sql(_HITS + _SPREAD.replace("SELECT query_id, arrival FROM (SELECT query_id, arrival, row_number()", "SELECT query_id, arrival, row_number() OVER (PARTITION BY query_id ORDER BY arrival) AS ord FROM (SELECT query_id, arrival, row_number()", 1), "turns", "queries")
+
+
+@query("transcript_search_whole", _ORD)
+@query("transcript_search", _ORD)
+def transcript_search(spark, sf_dir):
     """The same picks in mention order."""
-    rows = spread_by_position_whole(spark, sf_dir)
+    rows = spread_by_position(spark, sf_dir)
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival")).cast("long"))
 
 
@@ -214,14 +223,36 @@ def hit_windows(spark, sf_dir):
     return recall.hit_spans(_hits(spark, sf_dir, 10), 1)
 
 
-_ITEMS = """SELECT a.query_id, a.rank, a.content FROM (SELECT query_id, content, min(rank) AS rank FROM (SELECT query_id, turn_text AS content, rank FROM ranked WHERE rank <= 20) GROUP BY ALL) a
-WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b.rank <= 20 AND b.query_id = a.query_id AND b.turn_text <> a.content AND contains(b.turn_text, a.content))"""
+_STAMP = "strftime(to_timestamp({})::TIMESTAMP, '%Y-%m-%dT%H:%M:%S+00:00')"
+_ITEMS = f"""SELECT a.query_id, a.rank, a.id, a.content, {_STAMP.format("a.said_at")} AS created_at FROM (SELECT query_id, trim(turn_text) AS content, min(r.rank) AS rank, arg_min(r.arrival, r.rank) AS id, arg_min(t.said_at, r.rank) AS said_at
+    FROM ranked r JOIN turns t USING (arrival, turn_text) WHERE r.rank <= 20 AND trim(turn_text) <> '' GROUP BY ALL) a
+WHERE NOT EXISTS (SELECT 1 FROM ranked b WHERE b.rank <= 20 AND b.query_id = a.query_id AND trim(b.turn_text) <> a.content AND contains(trim(b.turn_text), a.content))"""
+
+
+def _ranked_hits(spark, sf_dir, k=20):
+    return _turn_ranks(spark, sf_dir, k).select("query_id", "rank", F.col("arrival").alias("id"))
 
 
 @query("search_items", v.sql(_A + _ITEMS, "turns", "queries"))
 def search_items(spark, sf_dir):
-    rows = _hits(spark, sf_dir, 20).select("query_id", "rank", F.col("turn_text").alias("content"))
-    return recall.distinct_items(rows).select("query_id", "rank", "content")
+    """What a search returns: a query's best turns, none twice or within another."""
+    return recall.search_items(_ranked_hits(spark, sf_dir), v.turns(spark, sf_dir))
+
+
+@query("search_items_windows")
+def search_items_windows(spark, sf_dir):
+    """The same with the turns around each hit; claims among the hits stand for their turns."""
+    rows, turns = _ranked_hits(spark, sf_dir), v.turns(spark, sf_dir)
+    claims = derived.claims(turns).select("id", F.col("arrival").alias("source"))
+    first = claims.groupBy("source").agg(F.min("id").alias("claim")).withColumnRenamed("source", "id")
+    rows = rows.join(first, "id", "left").select("query_id", "rank", F.when(F.col("rank") % 2 == 0, F.coalesce("claim", "id")).otherwise(F.col("id")).alias("id"))
+    return recall.search_items(rows, turns, claims, 1)
+
+
+@query("search_items_sessions")
+def search_items_sessions(spark, sf_dir):
+    """The same with whole sessions."""
+    return recall.search_items(_ranked_hits(spark, sf_dir), v.turns(spark, sf_dir), whole_session=True, k=20)
 
 
 @query("render_memories", v.sql(_A + "SELECT query_id, string_agg('- [' || coalesce(strftime(to_timestamp(t.said_at)::TIMESTAMP, '%Y-%m-%d'), 'unknown') || '] ' || r.turn_text, chr(10) ORDER BY rank) AS block FROM ranked r JOIN turns t USING (arrival) WHERE rank <= 5 GROUP BY query_id", "turns", "queries"))
@@ -304,9 +335,9 @@ def recall_knapsack(spark, sf_dir):
 
 @query("full_recall_over")
 def full_recall_over(spark, sf_dir):
-    """Which blocks stay when a history must fit in 2,000 tokens, for every query."""
+    """What a recall returns when a history must fit in 2,000 tokens and six items, for every query."""
     hits = _turn_ranks(spark, sf_dir, recall.FOCUS_TURNS)
-    return recall.over_budget(v.turns(spark, sf_dir), v.queries(spark, sf_dir), hits, fn.stemmed_words, 2000)
+    return recall.recalled(v.turns(spark, sf_dir), v.queries(spark, sf_dir), hits, fn.stemmed_words, 2000, 6)
 
 
 @query("memory_block", v.sql(_A + "SELECT query_id, CASE WHEN max(score) > 0 THEN string_agg(turn_text, chr(10) || '---' || chr(10) ORDER BY rank) ELSE '' END AS block FROM ranked WHERE rank <= 8 GROUP BY query_id", "turns", "queries"))

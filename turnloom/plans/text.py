@@ -130,14 +130,10 @@ def claim_candidates(spark, sf_dir):
     return rows.select("arrival", (F.col("k") + 1).cast("long").alias("claim"), F.left("s", F.lit(580)).alias("text"))
 
 
-@query(
-    "preference_text",
-    v.sql("SELECT arrival FROM turns WHERE contains(lower(body), 'prefer') OR contains(lower(body), 'always') OR contains(lower(body), 'never') OR contains(lower(body), 'favorite')", "turns"),
-)
+@query("preference_text", f"SELECT doc_id FROM documents WHERE len(list_filter({_list(fn.PREFERENCE)}, lambda w: contains(lower(text), w))) > 0")
 def preference_text(spark, sf_dir):
-    low = F.lower("body")
-    hit = F.exists(F.array(*[F.lit(x) for x in ("prefer", "always", "never", "favorite")]), lambda w: F.contains(low, w))
-    return _turns(spark, sf_dir).where(hit).select("arrival")
+    """Whole texts that speak of a preference."""
+    return v.table(spark, sf_dir, "documents").where(fn.is_preference(F.col("text"))).select("doc_id")
 
 
 def _case(column: str) -> str:
@@ -181,16 +177,28 @@ def sequence_questions(spark, sf_dir):
 _SIDED = "'between ' || array_to_string(string_split(body, ' ')[1:4], ' ') || ' and ' || array_to_string(string_split(body, ' ')[5:8], ' ') || '?'"
 
 
-@query(
-    "split_sides",
-    v.sql(f"""SELECT arrival, CASE WHEN len(a) > 0 AND len(b) > 0 THEN {s_flat('a')} || ' / ' || {s_flat('b')} ELSE {s_flat('w')} END AS sides
-FROM (SELECT arrival, {s_query_tokens("regexp_extract(q, '(?i)\\bbetween\\s+(.+?)\\s+and\\s+(.+?)(?:\\?|$)', 1)")} AS a,
-  {s_query_tokens("regexp_extract(q, '(?i)\\bbetween\\s+(.+?)\\s+and\\s+(.+?)(?:\\?|$)', 2)")} AS b, {s_query_tokens('q')} AS w
-  FROM (SELECT arrival, {_SIDED} AS q FROM turns WHERE NOT regexp_matches(body, '(?i)\\b(since|or)\\b') AND NOT contains(body, chr(10))))""", "turns"),
-)
+def s_sides(q: str) -> str:
+    """The token lists of the events that ``q`` compares, as lists of lists."""
+    piece = lambda pattern, n: s_query_tokens(f"regexp_extract({q}, '{pattern}', {n})")
+    between, since = (f"(?i)\\b{x}\\s+(.+?)\\s+{y}\\s+(.+?)(?:\\?|\\n?$)" for x, y in (("between", "and"), ("since", "when")))
+    parts = f"regexp_split_to_array({q}, '(?i)\\bor\\b')"
+    head = s_query_tokens(f"regexp_extract({parts}[1], '[^,:;]*$')")
+    left = f"CASE WHEN len({head}) > 0 THEN {head} ELSE {s_query_tokens(parts + '[1]')} END"
+    right = s_query_tokens(f"{parts}[2]")
+    both = lambda x, y: f"len({x}) > 0 AND len({y}) > 0 THEN [{x}, {y}]"
+    return f"""CASE WHEN {both(piece(between, 1), piece(between, 2))} WHEN {both(piece(since, 1), piece(since, 2))}
+  WHEN len({parts}) = 2 AND {both(left, right)} ELSE [{s_query_tokens(q)}] END"""
+
+
+_SPLIT = v.sql(f"""SELECT arrival, array_to_string(list_transform({s_sides('q')}, lambda s: {s_flat('s')}), ' / ') AS sides
+FROM (SELECT arrival, {_SIDED} AS q FROM turns)""", "turns")
+
+
+@query("split_sides_whole", _SPLIT)
+@query("split_sides", _SPLIT)
 def split_sides(spark, sf_dir):
-    """The turns whose branch its SQL can spell; ``split_sides_whole`` has them all."""
-    return turn_sides(_turns(spark, sf_dir).where(~F.col("body").rlike(r"(?i)\b(since|or)\b") & ~F.contains("body", F.lit("\n"))))
+    """Every turn: 'between A and B', else 'since A when B', else 'A or B', else one side."""
+    return turn_sides(_turns(spark, sf_dir))
 
 
 def turn_sides(turns):
@@ -201,10 +209,10 @@ def turn_sides(turns):
     return turns.select("arrival", F.array_join(sides, " / ").alias("sides"))
 
 
-@query("split_sides_whole")
-def split_sides_whole(spark, sf_dir):
-    """Every turn: 'between A and B', else 'since A when B', else 'A or B', else one side."""
-    return turn_sides(_turns(spark, sf_dir))
+@query("body_sides", v.sql(f"SELECT arrival, array_to_string(list_transform({s_sides('body')}, lambda s: {s_flat('s')}), ' / ') AS sides FROM turns", "turns"))
+def body_sides(spark, sf_dir):
+    """The same of every whole body as it stands."""
+    return _turns(spark, sf_dir).select("arrival", F.array_join(F.transform(fn.sides(F.col("body")), flat), " / ").alias("sides"))
 
 
 @query("session_hash", v.sql("SELECT DISTINCT session_id, sha256(session_id::VARCHAR) AS hash FROM turns", "turns"))

@@ -9,7 +9,9 @@ from turnloom.operators import evals, recall, store
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.dates import _ABS
-from turnloom.plans.text import s_tokens
+from turnloom.plans.text import _CLAIMS, s_tokens
+from turnloom.sources.shared import shared_dir
+from turnloom.streaming import derived
 
 
 @query("migrated_nodes", v.sql("SELECT id, content, ts, NULL::VARCHAR AS tier, NULL::BIGINT AS source_position FROM nodes", "nodes"))
@@ -92,3 +94,38 @@ def parse_absolute_documents(spark, sf_dir):
     """The first absolute date of every whole document."""
     body = F.coalesce("text", F.lit(""))
     return v.table(spark, sf_dir, "documents").select("doc_id", dates.parse_absolute(body)["epoch"].alias("epoch"))
+
+
+def _maintained(spark, sf_dir, path, batches=3):
+    """The derived views of all documents, brought in by several batches, the second of them twice."""
+    made, turns = derived.DerivedViews(spark, path), v.entries(spark, sf_dir)
+    for n in (*range(batches), 1):
+        made.apply(f"batch-{n}", turns.where(F.pmod(F.xxhash64("arrival"), F.lit(batches)) == n))
+    return made
+
+
+_CLAIMED = _CLAIMS.replace("FROM turns", "FROM entries")
+
+
+@query("maintained_claims", v.sql(_CLAIMED, "entries"))
+def maintained_claims(spark, sf_dir):
+    """The claims of all documents, kept up batch by batch."""
+    made = _maintained(spark, sf_dir, shared_dir(spark, "views"))
+    return made.read("claims").select("arrival", "claim", "text")
+
+
+_KEPT = f"""claims AS ({_CLAIMED}),
+words AS (SELECT session_id, arrival * 8 + claim AS id, list_distinct(list_filter(regexp_split_to_array(lower(c.text), '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+'), lambda w: length(w) > 2)) AS w FROM claims c JOIN entries USING (arrival)),
+toks AS (SELECT session_id, id, len(w) AS n, unnest(w) AS t FROM words),
+met AS (SELECT x.id AS lo, y.id AS hi, count(*) AS inter, any_value(x.n) + any_value(y.n) - count(*) AS either
+  FROM toks x JOIN toks y ON x.session_id = y.session_id AND x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+SELECT lo, hi, round(inter / either::DOUBLE, 6) AS overlap, inter * 10 >= either * 7 AS updates FROM met WHERE inter * 10 >= either * 4"""
+
+
+@query("maintained_conflicts", v.sql(_KEPT, "entries"))
+def maintained_conflicts(spark, sf_dir):
+    """The conflicts among all claims, kept up batch by batch, and whether one updates the other."""
+    made = _maintained(spark, sf_dir, shared_dir(spark, "views"))
+    closed = made.read("supersessions").select(F.least("older", "newer").alias("lo"), F.greatest("older", "newer").alias("hi"), F.lit(True).alias("u"))
+    rows = made.read("conflicts").select(F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"), "overlap")
+    return rows.join(closed, ["lo", "hi"], "left").select("lo", "hi", "overlap", F.coalesce("u", F.lit(False)).alias("updates"))

@@ -49,6 +49,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as turns, a hundred ids a user and session; every third undated."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    said = F.when(F.col("doc_id") % 3 != 0, F.lit(1704067200) + (F.col("doc_id") * 37) % 365 * 86400)
+    block = F.expr("doc_id div 100")
+    return d.select(block.alias("user_id"), block.alias("session_id"), (F.col("doc_id") % 100).alias("position"), F.col("doc_id").alias("arrival"), said.alias("said_at"), F.col("text").alias("body"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn whose id is divisible by 100, as a query of its first six words to its user's turns."""
     words = F.slice(F.split("body", " "), 1, 6)
@@ -145,6 +153,8 @@ SQL = {
   CASE WHEN conv_id % 7 <> 0 THEN 1704067200 + (conv_id * 37) % 365 * 86400 + turn * 60 END AS said_at,
   role, text AS body, role || ': ' || text AS turn_text
 FROM conversations WHERE role IN ('user', 'assistant')""",
+    "entries": """SELECT doc_id // 100 AS user_id, doc_id // 100 AS session_id, doc_id % 100 AS position, doc_id AS arrival, text AS body
+FROM documents WHERE text IS NOT NULL""",
     "queries": """SELECT arrival AS query_id, user_id, array_to_string(string_split(body, ' ')[1:6], ' ') AS query
 FROM turns WHERE arrival % 100 = 0""",
     "nodes": """SELECT user_id, arrival AS id, turn_text AS content, (1700000000 + arrival)::DOUBLE AS ts,
