@@ -3,7 +3,9 @@
 Records are ordered by page_id, then by a hash of the record. Each is one gzip member, so the
 places where files roll follow from the running sum of member sizes alone: shard k holds the
 members whose sum before them lies in the k-th stretch of ``roll_bytes``. Names, record ids, headers and digests are made from the
-row, so equal input gives equal files however Spark splits the work. A task writes a shard under
+row, so equal input gives equal files however Spark splits the work. A ledger of sizes comes first,
+in which a revisit stands whole and a response only with the size of its member; pages and ledger
+meet in the task that writes their shard, so html is shuffled once and no member is kept beside the archives. A task writes a shard under
 a temporary name and renames it when it is whole; the manifest that is written at the end names
 the shards that count, and the reader opens those only.
 """
@@ -96,7 +98,8 @@ def revisit(page_id, url: str | None, size: int, digest: str, to, to_url: str |
     return _member(fields, block)
 
 
-def _responses(batches):
+def _measured(batches):
+    """What is known of a record before it is placed; a response is made for its size alone."""
     import pyarrow as pa
 
     for batch in batches:
@@ -104,87 +107,94 @@ def _responses(batches):
         payloads = [(html or "").encode() for _, _, html in rows]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("page_id"),
-                batch.column("url"),
-                batch.column("sha"),
+                *(batch.column(c) for c in ("page_id", "tie", "url", "sha")),
                 pa.array([len(x) for x in payloads], pa.int64()),
                 pa.array([_base32(x) for x in payloads], pa.string()),
-                pa.array([response(*row) for row in rows], pa.binary()),
+                pa.array([len(response(*row)) for row in rows], pa.int64()),
             ],
-            names=["page_id", "url", "sha", "size", "digest", "member"],
+            names=["page_id", "tie", "url", "sha", "size", "digest", "bytes"],
         )
 
 
-def _settled(batches):
-    """The member of each record: the response made before, or a revisit in its place."""
+def _entered(batches):
+    """The ledger's rows: a revisit is whole, of a response the size is enough."""
     import pyarrow as pa
 
-    names = ("page_id", "url", "size", "digest", "member", "to", "to_url", "again")
+    names = ("page_id", "url", "size", "digest", "to", "to_url", "again")
     for batch in batches:
         members = [
-            revisit(page_id, url, size, digest, to, to_url) if again else member
-            for page_id, url, size, digest, member, to, to_url, again in zip(
-                *(batch.column(c).to_pylist() for c in names), strict=True
-            )
+            revisit(page_id, url, size, digest, to, to_url) if again else None
+            for page_id, url, size, digest, to, to_url, again in zip(*(batch.column(c).to_pylist() for c in names), strict=True)
         ]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), pa.array([len(x) for x in members], pa.int64()), pa.array(members, pa.binary())],
-            names=["page_id", "bytes", "member"],
-        )
+        sizes = [n if m is None else len(m) for m, n in zip(members, batch.column("bytes").to_pylist(), strict=True)]
+        columns = [batch.column("page_id"), batch.column("tie"), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "tie", "bytes", "member"])
 
 
-def members(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame:
-    """page_id, bytes, member (a gzip member) of every row of ``pages``."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    keyed = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("sha")
-    )
+def _keyed(pages: DataFrame) -> DataFrame:
+    """page_id, tie, url, html: the order of the records, and what they are made of."""
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64("url", "html").alias("tie"), "url", "html")
+
+
+def ledger(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> DataFrame:
+    """page_id, tie, bytes, member of every row of ``pages``: the size of its gzip member, and the
+    member itself if it is a revisit, which needs no html. Written under ``path``."""
+    keyed = _keyed(pages).withColumn("sha", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
     # Written first: a join of two plain shuffles can be split where a payload is very common.
-    groups = staged(keyed.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("kept")), "payloads")
-    made = keyed.mapInArrow(
-        _responses, "page_id long, url string, sha string, size long, digest string, member binary"
-    )
-    joined = made.join(groups, "sha").select(
+    groups = staged(keyed.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("kept")), "payloads", f"{path}/_payloads")
+    facts = keyed.mapInArrow(_measured, "page_id long, tie long, url string, sha binary, size long, digest string, bytes long")
+    rows = facts.join(groups, "sha").select(
         "page_id",
+        "tie",
         "url",
         "size",
         "digest",
-        "member",
+        "bytes",
         F.col("kept.page_id").alias("to"),
         F.col("kept.url").alias("to_url"),
         (~F.col("page_id").eqNullSafe(F.col("kept.page_id")) & (F.col("size") >= revisit_from)).alias("again"),
     )
-    return joined.mapInArrow(_settled, "page_id long, bytes long, member binary")
+    return staged(rows.mapInArrow(_entered, "page_id long, tie long, bytes long, member binary"), "ledger", f"{path}/_ledger")
+
+
+#: Shards of one archive set; the first record of each is sent to the tasks, 16 bytes a shard.
+MAX_SHARDS = 4_000_000
+#: Shards that a task writes one after the other.
+SHARDS_A_TASK = 4
 
 
-#: What stands for a null page_id in the order: no id is smaller.
-_NULL = -(1 << 63)
+def _order(page_id, tie) -> tuple:
+    """A record's place among the others: those without a page_id come first."""
+    return (page_id is not None, page_id or 0, tie)
 
 
-def _shards(sizes: DataFrame, roll_bytes: int):
+def _shards(records: DataFrame, path: str, roll_bytes: int):
     """Where shards begin, and the records that are repeated over the end of one.
 
-    The first (page_id, tie) of every shard but the first, and (page_id, tie, shard, copies) for
+    The order of the first record of every shard but the first, and (shard, copies) by record for
     equal records of more than ``roll_bytes`` together: some bytes for each ``roll_bytes`` written.
+    ``records`` has page_id, tie, bytes (of all copies) and n.
     """
-    spark = sizes.sparkSession
+    spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = sizes.groupBy("page_id", "tie").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    ranged = staged(records.repartitionByRange(parts, "page_id", "tie").withColumn("part", F.spark_partition_id()), "ranges")
+    ranged = records.repartitionByRange(parts, "page_id", "tie").withColumn("part", F.spark_partition_id())
+    ranged = staged(ranged, "ranges", f"{path}/_ranges")
     sums = ranged.groupBy("part").agg(F.sum("bytes").alias("sum"))  # a row for each partition
     offsets = sums.select("part", (F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).alias("offset"))
     before = F.sum("bytes").over(Window.partitionBy("part").orderBy("page_id", "tie")) - F.col("bytes") + F.col("offset")
     placed = ranged.join(F.broadcast(offsets), "part").select("page_id", "tie", "bytes", "n", before.alias("before"))
     shards = placed.select(F.struct("page_id", "tie").alias("at"), F.floor(F.col("before") / roll_bytes).alias("shard"))
-    firsts = shards.groupBy("shard").agg(F.min("at").alias("first")).where("shard > 0")
-    edges = sorted((r["shard"], r["first"]["page_id"], r["first"]["tie"]) for r in firsts.collect())
-    spread = []
+    firsts = shards.groupBy("shard").agg(F.min("at").alias("first")).where("shard > 0").limit(MAX_SHARDS + 1).collect()
+    if len(firsts) > MAX_SHARDS:
+        raise ValueError(f"over {MAX_SHARDS} shards; take a larger roll_bytes than {roll_bytes}")
+    edges = sorted((*_order(*r["first"]), r["shard"]) for r in firsts)
+    spread: dict = {}
     for r in placed.where((F.col("bytes") > roll_bytes) & (F.col("n") > 1)).collect():
         size, at, left = r["bytes"] // r["n"], r["before"], r["n"]
         while left:  # as many copies as begin in the shard
             shard = at // roll_bytes
             copies = min(left, -(-((shard + 1) * roll_bytes - at) // size))
-            spread.append((r["page_id"], r["tie"], shard, copies))
+            spread.setdefault(_order(r["page_id"], r["tie"]), []).append((shard, copies))
             at, left = at + copies * size, left - copies
     return edges, spread
 
@@ -228,17 +238,28 @@ def _writer(path: str):
             state["sha"].update(data)
             state["bytes"] += len(data)
 
+        def begin(shard, page_id):
+            commit()
+            name = f"part-{shard:08d}.warc.gz"
+            temporary = f"_temporary-{name}-{uuid.uuid4().hex}"
+            out = files.open_output_stream(f"{base}/{temporary}", compression=None)
+            state.update(shard=shard, file=name, temporary=temporary, out=out, n=0, bytes=0, first=page_id)
+            state["sha"] = hashlib.sha256()
+            put(info)
+
+        awaited = None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "member", "copies")), strict=True)
-            for shard, page_id, member, copies in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "tie", "copies", "member", "url", "html")), strict=True)
+            for shard, page_id, tie, copies, member, url, html in rows:
+                if copies is None:  # a page; its ledger row came just before
+                    if awaited is None or awaited[:3] != (shard, page_id, tie):
+                        continue  # a revisit's, or one that another task has sent too
+                    member, copies, awaited = response(page_id, url, html), awaited[3], None
+                elif member is None:
+                    awaited = (shard, page_id, tie, copies)
+                    continue
                 if state.get("shard") != shard:
-                    commit()
-                    name = f"part-{shard:08d}.warc.gz"
-                    temporary = f"_temporary-{name}-{uuid.uuid4().hex}"
-                    out = files.open_output_stream(f"{base}/{temporary}", compression=None)
-                    state.update(shard=shard, file=name, temporary=temporary, out=out, n=0, bytes=0, first=page_id)
-                    state["sha"] = hashlib.sha256()
-                    put(info)
+                    begin(shard, page_id)
                 for _ in range(copies):
                     put(member)
                 state["n"] += copies
@@ -263,40 +284,68 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_fro
     payload. A file may be longer than ``roll_bytes`` by its last record. Other columns are not read. An empty table
     gives an empty manifest.
     """
-    made = members(pages, revisit_from).select(
-        F.coalesce("page_id", F.lit(_NULL)).alias("page_id"), F.xxhash64("member").alias("tie"), "bytes", "member"
-    )
-    made = staged(made, "members", f"{path}/_members")
-    edges, spread = _shards(made.select("page_id", "tie", "bytes"), roll_bytes)
     files, base = _filesystem(path)
     files.create_dir(base, recursive=True)
-    last = max([0, *(x[0] for x in edges), *(x[2] for x in spread)])
+    entries = ledger(pages, path, revisit_from)
+    records = entries.groupBy("page_id", "tie").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    edges, spread = _shards(records, path, roll_bytes)
+    one = entries.groupBy("page_id", "tie").agg(F.first("member").alias("member"), F.count(F.lit(1)).alias("copies"))
+    placed = one.mapInArrow(_placer(edges, spread), "shard long, page_id long, tie long, copies long, member binary")
+    form = "shard long, page_id long, tie long, url string, html string"
+    keyed = _keyed(pages)
+    pages = keyed.mapInArrow(_placer(edges, spread, "once"), form)
+    if spread:  # such a record is brought together first, and goes from there to each of its shards
+        several = keyed.mapInArrow(_placer(edges, spread, "spread"), form).groupBy("page_id", "tie")
+        several = several.agg(F.first("url").alias("url"), F.first("html").alias("html"))
+        pages = pages.unionByName(several.mapInArrow(_placer(edges, spread), form))
+    none = lambda x, kind: F.lit(None).cast(kind).alias(x)
+    dealt = placed.select("*", none("url", "string"), none("html", "string")).unionByName(
+        pages.select("shard", "page_id", "tie", none("copies", "long"), none("member", "binary"), "url", "html")
+    )
+    last = max([0, *(x[-1] for x in edges), *(x[0] for own in spread.values() for x in own)])
+    tasks = last // SHARDS_A_TASK + 1
+    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") / SHARDS_A_TASK).cast("int"))
+    dealt = dealt.sortWithinPartitions("shard", "page_id", "tie", F.desc_nulls_last("copies"))
+    manifest = staged(dealt.mapInArrow(_writer(path), MANIFEST), "manifest", f"{path}/_manifest")
+    for name in ("_payloads", "_ledger", "_ranges"):
+        files.delete_dir(f"{base}/{name}")
+    return manifest
+
 
-    def shard(batches):
+def _placer(edges: list, spread: dict, part: str = ""):
+    """Gives ledger rows and pages the shards they belong to, those of ``spread`` several. A task
+    sends a page once, whatever its copies. Of the pages ``part`` may name those that aren't in
+    ``spread`` (``once``) or are (``spread``, without their shards)."""
+
+    def run(batches):
         import bisect
 
         import pyarrow as pa
 
-        keys, numbers = [x[1:] for x in edges], [0, *(x[0] for x in edges)]
+        keys, numbers, sent = [x[:-1] for x in edges], [0, *(x[-1] for x in edges)], set()
         for batch in batches:
-            places = zip(batch.column("page_id").to_pylist(), batch.column("tie").to_pylist(), strict=True)
-            at = pa.array([numbers[bisect.bisect_right(keys, x)] for x in places], pa.int64())
-            yield pa.RecordBatch.from_arrays([at, *batch.columns], names=["shard", *batch.schema.names])
-
-    rows = made.select("page_id", "tie", "member")
-    form = "page_id long, tie long, shard long, copies long"
-    if spread:  # equal records are brought together once, with their number
-        several = F.broadcast(made.sparkSession.createDataFrame(spread, form))
-        keys = several.select("page_id", "tie").distinct()
-        one = rows.join(keys, ["page_id", "tie"], "left_semi").groupBy("page_id", "tie").agg(F.first("member").alias("member"))
-        one = one.join(several, ["page_id", "tie"]).select("shard", "page_id", "tie", "member", "copies")
-        rows = rows.join(keys, ["page_id", "tie"], "left_anti")
-    dealt = rows.mapInArrow(shard, "shard long, page_id long, tie long, member binary").withColumn("copies", F.lit(1).cast("long"))
-    dealt = dealt.unionByName(one) if spread else dealt
-    dealt = dealt.repartitionById(last + 1, F.col("shard").cast("int"))  # a task for each shard
-    dealt = dealt.sortWithinPartitions("shard", "page_id", "tie", "member")
-    dealt = dealt.select("shard", F.when(F.col("page_id") != _NULL, F.col("page_id")).alias("page_id"), "member", "copies")
-    return staged(dealt.mapInArrow(_writer(path), MANIFEST), "manifest", f"{path}/_manifest")
+            rows, shards, copies = [], [], []
+            entry = "copies" in batch.schema.names
+            own = batch.column("copies").to_pylist() if entry else [1] * batch.num_rows
+            for i, (page_id, tie, n) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("tie").to_pylist(), own, strict=True)):
+                at = _order(page_id, tie)
+                if part and (at in sent or (at in spread) != (part == "spread")):
+                    continue
+                if part:
+                    sent.add(at)
+                several = spread.get(at) if part != "spread" else [(-1, 1)]
+                for shard, count in several or [(numbers[bisect.bisect_right(keys, at)], n)]:
+                    rows.append(i)
+                    shards.append(shard)
+                    copies.append(count)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            columns = {c: taken.column(c) for c in taken.schema.names} | {"shard": pa.array(shards, pa.int64())}
+            if entry:
+                columns["copies"] = pa.array(copies, pa.int64())
+            names = ["shard", "page_id", "tie", "copies", "member"] if entry else ["shard", "page_id", "tie", "url", "html"]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    return run
 
 
 def parse(stream):
