@@ -159,8 +159,8 @@ def ledger(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> Dat
 
 #: Shards of one archive set; the first record of each is sent to the tasks, 16 bytes a shard.
 MAX_SHARDS = 4_000_000
-#: Shards that a task writes one after the other.
-SHARDS_A_TASK = 4
+#: Tasks that write; where there are more shards, each task writes several, one after the other.
+MAX_TASKS = 20_000
 
 
 def _order(page_id, tie) -> tuple:
@@ -303,8 +303,8 @@ def write(pages: DataFrame, path: str, roll_bytes: int = ROLL_BYTES, revisit_fro
         pages.select("shard", "page_id", "tie", none("copies", "long"), none("member", "binary"), "url", "html")
     )
     last = max([0, *(x[-1] for x in edges), *(x[0] for own in spread.values() for x in own)])
-    tasks = last // SHARDS_A_TASK + 1
-    dealt = dealt.repartitionById(tasks, F.floor(F.col("shard") / SHARDS_A_TASK).cast("int"))
+    each = last // MAX_TASKS + 1
+    dealt = dealt.repartitionById(last // each + 1, F.floor(F.col("shard") / each).cast("int"))
     dealt = dealt.sortWithinPartitions("shard", "page_id", "tie", F.desc_nulls_last("copies"))
     manifest = staged(dealt.mapInArrow(_writer(path), MANIFEST), "manifest", f"{path}/_manifest")
     for name in ("_payloads", "_ledger", "_ranges"):
