@@ -298,6 +298,29 @@ def test_rollup_is_additive_and_idempotent(spark):
     assert {tuple(r) for r in totals.totals().collect()} == got
 
 
+def test_rollup_of_several_writers(spark):
+    """Two writers of one batch id, and two of different ones that meet between look and commit."""
+    path = shared_dir(spark, "rollup")
+    one, two = rollup.TokenRollup(spark, path), rollup.TokenRollup(spark, path)
+    rows = lambda n: spark.createDataFrame([("insert", "a", None, "t", n, 0)], "op string, source string, lang string, tokenizer string, tokens long, old_tokens long")
+    real, calls = two.pointers.taken, []
+
+    def taken():
+        calls.append(1)
+        seen = real()
+        if len(calls) == 1:  # after two's look the other writer commits the same batch, then another
+            assert one.apply("x", rows(5)) and one.apply("y", rows(7))
+        return seen
+
+    two.pointers.taken = taken
+    assert not two.apply("x", rows(5))
+    calls.clear()
+    two.pointers.taken = lambda: calls.append(1) or (one.apply("w", rows(2)) and real() if len(calls) == 3 else real())
+    assert two.apply("z", rows(11))
+    assert [tuple(r) for r in two.totals().collect()] == [("a", None, "t", 4, 25)]
+    assert one.applied("z") and not one.apply("w", rows(2))
+
+
 def test_registered_rollup_equals_direct_counts(spark, sf):
     from turnloom.llm.queries import op6_token_counts
 
