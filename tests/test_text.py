@@ -106,3 +106,17 @@ def test_preference_words(spark):
     rows = [("I PREFER tea", True), ("from now on, coffee", True), ("it was nice", False), ("", False), (None, None), ("I Like it", True), ("nevertheless", True)]
     got = spark.createDataFrame(rows, "t string, want boolean").select("want", text.is_preference(F.col("t")).alias("got")).collect()
     assert all(r.got == r.want for r in got)
+
+
+def test_claims_are_compared_by_folded_case(spark):
+    rows = spark.createDataFrame([("Straße  ΟΔΟΣ",), ("STRASSE οδος ",)], "t string").select(text.normal_claim(F.col("t")).alias("c")).collect()
+    assert rows[0].c == rows[1].c == "strasse οδοσ"
+
+
+def test_the_last_vector_of_a_node_counts(spark):
+    from turnloom.operators import store
+
+    nodes = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    vectors = spark.createDataFrame([(1, [1.0], 5), (1, [9.0], 4), (2, None, 1), (1, None, 9)], "id long, embedding array<float>, ord long")
+    got = {r.id: r.embedding for r in store.with_embeddings(nodes, vectors).collect()}
+    assert got == {1: [1.0], 2: None, 3: None}

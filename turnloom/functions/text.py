@@ -94,8 +94,9 @@ def clauses(text: Column) -> Column:
 
 
 def normal_claim(text: Column) -> Column:
-    """A claim as it is compared: lower case, white space collapsed."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """A claim as it is compared: case folded (ß as ss, a final sigma as any other), white space collapsed."""
+    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.trim(F.regexp_replace(folded, r"\s+", " "))
 
 
 def with_options(query: Column, options: Column) -> Column:

@@ -273,6 +273,66 @@ def transcript_hits(turns: DataFrame, queries: DataFrame, leave_out: list[str] |
     return rows.withColumn("rank", rank.cast("long"))
 
 
+#: What a block of evidence says before its parts, and how much of a profile it shows.
+CONFLICT_HINT = "(If evidence conflicts, list both claims and resolve which is current.)"
+ORDER_HINT = "(Prefer dated events; answer as an ordered timeline.)"
+PROFILE_HEAD, PROFILES, PROFILE_CUT = "Profile scratchpad:", 2, 400
+COMPUTED_HEAD = "Computed temporal facts (deterministic; trust these over mental date arithmetic):"
+PROFILED = ("preference", "extraction", "default")
+PASSAGE_CUT = 2000
+
+
+def memory_blocks(questions: DataFrame, passages: DataFrame, profiles: DataFrame, computed: DataFrame, header: str = "Memory evidence:") -> DataFrame:
+    """query_id, block: what a reader is given for each question (query_id, ability, proves).
+
+    ``passages`` has query_id, rank, prefix and content, ``profiles`` query_id, rank and content,
+    ``computed`` query_id and lines. Profiles belong to questions of the PROFILED abilities. A proof
+    that failed (``proves`` false) withholds all of it and says how many passages there were; null
+    means that nothing was proved, and a hint for the ability stands instead. Without passages and
+    profiles the block is empty. A question's passages are as many as a search returns.
+    """
+    line = F.concat(F.col("rank").cast("string"), F.lit(". ["), "prefix", F.lit("] "), F.left("content", F.lit(PASSAGE_CUT)))
+    told = passages.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    told = told.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("told"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    known = profiles.withColumn("at", first).where(F.col("at") <= PROFILES)
+    known = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", F.concat(F.lit("- "), F.left("content", F.lit(PROFILE_CUT))).alias("line")))).alias("known"))
+    rows = questions.select("query_id", "ability", "proves").join(told, "query_id", "left").join(known, "query_id", "left")
+    rows = rows.join(computed.select("query_id", F.col("lines").alias("sums")), "query_id", "left")
+    texts = lambda c: F.transform(c, lambda x: x["line"])
+    part = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.array(F.lit(head)), lines)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    own = F.when(F.col("ability").isin(*PROFILED), texts("known"))
+    hint = F.when(F.col("proves").isNull() & (F.col("ability") == "contradiction"), CONFLICT_HINT).when(F.col("proves").isNull() & (F.col("ability") == "event_ordering"), ORDER_HINT)
+    head = F.filter(F.array(F.lit(header), hint), lambda x: x.isNotNull())
+    n = F.coalesce(F.size("told"), F.lit(0))
+    withheld = F.concat(F.lit("("), n.cast("string"), F.lit(" related passage(s) withheld: they do not prove an answer.)"))
+    sums = F.coalesce(F.transform("sums", lambda x: F.concat(F.lit("- "), x)), none)
+    whole = F.concat(head, part(PROFILE_HEAD, F.coalesce(own, none)), part(COMPUTED_HEAD, sums), F.coalesce(texts("told"), none))
+    failed = F.coalesce(~F.col("proves"), F.lit(False))
+    lines = F.when(failed, F.array(F.lit(header), withheld)).when((n > 0) | (F.size(F.coalesce(own, none)) > 0), whole).otherwise(none)
+    return rows.select("query_id", F.array_join(lines, "\n").alias("block"))
+
+
+def transcript_chunks(turns: DataFrame, queries: DataFrame, most: int = 1000, leave_out: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """query_id, arrival, position, chunk, piece, hits, rank: as ``transcript_hits``, with long turns in
+    chunks of ``most`` characters. Of a position the chunk with the most hits counts, the first if
+    several have as many, so the text of a hit is short however long its turn is."""
+    from turnloom.operators.temporal import char_chunks
+
+    parts = char_chunks(turns.where("position is not null").select("arrival", "content"), "arrival", "content", most)
+    rows = parts.join(turns.select("user_id", "arrival", "position"), "arrival")
+    own = F.flatten(sides(F.col("query")))
+    toks = queries.select("query_id", "user_id", (F.filter(own, lambda t: ~t.isin(*leave_out)) if leave_out else own).alias("toks"))
+    rows = toks.join(rows, "user_id").withColumn("hits", stem_hits(F.col("toks"), F.col("piece"))).where((F.col("hits") > 0) | (F.size("toks") == 0))
+    # the best chunk of a position is a minimum, which tasks take of their own rows before any are shuffled
+    first = F.struct((-F.col("hits")).alias("less"), "arrival", "chunk", "piece")
+    best = rows.groupBy("query_id", "position").agg(F.min(first).alias("f"))
+    best = best.select("query_id", "position", "f.arrival", "f.chunk", "f.piece", (-F.col("f.less")).alias("hits"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "position"))
+    return best.withColumn("rank", rank.cast("long"))
+
+
 def prefix_within(rows: DataFrame, by: str, order: list[str], cost: str, budget: int, sep: int = 0) -> DataFrame:
     """The first rows of each ``by`` whose costs, with ``sep`` between, stay within ``budget``."""
     w = Window.partitionBy(by).orderBy(*order)

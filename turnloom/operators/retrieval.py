@@ -26,7 +26,7 @@ two three four five six seven eight nine ten""".split()
 
 
 class Memory(NamedTuple):
-    """The relations of a store, each with user_id: nodes (id, content, ts, tier, valid_to,
+    """The relations of a store, each with user_id: nodes (id, content, ts, tier, valid_from, valid_to,
     source_position, source_role), timeline (node_id, t_sort, t_label, entity, t_kind), conflicts
     (id, a_id, b_id, topic, ts) and edges (src, dst, kind, score)."""
 
@@ -250,10 +250,8 @@ def gather(asked: DataFrame, memory: Memory, made: Prepared, most: int = CANDIDA
     by_user = F.lower("source_role") == "user"
     rows = rows.where((~F.col("mention") | (F.col("source_position").isNotNull() & by_user)) & (F.col("past") | F.col("valid_to").isNull()))
     rows = cut(rows.select("query_id", "id", "o", "content"))
-    said = memory.timeline.where("t_kind = 'absolute'").select(F.col("node_id").alias("id"), F.col("t_sort").alias("said_at"))
-    pairs = pair_sources(
-        timed.where("NOT mention AND k >= 2"), rows.join(said, "id").select("query_id", F.col("id").alias("node_id"), "content", "said_at")
-    )
+    dated = rows.join(memory.nodes.select("id", "valid_from", "ts"), "id").join(_dates(memory), "id", "left")
+    pairs = pair_sources(timed.where("NOT mention AND k >= 2"), dated.select("query_id", F.col("id").alias("node_id"), "content", *DATED))
     pairs = cut(pairs)
     candidates = _numbered(pairs.unionByName(_after(rows.drop("content"), 1)), "query_id", most)
     candidates = cut(candidates.join(memory.nodes.select("id", "lexical", "source_position"), "id"))
@@ -276,17 +274,27 @@ def gather(asked: DataFrame, memory: Memory, made: Prepared, most: int = CANDIDA
     return rows.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "id")).cast("long").alias("o"))
 
 
+def _dates(memory: Memory) -> DataFrame:
+    """id, t_sort, t_label, t_kind: the earliest timeline event of each node."""
+    first = memory.timeline.groupBy(F.col("node_id").alias("id")).agg(F.min(F.struct("t_sort", "t_label", "t_kind")).alias("e"))
+    return first.select("id", "e.*")
+
+
+#: Columns by which evidence is dated.
+DATED = ("t_sort", "t_label", "t_kind", "valid_from", "ts")
+
+
 def evidence(rows: DataFrame, memory: Memory) -> DataFrame:
     """``rows`` (query_id, id, o) as temporal.contracts takes them."""
-    said = memory.timeline.where("t_kind = 'absolute'").select(F.col("node_id").alias("id"), F.col("t_sort").alias("said_at"))
-    node = memory.nodes.select("id", "content", F.col("valid_to").isNull().alias("current"), "source_position", "source_role")
-    rows = rows.join(node, "id").join(said, "id", "left")
+    node = memory.nodes.select("id", "content", F.col("valid_to").isNull().alias("current"), "source_position", "source_role", "valid_from", "ts")
+    rows = rows.join(node, "id").join(_dates(memory), "id", "left")
+    rows = rows.withColumn("said_at", F.when(F.col("t_kind") == "absolute", F.col("t_sort")))
     known = memory.conflicts.select(F.col("a_id").alias("id"), F.col("b_id").alias("other"))
     known = known.unionByName(known.select(F.col("other").alias("id"), F.col("id").alias("other")))
     met = rows.select("query_id", "id", "o").join(known, "id").join(rows.select("query_id", F.col("id").alias("other"), F.col("o").alias("other_o")), ["query_id", "other"])
     first = met.where("o < other_o").groupBy("query_id", "id").agg(F.min_by("other", "other_o").alias("rival"))
     return rows.join(first, ["query_id", "id"], "left").select(
-        "query_id", F.col("id").alias("node_id"), F.col("o").alias("rank"), "content", "said_at", "current", "rival", "source_position", "source_role"
+        "query_id", F.col("id").alias("node_id"), F.col("o").alias("rank"), "content", "said_at", "current", "rival", "source_position", "source_role", *DATED
     )
 
 

@@ -44,9 +44,11 @@ def migrated(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def with_embeddings(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``nodes`` with ``embedding`` from ``vectors`` (id, embedding); where they have none, the node's
-    own stays. A node given twice takes one of the two."""
-    new = vectors.groupBy("id").agg(F.first("embedding").alias("new_embedding"))
+    """``nodes`` with ``embedding`` from ``vectors`` (id, embedding and, if they are ordered, ord); where
+    they have none, the node's own stays. Of several for one node the last by ord counts, of those
+    the greatest."""
+    order = F.struct("ord", "embedding") if "ord" in vectors.columns else F.col("embedding")
+    new = vectors.where("embedding IS NOT NULL").groupBy("id").agg(F.max_by("embedding", order).alias("new_embedding"))
     own = F.col("embedding") if "embedding" in nodes.columns else F.lit(None)
     return nodes.join(new, "id", "left").withColumn("embedding", F.coalesce("new_embedding", own)).drop("new_embedding")
 

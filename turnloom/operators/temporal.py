@@ -9,32 +9,56 @@ from pyspark.sql import functions as F
 from turnloom.functions import dates, text
 
 
+def _with_dates(evidence: DataFrame) -> DataFrame:
+    """``evidence`` with the columns by which it is dated; said_at alone is an absolute event."""
+    if "t_kind" in evidence.columns:
+        return evidence
+    none = {c: F.lit(None).cast(k) for c, k in (("t_label", "string"), ("valid_from", "double"), ("ts", "double"))}
+    return evidence.withColumns({"t_kind": F.when(F.col("said_at").isNotNull(), "absolute"), "t_sort": F.col("said_at").cast("double"), **none})
+
+
+def _explicit():
+    return F.when(F.abs(F.col("valid_from") - F.coalesce("ts", F.lit(0.0))) > 1.0, F.col("valid_from"))
+
+
 def dated_events(evidence: DataFrame) -> DataFrame:
-    """query_id, node_id, event, epoch, kind of ``evidence`` (query_id, node_id, content, said_at).
+    """query_id, node_id, event, epoch, kind, label of ``evidence`` (query_id, node_id, content).
 
-    A sentence of twelve or more characters with a relative phrase names an event of its own; the
-    node itself counts at its session's date.
+    A node is dated by its earliest timeline event (t_sort, t_kind, t_label) or, if that is no date,
+    by a valid_from that differs from ts by more than a second; evidence with ``said_at`` alone has
+    absolute events. A relative event is the node's own (kind ``event``), any other date only says
+    when it was told (``session``). From a told date, or from an explicit valid_from without any
+    timeline event, every sentence of twelve or more characters with a relative phrase names one
+    more event.
     """
-    rows = evidence.where("said_at IS NOT NULL")
-    s = rows.select("query_id", "node_id", "said_at", F.explode(text.sentences(F.col("content"))).alias("event"))
-    s = s.where(F.length("event") >= 12).withColumn("t", dates.parse_relative(F.col("event"), F.col("said_at")))
-    own = s.where("t IS NOT NULL").select("query_id", "node_id", "event", F.col("t.epoch").alias("epoch"), F.lit("event").alias("kind"))
-    return own.unionByName(
-        rows.select("query_id", "node_id", F.col("content").alias("event"), F.col("said_at").cast("double").alias("epoch"), F.lit("session").alias("kind"))
-    )
+    rows, explicit = _with_dates(evidence), _explicit()
+    dated = F.col("t_kind").isin("absolute", "relative")
+    rows = rows.select(
+        "query_id", "node_id", "content",
+        F.when(F.col("t_kind") == "absolute", F.col("t_sort")).when(F.col("t_kind").isNull(), explicit).alias("anchor"),
+        F.when(dated, F.col("t_sort")).otherwise(explicit).cast("double").alias("epoch"),
+        F.when(F.col("t_kind") == "relative", "event").otherwise("session").alias("kind"), F.when(dated, F.col("t_label")).alias("label"),
+    )
+    s = rows.where("anchor IS NOT NULL").select("query_id", "node_id", "anchor", F.explode(text.sentences(F.col("content"))).alias("event"))
+    s = s.where(F.length("event") >= 12).withColumn("t", dates.parse_relative(F.col("event"), F.col("anchor")))
+    own = s.where("t IS NOT NULL").select("query_id", "node_id", "event", F.col("t.epoch").alias("epoch"), F.lit("event").alias("kind"), F.col("t.label").alias("label"))
+    told = rows.where("epoch IS NOT NULL").select("query_id", "node_id", F.col("content").alias("event"), "epoch", "kind", "label")
+    return own.unionByName(told)
 
 
 def best_events(events: DataFrame, sides: DataFrame) -> DataFrame:
-    """query_id, side, node_id, event, epoch, kind: the event that fits each side of a query best.
+    """query_id, side, node_id, event, epoch, kind, label: the event that fits each side of a query best.
 
     ``sides`` has query_id, side, tokens and rivals. An event must match its side more than the
     other; then more hits, a named event before a session date, and the shorter text win. The
-    node of side 0 is left out when side 1 is looked for. A query's events are few.
+    node of side 0 is left out when side 1 is looked for. A side without ``rivals`` (null) stands
+    alone: there an event must have half of its tokens. A query's events are few.
     """
     rows = events.join(sides, "query_id")
     hits = text.stem_hits(F.col("tokens"), F.col("event"))
-    rival = text.stem_hits(F.col("rivals"), F.col("event"))
-    rows = rows.withColumns({"hits": hits, "rival": rival}).where("hits >= 1 AND hits > rival")
+    rival = F.coalesce(text.stem_hits(F.col("rivals"), F.col("event")), F.lit(0))
+    need = F.when(F.col("rivals").isNull(), F.greatest(F.lit(1), F.floor((F.size("tokens") + 1) / 2))).otherwise(1)
+    rows = rows.withColumns({"hits": hits, "rival": rival}).where((F.col("hits") >= need) & (F.col("rivals").isNull() | (F.col("hits") > F.col("rival"))))
     order = (F.desc(F.col("hits") - F.col("rival")), F.desc("hits"), F.desc(F.col("kind") == "event"), F.length("event"), "node_id", "event")
     rank = F.row_number().over(Window.partitionBy("query_id", "side").orderBy(*order))
     first = F.max(F.when((F.col("side") == 0) & (F.col("rank") == 1), F.col("node_id"))).over(Window.partitionBy("query_id"))
@@ -42,6 +66,53 @@ def best_events(events: DataFrame, sides: DataFrame) -> DataFrame:
     return rows.withColumn("rank", rank).where("rank = 1").drop("rank", "first", "tokens", "rivals", "rival")
 
 
+#: A question about how long ago something was.
+AGO = r"(?i)\bhow\s+(?:many|long)\b.*\bago\b"
+AGO_FRAME = r"(?i)\bhow\s+(?:many|long)\b.*?\bago\b"
+
+
+def elapsed(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """query_id, node_id, event, epoch, kind, label, as_of, days, gap of the ``questions`` (query_id,
+    query, as_of) that ask how long ago one event was; not later than ``as_of``, which may be null."""
+    alone = questions.where(F.col("as_of").isNotNull() & F.col("query").rlike(AGO)).join(question_sides(questions).select("query_id").distinct(), "query_id", "left_anti")
+    tokens = text.query_tokens(F.regexp_replace("query", AGO_FRAME, " "))
+    sides = alone.select("query_id", F.lit(0).cast("long").alias("side"), tokens.alias("tokens"), F.lit(None).cast("array<string>").alias("rivals"))
+    best = best_events(events, sides.where(F.size("tokens") > 0)).drop("side", "hits").join(alone.select("query_id", F.col("as_of").cast("double").alias("as_of")), "query_id")
+    at = (F.col("epoch"), F.col("as_of"))
+    return best.where("epoch <= as_of").withColumns({"days": dates.day_diff(*at), "gap": dates.describe_gap(*at)})
+
+
+def _day(epoch):
+    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+
+
+def _tag(e):
+    """Fixed forms: the date of an event and what kind of date it is."""
+    own = F.concat(F.lit(', event date resolved from "'), F.coalesce(e["label"], F.lit("None")), F.lit('"'))
+    return F.concat(_day(e["epoch"]), F.when(e["kind"] == "event", own).otherwise(", session/mention date (not necessarily the event date)"))
+
+
+def computed_lines(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """query_id, lines: what the dates of ``events`` say to a question (query_id, query, as_of): which of
+    two named events came first and how far apart they are, or how long ago one was."""
+    best = best_events(events, question_sides(questions))
+    e = F.struct("epoch", "event", "kind", "label")
+    pair = best.groupBy("query_id").agg(F.max(F.when(F.col("side") == 0, e)).alias("a"), F.max(F.when(F.col("side") == 1, e)).alias("b"))
+    pair = pair.where("a IS NOT NULL AND b IS NOT NULL")
+    a, b = F.col("a"), F.col("b")
+    named = lambda n, x: F.concat(F.lit(f'Event {n} "'), text.clipped(x["event"], 90), F.lit('" ['), _tag(x), F.lit("]"))
+    both = F.concat(named("A", a), F.lit("; "), named("B", b), F.lit("."))
+    mixed = F.concat(both, F.lit(" One is an event date and the other only a session date, so their order is NOT determined by these dates; reason from the evidence text."))
+    lo, hi = F.least(a["epoch"], b["epoch"]), F.greatest(a["epoch"], b["epoch"])
+    earlier = F.concat(F.lit("Event "), F.when(a["epoch"] <= b["epoch"], "A").otherwise("B"), F.lit(" is EARLIER. Gap: "), dates.describe_gap(lo, hi), F.lit("."))
+    order = F.when(dates.day_diff(lo, hi) == 0, "A and B fall on the same date; order is not determined by dates.").otherwise(earlier)
+    lines = F.when(a["kind"] != b["kind"], F.array(mixed)).otherwise(F.array(both, order))
+    one = elapsed(questions, events)
+    x = F.struct("epoch", "event", "kind", "label")
+    since = F.concat(F.lit('Event "'), text.clipped(F.col("event"), 90), F.lit('" ['), _tag(x), F.lit("] was "), F.col("gap"), F.lit(" before the question date "), _day(F.col("as_of")), F.lit("."))
+    return pair.select("query_id", lines.alias("lines")).unionByName(one.select("query_id", F.array(since).alias("lines")))
+
+
 def compared(best: DataFrame) -> DataFrame:
     """query_id, comparable, first_side, gap of the queries that have an event on both sides.
 
@@ -60,9 +131,15 @@ def compared(best: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: two events whose names may begin with an article.
+LOOSE = r"(?id)between\s+(?:the\s+)?(.+?)\s+and\s+(?:the\s+)?(.+?)\s*(?:\?|$)"
+
+
 def question_sides(questions: DataFrame) -> DataFrame:
     """query_id, side, tokens, rivals of the ``questions`` (query_id, query) that name two events."""
-    s = questions.select("query_id", text.sides(F.col("query")).alias("s")).where(F.size("s") == 2)
+    loose = F.array(*[text.query_tokens(F.regexp_extract("query", LOOSE, k)) for k in (1, 2)])
+    s = questions.select("query_id", text.sides(F.col("query")).alias("s"), loose.alias("l"))
+    s = s.select("query_id", F.when(F.size("s") == 2, F.col("s")).when(F.forall("l", lambda x: F.size(x) > 0), F.col("l")).alias("s")).where(F.size("s") == 2)
     rows = s.select("query_id", "s", F.posexplode("s").alias("side", "tokens"))
     return rows.select("query_id", F.col("side").cast("long").alias("side"), "tokens", F.element_at("s", F.when(F.col("side") == 0, 2).otherwise(1)).alias("rivals"))
 
@@ -85,7 +162,8 @@ def contracts(queries: DataFrame, evidence: DataFrame) -> DataFrame:
         F.coalesce(text.requested_length(q), F.lit(2)).alias("wanted"),
         (F.size(text.sides(q)) == 2).alias("sided"),
     )
-    e = evidence.join(facts, "query_id")
+    e = _with_dates(evidence).join(facts, "query_id")
+    known = F.coalesce(F.col("t_kind").isin("absolute", "relative"), F.lit(False)) | _explicit().isNotNull()
     toks = F.slice("toks", 1, 6)
     need = F.greatest(F.lit(1), F.ceil(F.size(toks) * 0.6))
     first = lambda value, keep: F.min_by(value, F.when(keep, F.col("rank")))
@@ -96,7 +174,7 @@ def contracts(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     )
     held = e.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.collect_set(F.when(F.col("said_at").isNotNull(), F.col("node_id"))).alias("dated"),  # of one query's evidence
+        F.collect_set(F.when(known, F.col("node_id"))).alias("dated"),  # of one query's evidence
         first("node_id", rivals).alias("a"),
         first("rival", rivals).alias("b"),
         first("node_id", ~F.col("current")).alias("old"),

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnloom.functions import text
-from turnloom.operators import ranking, retrieval, temporal
+from turnloom.operators import recall, retrieval, scoring, store, temporal
 from turnloom.plans import views as v
 from turnloom.plans.catalog import query
 from turnloom.plans.dates import mentions
+from turnloom.plans.memory import profile_build
 from turnloom.plans.search import _turn_ranks
 from turnloom.sources.shared import Scratch, shared_dir, written
 
@@ -48,6 +49,61 @@ def compute_temporal(spark, sf_dir):
     return temporal.compared(temporal.best_events(events, temporal.question_sides(_sided(spark, sf_dir))))
 
 
+def _since(spark, sf_dir):
+    """Every query as a question of time on the last day of 2024: how long ago one thing was, or how
+    far apart two are."""
+    w = F.split("query", " ")
+    two = F.concat(F.lit("How many days between "), F.array_join(F.slice(w, 1, 3), " "), F.lit(" and "), F.array_join(F.slice(w, 4, 3), " "), F.lit("?"))
+    one = F.concat(F.lit("How many days ago was "), F.array_join(F.slice(w, 1, 3), " "), F.lit("?"))
+    asked = F.when(F.expr("query_id div 100 % 2") == 0, one).otherwise(two)
+    return v.queries(spark, sf_dir).select("query_id", asked.alias("query"), F.lit(1735603200.0).alias("as_of"))
+
+
+@query("elapsed_events")
+def elapsed_events(spark, sf_dir):
+    """How long ago what a question names was, by its best turns."""
+    return temporal.elapsed(_since(spark, sf_dir), temporal.dated_events(_evidence(spark, sf_dir)))
+
+
+@query("computed_lines")
+def computed_lines(spark, sf_dir):
+    """What the dates of a question's best turns say to it."""
+    rows = temporal.computed_lines(_since(spark, sf_dir), temporal.dated_events(_evidence(spark, sf_dir)))
+    return rows.select("query_id", F.array_join("lines", "\n").alias("lines"))
+
+
+def hits_scorer(asked):
+    """A scorer without a model: twice the question's tokens that a passage has, none for long questions."""
+    toks = text.query_tokens(F.col("query"))
+    return asked.where(F.size(toks) <= 6).select("query_id", "id", (2.0 * text.stem_hits(toks, F.col("content"))).alias("score"))
+
+
+@query("usefulness_scored")
+def usefulness_scored(spark, sf_dir):
+    """A question's 60 best turns sorted by a scorer that is plugged in."""
+    found = _turn_ranks(spark, sf_dir, 60).select("query_id", F.col("arrival").alias("id"), F.col("rank").alias("place"))
+    rows = found.join(v.nodes(spark, sf_dir).select("id", "content"), "id")
+    return scoring.by_usefulness(rows, v.queries(spark, sf_dir).select("query_id", "query"), hits_scorer)
+
+
+@query("memory_blocks")
+def memory_blocks(spark, sf_dir):
+    """The blocks of evidence for every question of time: its best turns, its user's profile, what the
+    dates say, withheld where every other question's evidence breaks its contract."""
+    asked = _since(spark, sf_dir)
+    with Scratch(spark) as scratch:
+        evidence = scratch.cut(_evidence(spark, sf_dir, 8))
+        verdict = scratch.cut(temporal.contracts(asked, evidence))
+        proves = F.when(F.expr("query_id div 100 % 3") > 0, F.col("reason").isNull())
+        node = v.nodes(spark, sf_dir)
+        prefix = node.select(F.col("id").alias("node_id"), store.evidence_prefix(node).alias("prefix"))
+        passages = evidence.join(prefix, "node_id").select("query_id", "rank", "prefix", "content")
+        mine = v.queries(spark, sf_dir).select("query_id", F.col("user_id").alias("scope_key")).join(profile_build(spark, sf_dir), "scope_key")
+        lines = scratch.cut(temporal.computed_lines(asked, temporal.dated_events(evidence)))
+        rows = recall.memory_blocks(verdict.select("query_id", "ability", proves.alias("proves")), passages, mine.select("query_id", F.lit(1).alias("rank"), "content"), lines)
+        return written(rows, shared_dir(spark, "blocks"))
+
+
 def _asked(spark, sf_dir):
     head = F.expr("CASE query_id div 100 % 4 WHEN 0 THEN 'When was ' WHEN 1 THEN 'What is ' WHEN 2 THEN 'You said ' ELSE '' END")
     return v.queries(spark, sf_dir).select("query_id", F.concat(head, "query").alias("query"))

@@ -204,6 +204,15 @@ def transcript_search(spark, sf_dir):
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("arrival")).cast("long"))
 
 
+@query("transcript_chunks")
+def transcript_chunks(spark, sf_dir):
+    """Eight chunks of at most 200 characters that cover a user's history, in mention order."""
+    t = v.turns(spark, sf_dir).select("user_id", "arrival", F.col("arrival").alias("position"), F.col("turn_text").alias("content"))
+    rows = recall.spread(recall.transcript_chunks(t, v.queries(spark, sf_dir), 200), "query_id", 8)
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy("position")).cast("long")
+    return rows.select("query_id", "arrival", "chunk", "piece", "hits", order.alias("ord"))
+
+
 _WIN = "SELECT DISTINCT r.query_id, t.session_id, t.position FROM ranked r JOIN turns t ON t.session_id = r.session_id AND t.position BETWEEN r.position - 1 AND r.position + 1 WHERE r.rank <= 5"
 
 

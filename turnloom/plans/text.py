@@ -253,6 +253,7 @@ def clip_truncations(spark, sf_dir):
 def turn_text(spark, sf_dir):
     """A stored turn's header parsed back from its text form."""
     t = _turns(spark, sf_dir)
+    # fixed format: the header of a stored turn
     head = F.format_string("[AML] session=%s position=%d turn=%d %s:\n", F.sha2(F.col("session_id").cast("string"), 256), "position", "position", "role")
     pattern = r"^\[AML\] session=(\S+) position=(\d+) turn=\d+ (user|assistant):(?: date=\S+)?\n"
     c = t.withColumn("content", F.concat(head, "body"))

@@ -29,7 +29,7 @@ def set_embeddings(spark, sf_dir):
     return rows.select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("dims"))
 
 
-@query("normal_claims", v.sql("SELECT arrival, trim(regexp_replace(lower(body), '\\s+', ' ', 'g')) AS claim FROM turns", "turns"))
+@query("normal_claims", v.sql("SELECT arrival, trim(regexp_replace(replace(replace(lower(body), 'ß', 'ss'), 'ς', 'σ'), '\\s+', ' ', 'g')) AS claim FROM turns", "turns"))
 def normal_claims(spark, sf_dir):
     return v.turns(spark, sf_dir).select("arrival", text.normal_claim(F.col("body")).alias("claim"))
 
