@@ -203,21 +203,26 @@ class PostingIndex:
     def _live(self, kind: str, parts: list | None = None) -> DataFrame:
         return self._standing(self._read(kind, parts), parts)
 
+    def _few(self, asked: DataFrame) -> list | None:
+        """The scopes of ``asked`` and their buckets if it has few rows; then no shuffle is needed."""
+        rows = asked.select(F.col(self.scope).cast("long").alias("scope")).select("scope", self._bucket()).limit(SCOPES + 1).collect()
+        return None if len(rows) > SCOPES else sorted({(x.scope, x.bucket) for x in rows if x.scope is not None})
+
     def _asked(self, asked: DataFrame) -> tuple[set | None, Callable[[DataFrame], DataFrame]]:
         """The buckets of the scopes of ``asked``, and a filter on these scopes if they are few."""
-        rows = asked.select(F.col(self.scope).cast("long").alias("scope")).distinct()
-        few = rows.select("scope", self._bucket()).limit(SCOPES + 1).collect()
-        if len(few) <= SCOPES:
-            scopes = sorted(x.scope for x in few if x.scope is not None)
-            return {x.bucket for x in few}, lambda df: df.where(F.col("scope").isin(scopes) if scopes else F.lit(False))
+        few = self._few(asked)
+        if few is not None:
+            scopes = [x for x, _ in few]
+            return {b for _, b in few}, lambda df: df.where(F.col("scope").isin(scopes) if scopes else F.lit(False))
+        rows = asked.select(F.col(self.scope).cast("long").alias("scope"))
         # at most one row for each bucket
         return {x.bucket for x in rows.select(self._bucket()).distinct().collect()}, lambda df: df
 
     def own(self, asked: DataFrame, rows: DataFrame) -> DataFrame:
         """The ``rows`` of the scopes of ``asked``: by a filter that reaches the files if these are few."""
-        few = [x[0] for x in asked.select(self.scope).distinct().limit(SCOPES + 1).collect()]
-        if len(few) <= SCOPES:
-            return rows.where(F.col(self.scope).isin(few) if few else F.lit(False))
+        few = self._few(asked)
+        if few is not None:
+            return rows.where(F.col(self.scope).isin([x for x, _ in few]) if few else F.lit(False))
         return rows.join(asked.select(self.scope).distinct(), self.scope, "left_semi")
 
     def scores(self, field: str, asked: DataFrame, query: str, k1: float = 1.5, b: float = 0.75, idf_floor: float | None = None) -> DataFrame:
