@@ -120,3 +120,9 @@ def test_the_last_vector_of_a_node_counts(spark):
     vectors = spark.createDataFrame([(1, [1.0], 5), (1, [9.0], 4), (2, None, 1), (1, None, 9)], "id long, embedding array<float>, ord long")
     got = {r.id: r.embedding for r in store.with_embeddings(nodes, vectors).collect()}
     assert got == {1: [1.0], 2: None, 3: None}
+
+
+def test_sentences_keep_digits_and_lose_spaces(spark):
+    """A sentence that begins or ends with its own place in the text keeps that digit."""
+    said = "0 is first 0. 1 is next 1\n 2 has spaces 2 \n3.5 ends 3"
+    assert one(spark, text.sentences(F.col("t")), t=said) == ["0 is first 0.", "1 is next 1", "2 has spaces 2", "3.5 ends 3"]
