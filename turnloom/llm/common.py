@@ -5,12 +5,12 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnloom.sources.shared import ship
+
 #: The white space that separates words, U+0020 and U+0009 to U+000D,
 #: which is also what ``bytes.split()`` splits at.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -77,21 +77,3 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, for clusters whose
-    machines don't have it installed."""
-    context = spark.sparkContext
-    if _SHIPPED.get("app") == context.applicationId:
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="turnloom-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(root.rglob("*.py")):
-            out.write(path, path.relative_to(root.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED["app"] = context.applicationId
-
-
-_SHIPPED: dict[str, str] = {}
