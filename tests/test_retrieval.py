@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -56,6 +57,20 @@ def test_cosine_in_blocks_equals_one_pass(spark, sf):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) != []
 
 
+def test_cosine_of_odd_vectors_and_copies_without_a_row_for_each_pair(spark):
+    """The rows of the plain join, which made one for each pair; copies tie by their ids."""
+    nan, rng = float("nan"), random.Random(5)
+    odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [float("inf"), 1.0], [1.0, 2.0, 3.0], [1e200, 1e200], [-0.0, 1.0], [1e-160, 1e-161], [1e-170, 3e-170], [1e-300, 0.0]]
+    rows = odd + [[0.25, 0.5]] * 90 + [[rng.choice([0.1, 0.2, 0.3]), rng.random()] for _ in range(150)]
+    e = spark.createDataFrame([*enumerate(rows), (None, [1.0, 2.0])], "vec_id long, embedding array<double>").repartition(3)
+    q = e.where("vec_id < 30 OR vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = ranking.cosine_topk(e, q, 4, block=20)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("score", F.round(ranking.cosine(F.col("q"), F.col("embedding")), 6))
+    want = ranking.top(pairs, "query_id", 4, F.desc("score"), "vec_id").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 200
+
+
 def test_contracts_by_hand(spark):
     claim, order = "You said two things", "List the order of three things I mentioned"
     named = "How many days between planting roses and adopting the puppy?"
