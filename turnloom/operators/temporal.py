@@ -247,20 +247,11 @@ def gap_facts(questions: DataFrame, mentions: DataFrame, clauses: DataFrame) ->
 def char_chunks(texts: DataFrame, key: str, column: str, most: int) -> DataFrame:
     """key, chunk, piece: texts cut to ``most`` characters, back to the last blank past the half.
 
-    Where a piece ends depends on the last, so each text is folded by itself, once for each piece.
+    Where a piece ends depends on the last, so each text is scanned once from its start: what is
+    left if it fits, else up to the last blank past the half, else ``most`` characters.
     """
-    t = F.col(column)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, _):
-        end = F.least(F.length(t), acc["at"] + most)
-        window = F.substr(t, acc["at"] + 1, F.lit(most))
-        back = F.length(window) - F.locate(" ", F.reverse(window))
-        cut = F.when((end < F.length(t)) & F.contains(window, F.lit(" ")) & (back > most // 2), acc["at"] + back).otherwise(end)
-        piece = F.trim(F.substr(t, acc["at"] + 1, cut - acc["at"]))
-        more = (acc["at"] < F.length(t)) & (piece != "")
-        return F.struct(cut.cast("int").alias("at"), F.when(more, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
-
-    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(t) / (most // 2)).cast("int")))
-    made = texts.where(t.isNotNull()).select(key, F.aggregate(turns, start, step, lambda a: a["out"]).alias("out"))
-    return made.select(key, F.posexplode("out").alias("chunk", "piece"))
+    half = most // 2 + 1
+    blank = f"|.{{{half},{most - 1}}}(?= )" if half < most else ""
+    pieces = F.regexp_extract_all(column, F.lit(f"(?s).{{1,{most}}}+\\z{blank}|.{{1,{most}}}"), F.lit(0))
+    kept = F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
+    return texts.where(F.col(column).isNotNull()).select(key, F.posexplode(kept).alias("chunk", "piece"))
