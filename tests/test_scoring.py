@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 
 from tests.plain_retrieval import lexical, scores
+from tests.test_similar_blocks import shuffled
 from turnloom.operators import scoring
 
 WORDS = "boat tea lamp river stone garden painting market winter letter".split()
@@ -98,3 +100,14 @@ def test_a_scorer_in_the_tasks(spark, sf):
     catalog.load()
     rows = catalog.QUERIES["usefulness_scored"](spark, sf).collect()
     assert rows and {r.mode for r in rows} <= {"scored", "keyword"} and max(r["rank"] for r in rows) <= 8
+
+
+def test_words_that_no_question_asks_for_are_not_shuffled(spark):
+    texts = [(q, n, n, " ".join(f"word{chr(97 + n % 26)}{chr(97 + k)}x" + "yz" * j for j in range(6) for k in range(26))) for q in (1, 2) for n in range(40)]
+    rows = spark.createDataFrame(texts, "query_id long, id long, place long, content string")
+    asked = spark.createDataFrame([(1, "wordabx wordbcx"), (2, "nothing of it")], "query_id long, query string")
+    before = shuffled(spark)
+    got = {(r.query_id, r["rank"]): r.id for r in scoring.by_usefulness(rows, asked, lambda a: a.select("query_id", "id", F.lit(1.0).alias("score"))).collect()}
+    # of all texts those with a word asked for come first among equal scores
+    assert [got[1, n] for n in (1, 2, 3, 4, 5)] == [0, 1, 26, 27, 2] and [got[2, n] for n in (1, 2)] == [0, 1]
+    assert shuffled(spark) - before < 80 * 40

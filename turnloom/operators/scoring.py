@@ -34,9 +34,10 @@ def _latest(scores: DataFrame) -> DataFrame:
 def _scores(asked: DataFrame, scorer: Scorer) -> DataFrame:
     """The scores of the rows of ``asked``; what a first call leaves out is asked for once more, each
     row as a batch of its own."""
-    first = asked.join(_latest(scorer(asked)), ["query_id", "id"], "left")
+    first = asked.select("query_id", "batch", "id").join(_latest(scorer(asked)), ["query_id", "id"], "left")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("batch", "id"))
-    failed = first.where("score IS NULL").drop("score").withColumn("batch", (place + SCORED).cast("long"))
+    failed = first.where("score IS NULL").select("query_id", "id", (place + SCORED).cast("long").alias("batch"))
+    failed = failed.join(asked.drop("batch"), ["query_id", "id"]).select(*asked.columns)
     again = _latest(scorer(failed)).withColumnRenamed("score", "second")
     return first.join(again, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", "second").alias("score"))
 
@@ -81,11 +82,15 @@ def scored(candidates: DataFrame, questions: DataFrame, scorer: Scorer, known: D
 
 def _prepared(candidates: DataFrame, questions: DataFrame, known: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """What is to be asked, and every candidate with pre (its place by BM25), lexical and known."""
-    own = candidates.groupBy("query_id", "id").agg(F.min("place").alias("place"), F.max("content").alias("content"))
-    docs = own.select(F.col("query_id").alias("within"), "id", text.lexical_tokens(F.col("content")).alias("terms"))
+    # texts are dealt out by question once, and kept with no more of their words than it asks for
+    own = candidates.repartition("query_id").groupBy("query_id", "id").agg(F.min("place").alias("place"), F.max("content").alias("content"))
+    words = questions.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list(text.lexical_tokens(F.col("query"))))).alias("words"))
+    own = own.join(words, "query_id").withColumn("terms", text.lexical_tokens(F.col("content")))
+    own = scratch.cut(own.select("query_id", "id", "place", "content", F.size("terms").alias("size"), F.filter("terms", lambda t: F.array_contains("words", t)).alias("terms")))
+    docs = own.select(F.col("query_id").alias("within"), "id", "terms", "size")
     terms = questions.select("query_id", F.col("query_id").alias("within"), text.lexical_tokens(F.col("query")).alias("terms"))
     found = ranking.bm25(docs, terms, "within", "id", "query_id", least_length=1).withColumn("lexical", F.round("score", 9)).drop("score")
-    rows = own.join(questions.select("query_id"), "query_id", "left_semi").join(found, ["query_id", "id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    rows = own.select("query_id", "id", "place").join(found, ["query_id", "id"], "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
     pre = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lexical"), "place", "id"))
     rows = rows.withColumn("pre", pre.cast("long"))
     held = F.lit(None).cast("double")
@@ -94,7 +99,8 @@ def _prepared(candidates: DataFrame, questions: DataFrame, known: DataFrame | No
     rows = scratch.cut(rows.withColumn("known", F.when(F.col("pre") <= SCORED, held)))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("pre")) - 1
     new = rows.where((F.col("pre") <= SCORED) & F.col("known").isNull()).withColumn("batch", F.floor(place / BATCH).cast("long"))
-    asked = new.join(questions.select("query_id", "query"), "query_id").select("query_id", "batch", "id", "query", "content")
+    asked = new.join(questions.select("query_id", "query"), "query_id").join(own.select("query_id", "id", "content"), ["query_id", "id"])
+    asked = asked.select("query_id", "batch", "id", "query", "content")
     return scratch.cut(asked), rows
 
 
