@@ -71,14 +71,16 @@ def invalidated(nodes: DataFrame, closings: DataFrame) -> DataFrame:
     return nodes.join(first, "id", "left").withColumn("valid_to", F.coalesce("valid_to", "at")).drop("at")
 
 
-def superseded(pairs: DataFrame) -> DataFrame:
-    """older, newer, closed_at of pairs (a, b, a_ts, a_from, b_ts, b_from); a is the one just written.
+def superseded(pairs: DataFrame, *kept) -> DataFrame:
+    """older, newer, closed_at of pairs (a, b, a_ts, a_from, b_ts, b_from), after the columns ``kept``; a is
+    the one just written.
 
     Event times decide only if both are explicit; else the written node is the newer.
     """
     explicit = (F.abs(F.col("a_from") - F.col("a_ts")) > 1.0) & (F.abs(F.col("b_from") - F.col("b_ts")) > 1.0)
     a_older = F.coalesce(explicit & (F.col("a_from") < F.col("b_from")), F.lit(False))
     return pairs.select(
+        *kept,
         F.when(a_older, F.col("a")).otherwise(F.col("b")).alias("older"),
         F.when(a_older, F.col("b")).otherwise(F.col("a")).alias("newer"),
         F.when(a_older, F.col("b_from")).otherwise(F.col("a_from")).alias("closed_at"),

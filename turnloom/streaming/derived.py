@@ -1,10 +1,10 @@
 """Views of the turns that are kept up with every batch: claims, timeline, conflicts, supersessions.
 
-A batch's claims are joined with the stored ones of the same users and with themselves (new x stored,
-new x new); what was joined before isn't joined again, and pairs have no order, so any split of the
-turns into batches leaves the same views. The join is the exact one of ``operators.similar``: stored
-are, for each user, the tokens by which a claim can be found. Their order is frozen when the store
-is begun or compacted, as all batches must use one; tokens it doesn't know count as the rarest.
+A batch's claims are compared with the stored ones of the same sessions and with themselves (new x
+stored, new x new); what was compared before isn't compared again, and pairs have no order, so any
+split of the turns into batches leaves the same views. ``operators.similar`` compares the sets of a
+session where they lie together: ``prefixes`` has each claim's whole set, as hashes, and what a pair
+says of it, so no candidate pairs are shuffled and no text is read again.
 
 Tables are folders, one for each batch, parted by buckets of users, so a batch reads the buckets of
 its own users. A batch counts once the pointer names it; one that comes again changes nothing.
@@ -21,32 +21,35 @@ from pyspark.sql import functions as F
 from turnloom.functions import dates, text
 from turnloom.operators import similar, store
 from turnloom.sources.files import _fs
+from turnloom.sources.shared import Scratch
 from turnloom.sources.snapshots import Pointers
 
-#: Claims of a turn, characters of a claim and of a topic, and the overlaps from which
-#: claims are compared and contradict each other when no model scores them.
+#: Claims of a turn, characters of a claim and of a topic, and the overlap from which
+#: claims contradict each other when no model scores them.
 CLAIMS, CLAIM_CUT, TOPIC_CUT = 6, 580, 80
-COMPARED, CONFLICT = 0.25, 0.4
+CONFLICT = 0.4
 #: An overlap of this much stands in for a model's verdict that a claim updates another.
 UPDATE = 0.7
 
-VIEWS = ("claims", "sets", "prefixes", "timeline", "conflicts", "supersessions")
+VIEWS = ("claims", "prefixes", "timeline", "conflicts", "supersessions")
 _SCHEMAS = {
     "claims": "user_id long, session_id long, id long, arrival long, claim long, text string, ts double, valid_from double, source_position long",
-    "sets": "user_id long, id long, set array<string>",
-    "prefixes": "user_id long, token string, band int, id long, size int, place int",
+    "prefixes": "user_id long, session_id long, id long, ts double, valid_from double, topic string, hashes array<long>",
     "timeline": "user_id long, node_id long, t_sort double, t_label string, entity string, t_kind string",
     "conflicts": "user_id long, a_id long, b_id long, topic string, overlap double",
     "supersessions": "user_id long, older long, newer long, closed_at double, writer long, score double",
 }
 
 
-def claims(turns: DataFrame) -> DataFrame:
+def claims(turns: DataFrame, once: bool = False) -> DataFrame:
     """The claims of turns (user_id, session_id, arrival, position, said_at, body): their first
     sentences that could be claims, dated by a relative phrase of their own or by their turn.
-    ``id`` is arrival * 8 + claim, unique as a turn has at most six."""
+    ``id`` is arrival * 8 + claim, unique as a turn has at most six. With ``once`` a turn that is
+    repeated counts once; only what was found in it crosses the network for that, not its body."""
     found = F.slice(F.filter(text.sentences(F.coalesce("body", F.lit(""))), text.is_claim), 1, CLAIMS)
-    rows = turns.select("user_id", "session_id", "arrival", "position", "said_at", text.first_entity(F.col("body")).alias("entity"), F.posexplode(found).alias("k", "s"))
+    rows = turns.select("user_id", "session_id", "arrival", "position", "said_at", text.first_entity(F.col("body")).alias("entity"), found.alias("found"))
+    rows = rows.dropDuplicates(["user_id", "arrival"]) if once else rows
+    rows = rows.select("user_id", "session_id", "arrival", "position", "said_at", "entity", F.posexplode("found").alias("k", "s"))
     rel = F.when(F.col("said_at").isNotNull(), dates.parse_relative(F.col("s"), F.col("said_at")))
     rows = rows.withColumns({"claim": (F.col("k") + 1).cast("long"), "text": F.left("s", F.lit(CLAIM_CUT)), "own": rel["epoch"].cast("double"), "said": F.col("said_at").cast("double")})
     ts = F.col("arrival").cast("double") + 1_700_000_000
@@ -65,25 +68,28 @@ def timeline(rows: DataFrame) -> DataFrame:
     return rows.select("user_id", F.col("id").alias("node_id"), "t_sort", label.alias("t_label"), "entity", "t_kind")
 
 
-def related(pairs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Conflicts and supersessions of verified pairs (user_id, x, y, both, either) of claims ``rows``.
+def keys(rows: DataFrame) -> DataFrame:
+    """What ``claims`` are compared by, and what a pair says of them: a conflict is on the new claim's
+    first name or its first characters. Claims without tokens meet none."""
+    hashes = F.transform(similar.token_set(F.col("text")), lambda t: F.xxhash64(t))
+    topic = F.coalesce("entity", F.left("text", F.lit(TOPIC_CUT)))
+    return rows.select("user_id", "session_id", "id", "ts", "valid_from", topic.alias("topic"), hashes.alias("hashes")).where(F.size("hashes") > 0)
 
-    Claims of two sessions don't meet. Of a pair the one written later (the larger id) is the new
-    one. Enough of an overlap supersedes, by event time where both have one of their own; less
-    contradicts. Both leave a conflict, on the new claim's first name or its first characters.
+
+def related(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conflicts and supersessions of ``similar.met`` claims of one session.
+
+    Of a pair the one written later (the larger id) is the new one. Enough of an overlap
+    supersedes, by event time where both have one of their own; less contradicts. Both leave a
+    conflict, on the new claim's topic.
     """
-    side = lambda p: rows.select("user_id", F.col("id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("session_id", "text", "ts", "valid_from", "entity")))
-    met = pairs.withColumns({"a": F.greatest("x", "y"), "b": F.least("x", "y"), "overlap": F.col("both") / F.col("either")}).select("user_id", "a", "b", "overlap")
-    met = met.join(side("a"), ["user_id", "a"]).join(side("b"), ["user_id", "b"]).where("a_session_id = b_session_id")
-    update = met.where(F.col("overlap") >= UPDATE).withColumnsRenamed({"a_valid_from": "a_from", "b_valid_from": "b_from"})
-    score = update.select("user_id", "a", "b", "overlap")
-    closed = store.superseded(update)
-    closed = closed.withColumns({"a": F.greatest("older", "newer"), "b": F.least("older", "newer")}).join(score, ["a", "b"])
-    closed = closed.select("user_id", "older", "newer", "closed_at", F.col("a").alias("writer"), F.round("overlap", 6).alias("score"))
-    topic = F.coalesce("a_entity", F.left("a_text", F.lit(TOPIC_CUT)))
-    newer = closed.select("user_id", F.col("writer").alias("a"), F.least("older", "newer").alias("b"), "newer", "older")
-    known = met.where(F.col("overlap") >= CONFLICT).join(newer, ["user_id", "a", "b"], "left")
-    known = known.select("user_id", F.coalesce("newer", "a").alias("a_id"), F.coalesce("older", "b").alias("b_id"), topic.alias("topic"), F.round("overlap", 6).alias("overlap"))
+    late = F.col("x") > F.col("y")
+    side = lambda p, one, two: {f"{p}{c}": F.when(late, F.col(f"{one}{k}")).otherwise(F.col(f"{two}{k}")) for c, k in (("", ""), ("_ts", "_ts"), ("_from", "_valid_from"), ("_topic", "_topic"))}
+    rows = met.withColumns(side("a", "x", "y") | side("b", "y", "x")).withColumn("overlap", F.col("both") / F.col("either")).where(F.col("overlap") >= CONFLICT)
+    update, score = F.col("overlap") >= UPDATE, F.round("overlap", 6)
+    rows = store.superseded(rows, "user_id", "a", "b", F.col("a_topic").alias("topic"), "overlap")
+    known = rows.select("user_id", F.when(update, F.col("newer")).otherwise(F.col("a")).alias("a_id"), F.when(update, F.col("older")).otherwise(F.col("b")).alias("b_id"), "topic", score.alias("overlap"))
+    closed = rows.where(update).select("user_id", "older", "newer", "closed_at", F.col("a").alias("writer"), score.alias("score"))
     return known, closed
 
 
@@ -91,7 +97,7 @@ class DerivedViews:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.pointers = spark, path.rstrip("/"), Pointers(spark, path)
         held = self.pointers.newest()
-        self.state = json.loads(held) if held else {"buckets": buckets, "order": None, "folders": [], "batches": []}
+        self.state = json.loads(held) if held else {"buckets": buckets, "folders": [], "batches": []}
 
     def _bucket(self):
         return F.pmod(F.xxhash64(F.col("user_id").cast("long")), F.lit(self.state["buckets"])).cast("int")
@@ -115,7 +121,7 @@ class DerivedViews:
     def changes(self, batch: str) -> dict[str, DataFrame]:
         """What a batch added to each view; empty once it is compacted into others."""
         own = [x for x in self.state["folders"] if x.startswith(f"{batch}-")]
-        return {view: self.read(view, folders=own) for view in VIEWS if view not in ("sets", "prefixes")}
+        return {view: self.read(view, folders=own) for view in VIEWS if view != "prefixes"}
 
     def current(self) -> DataFrame:
         """The claims with valid_to: when the first claim written that supersedes it closed it."""
@@ -128,51 +134,29 @@ class DerivedViews:
         if batch in self.state["batches"]:
             return False
         seen, folder = self.pointers.taken(), f"{batch}-{uuid.uuid4().hex[:12]}"
-        made = claims(turns.dropDuplicates(["user_id", "arrival"]))
-        self._write(timeline(made), "timeline", folder)
-        new = self._write(made, "claims", folder)
+        new = self._write(claims(turns, once=True), "claims", folder)
+        self._write(timeline(new), "timeline", folder)
         # one small row for each bucket
         buckets = sorted(x.b for x in new.select(self._bucket().alias("b")).distinct().collect())
-        words = new.select("user_id", "id", similar.token_set(F.col("text")).alias("tokens"))
-        order = self._order(words)
-        sets = self._write(similar.arranged(words, order, "user_id"), "sets", folder)
-        keys = self._write(similar.prefixes(sets, COMPARED, "user_id"), "prefixes", folder)
-        old_keys, old_sets = self.read("prefixes", buckets), self.read("sets", buckets)
-        pairs = similar.candidates(keys, keys.unionByName(old_keys), COMPARED, "user_id")
-        pairs = pairs.select("user_id", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        every = sets.unionByName(old_sets)
-        met = similar.verified(pairs, every, every, COMPARED, "user_id")
-        rows = new.unionByName(self.read("claims", buckets), allowMissingColumns=True).drop("entity")
-        # a turn's first name stands with each of its claims' events
-        names = self.read("timeline", buckets, [*self.state["folders"], folder]).select("user_id", F.col("node_id").alias("id"), "entity")
-        known, closed = related(met, rows.join(names, ["user_id", "id"]))
-        self._write(known, "conflicts", folder)
-        self._write(closed, "supersessions", folder)
+        fresh = self._write(keys(new), "prefixes", folder)
+        with Scratch(self.spark) as scratch:
+            met = similar.met(fresh, self.read("prefixes", buckets), CONFLICT, ["user_id", "session_id"], {"ts": "double", "valid_from": "double", "topic": "string"})
+            known, closed = related(scratch.cut(met))
+            self._write(known, "conflicts", folder)
+            self._write(closed, "supersessions", folder)
         self._publish({"folders": [*self.state["folders"], folder], "batches": [*self.state["batches"], batch]}, seen)
         return True
 
-    def _order(self, words: DataFrame) -> DataFrame:
-        if self.state["order"] is None:
-            path = f"{self.path}/order/{uuid.uuid4().hex}"
-            similar.frequencies(words).write.parquet(path)
-            self.state["order"] = path
-        return self.spark.read.schema("token string, freq long").parquet(self.state["order"])
-
     def compact(self) -> None:
-        """Bring all batches into one folder for each view, with the order of tokens taken anew."""
-        seen, old, before = self.pointers.taken(), self.state["folders"], self.state["order"]
+        """Bring all batches into one folder for each view."""
+        seen, old = self.pointers.taken(), self.state["folders"]
         folder = f"compacted-{uuid.uuid4().hex[:12]}"
-        words = self._write(self.read("claims"), "claims", folder).select("user_id", "id", similar.token_set(F.col("text")).alias("tokens"))
-        self.state["order"] = None
-        sets = self._write(similar.arranged(words, self._order(words), "user_id"), "sets", folder)
-        self._write(similar.prefixes(sets, COMPARED, "user_id"), "prefixes", folder)
-        for view in ("timeline", "conflicts", "supersessions"):
+        for view in VIEWS:
             self._write(self.read(view), view, folder)
         self._publish({"folders": [folder]}, seen)
-        for gone in [before, *(f"{self.path}/{view}/batch={x}" for view in VIEWS for x in old)]:
-            if gone:
-                fs, target = _fs(self.spark, gone)
-                fs.delete(target, True)
+        for gone in (f"{self.path}/{view}/batch={x}" for view in VIEWS for x in old):
+            fs, target = _fs(self.spark, gone)
+            fs.delete(target, True)
 
     def _publish(self, changed: dict, seen: list) -> None:
         state = self.state | changed
