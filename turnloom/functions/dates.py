@@ -93,6 +93,10 @@ MONTH_DAY = (
 )
 
 
+#: What every text that ``parse_relative`` finds something in has.
+RELATIVE = "(?i)" + "|".join(p.removeprefix("(?i)") for p in (AGO, SINCE, LAST_DAY, LAST_WEEKEND, LAST_UNIT, SIMPLE, MONTH_DAY))
+
+
 def number(word: Column) -> Column:
     low = F.lower(word)
     return F.coalesce(_int(F.regexp_extract(low, "^[0-9]+$", 0)), lookup(NUMBERS, low), F.lit(1))

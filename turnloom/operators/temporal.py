@@ -40,7 +40,8 @@ def dated_events(evidence: DataFrame) -> DataFrame:
         F.when(F.col("t_kind") == "relative", "event").otherwise("session").alias("kind"), F.when(dated, F.col("t_label")).alias("label"),
     )
     s = rows.where("anchor IS NOT NULL").select("query_id", "node_id", "anchor", F.explode(text.sentences(F.col("content"))).alias("event"))
-    s = s.where(F.length("event") >= 12).withColumn("t", dates.parse_relative(F.col("event"), F.col("anchor")))
+    s = s.where((F.length("event") >= 12) & F.col("event").rlike(dates.RELATIVE))
+    s = s.select("query_id", "node_id", "event", text.once(dates.parse_relative(F.col("event"), F.col("anchor"))).alias("t"))
     own = s.where("t IS NOT NULL").select("query_id", "node_id", "event", F.col("t.epoch").alias("epoch"), F.lit("event").alias("kind"), F.col("t.label").alias("label"))
     told = rows.where("epoch IS NOT NULL").select("query_id", "node_id", F.col("content").alias("event"), "epoch", "kind", "label")
     return own.unionByName(told)
@@ -54,11 +55,15 @@ def best_events(events: DataFrame, sides: DataFrame) -> DataFrame:
     node of side 0 is left out when side 1 is looked for. A side without ``rivals`` (null) stands
     alone: there an event must have half of its tokens. A query's events are few.
     """
+    # stems are taken of a question's sides, not of them for each event
+    sides = sides.select("*", text.once(F.struct(*(F.transform(c, text.stem).alias(c) for c in ("tokens", "rivals")))).alias("stems"))
     rows = events.join(sides, "query_id")
-    hits = text.stem_hits(F.col("tokens"), F.col("event"))
-    rival = F.coalesce(text.stem_hits(F.col("rivals"), F.col("event")), F.lit(0))
+    hits, rival = (text.stems_in(F.col(f"stems.{c}"), F.col("event")) for c in ("tokens", "rivals"))
+    made = F.struct(hits.alias("hits"), F.coalesce(rival, F.lit(0)).alias("rival"))
+    rows = rows.select(*events.columns, "side", "tokens", "rivals", text.once(made).alias("made"))
+    rows = rows.select(*events.columns, "side", "tokens", "rivals", "made.*")
     need = F.when(F.col("rivals").isNull(), F.greatest(F.lit(1), F.floor((F.size("tokens") + 1) / 2))).otherwise(1)
-    rows = rows.withColumns({"hits": hits, "rival": rival}).where((F.col("hits") >= need) & (F.col("rivals").isNull() | (F.col("hits") > F.col("rival"))))
+    rows = rows.where((F.col("hits") >= need) & (F.col("rivals").isNull() | (F.col("hits") > F.col("rival"))))
     order = (F.desc(F.col("hits") - F.col("rival")), F.desc("hits"), F.desc(F.col("kind") == "event"), F.length("event"), "node_id", "event")
     rank = F.row_number().over(Window.partitionBy("query_id", "side").orderBy(*order))
     first = F.max(F.when((F.col("side") == 0) & (F.col("rank") == 1), F.col("node_id"))).over(Window.partitionBy("query_id"))
@@ -138,8 +143,8 @@ LOOSE = r"(?id)between\s+(?:the\s+)?(.+?)\s+and\s+(?:the\s+)?(.+?)\s*(?:\?|$)"
 def question_sides(questions: DataFrame) -> DataFrame:
     """query_id, side, tokens, rivals of the ``questions`` (query_id, query) that name two events."""
     loose = F.array(*[text.query_tokens(F.regexp_extract("query", LOOSE, k)) for k in (1, 2)])
-    s = questions.select("query_id", text.sides(F.col("query")).alias("s"), loose.alias("l"))
-    s = s.select("query_id", F.when(F.size("s") == 2, F.col("s")).when(F.forall("l", lambda x: F.size(x) > 0), F.col("l")).alias("s")).where(F.size("s") == 2)
+    s = questions.select("query_id", text.once(F.struct(text.sides(F.col("query")).alias("s"), loose.alias("l"))).alias("made"))
+    s = s.select("query_id", "made.*").select("query_id", F.when(F.size("s") == 2, F.col("s")).when(F.forall("l", lambda x: F.size(x) > 0), F.col("l")).alias("s")).where(F.size("s") == 2)
     rows = s.select("query_id", "s", F.posexplode("s").alias("side", "tokens"))
     return rows.select("query_id", F.col("side").cast("long").alias("side"), "tokens", F.element_at("s", F.when(F.col("side") == 0, 2).otherwise(1)).alias("rivals"))
 
@@ -154,20 +159,21 @@ def contracts(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     comparable dates on both sides, and other questions of time two dated events.
     """
     q = F.col("query")
-    facts = queries.select(
-        "query_id",
+    facts = F.struct(
         text.ability(q).alias("ability"),
         text.query_tokens(q).alias("toks"),
         q.rlike(text.MENTIONS).alias("mention"),
         F.coalesce(text.requested_length(q), F.lit(2)).alias("wanted"),
         (F.size(text.sides(q)) == 2).alias("sided"),
     )
+    facts = queries.select("query_id", text.once(facts).alias("facts")).select("query_id", "facts.*")
     e = _with_dates(evidence).join(facts, "query_id")
     known = F.coalesce(F.col("t_kind").isin("absolute", "relative"), F.lit(False)) | _explicit().isNotNull()
     toks = F.slice("toks", 1, 6)
     need = F.greatest(F.lit(1), F.ceil(F.size(toks) * 0.6))
     first = lambda value, keep: F.min_by(value, F.when(keep, F.col("rank")))
     rivals = F.col("rival").isNotNull()
+    spans = (F.col("ability") == "extraction") & (F.size("toks") > 0)  # no other question is asked for them
     claim = F.when(
         (F.lower("source_role") == "user") & F.col("source_position").isNotNull(),
         F.struct("source_position", F.trim(F.regexp_replace(F.lower("content"), r"\s+", " "))),
@@ -180,8 +186,8 @@ def contracts(queries: DataFrame, evidence: DataFrame) -> DataFrame:
         first("node_id", ~F.col("current")).alias("old"),
         first("node_id", F.col("current")).alias("new"),
         F.countDistinct(claim).alias("claims"),
-        F.bool_or(text.densest_hits(F.left("content", F.lit(2000)), toks) >= need).alias("found"),
-        F.bool_or(text.densest_hits(F.col("content"), toks) >= need).alias("found_beyond"),
+        F.bool_or(F.when(spans, text.densest_hits(F.left("content", F.lit(2000)), toks) >= need)).alias("found"),
+        F.bool_or(F.when(spans, text.densest_hits(F.col("content"), toks) >= need)).alias("found_beyond"),
     )
     events = dated_events(evidence)
     n_events = events.groupBy("query_id").agg(F.count(F.lit(1)).alias("events"))
