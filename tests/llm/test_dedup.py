@@ -192,6 +192,42 @@ def test_nodes_split_again_when_they_are_large(spark):
     assert edges(8192) == edges(20)
 
 
+def test_few_links_take_few_tasks_however_many_shuffle_partitions(spark):
+    fps = spark.createDataFrame([(1 << b,) for b in range(3, 40)] + [(0xFFFF << b,) for b in range(0, 40, 8)], "fp long").coalesce(2)
+    path = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long").coalesce(2)
+    context, before = spark.sparkContext, {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("211", "false"), strict=True):
+        spark.conf.set(k, v)
+    context.setJobGroup("few-links", "few links")
+    try:
+        linked = simhash.components(simhash.links(fps)).collect()
+        walked = {(r.a, r.root) for r in simhash.components(path).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(linked) == 36 and walked == {(k, 0) for k in range(1, 51)}  # 2 ** b all link, the others don't
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(max(x.numCompletedTasks for x in [tracker.getStageInfo(s)]) for s in stages if tracker.getStageInfo(s)) < 1500
+
+
+def test_links_of_all_nodes_are_merged_within_bounds(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    fps = np.arange(1 << 18, dtype="i8") // 2 * 1024  # nodes of two: each is linked to itself only
+    fps[1::2] += 1  # and to its neighbour
+    columns = [pa.array(np.zeros(1 << 18, "i8")), pa.array(np.arange(1 << 18) // 2), pa.array(fps)]
+    batches = [pa.RecordBatch.from_arrays(columns, names=["mask", "value", "fp"])] * 3
+    for edges in (1 << 20, 1 << 10):
+        monkeypatch.setattr(simhash, "EDGES", edges)
+        out = list(simhash._link_partitions(iter(batches)))
+        pairs = {(a, b) for x in out for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)}
+        assert pairs == {(k * 1024 + 1, k * 1024) for k in range(1 << 17)}
+        assert sum(x.num_rows for x in out) == (1 << 17) * (1 if edges == 1 << 20 else 3)
+
+
 def test_tree_finds_the_pairs_that_brute_force_finds():
     import numpy as np
 

@@ -10,7 +10,11 @@ accumulate on the way down, and a pair of groups is dropped as a whole once they
 A node with more than NODE_ROWS fingerprints is split again by pairs of blocks of its free bits,
 which is exact for the same reason; four levels leave fewer than 8,192 possible values, so no
 node can outgrow a task. Only a spanning forest of the links under a node is kept, never all
-pairs, and components are found on those by alternating large and small stars.
+pairs, and a task merges those of all its nodes into one. Components are found on what tasks
+leave by alternating large and small stars.
+
+Steps over few rows run in as many tasks as their rows ask for, not in one for each shuffle
+partition (see ``_dealt``): a turn of stars is all overhead where partitions are many and edges few.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ SEED = 42
 NODE_ROWS = 8192
 #: Members of a group, and of a group of groups.
 FAN = 16
+#: Rows of a task in steps over fingerprints and links, and links that a task merges at a time.
+TASK_ROWS = 1 << 20
+EDGES = 1 << 20
 
 ALL = (1 << 64) - 1
 
@@ -168,8 +175,15 @@ def link_nodes(node, fps, most: int = MAX_BITS):
         vs.append(j + at)
     if not us:
         return fps[:0], fps[:0]
-    values, index = np.unique(fps, return_inverse=True)
-    u, v = index[np.concatenate(us)], index[np.concatenate(vs)]
+    return forest(fps[np.concatenate(us)], fps[np.concatenate(vs)])
+
+
+def forest(a, b):
+    """The links (a, b) as stars: arrays of every end that isn't its component's least, and that least."""
+    import numpy as np
+
+    values, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = index[: len(a)], index[len(a) :]
     root = np.arange(len(values))
     while True:
         least = np.minimum(root[u], root[v])
@@ -187,12 +201,14 @@ def link_nodes(node, fps, most: int = MAX_BITS):
 
 def _link_partitions(batches):
     """Rows (mask, value, fp) sorted by node come in; links go out. The last node of a batch
-    waits for the next batch, so a node is never cut; a node has NODE_ROWS rows at most."""
+    waits for the next batch, so a node is never cut; a node has NODE_ROWS rows at most. The links
+    of all nodes are merged into stars; over EDGES of them go out as they are then."""
     import numpy as np
     import pyarrow as pa
 
     held = None
     empty = True
+    stars, n = [], 0
 
     def out(a, b):
         return pa.RecordBatch.from_arrays([pa.array(x.view("i8"), pa.int64()) for x in (a, b)], names=["a", "b"])
@@ -206,10 +222,18 @@ def _link_partitions(batches):
         last = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
         cut = len(last) - int(last.sum())
         if cut >= 1 << 17:
-            yield out(*_linked([x[:cut] for x in held]))
+            stars.append(_linked([x[:cut] for x in held]))
+            n += len(stars[-1][0])
             held = [x[cut:] for x in held]
+            if n > EDGES:
+                stars = [forest(*map(np.concatenate, zip(*stars, strict=True)))]
+                n = len(stars[0][0])
+                if n > EDGES // 2:
+                    yield out(*stars[0])
+                    stars, n = [], 0
     if not empty:
-        yield out(*_linked(held))
+        stars.append(_linked(held))
+        yield out(*forest(*map(np.concatenate, zip(*stars, strict=True))))
 
 
 def _linked(held):
@@ -220,9 +244,16 @@ def _linked(held):
     return link_nodes(node, fps.view("u8"))
 
 
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a step over about ``rows`` rows, in a task for each TASK_ROWS of them, but no fewer than
+    keep every core busy twice; never in more than it has partitions."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def links(distinct: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
-    """(a, b) with b < a as unsigned: a spanning forest of the links under every node."""
+    """(a, b) with b < a as unsigned: for every task, a spanning forest of the links under its nodes."""
     spark = distinct.sparkSession
+    in_all = distinct.count() * len(child_masks(0))
     rows = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
     parents, found, base = [0], None, shared_dir(spark, "simhash-index")
     rank = F.col("fp")
@@ -238,7 +269,7 @@ def links(distinct: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
             rows = rows.join(F.broadcast(below), "mask").select("fp", F.col("child").alias("mask"))
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n"))
-        large = staged(sizes.where(F.col("n") > node_rows), "large", f"{base}/large-{level}")
+        large = staged(_dealt(sizes.where(F.col("n") > node_rows), in_all), "large", f"{base}/large-{level}")
         split = not large.isEmpty()
         own = rows.join(large.select("mask", "value"), ["mask", "value"], "left_anti") if split else rows
         made = (
@@ -246,9 +277,8 @@ def links(distinct: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
             .select("mask", "value", "fp", rank.alias("rank"))
             .sortWithinPartitions("mask", "value", "rank")
             .select("mask", "value", "fp")
-            .mapInArrow(_link_partitions, "a long, b long")
         )
-        made = staged(made.distinct(), "links", f"{base}/links-{level}")
+        made = staged(_dealt(made, in_all).mapInArrow(_link_partitions, "a long, b long"), "links", f"{base}/links-{level}")
         found = made if found is None else found.unionByName(made)
         if not split:
             break
@@ -261,36 +291,38 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, root): every node of ``edges`` (a, b) that isn't its component's smallest, with the smallest.
 
     Alternating large and small stars; each turn is written to the shared folder, so a lost
-    executor costs a part of one turn. It ends when a turn changes nothing.
+    executor costs a part of one turn. It ends when every edge joins a node to its component's
+    smallest. ``edges`` are read several times.
     """
-    spark = edges.sparkSession
-    base = shared_dir(spark, "components")
-    now = staged(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
-        f"{base}/0",
-    )
-
-    def seen(df):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    state, turn = seen(now), 0
-    while state[0]:
+    base = shared_dir(edges.sparkSession, "components")
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+
+    def ended(df):
+        """How many rows ``df`` has, and whether they are stars: no node has two parents or is one with a parent."""
+        ends = df.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(df.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = _dealt(ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")), n)
+        up, wrong = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") + F.col("down") > 1))).first()
+        return up, not wrong
+
+    n = 0
+    n, stars = ended(now)
+    turn = 0
+    while not stars:
         turn += 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # The minima are written first: a join of two plain shuffles can be split where a node has
         # many links, a join with an aggregation beside it can't.
-        least = staged(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least", f"{base}/{turn}-large")
+        least = _dealt(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), n)
+        least = staged(least, "least", f"{base}/{turn}-large")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = _dealt(_dealt(large.where("a <> b"), n).distinct(), n)
         large = staged(large, "large", f"{base}/{turn}-edges")
-        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least", f"{base}/{turn}-small")
-        small = large.join(least, "a")
-        rest = small.where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = staged(least.withColumnRenamed("m", "b").unionByName(rest).distinct(), "edges", f"{base}/{turn}")
-        before, state = state, seen(now)
-        if state == before:
-            break
+        least = staged(_dealt(large.groupBy("a").agg(F.min("b").alias("m")), n), "least", f"{base}/{turn}-small")
+        rest = _dealt(large.join(least, "a").where("b <> m"), n)
+        rest = rest.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        now = least.withColumnRenamed("m", "b").unionByName(rest).distinct()
+        now = staged(_dealt(now, n), "edges", f"{base}/{turn}")
+        n, stars = ended(now)
     return now.select("a", F.col("b").alias("root"))
 
 
@@ -301,17 +333,17 @@ def near_duplicates(docs: DataFrame, node_rows: int = NODE_ROWS, carry: tuple[st
     other. A null doc_id gets a row, but never names a component unless all its members are null.
     Repeated rows give repeated rows. Columns beside doc_id and text are not read.
     """
-    spark = docs.sparkSession
     fps = staged(fingerprints(docs, carry=carry), "fingerprints")
-    first = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    n = fps.count()
+    first = staged(_dealt(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), n), "distinct")
     roots = components(links(first.select("fp"), node_rows))
     named = first.join(roots, first["fp"] == roots["a"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    named = staged(named, "rooted")
-    least = staged(named.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    lone = staged(named.join(least, "root").select("fp", "component_id"), "by-fingerprint")
-    return fps.join(lone, "fp").select("doc_id", "fp", "component_id", *carry)
+    named = staged(_dealt(named, n), "rooted")
+    least = staged(_dealt(named.groupBy("root").agg(F.min("first").alias("component_id")), n), "components")
+    lone = staged(_dealt(named.join(least, "root").select("fp", "component_id"), n), "by-fingerprint")
+    return _dealt(fps.join(lone, "fp").select("doc_id", "fp", "component_id", *carry), n)
 
 
 def hex16(column: str):
