@@ -85,6 +85,39 @@ def test_index_orders_by_batch_then_id(spark):
     index.close()
 
 
+def test_runs_are_sorted_once_and_merged_without_a_sort(spark, docs):
+    import pyarrow.parquet as pq
+
+    def written(since):
+        """The plans that wrote a table from execution ``since`` on."""
+        store = spark._jsparkSession.sharedState().statusStore()
+        found = store.executionsList()
+        plans = [found.apply(k) for k in range(found.size()) if found.apply(k).executionId() >= since]
+        return [x.physicalPlanDescription().split("Initial Plan")[0] for x in plans if "CreateDataSourceTableAsSelect" in x.physicalPlanDescription()]
+
+    def last():
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return max((found.apply(k).executionId() for k in range(found.size())), default=-1)
+
+    index = substring.SubstringIndex(spark, fanout=2)
+    since = last() + 1
+    for rest in (0, 1):
+        index.add(docs.where(F.col("doc_id") % 2 == rest))
+    adding = written(since)
+    since = last() + 1
+    index.compact()
+    merging = written(since)
+    for kind, (keys, _) in substring.KINDS.items():
+        (run,) = index.runs[kind]
+        for file in spark.table(run).inputFiles():
+            rows = list(zip(*(pq.read_table(file.removeprefix("file:")).column(k).to_pylist() for k in keys), strict=True))
+            assert rows == sorted(rows)
+    index.close()
+    assert len(adding) == 4 and all(x.count(" Sort (") == 1 and "pmod" not in x for x in adding)
+    assert len(merging) == 2 and not any(" Sort (" in x for x in merging)
+
+
+
 # --- exact -------------------------------------------------------------------------------
 
 

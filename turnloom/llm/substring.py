@@ -268,29 +268,37 @@ def _finish(batches):
         [("sdoc", pa.int64()), ("scopy", pa.int64()), ("spos", pa.int32()), ("len", pa.int32()), ("words", pa.string()), ("pos", pa.int32())]
     )
 
-    def stretched(listed, copy):
-        """pos, sdoc, scopy, spos of every single window of this copy."""
-        if not listed.is_valid:
-            return [np.zeros(0, "i8")] * 4
-        mine = _numbers(listed.values.field("copy")) == copy
-        pos, n, sdoc, scopy, spos = (_numbers(listed.values.field(x)).astype("i8")[mine] for x in ("pos", "n", "sdoc", "scopy", "spos"))
+    def opened(column):
+        """Where the list of each row begins in the fields of all lists, and these fields."""
+        offsets, flat = _numbers(column.offsets), column.flatten()
+        return (offsets - offsets[0]).tolist(), [_numbers(flat.field(x)).astype("i8") for x in ("copy", "pos", "n", "sdoc", "scopy", "spos")]
+
+    def stretched(lists, k, copy):
+        """pos, sdoc, scopy, spos of every single window of row k, which is this copy."""
+        offsets, fields = lists
+        copies, *rest = (x[offsets[k] : offsets[k + 1]] for x in fields)
+        mine = copies == copy
+        pos, n, sdoc, scopy, spos = (x[mine] for x in rest)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return [np.repeat(pos, n) + step, np.repeat(sdoc, n), np.repeat(scopy, n), np.repeat(spos, n) + step]
 
     for batch, texts in _slices(batches):
         out: list[list] = [[], [], [], []]
-        lists = (batch.column(c) for c in ("gone", "bad", "extra"))
-        for copy, text, gone, bad, extra in zip(batch.column("copy").to_pylist(), texts, *lists, strict=True):
+        gone, extra = opened(batch.column("gone")), opened(batch.column("extra"))
+        any_extra = extra[0][-1] > 0
+        bad = batch.column("bad").to_pylist()
+        for k, (copy, text) in enumerate(zip(batch.column("copy").to_pylist(), texts, strict=True)):
             words = text.split()
             n, removed, kept, claims = len(words), 0, b" ".join(words), []
-            if gone.is_valid or bad.is_valid or extra.is_valid:
-                found = stretched(gone, copy)
-                for span in (bad.as_py() or []) if bad.is_valid else []:
+            if gone[0][k] < gone[0][k + 1] or extra[0][k] < extra[0][k + 1]:
+                found = stretched(gone, k, copy)
+                for span in bad[k] or []:
                     if span["copy"] != copy:
                         continue
                     ok = (found[0] < span["pos"]) | (found[0] > span["pos"] + span["len"] - WINDOW)
                     found = [x[ok] for x in found]
-                found = [np.concatenate(x) for x in zip(found, stretched(extra, copy), strict=True)]
+                if any_extra:
+                    found = [np.concatenate(x) for x in zip(found, stretched(extra, k, copy), strict=True)]
                 _, once = np.unique(found[0], return_index=True)
                 pos, sdoc, scopy, spos = (x[once] for x in found)
                 ends = np.cumsum(np.fromiter(map(len, words), "i8", n) + 1)  # of each word and its blank
@@ -466,6 +474,8 @@ _SETTINGS = {
     # A union of bucketed scans says that it is bucketed too, but its partitions are those of the scans
     # one after the other: an aggregation above it would be wrong.
     "union_partitions": "unionOutputPartitioning",
+    # Buckets that a task may write at once; at none, the default, it sorts its rows by bucket first.
+    "open_files": "maxConcurrentOutputFileWriters",
 }
 #: Columns that a run is bucketed by (the first) and sorted by, and the others.
 COLUMNS = {"prints": PRINT_ROWS, "texts": "doc_id long, copy long, z binary"}
@@ -501,13 +511,17 @@ class SubstringIndex:
             index.fanout, index.bits, index.buckets, index.seq = r.fanout, r.bits, r.buckets, r.seq
             if r.kind:
                 index.runs[r.kind].append(r.name)
-                keys = KINDS[r.kind][0]
-                spark.sql(
-                    f"CREATE TABLE IF NOT EXISTS {r.name} ({COLUMNS[r.kind]}) USING parquet CLUSTERED BY ({keys[0]}) "
-                    f"SORTED BY ({', '.join(keys)}) INTO {r.buckets} BUCKETS LOCATION '{path}/{r.name}'"
-                )
+                index._declare(r.kind, r.name)
         return index
 
+    def _declare(self, kind: str, name: str) -> None:
+        """A table over the files of a run."""
+        keys = KINDS[kind][0]
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({COLUMNS[kind]}) USING parquet CLUSTERED BY ({keys[0]}) "
+            f"SORTED BY ({', '.join(keys)}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+        )
+
     def _commit(self) -> None:
         runs = [(k, kind, name) for kind, names in self.runs.items() for k, name in enumerate(names)] or [(0, None, None)]
         rows = [(*run, self.buckets, self.fanout, self.bits, self.seq) for run in runs]
@@ -516,18 +530,33 @@ class SubstringIndex:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{self.path}/manifest-{self.version:010d}")
 
     def _write(self, rows: DataFrame, kind: str) -> str:
-        name, (keys, _) = f"{kind}_{uuid.uuid4().hex}", KINDS[kind]
-        writer = rows.sortWithinPartitions(*keys).write.bucketBy(self.buckets, keys[0]).sortBy(*keys)
-        writer.option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        """A new run of ``rows``, of which a task has whole buckets, sorted.
+
+        With ``sortBy`` Spark would sort once more, by the bucket first, which is one value in all
+        rows of a task, so that every two rows were compared column by column. The files are
+        written as the rows come, and the table that says so is made over them.
+        """
+        name, keys = f"{kind}_{uuid.uuid4().hex}", KINDS[kind][0]
+        writer = rows.write.bucketBy(self.buckets, keys[0]).option("path", f"{self.path}/{name}")
+        with _settings(self.spark, open_files=str(self.buckets)):
+            writer.option("compression", "zstd").saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        self._declare(kind, name)
         return name
 
+    def _run(self, rows: DataFrame, kind: str) -> str:
+        """A new run of ``rows`` in any order."""
+        keys = KINDS[kind][0]
+        return self._write(rows.repartition(self.buckets, keys[0]).sortWithinPartitions(*keys), kind)
+
     def compact(self) -> None:
         """Merge the runs into one, two at a time and bucket by bucket, dropping what each merge replaces."""
         for kind, (keys, values) in KINDS.items():
             while len(self.runs[kind]) > 1:
                 *rest, older, newer = self.runs[kind]
                 with _settings(self.spark, all_keys="false"):
-                    # No key is in two runs, so a full outer merge join is the runs' rows in one order.
+                    # No key is in two runs, so a full outer merge join is the runs' rows in one order,
+                    # and they are written as they come.
                     new = self.spark.table(newer).withColumnsRenamed({x: f"new_{x}" for x in values}).hint("merge")
                     rows = self.spark.table(older).join(new, list(keys), "full_outer")
                     made = self._write(rows.select(*keys, *[F.coalesce(x, f"new_{x}").alias(x) for x in values]), kind)
@@ -561,11 +590,12 @@ class SubstringIndex:
     def _add(self, docs: DataFrame) -> DataFrame:
         spark, bits, seq = self.spark, self.bits, self.seq
         work = f"{self.path}/work-{seq}"
-        packed = _copies(docs, seq).mapInArrow(_packed, "doc_id long, copy long, z binary")
-        texts_name = self._write(packed.where("doc_id is not null").repartition(self.buckets, "doc_id"), "texts")
+        # Filters don't pass below the compression, so they stand before it.
+        named, unnamed = (_copies(docs, seq).where(x).mapInArrow(_packed, "doc_id long, copy long, z binary") for x in ("doc_id is not null", "doc_id is null"))
+        texts_name = self._run(named, "texts")
         texts = spark.table(texts_name)
         made = texts.mapInArrow(_stretched(bits), PRINT_ROWS)
-        name = self._write(made.repartition(self.buckets, "fp"), "prints")
+        name = self._run(made, "prints")
         new, before = spark.table(name), [spark.table(x) for x in self.runs["texts"]]
         olds = [spark.table(x) for x in self.runs["prints"]]
         shared, known = new.groupBy("fp").agg((F.min("doc_id") < F.max("doc_id")).alias("shared")), F.col("shared")
@@ -620,7 +650,7 @@ class SubstringIndex:
             extra = _lists(_later(worded, ["h", "words"], seq).withColumnRenamed("gone", "extra"), "extra", "extra")
             again = finished(matches, staged(spans, "spans", f"{work}/spans"), extra, "by-words")
             result = result.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)  # both are written
-        unnamed = packed.where("doc_id is null").withColumns({"gone": F.lit(None).cast(GONE), "extra": F.lit(None).cast(GONE)})
+        unnamed = unnamed.withColumns({"gone": F.lit(None).cast(GONE), "extra": F.lit(None).cast(GONE)})
         unnamed = _finished(unnamed.withColumn("bad", F.lit(None).cast("array<struct<copy: bigint, pos: int, len: int>>")))
         result = staged(result.unionByName(unnamed).drop("claims"), "result")
         self.runs["prints"].append(name)
